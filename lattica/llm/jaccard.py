@@ -8,7 +8,7 @@ filter compares how the sets spread over fixed ranges of the token space; pairs
 Scale: documents with the same set are one class, and only one of them goes on. Shingle frequencies come from a
 blockwise exchange (see _exchange). Shingles that only one class has cannot join and are dropped from prefixes, and
 classes with too few shared shingles leave early. Where one shingle is in the prefixes of many classes, the classes
-are first compared with one centre each; what those links connect needs no more comparing, so only classes of different
+are first compared with one centre each, the one whose shingles are the most shared; what those links connect needs no more comparing, so only classes of different
 components are then paired, all of them.
 """
 
@@ -24,7 +24,7 @@ from ._cluster import components, free_shuffles, parts, saved
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, entry_rows, joined, place, totals
 
 RANGES = 16
-LIVE = "fp long, n int, prefix array<long>, at array<int>, spread array<int>, items binary"
+LIVE = "fp long, n int, weight long, prefix array<long>, at array<int>, spread array<int>, items binary"
 
 
 def required(n: int, m: int, percent: int) -> int:
@@ -114,6 +114,7 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
             {
                 "fp": pa.array(fps[ids]),
                 "n": pa.array(n[ids].astype(np.int32)),
+                "weight": pa.array(np.bincount(rows, weights=many, minlength=len(n))[ids].astype(np.int64)),
                 "prefix": pa.ListArray.from_arrays(cuts, pa.array(values[order][keep].view(np.int64))),
                 "at": pa.ListArray.from_arrays(cuts, pa.array(pos[keep].astype(np.int32))),
                 "spread": pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * RANGES).astype(np.int32)), pa.array(spread)),
@@ -163,8 +164,8 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes, enough to connect all that the join's links connect."""
     spark = live.sparkSession
-    tokens = live.select("fp", "n", F.explode(F.arrays_zip("prefix", "at")).alias("x")).select("fp", "n", F.col("x.prefix").alias("token"), F.col("x.at").alias("at"))
-    centre = tokens.groupBy("token").agg(F.min(F.struct("fp", "n", "at")).alias("c"), F.count("*").alias("many")).where("many > 1")
+    tokens = live.select("fp", "n", "weight", F.explode(F.arrays_zip("prefix", "at")).alias("x")).select("fp", "n", "weight", F.col("x.prefix").alias("token"), F.col("x.at").alias("at"))
+    centre = tokens.groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "at")).alias("c"), F.count("*").alias("many")).where("many > 1")
     near = tokens.join(centre, "token").where("fp <> c.fp").select(F.col("c.fp").alias("a_fp"), F.col("c.n").alias("a_n"), F.col("c.at").alias("a_at"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     tried = saved(_pairs(near, percent))
     links = saved(_verified(tried, live, percent))

@@ -31,6 +31,17 @@ def place(h: np.ndarray, buckets: int, narrow: bool) -> np.ndarray:
     return (bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
+def distinct(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places in ascending order, and of each place its index in them, by one sort."""
+    order = np.argsort(at)
+    ranked = at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(at), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], inverse
+
+
 def bucket_of(at: np.ndarray, buckets: int, narrow: bool) -> np.ndarray:
     return (at >> np.uint64(32) if narrow else ((at >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -64,7 +75,7 @@ def totals(entries: DataFrame, narrow: bool, kind: str, cap: int) -> DataFrame:
         blobs = table.column("keys").to_pylist()
         keys = np.frombuffer(b"".join(blobs), key)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
-        _, inverse = np.unique(keys, return_inverse=True)
+        _, inverse = distinct(keys)
         total = np.minimum(np.bincount(inverse, weights=counts), cap).astype(kind)[inverse]
         ends = np.cumsum([len(x) // keys.itemsize for x in blobs])
         out = [total[i:j].tobytes() for i, j in zip(np.concatenate(([0], ends[:-1])), ends)]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import binary_rows, mix, shingles, sorted_sets, word_pieces
 from ._cluster import components, free_shuffles, parts, saved
-from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, entry_rows, joined, place, totals
+from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, place, totals
 
 RANGES = 16
 LIVE = "fp long, n int, weight long, prefix array<long>, at array<int>, spread array<int>, items binary"
@@ -92,7 +92,7 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
         head = np.asarray(right.column("bucket").to_numpy()) < 0
         values, bounds, fps = _block_sets(left, right.filter(pa.array(head)), size) if left.num_rows and head.any() else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64))
         at = place(values, buckets, True)
-        many = joined(right.filter(pa.array(~head)), "u1")[np.searchsorted(np.unique(at), at)] if len(at) else np.zeros(0, np.uint8)
+        many = joined(right.filter(pa.array(~head)), "u1")[distinct(at)[1]] if len(at) else np.zeros(0, np.uint8)
         n = np.diff(bounds)
         rows = np.repeat(np.arange(len(n)), n)
         least = -(-percent * n // 100)

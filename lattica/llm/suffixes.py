@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Powers, byte_codes, pieces, prefix_hash, span_hash, string_buffers
+from ._bytes import pieces, prefix_hash, span_hash, string_buffers
 from ._cluster import parts, text_bytes
-from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, TOTAL, dealt, entry_rows, joined, place, totals
+from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, TOTAL, dealt, distinct, entry_rows, joined, place, totals
 
 #: Perfect difference sets (each difference mod v occurs once).
 COVERS = {
@@ -39,7 +39,6 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-_STRONG = byte_codes(0x5EED), Powers(0xB5AD4ECEDA1CE2A9)
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -56,23 +55,30 @@ class _Piece:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int):
         self.buf, self.offsets, self.length = buf, offsets, length
         self.v, cover = cover_for(length)
-        n, sizes = len(buf), np.diff(offsets)
-        local = np.arange(n, dtype=np.int64) - np.repeat(offsets[:-1], sizes)
-        left = np.repeat(offsets[1:], sizes) - np.arange(n, dtype=np.int64)
-        is_cover = np.zeros(self.v, bool)
-        is_cover[list(cover)] = True
         self.reach = length - self.v + 1
-        long_text = np.repeat(sizes >= length, sizes)
-        self.sample = np.flatnonzero(is_cover[local % self.v] & (left >= self.reach) & long_text)
-        self.starts = left >= length
+        sizes = np.diff(offsets)
+        most = int(sizes.max(initial=0))
+        shifts = (np.arange(most // self.v + 1)[:, None] * self.v + np.array(cover)).ravel()
+        many = np.where(sizes >= length, np.searchsorted(shifts, sizes - self.reach, side="right"), 0)
+        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.sample = shifts[which] + np.repeat(offsets[:-1], many)
+        edge = np.zeros(len(buf) + 1, np.int8)
+        long = sizes >= length
+        edge[offsets[:-1][long]] += 1
+        edge[offsets[1:][long] - length + 1] -= 1
+        self.starts = np.cumsum(edge[:-1], dtype=np.int8) > 0  # where a window fits in its text
+        self._prefix: np.ndarray | None = None
+
+    def prefix(self) -> np.ndarray:
+        if self._prefix is None:
+            self._prefix = prefix_hash(self.buf)
+        return self._prefix
 
     def ranks(self) -> np.ndarray:
-        h = prefix_hash(self.buf)
-        return span_hash(h, self.sample, self.sample + self.reach)
+        return span_hash(self.prefix(), self.sample, self.sample + self.reach)
 
     def windows(self, at: np.ndarray) -> np.ndarray:
-        h = prefix_hash(self.buf, *_STRONG)
-        return span_hash(h, at, at + self.length, _STRONG[1])
+        return span_hash(self.prefix(), at, at + self.length)
 
     def first(self, shared: np.ndarray) -> np.ndarray:
         """Sample suffixes to compare in full; shared: which of the sample have a shared rank."""
@@ -131,9 +137,10 @@ def _block(text: pa.Table, length: int):
 
 def _spread(h: list[np.ndarray], back: np.ndarray, buckets: int, narrow: bool) -> list[np.ndarray]:
     """For each piece's fingerprints, what came back for the block's distinct ones."""
-    at = [place(x, buckets, narrow) for x in h]
-    uniq = np.unique(np.concatenate(at)) if at else np.zeros(0, np.uint64)
-    return [back[np.searchsorted(uniq, x)] for x in at]
+    if not h:
+        return []
+    told = back[distinct(place(np.concatenate(h), buckets, narrow))[1]]
+    return np.split(told, np.cumsum([len(x) for x in h[:-1]]))
 
 
 class _Passes:
@@ -155,6 +162,7 @@ class _Passes:
         return at, [p.windows(x) for p, x in zip(self.pieces, at)]
 
     def found(self, shared: list[np.ndarray]) -> list[np.ndarray]:
+        """The sample suffixes whose window occurs again."""
         at, h = self.first(shared)
         return [x[f > 1] for x, f in zip(at, _spread(h, self.back[2], self.buckets[1], False))]
 

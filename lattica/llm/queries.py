@@ -8,13 +8,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, jaccard, pieces, pii, quality, suffixes, url_filter
+from . import ann, decontaminate, html_text, jaccard, lm, pieces, pii, quality, suffixes, url_filter
 
 
 #: The public vocabulary that op4 encodes with; a parameter, not a part of the repository.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: The public vocabulary of op3's model.
+SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The rules that op2 judges by: host, path prefix, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -58,6 +60,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), pieces.read_model(spark, SUBWORD_RANKS))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.read_model(spark, PIECE_MODEL))
 
@@ -75,6 +81,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
+    "op3_lm_scores": op3_lm_scores,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,

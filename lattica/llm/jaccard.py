@@ -205,8 +205,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component kept: the one with the smallest doc_id (repeated rows with that id: one of them)."""
+    """docs with one document of each component kept, the one with the smallest doc_id; of equal rows with that id, one.
+
+    Rows without doc_id cannot be named and are kept. See jaccard_components().
+    """
     comp = jaccard_components(docs.select("doc_id", "text"), size, percent)
-    keep = comp.where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = comp.where("component_id = doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))

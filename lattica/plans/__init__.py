@@ -1,0 +1,138 @@
+"""Whole analyses put together from the operators."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import augment, cluster, graph, labels as lab, reduce as red
+
+
+@dataclass(frozen=True)
+class Spatial:
+    """Neighbour weights of orders 0..max_m for one decay; lazy tables."""
+
+    decay: str
+    weights: dict[int, DataFrame]
+
+
+def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1) -> Spatial:
+    """Weights of each order from one neighbour search of the largest order's size."""
+    widest = graph.knn_graph(cells, k * (max_m + 1))
+    out = {}
+    for m in range(max_m + 1):
+        edges = widest.where(F.col("rk") <= k * (m + 1))
+        w = graph.row_normalized(graph.with_decay(edges, decay, k * (m + 1)))
+        out[m] = graph.modulated(w, m) if m else w
+    return Spatial(decay, out)
+
+
+def neighbour_blocks(spatial: Spatial, expr: DataFrame, center: bool = False) -> dict[int, DataFrame]:
+    """The cell's own values (-1), neighbour means (0) and gradients (1 and on) of a dense expr."""
+    out = {-1: expr}
+    for m, edges in spatial.weights.items():
+        out[m] = augment.neighbour_mean(edges, expr) if m == 0 else augment.agf(edges, expr, center)
+    return out
+
+
+def variance_balanced(blocks: dict[int, DataFrame], n_cells: int, top: int = 20) -> dict[int, DataFrame]:
+    """Neighbour blocks z-scored and scaled to the own block's variance in the leading directions."""
+    grams = {k: red.gram(augment.wide(augment.zscore(b, n_cells).withColumn("k", F.lit(k))))[2] for k, b in blocks.items()}
+    return {k: b if k < 0 else b.withColumn("value", F.col("value") * augment.balance_factor(grams[-1], grams[k], top)) for k, b in blocks.items()}
+
+
+def augmented(cells: DataFrame, expr: DataFrame, lam: float, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1, center: bool = False, variance_balance: bool = False) -> DataFrame:
+    """The augmented matrix in long form. Gradients are not centred unless asked, as in the standard pipeline."""
+    n = cells.count()
+    blocks = neighbour_blocks(initialize(cells, k, decay, max_m), expr, center)
+    if variance_balance:
+        blocks = variance_balanced(blocks, n)
+    return augment.concatenated(blocks, float(lam), n)
+
+
+def nonspatial(expr: DataFrame, n_cells: int) -> DataFrame:
+    return augment.concatenated({-1: expr}, 0.0, n_cells)
+
+
+@dataclass
+class Settings:
+    lambdas: tuple[float, ...] = (0.2,)
+    pcs: tuple[int | float, ...] = (20,)
+    resolutions: tuple[float, ...] | None = (0.7,)
+    max_labels: int | None = None
+    k: int = 15
+    decay: str = "scaled_gaussian"
+    max_m: int = 1
+    center: bool = False
+    variance_balance: bool = False
+    add_nonspatial: bool = True
+    algorithm: str = "leiden"
+    feature_neighbours: int = 50
+    shared_max_rank: int = 3
+    shared_threshold: int = 5
+    match: bool = False
+    refine: str | None = None
+    refine_neighbours: int = 6
+    seed: int = 1234
+    found: dict = field(default_factory=dict)
+
+
+RESULTS = "decay string, lambda_param double, num_pcs int, resolution double, num_labels int, modularity double, ari double, refined_ari double, total_entropy_normalized double"
+
+
+def run(cells: DataFrame, expr: DataFrame, s: Settings, annotations: DataFrame | None = None) -> tuple[DataFrame, dict[tuple, DataFrame]]:
+    """Every combination of lambda, components and resolution: a results table and labels by (decay, lambda, pcs, resolution).
+
+    Keys are raw numbers, so close resolutions stay apart. Without resolutions each combination is searched for max_labels.
+    """
+    if s.resolutions is None and s.max_labels is None:
+        raise ValueError("give resolutions, or max_labels to search for")
+    spark, n = cells.sparkSession, cells.count()
+    blocks = neighbour_blocks(initialize(cells, s.k, s.decay, s.max_m), expr, s.center)
+    if s.variance_balance:
+        blocks = variance_balanced(blocks, n)
+    matrices = [(s.decay, float(lam), augment.concatenated(blocks, float(lam), n)) for lam in s.lambdas]
+    if s.add_nonspatial:
+        matrices.append(("nonspatial", 0.0, nonspatial(expr, n)))
+    rows, out = [], {}
+    for decay, lam, matrix in matrices:
+        features = augment.wide(matrix).persist()
+        for pcs in s.pcs:
+            scores = red.pca(features, pcs).persist()
+            dims = len(scores.first().pc) if n else 0
+            if s.algorithm == "mixture":
+                found = [(float("nan"), cluster.gaussian_mixture(scores, s.max_labels or 8, s.seed), None)]
+            else:
+                knn = cluster.feature_knn(scores, s.feature_neighbours).persist()
+                g = cluster.undirected(cluster.shared_graph(knn, True, s.shared_max_rank, s.shared_threshold)).persist()
+                if s.resolutions is None:
+                    found = [(*cluster.find_resolution(cells, g, s.max_labels, seed=s.seed), g)]
+                else:
+                    found = [(r, cluster.leiden(cells, g, r, seed=s.seed), g) for r in s.resolutions]
+            for resolution, labels, g in found:
+                labels = labels.persist()
+                num = labels.select("label").distinct().count()
+                q = lab.modularity(labels, g).first()[0] if g is not None else None
+                agree = lab.ari(annotations, labels).first()[0] if annotations is not None else None
+                refined_ari = entropy = None
+                if s.refine:
+                    near = graph.knn_graph(cells, s.refine_neighbours)
+                    better, e, _ = lab.refined(labels, near, s.refine, k=s.refine_neighbours)
+                    refined_ari = lab.ari(annotations, better).first()[0] if annotations is not None else -1.0
+                    entropy = e / math.log(num) if num > 1 else 0.0
+                    labels = better
+                rows.append((decay, lam, dims, float(resolution), num, q, agree, refined_ari, entropy))
+                out[(decay, lam, dims, float(resolution))] = labels
+    if s.match and len(out) > 1:
+        out = dict(zip(out, lab.matched_series(list(out.values()))))
+    return spark.createDataFrame(rows, RESULTS).orderBy("decay", "lambda_param", "num_pcs", "resolution"), out
+
+
+def stacked(out: dict[tuple, DataFrame]) -> DataFrame:
+    """All label tables of run() under each other, with their parameters."""
+    each = [df.select("cell_id", "label").withColumns({"decay": F.lit(k[0]), "lambda_param": F.lit(k[1]), "num_pcs": F.lit(k[2]), "resolution": F.lit(k[3])}) for k, df in out.items()]
+    return reduce(DataFrame.unionByName, each)

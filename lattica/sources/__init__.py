@@ -1,0 +1,92 @@
+"""Readers and writers of the tables that the operators work on. All paths are Spark's."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def read_matrix_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A gene-by-cell CSV (first column gene names, a column a cell) as genes(gene_id, gene_name), expr(cell_name, gene_id, value).
+
+    Genes are numbered by name; zeros are not stored.
+    """
+    df = spark.read.csv(path, header=True)
+    name, cells = df.columns[0], df.columns[1:]
+    genes = df.select(F.col(f"`{name}`").alias("gene_name")).distinct()
+    genes = genes.withColumn("gene_id", F.row_number().over(Window.orderBy("gene_name")) - 1)
+    # map_from_arrays instead of an unpivot expression for each cell: matrices have many columns
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in cells]).alias("cell_name"), F.array(*[F.col(f"`{c}`").cast("double") for c in cells]).alias("value")))
+    long = df.select(F.col(f"`{name}`").alias("gene_name"), pairs.alias("p")).select("gene_name", F.col("p.cell_name").alias("cell_name"), F.col("p.value").alias("value"))
+    return genes, long.where("value <> 0").join(F.broadcast(genes), "gene_name").select("cell_name", "gene_id", "value")
+
+
+def read_locations_csv(spark: SparkSession, path: str, x: str = "xcoord", y: str = "ycoord") -> DataFrame:
+    """cells(cell_name, x, y) from a CSV whose first column names the cells."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.col(f"`{df.columns[0]}`").alias("cell_name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+
+def numbered(cells: DataFrame, expr: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cells and expr with a numeric cell_id in the order of names, made without gathering all cells in one task."""
+    ids = cells.select("cell_name").distinct().orderBy("cell_name").select("cell_name", F.monotonically_increasing_id().alias("cell_id"))
+    return cells.join(ids, "cell_name"), expr.join(ids, "cell_name").select("cell_id", "gene_id", "value")
+
+
+def load(spark: SparkSession, matrix: str | None = None, locations: str | None = None, parquet: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, genes, expr) from a folder of Parquet tables, or from a matrix and a locations CSV; raises if neither is given."""
+    if parquet:
+        return tuple(spark.read.parquet(f"{parquet}/{t}.parquet") for t in ("cells", "genes", "expr"))
+    if not matrix or not locations:
+        raise ValueError("give a Parquet folder, or both a matrix and a locations file")
+    genes, expr = read_matrix_csv(spark, matrix)
+    cells, expr = numbered(read_locations_csv(spark, locations), expr)
+    return cells, genes, expr
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Tissue positions: CSV without header of barcode, in-tissue flag, array and pixel coordinates."""
+    return spark.read.csv(path, schema="barcode string, x1 int, x_array int, y_array int, x_pixel double, y_pixel double")
+
+
+def read_annotations(spark: SparkSession, path: str, names: tuple[str, ...] = ("barcode", "sample_no", "layer")) -> DataFrame:
+    """A TSV without header."""
+    return spark.read.csv(path, sep="\t", schema=", ".join(f"{n} string" for n in names))
+
+
+def annotated(cells: DataFrame, annotations: DataFrame, key: str = "barcode", fill: str = "other") -> DataFrame:
+    """cells with their annotations; those without any get the fill."""
+    extra = [c for c in annotations.columns if c != key]
+    return cells.join(annotations, key, "left").fillna(fill, extra)
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, value) of a coordinate MatrixMarket file, counted from 0."""
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where("value not like '\\%%' and trim(value) <> ''")
+    size = lines.agg(F.min("n").alias("first"))
+    part = F.split(F.trim("value"), r"\s+")
+    rows = lines.join(F.broadcast(size)).where("n > first")
+    value = F.when(F.size(part) > 2, F.try_element_at(part, F.lit(3)).cast("double")).otherwise(1.0)
+    return rows.select((part[0].cast("long") - 1).alias("row"), (part[1].cast("long") - 1).alias("col"), value.alias("value"))
+
+
+def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """gene_name, upper-cased, from a one-column CSV with header."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.upper(F.col(f"`{df.columns[-1]}`")).alias("gene_name"))
+
+
+def split_wide(df: DataFrame, n_features: int, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A wide table whose first n_features columns, next to the id, are values: (cells, genes, expr)."""
+    names = [c for c in df.columns if c != id_column][:n_features]
+    rest = [c for c in df.columns if c not in names]
+    genes = df.sparkSession.createDataFrame(list(enumerate(names)), "gene_id int, gene_name string")
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in range(len(names))]).alias("gene_id"), F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("value")))
+    expr = df.select(F.col(id_column).alias("cell_id"), pairs.alias("p")).select("cell_id", F.col("p.gene_id").alias("gene_id"), F.col("p.value").alias("value"))
+    return df.select(*[F.col(f"`{c}`") for c in rest]), genes, expr
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
+    """Writes a table as parquet, csv (with header) or json."""
+    writer = df.write.mode(mode)
+    {"parquet": writer.parquet, "csv": lambda p: writer.csv(p, header=True), "json": writer.json}[kind](path)

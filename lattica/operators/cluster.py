@@ -289,7 +289,7 @@ def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, roun
 
 def find_resolution(cells: DataFrame, edges: DataFrame, n_labels: int, start: float = 0.6, step: float = 0.05, max_iter: int = 25, seed: int = 1234) -> tuple[float, DataFrame]:
     """Walks the resolution by a fixed step until the number of labels matches, or max_iter tries are over; counted in whole steps."""
-    at = 0
+    at, edges = 0, undirected(edges).persist()
     for _ in range(max_iter):
         resolution = start + at * step
         labels = leiden(cells, edges, resolution, seed=seed).persist()

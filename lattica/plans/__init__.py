@@ -22,7 +22,7 @@ class Spatial:
 
 def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1) -> Spatial:
     """Weights of each order from one neighbour search of the largest order's size."""
-    widest = graph.knn_graph(cells, k * (max_m + 1))
+    widest = graph.knn_graph(cells, k * (max_m + 1)).persist()  # each order reads it
     out = {}
     for m in range(max_m + 1):
         edges = widest.where(F.col("rk") <= k * (m + 1))

@@ -6,18 +6,24 @@ cutting words and fingerprinting them costs a few vector passes and no Python lo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: Bytes of text handled at once; a longer text forms a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +51,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, PIECE_BYTES + 1)
+            size = max(2 * n, PIECE_BYTES) + 1
             for name, base in (("up", self.m), ("down", self.i)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -158,12 +164,11 @@ def sorted_sets(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.n
     return v, np.searchsorted(r, np.arange(n_rows + 1))
 
 
-def pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
-
-
-def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import binary_rows, mix, shingles, sorted_sets, word_pieces
+from ._bytes import binary_rows, mix, shingles, sorted_sets, trim, word_pieces
 from ._cluster import components, free_shuffles, parts, saved
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, place, totals
 
@@ -81,6 +81,7 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         values, _, _ = _block_sets(left, right, size) if left.num_rows and right.num_rows else (np.zeros(0, np.uint64), None, None)
         at, n = np.unique(place(values, buckets, True), return_counts=True)
+        trim()
         block = (left if left.num_rows else right).column("block")[0].as_py()
         return pa.Table.from_batches([entry_rows(block, at, np.minimum(n, 255).astype(np.uint8), buckets, True)])
 
@@ -110,6 +111,7 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
         new_row = np.cumsum(live)[rows[inside]] - 1
         spread = np.bincount(new_row * RANGES + part, minlength=len(ids) * RANGES).astype(np.int32)
         sets = np.concatenate(([0], np.cumsum(n[ids])))
+        trim()
         return pa.table(
             {
                 "fp": pa.array(fps[ids]),
@@ -209,7 +211,9 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
 
     Rows without doc_id cannot be named and are kept. See jaccard_components().
     """
-    comp = jaccard_components(docs.select("doc_id", "text"), size, percent)
-    keep = comp.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    comp = saved(jaccard_components(docs.select("doc_id", "text"), size, percent))
+    named = docs.where("doc_id is not null").join(comp.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    many = saved(comp.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not many.isEmpty():  # only rows that share a doc_id are compared whole
+        named = named.join(many, "doc_id", "left_anti").unionByName(named.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return named.unionByName(docs.where("doc_id is null"))

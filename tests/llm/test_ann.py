@@ -16,7 +16,7 @@ def test_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "VECTOR_BLOCK", 200)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(900, 64)).astype(np.float32).astype(float) + 0.3
+    x = (rng.normal(size=(900, 64)) + 0.3).astype(np.float32).astype(float)
     x[700:720] = x[5]  # ties
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("dims", F.lit("clash")).withColumn("vb", F.lit(1))
     got = {}

@@ -526,6 +526,116 @@ def gram_matrix(spark, d):
     return rounded(e.join(b, "cell_id").groupBy(F.col("gene_id").alias("i"), "j").agg(F.sum(F.col("value") * F.col("v")).alias("g")), "g")
 
 
+# --- lookups, samples and views of results
+
+
+@query("select c_custkey::bigint as cell_id, c_mktsegment as sample from customer where c_mktsegment is not null and c_mktsegment <> 'BUILDING'")
+def category_filter(spark, d):
+    return qc.category_filter(cells_b(spark, d), "sample", "BUILDING").select("cell_id", "sample")
+
+
+@query("select c_custkey::bigint as cell_id, case c_mktsegment when 'BUILDING' then 'b' when 'MACHINERY' then 'm' else 'other' end as sample from customer")
+def map_categories(spark, d):
+    return qc.mapped(cells_b(spark, d).select("cell_id", "sample"), "sample", {"BUILDING": "b", "MACHINERY": "m"}, "other")
+
+
+@query(f"with {B} select gene_id, upper(gene_name) as gene_name from genes where upper(gene_name) in ('BRAND#12', 'BRAND#55')")
+def listed_genes(spark, d):
+    names = spark.createDataFrame([("brand#12",), ("Brand#55",), ("none",)], "gene_name string")
+    return qc.listed_genes(genes_b(spark, d).select("gene_id", "gene_name"), names).select("gene_id", "gene_name")
+
+
+@query(f"with {B} select cell_id || '-' || s as cell_id, x, s as sample, case when s = 'q' then y end as y from cells, (values ('p'), ('q')) v(s)")
+def concat_samples(spark, d):
+    c = cells_b(spark, d).drop("sample")
+    return qc.concatenated_samples({"p": c.drop("y"), "q": c})
+
+
+@query(f"with {knn(6)}, w as (select src, dst, 1 / (1 + dist) as w from knn) select src, dst, {r('a.x', 'x0')}, {r('a.y', 'y0')}, {r('b.x', 'x1')}, {r('b.y', 'y1')}, {r('w / (select max(w) from w)', 'rel_w')} from w join cells a on a.cell_id = src join cells b on b.cell_id = dst")
+def edge_segments(spark, d):
+    c = cells_a(spark, d)
+    e = graph.knn_graph(c, 6).withColumn("w", 1 / (1 + F.col("dist")))
+    return rounded(graph.edge_segments(e, c), "x0", "y0", "x1", "y1", "rel_w")
+
+
+for _diagonal, _expr in (("zero", "case when a = b then 0 else v end"), ("scale", "v / max(case when a = b then v end) over (partition by a)")):
+
+    @query(f"with {_CONN}, q as (select a, b, s / (x.n * y.n) as v from c join n x on x.label = a join n y on y.label = b) select a, b, round({_expr}, 6) + 0.0 as v from q", f"connections_{_diagonal}")
+    def _connections(spark, d, diagonal=_diagonal):
+        return rounded(lab.connections(labels_a(spark, d), graph.spatial_weights(cells_a(spark, d), 0, 15), diagonal=diagonal), "v")
+
+
+@query(f"with {knn(6)}, cut as (select quantile_cont(dist, 0.9) as c from knn), near as (select src, dst from knn, cut where dist < c), {_vote('lab', 'one').replace('from knn union', 'from near union')} select cell_id, label from one")
+def refine_percentile(spark, d):
+    return lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), 6, percentile=0.9)[0]
+
+
+@query(f"""with {weights(15)}, nb as (select src as cell_id, gene_id, sum(w * value) as value from w join expr on dst = cell_id group by 1, 2)
+select e.cell_id, e.gene_id::int as gene_id, {r('e.value * sqrt(0.8)', 'own')}, {r('nb.value * sqrt(0.2)', 'nbr')} from expr e join nb using (cell_id, gene_id)""")
+def self_vs_neighbour(spark, d):
+    e = expr_a(spark, d)
+    nbr = augment.neighbour_mean(graph.spatial_weights(cells_a(spark, d), 0, 15), e)
+    both = e.withColumn("k", F.lit(-1)).unionByName(nbr.withColumn("k", F.lit(0)))
+    return rounded(stats.self_vs_neighbour(both, 0.2), "own", "nbr")
+
+
+@query("select vec_id as cell_id, round(embedding[3]::double + embedding[4]::double, 6) + 0.0 as value from embeddings")
+def composition(spark, d):
+    wide = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding")[2].cast("double").alias("p"), F.col("embedding")[3].cast("double").alias("q"))
+    return rounded(stats.composition(wide, ["p", "q"]).select("cell_id", "value"), "value")
+
+
+_RANKED = f"""with {A}, k as (select e.*, l.label, rank() over (partition by gene_id order by value) + (count(*) over (partition by gene_id, value) - 1) / 2.0 as rk from expr e join lab l using (cell_id)), n as (select label, count(*)::double as n1 from lab group by 1), t as (select count(*)::double as n from lab),
+z as (select label, gene_id, (sum(rk) - any_value(n1) * (any_value(n) + 1) / 2) / sqrt(any_value(n1) * (any_value(n) - any_value(n1)) * (any_value(n) + 1) / 12) as u_z from k join n using (label), t group by label, gene_id)"""
+
+
+@query(f"{_RANKED} select label, gene_id::int as gene_id, row_number() over (partition by label order by u_z desc, gene_id) as rank from z qualify rank <= 3")
+def top_genes(spark, d):
+    return stats.top_genes(stats.wilcoxon(labels_a(spark, d), expr_a(spark, d)), 3).select("label", "gene_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""with {A}, t as (select (vec_id % 2)::varchar as sample, a.label as a, b.label as b, count(*) as n from embeddings join lab a on a.cell_id = vec_id join lab2 b on b.cell_id = vec_id group by 1, 2, 3),
+s as (select sample, sum(n * (n - 1) / 2) as s, sum(n) as n from t group by 1), ra as (select sample, sum(n * (n - 1) / 2) as ra from (select sample, sum(n) as n from t group by sample, a) group by 1), rb as (select sample, sum(n * (n - 1) / 2) as rb from (select sample, sum(n) as n from t group by sample, b) group by 1)
+select sample, {r('(s - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2))', 'ari')} from s join ra using (sample) join rb using (sample)""")
+def ari_by_sample(spark, d):
+    samples = cells_a(spark, d).select("cell_id", (F.col("cell_id") % 2).cast("string").alias("sample"))
+    return rounded(stats.per_sample_ari(labels_a(spark, d), labels_a(spark, d, True), samples), "ari")
+
+
+@query(f"with {B} select cell_id, g.gene_id, coalesce(value, 0.0) as value from cells cross join genes g left join expr using (cell_id, gene_id)")
+def dense_matrix(spark, d):
+    return augment.dense(cells_b(spark, d), genes_b(spark, d), expr_b(spark, d))
+
+
+@query()
+def variance_balanced(spark, d):
+    return plans.augmented(cells_a(spark, d), expr_a(spark, d), 0.2, variance_balance=True)
+
+
+@query()
+def ami(spark, d):
+    return spark.createDataFrame([(lab.ami(labels_a(spark, d), labels_a(spark, d, True)),)], "ami double")
+
+
+@query()
+def match_series(spark, d):
+    out = lab.matched_series([labels_a(spark, d), labels_a(spark, d, True)])
+    return out[0].withColumn("table", F.lit(0)).unionByName(out[1].withColumn("table", F.lit(1)))
+
+
+@query()
+def propagated_labels(spark, d):
+    c = cells_a(spark, d)
+    g = cluster.undirected(graph.knn_graph(c, 15).withColumn("w", 1 / (1 + F.col("dist"))))
+    return cluster.propagated_labels(c, g, 0.7, rounds=4)
+
+
+@query()
+def remaining_variance(spark, d):
+    ratio = red.fit_pca(_matrix(spark, d), 24)[2]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(red.remaining_variance(ratio))], "component int, left double")
+
+
 # --- reduction and clustering: iterative, checked by tests instead of SQL
 
 

@@ -34,8 +34,8 @@ _HINTS = {"email": "@", "phone": "+"}
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 _TERM = r"\p{L}{3,}"
 MIN_CONTEXTS, DISCLOSURE, CONTEXT_CHARS = 3, 0.9, 200
-#: Up to so many terms go to all executors; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Up to so many terms, and keys of documents that hold them, go to all executors; more are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_KEYS = 100_000, 1_000_000
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
@@ -127,27 +127,40 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int, disclo
     pairs = saved(pairs)
     if pairs.isEmpty():
         return None
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    stands = saved(_keyed(docs).select("rid", F.explode(words).alias("term")).join(terms, "term", "left_semi"))
+    seen = _holding(docs, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("with_term"))  # added up task by task
     total = base.count()
-    seen = stands.groupBy("term").agg(F.count("*").alias("with_term"))
     having = near.groupBy("entity").agg(F.count_distinct("rid").alias("with_entity"))
     pmi = F.log2(F.col("together") * float(total) / (F.col("with_term") * F.col("with_entity").cast("double")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
     told = pairs.join(seen, "term").join(having, "entity").withColumn("disclosure", F.when(own > 0, pmi / own).otherwise(0.0)).where(F.col("disclosure") >= disclosure)
     told = saved(told.select("term", "entity", "disclosure"))
-    return told, stands.join(told.select("term").distinct(), "term", "left_semi").groupBy("rid").agg(F.collect_set("term").alias("terms"))
+    # where they stand is asked of disclosing terms only: common words are counted, but never listed
+    return told, saved(_holding(docs, told.select("term").distinct()).groupBy("rid").agg(F.collect_set("term").alias("terms")))
+
+
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, rid): the documents that hold any of the terms."""
+    terms = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    return _keyed(docs).select("rid", F.explode(words).alias("term")).join(terms, "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, stands: DataFrame) -> DataFrame:
     """(rid, more): spans of the given terms in the documents that hold them."""
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))
-    there = _keyed(docs).join(stands, "rid").dropDuplicates(["rid"])
+    there = _keyed(docs)
+    if (keys := _few_keys(stands)) is not None:
+        there = there.join(keys, "rid", "left_semi")  # so that only these texts are shuffled
+    there = there.join(stands, "rid").dropDuplicates(["rid"])
     return there.select("rid", F.transform(_matches(F.col("text"), pattern, "term"), lambda s: s.dropFields("value")).alias("more"))
 
 
+def _few_keys(stands: DataFrame) -> DataFrame | None:
+    """The documents' keys for a broadcast, if they are few enough."""
+    keys = stands.select("rid")
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else None
+
+
 def personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """(doc_id, base, spans) of each row of docs(doc_id, text): spans of protected values, and with disclosing terms.
 
@@ -186,10 +199,15 @@ def sanitised(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: flo
     if told is None:
         out = docs.withColumn("__spans", spans)
     else:
-        text = F.coalesce("text", F.lit(""))
-        more = term_spans(docs, told[1]).withColumnsRenamed({"rid": "__rid", "more": "__more"})
-        joined = docs.withColumn("__rid", F.xxhash64("doc_id", text)).join(more, "__rid", "left")
-        out = joined.withColumn("__spans", F.concat(spans, F.coalesce("__more", F.array().cast("array<struct<kind:string,start:int,stop:int>>"))))
+        keyed = docs.withColumn("__rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+        more = term_spans(docs, told[1]).select(F.col("rid").alias("__rid"), F.col("more").alias("__terms"))
+        none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+        if (keys := _few_keys(told[1])) is not None:  # the other texts stay where they are
+            keys = keys.withColumnRenamed("rid", "__rid")
+            joined = keyed.join(keys, "__rid", "left_semi").join(more, "__rid", "left").unionByName(keyed.join(keys, "__rid", "left_anti").withColumn("__terms", none))
+        else:
+            joined = keyed.join(more, "__rid", "left")
+        out = joined.withColumn("__spans", F.concat(spans, F.coalesce("__terms", none)))
     out = out.withColumn("text", F.when(F.size("__spans") > 0, _cleaned(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

@@ -46,6 +46,23 @@ def bucket_of(at: np.ndarray, buckets: int, narrow: bool) -> np.ndarray:
     return (at >> np.uint64(32) if narrow else ((at >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte: first all their lowest bytes, last the highest, which are zeros
+    that the shuffle's compression takes away."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, keys.itemsize).T.tobytes()
+
+
+def unpacked(blobs: list[bytes], kind: type) -> np.ndarray:
+    """The keys of packed() blobs, one blob after the other."""
+    size = np.dtype(kind).itemsize
+    out = [np.zeros(0, kind)]
+    for b in blobs:
+        steps = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+        out.append(np.cumsum(steps, dtype=kind))
+    return np.concatenate(out)
+
+
 def entry_rows(block: int, at: np.ndarray, counts: np.ndarray, buckets: int, narrow: bool) -> pa.RecordBatch:
     """at: distinct places in ascending order."""
     b = bucket_of(at, buckets, narrow)
@@ -57,7 +74,7 @@ def entry_rows(block: int, at: np.ndarray, counts: np.ndarray, buckets: int, nar
         [
             pa.array(np.full(len(firsts), block, np.int32)),
             pa.array(b[firsts].astype(np.int32)) if len(firsts) else pa.array([], pa.int32()),
-            pa.array([keys[i:j].tobytes() for i, j in zip(firsts, lasts)], pa.binary()),
+            pa.array([packed(keys[i:j]) for i, j in zip(firsts, lasts)], pa.binary()),
             pa.array([counts[i:j].tobytes() for i, j in zip(firsts, lasts)], pa.binary()),
         ],
         names=["block", "bucket", "keys", "counts"],
@@ -73,7 +90,7 @@ def totals(entries: DataFrame, narrow: bool, kind: str, cap: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         blobs = table.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(blobs), key)
+        keys = unpacked(blobs, key)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
         _, inverse = distinct(keys)
         total = np.minimum(np.bincount(inverse, weights=counts), cap).astype(kind)[inverse]

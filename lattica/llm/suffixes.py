@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import pieces, prefix_hash, span_hash, string_buffers
 from ._cluster import parts, text_bytes
-from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, TOTAL, dealt, distinct, entry_rows, joined, place, totals
+from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, TOTAL, dealt, distinct, entry_rows, joined, place, totals, unpacked
 
 #: Perfect difference sets (each difference mod v occurs once).
 COVERS = {
@@ -184,7 +184,7 @@ def _widest(entries: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint32)
+        keys = unpacked(blobs, np.uint32)
         asks = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, 2)
         order = np.argsort(keys, kind="stable")
         firsts = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))

@@ -1,7 +1,7 @@
 """A small causal self-attention model in numpy, over classes of subword ids.
 
 Inputs are subword ids in rank order of their corpus counts; the last rank holds all that are rarer. One attention layer
-gives the logits of the next id's class, added to a table of the last id (a skip connection
+with a feed-forward layer gives the logits of the next id's class, added to a table of the last id (a skip connection
 that corpus counts fill in). The most frequent ids are classes of their own; the others share classes by
 whether they begin a word and by frequency, and within its class an id has its share of the corpus counts.
 """
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH = 16
+WIDTH, HIDDEN = 16, 16
 #: A window holds CONTEXT ids that only give context and FRESH ids that are scored.
 CONTEXT, FRESH = 8, 24
 RANKS, SINGLES, CLASSES = 2048, 64, 96
@@ -60,7 +60,7 @@ def skip_table(cells: np.ndarray, prior: np.ndarray, weight: float = 50.0) -> np
     return np.log(p).astype(np.float32)
 
 
-SHAPES = {"E": (RANKS, WIDTH), "P": (CONTEXT + FRESH, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "A": (WIDTH, WIDTH), "O": (WIDTH, CLASSES)}
+SHAPES = {"E": (RANKS, WIDTH), "P": (CONTEXT + FRESH, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "A": (WIDTH, WIDTH), "F": (WIDTH, HIDDEN), "G": (HIDDEN, WIDTH), "O": (WIDTH, CLASSES)}
 
 
 def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
@@ -87,6 +87,11 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CAUSE = np.where(np.arange(CONTEXT + FRESH)[None, :] <= np.arange(CONTEXT, CONTEXT + FRESH)[:, None], 0, -1e9).astype(np.float32)
 
 
+def _small(x: np.ndarray) -> bool:
+    """Whether exponentials of x, and sums of them, stay in range without a shift."""
+    return bool(not x.size or (x.max() < 60 and x.min() > -60))
+
+
 def forward(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, at: np.ndarray, keep: bool = False):
     """Log probabilities of the classes after each fresh input, windows by FRESH by classes (flattened)."""
     there = at >= 0
@@ -95,18 +100,25 @@ def forward(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, at: n
     k, v = x @ w["K"], x @ w["V"]
     xq = x[:, CONTEXT:]
     q = xq @ w["Q"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5) + _CAUSE
-    s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+    s = np.matmul(q * np.float32(WIDTH**-0.5), k.transpose(0, 2, 1))
+    far = not _small(s)
+    s += _CAUSE
+    if not there.all():
+        s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
+    if far:
+        s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(axis=2, keepdims=True)
     c = np.matmul(s, v)
-    z = (xq + c @ w["A"]).reshape(-1, WIDTH)
+    h = xq + c @ w["A"]
+    f = np.maximum(h @ w["F"], 0)
+    z = (h + f @ w["G"]).reshape(-1, WIDTH)
     logits = z @ w["O"]
     logits += skip[r[:, CONTEXT:].reshape(-1)]
-    logits -= logits.max(axis=1, keepdims=True)
+    if not _small(logits):
+        logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return (logits, (r, x, q, k, v, s, c, z)) if keep else logits
+    return (logits, (r, x, q, k, v, s, c, h, f, z)) if keep else logits
 
 
 def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds: np.ndarray, target: np.ndarray, starts: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +153,8 @@ def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds
         c = np.matmul(s, v).reshape(-1, WIDTH + 1)
         z = c[:, :WIDTH] / c[:, WIDTH:]
         z += xq[..., :WIDTH].reshape(-1, WIDTH)
+        f = z @ w["F"]
+        z += np.maximum(f, 0, out=f) @ w["G"]
         fresh = part[:, CONTEXT:].reshape(-1)
         real = np.flatnonzero(fresh >= 0)
         to = fresh[real]
@@ -159,18 +173,22 @@ def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds
 
 def gradients(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over fresh inputs, and its gradients. target: class after each input."""
-    logp, (r, x, q, k, v, s, c, z) = forward(w, skip, ranks, at, keep=True)
+    logp, (r, x, q, k, v, s, c, h, f, z) = forward(w, skip, ranks, at, keep=True)
     fresh = at[:, CONTEXT:].reshape(-1)
     real = fresh >= 0
     t = target[np.maximum(fresh, 0)]
     n = max(int(real.sum()), 1)
     loss = -float(logp[np.flatnonzero(real), t[real]].sum()) / n
-    d = np.exp(logp)
+    d = np.exp(logp, out=logp)
     d[np.arange(len(t)), t] -= 1
     d *= (real / np.float32(n)).astype(np.float32)[:, None]
     g = {"O": z.T @ d}
+    dz = (d @ w["O"].T).reshape(h.shape)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    dh = (d @ w["O"].T).reshape(c.shape)
+    g["G"] = flat(f).T @ flat(dz)
+    df = (dz @ w["G"].T) * (f > 0)
+    g["F"] = flat(h).T @ flat(df)
+    dh = dz + df @ w["F"].T
     g["A"] = flat(c).T @ flat(dh)
     dc = dh @ w["A"].T
     ds = np.matmul(dc, v.transpose(0, 2, 1))
@@ -183,12 +201,15 @@ def gradients(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, at:
     dx[:, CONTEXT:] += dh + dq @ w["Q"].T
     dx[at < 0] = 0
     g["P"] = dx.sum(axis=0)
+    order = np.argsort(r.astype(np.uint16), axis=None, kind="stable")
+    at_rank = r.reshape(-1)[order]
+    first = np.flatnonzero(np.diff(at_rank, prepend=-1))
     g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], r.reshape(-1), flat(dx))
+    g["E"][at_rank[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
     return loss, g
 
 
-def train(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds: np.ndarray, target: np.ndarray, steps: int = 100, passes: int = 8, batch: int = 128, rate: float = 3e-3) -> dict[str, np.ndarray]:
+def train(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds: np.ndarray, target: np.ndarray, steps: int = 200, passes: int = 8, batch: int = 128, rate: float = 3e-3) -> dict[str, np.ndarray]:
     """Adam over all windows once, and again, up to `passes` times, while there are fewer than `steps` steps."""
     w = {k: x.copy() for k, x in w.items()}
     m = {k: np.zeros_like(x) for k, x in w.items()}

@@ -1,9 +1,9 @@
 """Language-model scores of texts: a causal self-attention model over subword ids, with corpus word counts.
 
 A text is its words, lower-cased in A-Z, and one end. Its subword ids come from a public vocabulary; every word begins an id.
-The model (see attention) is learnt from the training texts: class shares of ids from all of them; the table of the last
-id, and the attention weights, from stretches at fixed distances in every text, so that they grow with the corpus. Weights are trained on
-each partition's stretches from the same start, and averaged by their number.
+The model (see attention) is learnt from the whole of every training text: class shares of ids, and the attention weights; the table of the last id from stretches.
+Texts are coded once, and their ids kept. Weights are trained in one pass over each partition's ids from the same start, and
+averaged by their number.
 
 From the attention model's classes of the next id, a word is spelt out in ids (and has to end after them), or, where the
 training texts know it, drawn as a whole: by the class of its first id, and its share of the words that begin with ids of that class. Both are
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from ._bytes import Words, string_buffers, trim, word_pieces
-from ._cluster import parts, text_bytes
+from ._cluster import parts, saved, text_bytes
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, totals, unpacked
 
-#: Bytes between the begins of training stretches, and their length.
+#: Bytes between the begins of the stretches that fill in the table of the last id, and their length.
 STRIDE, STRETCH = 8192, 144
+#: Ids that are trained together; a partition of any size is trained in turns of bounded memory.
+TURN = 1_000_000
 #: New words for each training word that occurs once: over 1, as copies of documents hide words that occur once otherwise.
 NEW_PER_ONCE = 1.5
 #: Least and largest part of words spelt out in the mixture.
@@ -122,47 +124,82 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
 
 
-def _texts(column: pa.Array):
-    buf, offsets = string_buffers(column)
-    data = buf.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        yield data[a:b]
+def spelt_out(spelt: np.ndarray, each: np.ndarray, index: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece whose words are index in coded()'s: its texts' ids, each text closed by an end; the texts' bounds in them;
+    where each word begins, and the text of each."""
+    begin = np.cumsum(each) - each
+    many, text = each[index], words.rows()
+    ids = spelt[np.arange(many.sum()) + np.repeat(begin[index] - np.cumsum(many) + many, many)]
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(text, many, minlength=len(words.counts)).astype(np.int64) + 1)))
+    out = np.full(cuts[-1], net.END)
+    out[np.arange(len(ids)) + np.repeat(text, many)] = ids
+    return out, cuts, np.cumsum(many) - many + text, text
+
+
+def before(ids: np.ndarray) -> np.ndarray:
+    """The input that stands before each of texts' closed ids: the id before it, or an end before a text's first."""
+    return np.concatenate((np.full(min(len(ids), 1), net.END), ids[:-1]))
 
 
-def id_counts(docs: DataFrame, ranks: bytes) -> tuple[np.ndarray, int]:
-    """Counts of each subword id over docs(text), ends included, and the number of texts. At most as many rows as ids come back."""
+def coded_texts(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """(ids) of docs(text), kept: rows of 16-bit ids, each of whole texts closed by ends."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         coder = _coder(shared.value)
-        count, texts = np.zeros(net.END + 1, np.int64), 0
         held, size = [], 0
 
         def add():
-            ids, many, index = coded(held, coder)
-            times = np.repeat(np.bincount(index, minlength=len(many)), many)
-            count[:] += np.bincount(ids, times, minlength=len(count)).astype(np.int64)
+            spelt, each, index = coded(held, coder)
+            out, done = [], 0
+            for words, h in held:
+                out.append(spelt_out(spelt, each, index[done : done + len(h)], words)[0].astype("<u2").tobytes())
+                done += len(h)
             held.clear()
             trim()
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
         for batch in batches:
-            for a, b, words in word_pieces(batch.column(0)):
+            for _, _, words in word_pieces(batch.column(0)):
                 held.append((words, words.hashes()))
-                texts, size = texts + b - a, size + len(words.buf)
+                size += len(words.buf)
                 if size > BLOCK_BYTES:
-                    add()
+                    yield add()
                     size = 0
-        add()
-        count[net.END] += texts
+        yield add()
+
+    return saved(docs.select("text").mapInArrow(run, "ids binary"))
+
+
+def _ids(batch: pa.RecordBatch):
+    for x in batch.column(0):
+        yield np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
+
+
+def id_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of each subword id over coded_texts(), ends included, and the number of texts. At most as many rows as ids come back."""
+
+    def run(batches):
+        count = np.zeros(net.END + 1, np.int64)
+        for batch in batches:
+            for ids in _ids(batch):
+                count += np.bincount(ids, minlength=len(count))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(net.END + 1)
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return out, int(out[net.END])
 
 
+def _texts(column: pa.Array):
+    buf, offsets = string_buffers(column)
+    data = buf.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield data[a:b]
+
+
 def _stretches(column: pa.Array, coder: Subwords) -> list[np.ndarray]:
     """Id sequences of the training stretches of texts; a stretch inside a text begins with its first whole word."""
     out = []
@@ -186,7 +223,8 @@ def _flat(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray, dict[str, np.ndarray], int]:
     """The model of training texts: classes, table of the last id, attention weights; and the number of texts."""
     sc = train.sparkSession.sparkContext
-    counts, texts = id_counts(train, ranks)
+    whole = coded_texts(train, ranks)
+    counts, texts = id_counts(whole)
     vocabulary = net.Vocabulary.of(counts, _coder(ranks).begins)
     prior = np.bincount(vocabulary.group, counts + 0.01, minlength=net.CLASSES) + 0.01
     shared = sc.broadcast((ranks, vocabulary))
@@ -204,28 +242,30 @@ def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray,
     cells = np.zeros(net.RANKS * net.CLASSES)
     cells[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     skip = net.skip_table(cells.reshape(net.RANKS, net.CLASSES), prior / prior.sum())
-    model = sc.broadcast((ranks, vocabulary, skip))
+    model = sc.broadcast((vocabulary, skip))
 
     def learn(batches):
-        ranks, v, skip = model.value
+        v, skip = model.value
         weights, size, held = net.fresh_weights(), 0, []
+        total, seen = np.zeros(net.packed(weights).shape), 0
 
-        def step():
-            now, then, bounds = _flat(held)
-            out = net.train(weights, skip, v.rank[now], bounds, v.group[then])
-            return out, len(now)
+        def turn():
+            nonlocal weights, total, seen, size
+            then = np.concatenate(held)
+            bounds = np.concatenate(([0], np.flatnonzero(then == net.END) + 1))
+            # only what a whole partition has too few steps for is gone over again
+            weights = net.train(weights, skip, v.rank[before(then)], bounds, v.group[then], **({"passes": 1} if seen else {}))
+            total, seen, size = total + len(then) * net.packed(weights), seen + len(then), 0
+            held.clear()
 
-        total, seen = np.zeros(net.packed(weights).shape), 0
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                held += _stretches(batch.column(0)[a : a + 512], _coder(ranks))
-                size = sum(map(len, held))
-                if size > 1_000_000:  # a partition of any size is trained in turns of bounded memory
-                    weights, n = step()
-                    total, seen, held = total + n * net.packed(weights), seen + n, []
-        if held:
-            weights, n = step()
-            total, seen = total + n * net.packed(weights), seen + n
+            for ids in _ids(batch):
+                held.append(ids)
+                size += len(ids)
+                if size > TURN:
+                    turn()
+        if size:
+            turn()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([seen]), pa.array([(total / seen).astype(np.float32).tolist()], pa.list_(pa.float32()))], names=["turn", "n", "w"])
 
@@ -240,7 +280,7 @@ def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray,
         total, seen = mean(None, table.to_batches())
         return pa.table({"n": pa.array([seen]), "w": pa.array([(total / seen).astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
-    learnt = train.select("text").mapInArrow(learn, "turn long, n long, w array<float>")
+    learnt = whole.mapInArrow(learn, "turn long, n long, w array<float>")
     some = learnt.withColumn("part", F.spark_partition_id().bitwiseAND(F.lit(63))).groupBy("part").applyInArrow(averaged, "n long, w array<float>")
     got = some.toArrow()
     if not got.num_rows:
@@ -308,7 +348,6 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
         cut = [(a, b, w, w.hashes()) for a, b, w in word_pieces(left.column("text"), PIECE)]
         count = back[distinct(np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in cut)]))[1]]
         spelt, each, index = coded([(w, h) for _, _, w, h in cut], coder)
-        begin = np.cumsum(each) - each
         per = np.concatenate([np.zeros(0, np.int64), *(w.counts for _, _, w, _ in cut)])
         row = np.repeat(np.arange(len(per)), per)
         scale = np.log10(n_all + 0.5 * (n_kinds + 1))
@@ -316,18 +355,9 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
         known = np.bincount(row, count > 0, minlength=len(per)).astype(np.int64) + (texts > 0)
         score, done = np.zeros(len(per)), 0
         for a, b, words, h in cut:
-            mine = index[done : done + len(h)]
-            many = each[mine]
-            ids = spelt[np.arange(many.sum()) + np.repeat(begin[mine] - np.cumsum(many) + many, many)]
-            text = words.rows()
             # what follows each input: the texts' ids, each text closed by an end
-            first = np.cumsum(many) - many + text  # where each word begins
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(text, many, minlength=b - a).astype(np.int64) + 1)))
-            then = np.full(cuts[-1], net.END)
-            then[np.arange(len(ids)) + np.repeat(text, many)] = ids
-            now = np.empty_like(then)
-            now[1:] = then[:-1]
-            now[cuts[:-1]] = net.END
+            then, cuts, first, text = spelt_out(spelt, each, index[done : done + len(h)], words)
+            now = before(then)
             logp, ends = net.scores(weights, skip, v.rank[now], cuts, v.group[then], v.starts)
             p = logp.astype(np.float64) + v.share[then]
             # the words and ends of texts in order, and how often each was learnt

@@ -103,3 +103,13 @@ def test_mixture_is_a_distribution(ranks):
     at, _ = net.windows(np.array([0, 1]))
     p = np.exp(net.forward(w, skip, np.array([v.rank[net.END]]), at)[0])
     assert (p[v.group] * np.exp(v.share)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_all_of_a_text_is_learnt(spark, ranks):
+    """Texts that begin alike and hold the same words and pairs of words, in another order after their first 200 bytes."""
+    head, n = "the start of it " * 15, 60
+    one, two = head + "on in on th " * n, head + "on in " * n + "on th " * n
+    fit = lambda text: lm.fitted(spark.createDataFrame([(text,)] * 4, "text string").repartition(1), ranks)
+    (_, skip, weights, texts), (_, same, others, _) = fit(one), fit(two)
+    assert texts == 4 and np.array_equal(skip, same)
+    assert not np.allclose(net.packed(weights), net.packed(others))

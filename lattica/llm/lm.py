@@ -1,7 +1,7 @@
 """Language-model scores of texts: a causal self-attention model over subword ids, with corpus word counts.
 
 A text is its words, lower-cased in A-Z, and one end. Its subword ids come from a public vocabulary; every word begins an id.
-The model (see attention) is learnt from the whole of every training text: class shares of ids, and the attention weights; the table of the last id from stretches.
+The model (see attention) is learnt from the whole of every training text: class shares of ids, the table of the last id, and the attention weights.
 Texts are coded once, and their ids kept. Weights are trained in one pass over each partition's ids from the same start, and
 averaged by their number.
 
@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as net
-from ._bytes import Words, string_buffers, trim, word_pieces
+from ._bytes import Words, trim, word_pieces
 from ._cluster import parts, saved, text_bytes
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, totals, unpacked
 
-#: Bytes between the begins of the stretches that fill in the table of the last id, and their length.
-STRIDE, STRETCH = 8192, 144
 #: Ids that are trained together; a partition of any size is trained in turns of bounded memory.
 TURN = 1_000_000
 #: New words for each training word that occurs once: over 1, as copies of documents hide words that occur once otherwise.
@@ -193,33 +191,6 @@ def id_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(out[net.END])
 
 
-def _texts(column: pa.Array):
-    buf, offsets = string_buffers(column)
-    data = buf.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        yield data[a:b]
-
-
-def _stretches(column: pa.Array, coder: Subwords) -> list[np.ndarray]:
-    """Id sequences of the training stretches of texts; a stretch inside a text begins with its first whole word."""
-    out = []
-    for text in _texts(column):
-        for a in range(0, max(len(text), 1), STRIDE):
-            words = words_of(text[a : a + STRETCH])
-            cut = a + STRETCH < len(text)
-            words = words[1 if a else 0 : -1 if cut and len(words) > 1 else None]
-            if words or not text:
-                out.append(np.concatenate(([net.END], coder.each(words)[0], [] if cut else [net.END])).astype(np.int64))
-    return [x for x in out if len(x) > 1]
-
-
-def _flat(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, what follows each, and the sequences' bounds."""
-    if not sequences:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-    return np.concatenate([s[:-1] for s in sequences]), np.concatenate([s[1:] for s in sequences]), np.concatenate(([0], np.cumsum([len(s) - 1 for s in sequences])))
-
-
 def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray, dict[str, np.ndarray], int]:
     """The model of training texts: classes, table of the last id, attention weights; and the number of texts."""
     sc = train.sparkSession.sparkContext
@@ -227,18 +198,18 @@ def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray,
     counts, texts = id_counts(whole)
     vocabulary = net.Vocabulary.of(counts, _coder(ranks).begins)
     prior = np.bincount(vocabulary.group, counts + 0.01, minlength=net.CLASSES) + 0.01
-    shared = sc.broadcast((ranks, vocabulary))
+    shared = sc.broadcast(vocabulary)
 
     def pairs(batches):
-        ranks, v = shared.value
+        v = shared.value
         cells = np.zeros(net.RANKS * net.CLASSES, np.int64)
         for batch in batches:
-            now, then, _ = _flat(_stretches(batch.column(0), _coder(ranks)))
-            cells += np.bincount(v.rank[now].astype(np.int64) * net.CLASSES + v.group[then], minlength=len(cells))
+            for then in _ids(batch):
+                cells += np.bincount(v.rank[before(then)].astype(np.int64) * net.CLASSES + v.group[then], minlength=len(cells))
         some = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], names=["cell", "n"])
 
-    rows = train.select("text").mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = whole.mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = np.zeros(net.RANKS * net.CLASSES)
     cells[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     skip = net.skip_table(cells.reshape(net.RANKS, net.CLASSES), prior / prior.sum())

@@ -113,3 +113,16 @@ def test_all_of_a_text_is_learnt(spark, ranks):
     (_, skip, weights, texts), (_, same, others, _) = fit(one), fit(two)
     assert texts == 4 and np.array_equal(skip, same)
     assert not np.allclose(net.packed(weights), net.packed(others))
+
+
+def test_table_of_the_last_id_counts_whole_texts(spark, ranks):
+    texts = ["the start of it " * 20 + f"on in {i} th " * 700 for i in range(3)] + ["", None]
+    v, skip, _, _ = lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string"), ranks)
+    coder, counts, cells = lm.Subwords(ranks), np.zeros(net.END + 1), np.zeros((net.RANKS, net.CLASSES))
+    for t in texts:
+        ids = [net.END, *coder.each(lm.words_of((t or "").encode()))[0], net.END]
+        for a, b in zip(ids[:-1], ids[1:]):
+            counts[b] += 1
+            cells[v.rank[a], v.group[b]] += 1
+    prior = np.bincount(v.group, counts + 0.01, minlength=net.CLASSES) + 0.01
+    assert np.allclose(skip, net.skip_table(cells, prior / prior.sum()), atol=1e-5)

@@ -1,9 +1,10 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds that no passage can lack.
 
-A seed mask (Ma, Tromp and Li, PatternHunter, 2002) compares only some positions of a window of words, so that a
-changed word doesn't hide a copied passage. The masked windows of the benchmark items are hashed; training texts are
-scanned with the same masks, and around each hit the passage is compared word by word on its diagonal, allowing
-substitutions. The benchmark is taken in slices of a bounded number of words; each slice goes to the executors
+A passage of m matching and x changed words holds at least m - (k - 1)(x + 1) windows of k words that match throughout, as
+its changes part the matches in x + 1 groups at most. The longest k for which that is one or more for every passage
+of the asked density, and that least number of windows, are the seed (3 words, 2 windows, for 12 matches at 75 per cent).
+The windows of the benchmark items are hashed; training texts are scanned for them, and each diagonal with windows
+enough is compared word by word, allowing substitutions. The benchmark is taken in slices of a bounded number of words; each slice goes to the executors
 and the texts are scanned once per slice, so neither side is ever shuffled and memory doesn't grow with either.
 """
 
@@ -16,16 +17,31 @@ from pyspark.sql import functions as F
 
 from ._bytes import _STEPS, mix, word_pieces
 
-#: Window positions that count. The last, short and solid, finds items too short for the others.
-MASKS = ("1110100110101111", "1101100011010111", "111010110011", "110110101011", "111111")
 SLICE_WORDS = 2_000_000
 MIN_WORDS, DENSITY = 12, 75
+#: Items of fewer words are left out.
+LEAST_ITEM = 6
+#: Shared windows, or words, that are compared at once.
+CHUNK = 2_000_000
+
+
+def seed_of(min_words: int, density: int) -> tuple[int, int]:
+    """(k, n): every passage of min_words matches or more at that density, and every whole item of LEAST_ITEM words or more,
+    holds at least n windows of k matching words; the largest such k."""
+    many = np.arange(max(min_words, 1), max(min_words, 1) + 10_000)
+    groups = many * (100 - density) // density + 1 if density > 0 else many
+    for k in range(LEAST_ITEM, 1, -1):
+        # from some length on, the number grows or falls for good
+        n = int((many - (k - 1) * groups).min())
+        if n > 0 and (k - 1) * (100 - density) < density:
+            return k, min(n, LEAST_ITEM - k + 1)
+    return 1, 1
 
 
 class Slice:
-    """A bounded part of the benchmark: its words' hashes and its masked windows, sorted by hash."""
+    """A bounded part of the benchmark: its words' hashes and its windows of k words, sorted by hash."""
 
-    def __init__(self, ids: np.ndarray, column: pa.Array):
+    def __init__(self, ids: np.ndarray, column: pa.Array, k: int):
         words, sizes = [], []
         for _, _, w in word_pieces(column):
             words.append(w.hashes())
@@ -34,26 +50,25 @@ class Slice:
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
-        self.windows = []
-        for mask in MASKS:
-            at = masked_at(self.item, len(mask))
-            h = masked(self.words, at, mask)
-            order = np.argsort(h, kind="stable")
-            self.windows.append((h[order], at[order], filter_of(h)))
+        self.k = k
+        at = windows_at(self.item, k)
+        at = at[np.diff(self.bounds)[self.item[at]] >= LEAST_ITEM]
+        h = windows(self.words, at, k)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.at, self.marks = h[order], at[order], filter_of(h)
 
 
-def masked_at(row: np.ndarray, span: int) -> np.ndarray:
+def windows_at(row: np.ndarray, span: int) -> np.ndarray:
     """Positions whose window of span words stays in its row."""
     n = len(row) - span + 1
     return np.flatnonzero(row[:n] == row[span - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def masked(words: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
+def windows(words: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            out += words[at + k] * _STEPS[k]
-    return mix(out + np.uint64(len(mask)))
+    for k in range(span):
+        out += words[at + k] * _STEPS[k]
+    return mix(out + np.uint64(span))
 
 
 _FILTER_BITS = 22
@@ -66,22 +81,51 @@ def filter_of(h: np.ndarray) -> np.ndarray:
     return marks
 
 
-def hits(words: np.ndarray, row: np.ndarray, part: Slice) -> np.ndarray:
-    """Distinct (row, item, shift) of shared masked windows; shift: text position less item position."""
-    found = []
-    for mask, (h, at, marks) in zip(MASKS, part.windows):
-        if not len(h):
-            continue
-        mine = masked_at(row, len(mask))
-        g = masked(words, mine, mask)
-        some = marks[(g & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]
-        mine, g = mine[some], g[some]
-        lo, hi = np.searchsorted(h, g, side="left"), np.searchsorted(h, g, side="right")
-        n = hi - lo
-        src = np.repeat(mine, n)
-        dst = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        found.append(np.stack((row[src], part.item[dst], src - dst), axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+def hits(words: np.ndarray, row: np.ndarray, part: Slice, least: int):
+    """Distinct (row, item, shift) with at least `least` shared windows, in turns of bounded size; shift: text position less item position.
+
+    A row that goes over the end of a turn gives those with a single window there.
+    """
+    if not len(part.hashes):
+        return
+    mine = windows_at(row, part.k)
+    g = windows(words, mine, part.k)
+    some = part.marks[(g & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]
+    mine, g = mine[some], g[some]
+    lo = np.searchsorted(part.hashes, g, side="left")
+    n = np.searchsorted(part.hashes, g, side="right") - lo
+    mine, lo, n = mine[n > 0], lo[n > 0], n[n > 0]
+    total = np.concatenate(([0], np.cumsum(n)))
+    a = 0
+    while a < len(mine):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK, side="right")) - 1)
+        src = np.repeat(mine[a:b], n[a:b])
+        dst = part.at[np.arange(total[a], total[b]) - np.repeat(total[a:b] - lo[a:b], n[a:b])]
+        key = np.stack((row[src], part.item[dst], src - dst))
+        order = np.lexsort(key[::-1])
+        key = key[:, order]
+        first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        found = key[:, first]
+        cut = [row[mine[i]] for i, j in ((a, a - 1), (b - 1, b)) if 0 <= j < len(mine) and row[mine[i]] == row[mine[j]]]
+        yield found[:, (np.diff(first, append=key.shape[1]) >= least) | np.isin(found[0], cut)]
+        a = b
+
+
+def long_enough(words: np.ndarray, bounds: np.ndarray, found: np.ndarray, part: Slice, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, shift, begin, end) of the diagonals with as many matches in all as a passage needs; begin and end in words."""
+    row, item, shift = found
+    i0, i1 = part.bounds[item], part.bounds[item + 1]
+    lo, hi = np.maximum(bounds[row], shift + i0), np.minimum(bounds[row + 1], shift + i1)
+    size = hi - lo
+    out, a, total = [], 0, np.concatenate(([0], np.cumsum(size)))
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK, side="right")) - 1)
+        at = np.arange(total[a], total[b]) - np.repeat(total[a:b] - lo[a:b], size[a:b])
+        same = words[at] == part.words[at - np.repeat(shift[a:b], size[a:b])]
+        ok = np.add.reduceat(same, total[a:b] - total[a], dtype=np.int64) >= np.minimum(min_words, (i1 - i0)[a:b])
+        out += np.stack((row, item, shift, lo, hi), axis=1)[a:b][ok].tolist()
+        a = b
+    return out
 
 
 def best_run(same: np.ndarray, density: int) -> tuple[int, int, int]:
@@ -121,28 +165,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     for k in range(slices):
         part = sized.where(F.col("slice") == k).select("item_id", "text").toArrow()
         if part.num_rows:
-            out = out.unionByName(_scan(docs, Slice(np.arange(part.num_rows), part.column("text")), part.column("item_id").combine_chunks(), min_words, density, kinds))
+            out = out.unionByName(_scan(docs, Slice(np.arange(part.num_rows), part.column("text"), seed_of(min_words, density)[0]), part.column("item_id").combine_chunks(), min_words, density, kinds))
     return out
 
 
 def _scan(docs: DataFrame, part: Slice, item_ids: pa.Array, min_words: int, density: int, kinds: tuple[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((part, item_ids))
 
+    least = seed_of(min_words, density)[1]
+
     def run(batches):
         part, item_ids = shared.value
         for batch in batches:
             for a, b, w in word_pieces(batch.column(1)):
                 words, row = w.hashes(), w.rows()
                 best: dict[tuple[int, int], tuple] = {}
-                for r, item, shift in hits(words, row, part).tolist():
-                    i0, i1 = part.bounds[item], part.bounds[item + 1]
-                    d0, d1 = w.bounds[r], w.bounds[r + 1]
-                    item_from = shift + i0  # where in the words the item's first word would stand
-                    lo, hi = max(d0, item_from), min(d1, item_from + (i1 - i0))
-                    same = words[lo:hi] == part.words[lo - shift : hi - shift]
-                    n, s, e = best_run(same, density)
-                    if n >= min(min_words, i1 - i0):
-                        best[(r, item)] = max(best.get((r, item), (0,)), (n, -(e - s), i1 - i0, -(lo + s - d0)))
+                for found in hits(words, row, part, least):
+                    for r, item, shift, lo, hi in long_enough(words, w.bounds, found, part, min_words):
+                        size = int(part.bounds[item + 1] - part.bounds[item])
+                        n, s, e = best_run(words[lo:hi] == part.words[lo - shift : hi - shift], density)
+                        if n >= min(min_words, size):
+                            best[(r, item)] = max(best.get((r, item), (0,)), (n, -(e - s), size, -(lo + s - int(w.bounds[r]))))
                 if best:
                     rows = pa.array([r for r, _ in best])
                     vals = list(best.values())

@@ -51,3 +51,38 @@ def test_empty_tables(spark):
     docs, bench = make(spark, [(1, "a b")], "doc_id"), make(spark, [], "item_id")
     assert d.contaminated(docs, bench).collect() == [] and d.decontaminated(docs, bench).count() == 1
     assert d.contaminated(docs.limit(0), make(spark, [(1, "a b c d e f g")], "item_id")).collect() == []
+
+
+def test_finds_every_arrangement_of_substitutions(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    items = {n: [word() for _ in range(n)] for n in (15, 16, 18, 20, 40)}
+    docs = []
+    for n, item in items.items():
+        changed = [tuple(range(3, n, 4))] + [tuple(rnd.sample(range(n), {15: 3, 16: 4, 18: 4, 20: 4, 40: 6}[n])) for _ in range(60)]
+        for gone in changed:
+            copy = [word() if i in gone else x for i, x in enumerate(item)]
+            same = np.array([i not in gone for i in range(n)])
+            if d.best_run(same, 75)[0] >= 12:
+                docs.append((1000 * n + len(docs), " ".join([word(), *copy, word()])))
+    bench = make(spark, [(n, " ".join(x)) for n, x in items.items()], "item_id")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(make(spark, docs, "doc_id"), bench).collect()}
+    assert len(docs) > 200 and got == {(i, i // 1000) for i, _ in docs}
+
+
+def test_turns_of_any_size_give_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    part = d.Slice(np.arange(6), pa.array([text(n) for n in (5, 7, 12, 20, 30, 40)]), 3)
+    words = d.Slice(np.arange(8), pa.array([text(n) for n in (0, 2, 30, 9, 50, 14, 60, 3)]), 3)
+
+    def found():
+        return {tuple(x) for f in d.hits(words.words, words.item, part, 2) for x in d.long_enough(words.words, words.bounds, f, part, 12)}
+
+    assert d.seed_of(12, 75) == (3, 2) and all(i > 0 for _, i, *_ in found())
+    one = found()
+    for size in (1, 7, 100):
+        monkeypatch.setattr(d, "CHUNK", size)
+        assert found() >= one

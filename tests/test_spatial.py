@@ -236,3 +236,18 @@ def test_whole_analysis(spark):
         plans.run(cells, expr, plans.Settings(resolutions=None))
     balanced = plans.augmented(cells, expr, 0.2, 5, variance_balance=True)
     assert balanced.count() == 120 * 12
+
+
+def test_feature_knn_takes_the_smallest_ids_of_equal_cells(spark):
+    rng = np.random.default_rng(6)
+    far = 1e6 + 1e-4 * rng.random((150, 3))  # a tight group far from the origin
+    points = np.concatenate((np.tile([1.0, 2.0, 3.0], (300, 1)), far))
+    ids = rng.permutation(len(points))
+    e = spark.createDataFrame([(int(i), [float(x) for x in p]) for i, p in zip(ids, points)], "cell_id long, pc array<double>")
+    got = {}
+    for r in cluster.feature_knn(e, 5).collect():
+        got.setdefault(r.src, {})[r.rk] = r.dst
+    for i, p in zip(ids.tolist(), points):
+        d = np.sqrt(((p - points) ** 2).sum(axis=1))
+        d[ids == i] = np.inf
+        assert [got[i][k] for k in range(1, 6)] == ids[np.lexsort((ids, d))[:5]].tolist()

@@ -46,15 +46,18 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the URL of a page and the one that its canonical link or refresh tag names, made absolute."""
+    """(a, b): the URL of a page and each one that a canonical link or refresh tag of it names, made absolute."""
     q = r"""["']?"""
-    link = F.regexp_extract("html", rf"(?is)<link\b(?=[^>]{{0,2000}}\brel\s*=\s*{q}canonical\b)[^>]{{0,2000}}?\bhref\s*=\s*{q}([^\s\"'>]+)", 1)
-    fresh = F.regexp_extract("html", rf"(?is)<meta\b(?=[^>]{{0,2000}}\bhttp-equiv\s*=\s*{q}refresh\b)[^>]{{0,2000}}?\burl\s*=\s*{q}([^\s\"'>]+)", 1)
-    url, low = F.col("url"), F.lower("html")
+    tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?i)<{name}\b[^>]*+"), F.lit(0))
+    named = lambda name, kind, at: F.transform(F.filter(tags(name), lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, rf"(?is)\b{at}\s*=\s*{q}([^\s\"'>]+)", 1))
+    link = named("link", rf"(?is)\brel\s*=\s*{q}canonical\b", "href")
+    fresh = named("meta", rf"(?is)\bhttp-equiv\s*=\s*{q}refresh\b", "url")
+    url, low, none = F.col("url"), F.lower("html"), F.array().cast("array<string>")
     found = pages.where("url is not null and html is not null").select(
         "url",
-        F.array(F.when(F.contains(low, F.lit("canonical")), link).otherwise(""), F.when(F.contains(low, F.lit("http-equiv")), fresh).otherwise("")).alias("to"),
+        F.concat(F.when(F.contains(low, F.lit("canonical")), link).otherwise(none), F.when(F.contains(low, F.lit("http-equiv")), fresh).otherwise(none)).alias("to"),
     )
+    found = found.select("url", F.explode("to").alias("to"))
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(url, r"^[^:]*", 0)
     absolute = (
@@ -64,7 +67,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
         .when(to.startswith("?") | to.startswith("#"), F.concat(scheme, F.lit("://"), host_of(url), path_of(url), to))
         .otherwise(F.concat(scheme, F.lit("://"), host_of(url), F.regexp_extract(F.concat(path_of(url), F.when(path_of(url) == "", "/").otherwise("")), r"^.*/", 0), to))
     )
-    return found.select("url", F.explode("to").alias("to")).where("to <> ''").select(F.col("url").alias("a"), absolute.alias("b"))
+    return found.where("to <> ''").select(F.col("url").alias("a"), absolute.alias("b"))
 
 
 def _fitting(rules: list, host: Column, path: Column) -> Column:

@@ -35,3 +35,9 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 200 for i in range(200, 260)}, 400: 400, 401: 400}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_every_link_and_long_tags_make_edges(spark):
+    html = f"<link rel=canonical href=/a><LINK data-x='{'y' * 5000}' href=/b rel=canonical><meta http-equiv=refresh content='0;url=/c'><meta http-equiv=refresh content='0;url=/d'><link rel=icon href=/e>"
+    pages = spark.createDataFrame([(1, "http://h.net/", html), (2, "http://h.net/n", "canonical http-equiv")], "page_id long, url string, html string")
+    assert sorted(r.b for r in u.page_edges(pages).collect()) == [f"http://h.net/{x}" for x in "abcd"]

@@ -70,19 +70,75 @@ def test_finds_every_arrangement_of_substitutions(spark):
     assert len(docs) > 200 and got == {(i, i // 1000) for i, _ in docs}
 
 
-def test_turns_of_any_size_give_the_same(monkeypatch):
+def brute(text, item, min_words=12, density=75):
+    """The best run over all diagonals, each compared in full."""
+    best = (0, 0, 0)
+    for shift in range(-len(item) + 1, len(text)):
+        lo, hi = max(0, shift), min(len(text), shift + len(item))
+        same = [text[i] == item[i - shift] for i in range(lo, hi)]
+        for i in range(len(same)):
+            if same[i]:
+                for j in range(i + 1, len(same) + 1):
+                    m = sum(same[i:j])
+                    if same[j - 1] and m >= min(min_words, len(item)) and 100 * m >= density * (j - i):
+                        best = max(best, (m, i - j, -(lo + i)))
+    return (best[0], -best[1], -best[2]) if best[0] else None
+
+
+def pieces_of(texts):
     import pyarrow as pa
 
-    rnd = random.Random(4)
-    text = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
-    part = d.Slice(np.arange(6), pa.array([text(n) for n in (5, 7, 12, 20, 30, 40)]), 3)
-    words = d.Slice(np.arange(8), pa.array([text(n) for n in (0, 2, 30, 9, 50, 14, 60, 3)]), 3)
+    return next(d.word_pieces(pa.array(texts)))[2]
+
 
-    def found():
-        return {tuple(x) for f in d.hits(words.words, words.item, part, 2) for x in d.long_enough(words.words, words.bounds, f, part, 12)}
+def test_passages_against_all_diagonals(monkeypatch):
+    import pyarrow as pa
 
-    assert d.seed_of(12, 75) == (3, 2) and all(i > 0 for _, i, *_ in found())
-    one = found()
-    for size in (1, 7, 100):
+    rnd = random.Random(4)
+    texts, items = ([" ".join(rnd.choice("abcd") for _ in range(n)) for n in sizes] for sizes in ((0, 2, 30, 9, 25, 14, 18, 3), (5, 7, 12, 20, 13)))
+    texts += ["a " * 25, "a b " * 14, items[3] + " x " + items[3]]
+    items += ["a " * 14, "a b " * 7]
+    for item in items[2:5] * 8:
+        w = item.split()
+        for i in rnd.sample(range(len(w)), len(w) // 6):
+            w[i] = "z"
+        texts.append(" ".join([rnd.choice("abcd") for _ in range(rnd.randint(0, 9))] + w))
+    want = {(r, i): brute(t.split(), x.split()) for r, t in enumerate(texts) for i, x in enumerate(items) if len(x.split()) >= 6}
+    want = {k: v for k, v in want.items() if v}
+    part = d.Slice(pa.array(items), d.masks_for(12, 75))
+    for size in (2_000_000, 1, 7, 100):
         monkeypatch.setattr(d, "CHUNK", size)
-        assert found() >= one
+        got = {k: (n, -span, -at) for k, (n, span, _, at) in d.passages(pieces_of(texts), part, 12, 75).items()}
+        assert got == want and len(want) > 10
+
+
+def test_families_hold_what_they_promise():
+    assert d.masks_for(12, 75) == d.FAMILIES[0] and len(d.masks_for(12, 60)[0]) < 5 and d.masks_for(1, 1) == d.FAMILIES[-1]
+    assert not d.lossless(d.FAMILIES[0][:3], 12, 75) and not d.lossless(((0, 1, 2, 3),), 12, 75)
+    rnd = random.Random(5)
+    for _ in range(3000):
+        n = rnd.randint(12, 40)
+        gone = set(rnd.sample(range(n), rnd.randint(0, n // 4)))
+        same = [i not in gone for i in range(n)]
+        if sum(same) >= 12:
+            assert any(all(same[i + k] for k in m) for m in d.FAMILIES[0] for i in range(n - m[-1]))
+
+
+def test_repetitive_texts_stay_linear():
+    import time
+
+    import pyarrow as pa
+
+    part = d.Slice(pa.array(["y " * 800, "y z " * 300]), d.masks_for(12, 75))
+    began = time.time()
+    got = d.passages(pieces_of(["y " * 20_000, "y z " * 4000]), part, 12, 75)
+    assert time.time() - began < 5
+    assert {k: v[:2] for k, v in got.items()} == {(0, 0): (800, -800), (1, 1): (600, -600)}
+
+
+def test_short_items_match_whole(spark):
+    docs = make(spark, [(1, "a b c d"), (2, "x c d"), (3, "c")], "doc_id")
+    bench = make(spark, [(1, "c d"), (2, "c"), (3, "a b c d")], "item_id")
+    got = {(r.doc_id, r.item_id, r.word_start) for r in d.contaminated(docs, bench, least_item=1).collect()}
+    assert got == {(1, 1, 2), (2, 1, 1), (1, 2, 2), (2, 2, 1), (3, 2, 0), (1, 3, 0)}
+    assert d.contaminated(docs, bench).collect() == []

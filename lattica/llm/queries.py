@@ -100,17 +100,25 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _AFTER = "case when strpos({0}, '://') > 0 then substr({0}, strpos({0}, '://') + 3) else '' end"
 
 
-def _parts(url: str) -> str:
+def _undotted(path: str) -> str:
+    walked = f"list_reduce(string_split({path}, '/'), lambda t, x: case when x = '..' then regexp_replace(t, '/[^/]*$', '') when x = '.' then t else t || '/' || x end)"
+    return f"case when {path} like '%/.%' then {walked} || case when regexp_matches({path}, '/[.][.]?$') then '/' else '' end else {path} end"
+
+
+def _parts(url: str, plain: bool = False) -> str:
+    """host, path and key; of a plain URL the path's dots are taken out."""
     after = _AFTER.format(url)
-    return f"{_LOWER.format(f'regexp_extract({after}, $$^[^/?#]*$$)')} as host, regexp_extract({after}, $$^[^/?#]*([^?#]*)$$, 1) as path, {_LOWER.format(f'regexp_extract({after}, $$^[^/?#]*$$)')} || regexp_extract({after}, $$^[^/?#]*([^#]*)$$, 1) as key"
+    host, path = _LOWER.format(f"regexp_extract({after}, $$^[^/?#]*$$)"), f"regexp_extract({after}, $$^[^/?#]*([^?#]*)$$, 1)"
+    return f"{host} as host, {_undotted(path) if plain else path} as path, {host} || {_undotted(path)} || regexp_extract({after}, $$^[^?#]*([^#]*)$$, 1) as key"
 
 
 _URL_SQL = rf"""with recursive rules(rh, rp, rv) as (values {', '.join(map(str, URL_RULES))}),
 urls as (select page_id, url, html, {_parts("coalesce(url, '')")} from pages),
-found as (select *, regexp_extract(html, $$(?is)<link\b[^>]{{0,900}}\brel\s*=\s*["']?canonical\b[^>]{{0,900}}$$) as tag, regexp_extract(html, $$(?is)<meta\b[^>]{{0,900}}\bhttp-equiv\s*=\s*["']?refresh\b[^>]{{0,900}}$$) as meta from urls where url is not null),
-targets as (select key, host, path, replace(unnest([regexp_extract(tag, $$(?i)\bhref\s*=\s*["']?([^\s"'>]+)$$, 1), regexp_extract(meta, $$(?i)\burl\s*=\s*["']?([^\s"'>]+)$$, 1)]), '&amp;', '&') as t from found),
-edges as (select key as a, case when t like '%://%' then t when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t else 'http://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || t end as b from targets where t <> ''),
-ends as (select a, {_parts('b')} from edges),
+tags as (select key, host, path, regexp_replace(html, $${url_filter.NO_TAGS}$$, ' ', 'g') as html from urls where url is not null),
+found as (select key, host, path, unnest(list_transform(list_filter(regexp_extract_all(html, $${url_filter.TAG.format('link')}$$), lambda t: regexp_matches(t, $${url_filter.CANONICAL}$$)), lambda t: regexp_extract(t, $${url_filter.HREF}$$, 1)) || list_transform(list_filter(regexp_extract_all(html, $${url_filter.TAG.format('meta')}$$), lambda t: regexp_matches(t, $${url_filter.REFRESH}$$)), lambda t: regexp_extract(t, $${url_filter.TO}$$, 1))) as t from tags),
+targets as (select key, host, path, replace(trim(regexp_replace(t, '^["'']|["'']$', '', 'g'), ' '), '&amp;', '&') as t from found),
+edges as (select key as a, case when t like '%://%' then t when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t when t[1] in ('?', '#') then 'http://' || host || path || t else 'http://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || t end as b from targets where t <> ''),
+ends as (select a, {_parts('b', True)} from edges),
 pairs as (select a as x, key as y from ends union select key, a from ends),
 reach as (select x, y from pairs union select r.x, p.y from reach r join pairs p on p.x = r.y),
 nodes as (select key, host, path from urls union select key, host, path from ends),

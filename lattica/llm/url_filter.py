@@ -36,28 +36,50 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def undotted(path: Column) -> Column:
+    """The path without its `.` and `..` steps (RFC 3986, 5.2.4)."""
+    steps = F.split(path, "/")
+    walked = F.aggregate(F.slice(steps, 2, F.size(steps)), F.lit(""), lambda to, x: F.when(x == "..", F.regexp_replace(to, r"/[^/]*$", "")).when(x == ".", to).otherwise(F.concat(to, F.lit("/"), x)))
+    walked = F.concat(walked, F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when(path.contains("/."), walked).otherwise(path)
+
+
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(after_scheme(url), r"^[^?#]*([^#]*)", 1)
+
+
 def key_of(url: Column) -> Column:
-    """The resource: host, path and query, without scheme and fragment."""
-    return F.concat(host_of(url), F.regexp_extract(after_scheme(url), r"^[^/?#]*([^#]*)", 1))
+    """The resource: host, path without dots, and query; neither scheme nor fragment."""
+    return F.concat(host_of(url), undotted(path_of(url)), query_of(url))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
+#: What holds no tags, though it may look so: comments, scripts and styles.
+NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script|\z)|<style\b[^>]*>.*?(?:</style|\z)"
+#: A tag of a name up to its end, over `>` in quotes.
+TAG = r"""(?is)<{}\b(?:[^>"']|"[^"]*"|'[^']*')*[^>]*"""
+CANONICAL = r"""(?is)[\s"']rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?:[\s/]|$))"""
+REFRESH = r"""(?is)[\s"']http-equiv\s*=\s*["']?\s*refresh\b"""
+HREF = r"""(?is)[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+TO = r"""(?is)\burl\s*=\s*["']?\s*([^\s"'>]+)"""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the URL of a page and each one that a canonical link or refresh tag of it names, made absolute."""
-    q = r"""["']?"""
-    tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?i)<{name}\b[^>]*+"), F.lit(0))
-    named = lambda name, kind, at: F.transform(F.filter(tags(name), lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, rf"(?is)\b{at}\s*=\s*{q}([^\s\"'>]+)", 1))
-    link = named("link", rf"(?is)\brel\s*=\s*{q}canonical\b", "href")
-    fresh = named("meta", rf"(?is)\bhttp-equiv\s*=\s*{q}refresh\b", "url")
-    url, low, none = F.col("url"), F.lower("html"), F.array().cast("array<string>")
-    found = pages.where("url is not null and html is not null").select(
-        "url",
-        F.concat(F.when(F.contains(low, F.lit("canonical")), link).otherwise(none), F.when(F.contains(low, F.lit("http-equiv")), fresh).otherwise(none)).alias("to"),
-    )
-    found = found.select("url", F.explode("to").alias("to"))
+    """(a, b): the URL of a page and each one that a canonical link or refresh tag of it names, made absolute, without dots.
+
+    Every such tag counts, however long; what stands in comments, scripts and styles doesn't.
+    """
+    html, url, none = F.col("html"), F.col("url"), F.array().cast("array<string>")
+    # Java's matcher needs possessive loops to go through a long tag without a deep stack; they match the same
+    whole = lambda name: TAG.format(name).replace("[^>\"']|", "[^>\"']++|").replace(")*[", ")*+[")
+    named = lambda name, kind, at: F.transform(F.filter(F.regexp_extract_all("html", F.lit(whole(name)), F.lit(0)), lambda t: t.rlike(kind)), lambda t: F.trim(F.regexp_replace(F.regexp_extract(t, at, 1), r"""^["']|["']$""", "")))
+    low = F.lower(html)
+    some = pages.where("url is not null and html is not null").select("url", "html", low.contains("canonical").alias("link"), low.contains("http-equiv").alias("meta")).where("link or meta")
+    some = some.withColumn("html", F.when(html.contains("<!--") | low.contains("<script") | low.contains("<style"), F.regexp_replace(html, NO_TAGS, " ")).otherwise(html))
+    found = some.select("url", F.explode(F.concat(F.when(F.col("link"), named("link", CANONICAL, HREF)).otherwise(none), F.when(F.col("meta"), named("meta", REFRESH, TO)).otherwise(none))).alias("to"))
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(url, r"^[^:]*", 0)
     absolute = (
@@ -67,7 +89,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
         .when(to.startswith("?") | to.startswith("#"), F.concat(scheme, F.lit("://"), host_of(url), path_of(url), to))
         .otherwise(F.concat(scheme, F.lit("://"), host_of(url), F.regexp_extract(F.concat(path_of(url), F.when(path_of(url) == "", "/").otherwise("")), r"^.*/", 0), to))
     )
-    return found.where("to <> ''").select(F.col("url").alias("a"), absolute.alias("b"))
+    ends = found.where("to <> ''").select(url.alias("a"), absolute.alias("b"))
+    b = F.col("b")
+    plain = F.concat(F.regexp_extract(b, r"^[^:]*://", 0), host_of(b), undotted(path_of(b)), query_of(b))
+    return ends.select("a", F.when(b.contains("/."), plain).otherwise(b).alias("b"))
 
 
 def _fitting(rules: list, host: Column, path: Column) -> Column:

@@ -13,8 +13,10 @@ def brute(ids, x, query_ids, k):
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "VECTOR_BLOCK", 200)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(ann, "SLICE_BYTES", 8 * 64 * 20)
+    monkeypatch.setattr(ann, "CHUNK", 7)
+    monkeypatch.setattr(ann, "PAIRS", 640)
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(900, 64)) + 0.3).astype(np.float32).astype(float)
     x[700:720] = x[5]  # ties
@@ -38,14 +40,33 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0), 20).collect() == []
 
 
+def test_query_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect())
+    assert got == sorted([(20, 1, 1, 2.0), (20, 2, 2, 1.0)] + 2 * [(20, 1, 2, 3.0), (20, 2, 1, 1.0)])
+
+
 def test_bounds_hold_mostly():
     rng = np.random.default_rng(2)
-    x, q = rng.normal(size=(500, 64)), rng.normal(size=(40, 64))
+    x, q = rng.normal(size=(500, 64)) + 2.0, rng.normal(size=(40, 64)) + 1.5
     turn = ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    codes = ann.Codes(x, x.mean(axis=0), turn)
+    codes = ann.Codes.of(x)
     assert codes.bits.shape == (500, 8)
-    low, high = codes.bounds(q, turn, 3.0)
+    middle, slack = codes.bounds(q, 3.0)
     real = q @ x.T
-    assert ((low <= real) & (real <= high)).mean() > 0.99
-    assert np.corrcoef(((low + high) / 2).ravel(), real.ravel())[0, 1] > 0.75
+    assert (np.abs(real - middle) <= slack).mean() > 0.99
+    assert abs((middle - real).mean()) < 0.1 * slack.mean()
+    assert np.corrcoef((middle - middle.mean(axis=1)[:, None]).ravel(), (real - real.mean(axis=1)[:, None]).ravel())[0, 1] > 0.75
+
+
+def test_most_vectors_are_not_looked_up():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 8000)] + 0.2 * rng.normal(size=(8000, 64))
+    search = ann.Search(x[:50], np.arange(50), 20, 3.0)
+    looked = sum(search.add(ann.Codes.of(x[a : a + 2000]), x[a : a + 2000], np.arange(a, a + 2000)) for a in range(0, 8000, 2000))
+    assert looked < 0.25 * 50 * 8000
+    want = brute(np.arange(8000), x, range(50), 20)
+    assert np.mean([len({*search.ids[q]} & {i for i, _ in want[q]}) for q in range(50)]) >= 0.99 * 20

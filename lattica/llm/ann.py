@@ -30,6 +30,8 @@ BLOCK_ROWS, BLOCK_BYTES = 8192, 16 << 20
 SLICE_BYTES = 32 << 20
 #: Queries whose bounds are worked out together, and numbers looked up at once for exact scores.
 CHUNK, PAIRS = 256, 1 << 22
+#: The share of a block from which on its vectors are reranked by a matrix product.
+DENSE = 1 / 32
 #: Standard errors of the estimate that its bounds allow for.
 EPSILON = 3.0
 INDEX = "dims int, ids binary, vectors binary, bits binary, scalars binary, centre binary"
@@ -124,9 +126,17 @@ class Search:
                 looked += score.size
             # float32 keeps fewer digits than the exact floor
             low = np.nextafter(floor.astype(np.float32), np.float32(-np.inf)) - 1e-6 * np.abs(np.where(np.isfinite(floor), floor, 0)).astype(np.float32)
-            q, v = np.nonzero((middle + slack >= low[:, None]) & (ids[None, :] != self.query_ids[some, None]))
+            slack += middle
+            near = slack >= low[:, None]
+            near &= ids[None, :] != self.query_ids[some, None]
+            many = int(np.count_nonzero(near))
+            looked += many
+            if many > near.size * DENSE:
+                # so many are cheaper in one matrix product; it may round otherwise, so those it leaves near the floor are scored again
+                size = np.linalg.norm(self.queries[some], axis=1)[:, None] * np.linalg.norm(vectors, axis=1).max()
+                near &= self.queries[some] @ vectors.T >= floor[:, None] - 1e-12 * vectors.shape[1] * size
+            q, v = np.nonzero(near)
             score = self._pairs(some[q], v, vectors)
-            looked += len(score)
             keep = score >= floor[q]
             q, v, score = q[keep], v[keep], score[keep]
             if not len(q):

@@ -81,10 +81,10 @@ def entry_rows(block: int, at: np.ndarray, counts: np.ndarray, buckets: int, nar
     )
 
 
-def totals(entries: DataFrame, narrow: bool, kind: str, cap: int) -> DataFrame:
+def totals(entries: DataFrame, narrow: bool, kind: str, cap: int, wide: str | None = None) -> DataFrame:
     """For each entry row, the totals of its keys over all rows, capped, as (block, bucket, counts).
 
-    kind: numpy type of the counts. A capped total says "at least the cap".
+    kind: numpy type of the counts; wide: that of the totals, if it is another. A capped total says "at least the cap".
     """
     key = np.uint32 if narrow else np.uint64
 
@@ -93,7 +93,7 @@ def totals(entries: DataFrame, narrow: bool, kind: str, cap: int) -> DataFrame:
         keys = unpacked(blobs, key)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
         _, inverse = distinct(keys)
-        total = np.minimum(np.bincount(inverse, weights=counts), cap).astype(kind)[inverse]
+        total = np.minimum(np.bincount(inverse, weights=counts), cap).astype(wide or kind)[inverse]
         ends = np.cumsum([len(x) // keys.itemsize for x in blobs])
         out = [total[i:j].tobytes() for i, j in zip(np.concatenate(([0], ends[:-1])), ends)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(out, pa.binary())})

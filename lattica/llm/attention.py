@@ -3,7 +3,8 @@
 Inputs are subword ids in rank order of their corpus counts; the last rank holds all that are rarer. One attention layer
 with a feed-forward layer gives the logits of the next id's class, added to a table of the last id (a skip connection
 that corpus counts fill in). The most frequent ids are classes of their own; the others share classes by
-whether they begin a word and by frequency, and within its class an id has its share of the corpus counts.
+whether they begin a word, by what they stand near to (which tells languages and subjects apart) and by frequency, and within its
+class an id has its share of the corpus counts.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH, HIDDEN = 16, 16
+WIDTH, HIDDEN = 16, 32
 #: A window holds CONTEXT ids that only give context and FRESH ids that are scored.
-CONTEXT, FRESH = 8, 24
-RANKS, SINGLES, CLASSES = 2048, 64, 96
+CONTEXT, FRESH = 16, 32
+RANKS, SINGLES, CLASSES = 2048, 64, 128
+#: Clusters of ids by what they stand near to, among those that begin words and among the others.
+KINDS = 5
 END = 50_256
 
 
@@ -30,11 +33,11 @@ class Vocabulary:
     mass: np.ndarray  # how often the ids of each class occur
 
     @staticmethod
-    def of(counts: np.ndarray, begins: np.ndarray) -> Vocabulary:
-        """counts: of each id; begins: whether the id begins a word (or is the end)."""
+    def of(counts: np.ndarray, begins: np.ndarray, near: np.ndarray | None = None) -> Vocabulary:
+        """counts: of each id; begins: whether the id begins a word (or is the end); near: how often each id has each of the
+        SINGLES most frequent as the last of them before it."""
         n = len(counts)
-        order = np.lexsort((np.arange(n), -counts))
-        order = np.concatenate(([END], order[order != END]))  # the end is always of its own class
+        order = by_frequency(counts)
         rank = np.empty(n, np.int32)
         rank[order] = np.minimum(np.arange(n), RANKS - 1)
         group = np.empty(n, np.int32)
@@ -44,9 +47,16 @@ class Vocabulary:
         rest = order[SINGLES:]
         for k, kind in enumerate((begins[rest], ~begins[rest])):
             ids = rest[kind]
-            mass = np.cumsum(smooth[ids])
-            band = np.minimum((mass / mass[-1] * bands).astype(int), bands - 1) if len(ids) else np.zeros(0, int)
-            group[ids] = SINGLES + k * bands + band
+            kin = clusters(near[ids], smooth[ids]) if near is not None else np.zeros(len(ids), int)
+            # each cluster gets a band at least, and more by its mass; in it the frequent ids come first
+            mass = np.bincount(kin, smooth[ids], minlength=KINDS)
+            many = np.where(mass > 0, 1 + np.floor(mass / max(mass.sum(), 1e-9) * (bands - KINDS)), 0).astype(int)
+            many[np.argmax(mass)] += bands - many.sum()
+            for c, first in enumerate(np.cumsum(many) - many):
+                mine = ids[kin == c]
+                if len(mine):
+                    done = np.cumsum(smooth[mine])
+                    group[mine] = SINGLES + k * bands + first + np.minimum((done / done[-1] * many[c]).astype(int), many[c] - 1)
         total = np.bincount(group, smooth, minlength=CLASSES)
         share = (np.log(smooth) - np.log(total[group])).astype(np.float32)
         starts = np.zeros(CLASSES, bool)
@@ -54,10 +64,44 @@ class Vocabulary:
         return Vocabulary(rank, group, share, starts, np.bincount(group, counts, minlength=CLASSES))
 
 
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """The ids, the end first, then the most frequent; ties to the smaller id."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    return np.concatenate(([END], order[order != END]))  # the end is always of its own class
+
+
+def clusters(near: np.ndarray, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """KINDS clusters of rows of counts by the angle between their square roots, from the farthest rows as first centres.
+
+    Rare rows lean on the mean; the centres are weighted by the rows' weights.
+    """
+    if not len(near) or not near.sum():
+        return np.zeros(len(near), int)
+    x = np.sqrt(near + 6.0 * near.sum(axis=0) / near.sum())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x[[int(np.argmax(weight))]]
+    for _ in range(KINDS - 1):
+        far = (1 - (x @ centres.T).max(axis=1)).clip(0)
+        centres = np.concatenate((centres, x[[int(np.argmax(far * weight))]]))
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([(x[of == c] * weight[of == c, None]).sum(axis=0) if (of == c).any() else centres[c] for c in range(KINDS)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return (x @ centres.T).argmax(axis=1)
+
+
+def last_frequent(ids: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """For each of texts' closed ids the last of the frequent ids (single: their number by id, -1 for others) that stands before it in its text; 0: none."""
+    at = np.arange(len(ids))
+    mark = np.where((single[ids] > 0) | (ids == END), at, -1)
+    last = np.concatenate((np.full(min(len(ids), 1), -1), np.maximum.accumulate(mark)[:-1]))
+    return np.where(last < 0, 0, np.maximum(single[ids[np.maximum(last, 0)]], 0))
+
+
 def skip_table(cells: np.ndarray, prior: np.ndarray, weight: float = 50.0) -> np.ndarray:
     """Log probabilities of the next class after each rank: counts, drawn to the classes' overall shares."""
     p = (cells + weight * prior) / (cells.sum(axis=1, keepdims=True) + weight)
-    return np.log(p).astype(np.float32)
+    return np.log(np.maximum(p, 1e-17)).astype(np.float32)  # a class may have no ids
 
 
 SHAPES = {"E": (RANKS, WIDTH), "P": (CONTEXT + FRESH, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "A": (WIDTH, WIDTH), "F": (WIDTH, HIDDEN), "G": (HIDDEN, WIDTH), "O": (WIDTH, CLASSES)}
@@ -70,20 +114,26 @@ def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts whose inputs are at bounds[r]..bounds[r + 1]: the inputs of each window, -1 where there is none.
+def windows(bounds: np.ndarray, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For texts whose inputs are at bounds[r]..bounds[r + 1]: the inputs of each window, or of windows a to b, -1 where there is none.
 
     Windows step by FRESH and look back CONTEXT, so each input is fresh in one window. The second result says where fresh.
     """
-    sizes = np.diff(bounds)
-    many = -(-sizes // FRESH)
-    first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = first[:, None] * FRESH - CONTEXT + np.arange(CONTEXT + FRESH)
-    lo, hi = np.repeat(bounds[:-1], many)[:, None], np.repeat(bounds[1:], many)[:, None]
-    at = np.where((at < 0) | (at + lo >= hi), -1, at + lo)
+    total = np.concatenate(([0], np.cumsum(-(-np.diff(bounds) // FRESH))))
+    number = np.arange(a, total[-1] if b is None else min(b, total[-1]))
+    text = np.searchsorted(total, number, side="right") - 1
+    lo, hi = bounds[text][:, None], bounds[text + 1][:, None] if len(bounds) > 1 else np.zeros((0, 1), np.int64)
+    at = lo + (number - total[text])[:, None] * FRESH - CONTEXT + np.arange(CONTEXT + FRESH)
+    at = np.where((at < lo) | (at >= hi), -1, at)
     return at, at[:, CONTEXT:] >= 0
 
 
+def how_many(bounds: np.ndarray) -> int:
+    return int((-(-np.diff(bounds) // FRESH)).sum())
+
+
+#: Windows that are laid out at once.
+TURN = 8192
 _CAUSE = np.where(np.arange(CONTEXT + FRESH)[None, :] <= np.arange(CONTEXT, CONTEXT + FRESH)[:, None], 0, -1e9).astype(np.float32)
 
 
@@ -126,7 +176,6 @@ def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds
 
     What forward() gives, in fewer passes over memory: without the shifts that guard exponentials, unless they are needed.
     """
-    at, _ = windows(bounds)
     logp, ends = np.empty(len(ranks), np.float32), np.empty(len(ranks), np.float32)
     sums = np.stack((np.ones(CLASSES), starts), axis=1).astype(np.float32)
     # what the layers make of each rank and of each place, so that a window's inputs are looked up and added
@@ -135,8 +184,7 @@ def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds
     old, out = slice(0, 2 * WIDTH), slice(2 * WIDTH, None)
     rank_old, rank_out = np.ascontiguousarray(of_rank[:, old]), np.ascontiguousarray(of_rank[:, out])
     values = np.ones((batch, CONTEXT + FRESH, WIDTH + 1), np.float32)  # the last column adds up the weights
-    for a in range(0, len(at), batch):
-        part = at[a : a + batch]
+    for part in (at[k : k + batch] for a in range(0, how_many(bounds), TURN) for at in windows(bounds, a, a + TURN)[:1] for k in range(0, len(at), batch)):
         there = part >= 0
         r = ranks[np.maximum(part, 0)]
         kv = np.take(rank_old, r, axis=0, mode="clip")
@@ -173,33 +221,67 @@ def scores(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds
 
 def gradients(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over fresh inputs, and its gradients. target: class after each input."""
-    logp, (r, x, q, k, v, s, c, h, f, z) = forward(w, skip, ranks, at, keep=True)
+    there = at >= 0
     fresh = at[:, CONTEXT:].reshape(-1)
     real = fresh >= 0
-    t = target[np.maximum(fresh, 0)]
     n = max(int(real.sum()), 1)
-    loss = -float(logp[np.flatnonzero(real), t[real]].sum()) / n
-    d = np.exp(logp, out=logp)
-    d[np.arange(len(t)), t] -= 1
-    d *= (real / np.float32(n)).astype(np.float32)[:, None]
-    g = {"O": z.T @ d}
-    dz = (d @ w["O"].T).reshape(h.shape)
+    r = ranks[np.maximum(at, 0)]
+    x = np.take(w["E"], r, axis=0)
+    x += w["P"]
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g["G"] = flat(f).T @ flat(dz)
-    df = (dz @ w["G"].T) * (f > 0)
-    g["F"] = flat(h).T @ flat(df)
-    dh = dz + df @ w["F"].T
-    g["A"] = flat(c).T @ flat(dh)
-    dc = dh @ w["A"].T
+    kv = flat(x) @ np.concatenate((w["K"], w["V"]), axis=1)
+    k, v = (y.reshape(x.shape) for y in np.split(kv, 2, axis=1))
+    xq = flat(x[:, CONTEXT:])
+    q = xq @ (w["Q"] * np.float32(WIDTH**-0.5))
+    s = np.matmul(q.reshape(len(at), FRESH, WIDTH), k.transpose(0, 2, 1))
+    s += _CAUSE
+    if not there.all():
+        s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
+    if not _small(np.maximum(s, 0)):
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(axis=2, keepdims=True)
+    c = flat(np.matmul(s, v))
+    h = xq + c @ w["A"]
+    f = h @ w["F"]
+    np.maximum(f, 0, out=f)
+    z = h + f @ w["G"]
+    logits = z @ w["O"]
+    logits += np.take(skip, r[:, CONTEXT:].reshape(-1), axis=0)
+    if not _small(z):  # skip holds log probabilities; O is small while z is
+        logits -= logits.max(axis=1, keepdims=True)
+    t, row = target[np.maximum(fresh, 0)], np.arange(len(fresh))
+    own = logits[row, t]
+    d = np.exp(logits, out=logits)
+    total = d.sum(axis=1)
+    loss = float((np.log(total) - own)[real].sum()) / n
+    part = real / np.float32(n)
+    d *= (part / total)[:, None]
+    d[row, t] -= part
+    g = {"O": z.T @ d}
+    dz = d @ w["O"].T
+    g["G"] = f.T @ dz
+    df = dz @ w["G"].T
+    df *= f > 0
+    g["F"] = h.T @ df
+    dh = dz
+    dh += df @ w["F"].T
+    g["A"] = c.T @ dh
+    dc = (dh @ w["A"].T).reshape(len(at), FRESH, WIDTH)
     ds = np.matmul(dc, v.transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), dc)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    xq = x[:, CONTEXT:]
-    g["Q"], g["K"], g["V"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, CONTEXT:] += dh + dq @ w["Q"].T
-    dx[at < 0] = 0
+    dkv = np.empty((len(at), CONTEXT + FRESH, 2 * WIDTH), np.float32)
+    np.matmul(s.transpose(0, 2, 1), dc, out=dkv[..., WIDTH:])
+    ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+    ds *= s
+    dq = flat(np.matmul(ds, k))
+    np.matmul(ds.transpose(0, 2, 1), q.reshape(len(at), FRESH, WIDTH), out=dkv[..., :WIDTH])
+    dq *= np.float32(WIDTH**-0.5)
+    g["Q"] = xq.T @ dq
+    g["K"], g["V"] = np.split(flat(x).T @ flat(dkv), 2, axis=1)
+    dx = (flat(dkv) @ np.concatenate((w["K"], w["V"]), axis=1).T).reshape(x.shape)
+    dh += dq @ w["Q"].T
+    dx[:, CONTEXT:] += dh.reshape(len(at), FRESH, WIDTH)
+    dx[~there] = 0
     g["P"] = dx.sum(axis=0)
     order = np.argsort(r.astype(np.uint16), axis=None, kind="stable")
     at_rank = r.reshape(-1)[order]
@@ -214,19 +296,19 @@ def train(w: dict[str, np.ndarray], skip: np.ndarray, ranks: np.ndarray, bounds:
     w = {k: x.copy() for k, x in w.items()}
     m = {k: np.zeros_like(x) for k, x in w.items()}
     u = {k: np.zeros_like(x) for k, x in w.items()}
-    at, _ = windows(bounds)
-    rng = np.random.default_rng(len(at))
+    many = how_many(bounds)
+    rng = np.random.default_rng(many)
     done = 0
     for _ in range(passes):
-        for ids in np.array_split(rng.permutation(len(at)), max(1, -(-len(at) // batch))):
-            if not len(ids):
-                continue
-            done += 1
-            _, g = gradients(w, skip, ranks, at[ids], target)
-            for k in w:
-                m[k] += 0.1 * (g[k] - m[k])
-                u[k] += 0.01 * (g[k] ** 2 - u[k])
-                w[k] -= (rate * (m[k] / (1 - 0.9**done)) / (np.sqrt(u[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+        for a in range(0, many, TURN):
+            at, _ = windows(bounds, a, a + TURN)
+            for ids in np.array_split(rng.permutation(len(at)), -(-len(at) // batch)):
+                done += 1
+                _, g = gradients(w, skip, ranks, at[ids], target)
+                for k in w:
+                    m[k] += 0.1 * (g[k] - m[k])
+                    u[k] += 0.01 * (g[k] ** 2 - u[k])
+                    w[k] -= (rate * (m[k] / (1 - 0.9**done)) / (np.sqrt(u[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
         if done >= steps:
             break
     return w

@@ -1,9 +1,10 @@
 """Language-model scores of texts: a causal self-attention model over subword ids, with corpus word counts.
 
 A text is its words, lower-cased in A-Z, and one end. Its subword ids come from a public vocabulary; every word begins an id.
-The model (see attention) is learnt from the whole of every training text: class shares of ids, the table of the last id, and the attention weights.
-Texts are coded once, and their ids kept. Weights are trained in one pass over each partition's ids from the same start, and
-averaged by their number.
+The model (see attention) is learnt from the whole of every training text: classes of ids, the table of the last id, and the
+attention weights. Texts are dealt into blocks by a hash of their rows and coded once, in the order of that hash; blocks are kept.
+Weights are trained on each block from the same start, and averaged by the blocks' ids, so how many tasks there are, or what they
+lose and do again, changes no score.
 
 From the attention model's classes of the next id, a word is spelt out in ids (and has to end after them), or, where the
 training texts know it, drawn as a whole: by the class of its first id, and its share of the words that begin with ids of that class. Both are
@@ -27,8 +28,8 @@ from ._bytes import Words, trim, word_pieces
 from ._cluster import parts, saved, text_bytes
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, totals, unpacked
 
-#: Ids that are trained together; a partition of any size is trained in turns of bounded memory.
-TURN = 1_000_000
+#: Blocks whose weights are averaged together.
+FAN_IN = 64
 #: New words for each training word that occurs once: over 1, as copies of documents hide words that occur once otherwise.
 NEW_PER_ONCE = 1.5
 #: Least and largest part of words spelt out in the mixture.
@@ -36,8 +37,6 @@ NEW_WORDS = 0.005, 0.5
 #: Fixed value: how the public vocabulary's authors cut text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256
-#: Bytes of text that are scored together.
-PIECE = 2 << 20
 
 
 class Subwords:
@@ -83,8 +82,9 @@ class Subwords:
         return one
 
 
-def coded(cut: list[tuple[Words, np.ndarray]], coder: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pieces with their words' hashes: the ids of their distinct words, how many each has, and each word's index in them."""
+def coded(cut: list[tuple[Words, np.ndarray]], coder: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pieces with their words' hashes: the ids of their distinct words, how many each has, and each word's index in them;
+    the distinct hashes in ascending order, and each word's index in those."""
     h = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in cut)])
     uniq, inverse = distinct(h)
     first = np.empty(len(uniq), np.int64)
@@ -100,7 +100,7 @@ def coded(cut: list[tuple[Words, np.ndarray]], coder: Subwords) -> tuple[np.ndar
     ids, many = coder.each(spelt)
     place = np.empty(len(uniq), np.int64)  # of the distinct hashes among the words spelt
     place[inverse[first]] = np.arange(len(first))
-    return ids, many, place[inverse]
+    return ids, many, place[inverse], uniq, inverse
 
 
 _CODERS: dict[int, Subwords] = {}
@@ -122,16 +122,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
 
 
-def spelt_out(spelt: np.ndarray, each: np.ndarray, index: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a piece whose words are index in coded()'s: its texts' ids, each text closed by an end; the texts' bounds in them;
-    where each word begins, and the text of each."""
+def spelt_out(spelt: np.ndarray, each: np.ndarray, index: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of a piece whose words are index in coded()'s: its texts' ids, each text closed by an end, and how many each text has."""
     begin = np.cumsum(each) - each
     many, text = each[index], words.rows()
     ids = spelt[np.arange(many.sum()) + np.repeat(begin[index] - np.cumsum(many) + many, many)]
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(text, many, minlength=len(words.counts)).astype(np.int64) + 1)))
-    out = np.full(cuts[-1], net.END)
+    sizes = np.bincount(text, many, minlength=len(words.counts)).astype(np.int64) + 1
+    out = np.full(sizes.sum(), net.END)
     out[np.arange(len(ids)) + np.repeat(text, many)] = ids
-    return out, cuts, np.cumsum(many) - many + text, text
+    return out, sizes
 
 
 def before(ids: np.ndarray) -> np.ndarray:
@@ -139,125 +138,143 @@ def before(ids: np.ndarray) -> np.ndarray:
     return np.concatenate((np.full(min(len(ids), 1), net.END), ids[:-1]))
 
 
-def coded_texts(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """(ids) of docs(text), kept: rows of 16-bit ids, each of whole texts closed by ends."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def coded_blocks(rows: DataFrame, ranks: bytes, blocks: int, buckets: int) -> DataFrame:
+    """rows(doc_id, text, held_out) in blocks, kept: one row a block with, in one order, its rows' doc_id, held_out and number of ids,
+    their ids, each word's index in the block's distinct words, entries of the counts of those in what is learnt, and counts of the ids there."""
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+    kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches):
+    def code(left: pa.Table) -> pa.Table:
+        left = left.sort_by("bh")
         coder = _coder(shared.value)
-        held, size = [], 0
-
-        def add():
-            spelt, each, index = coded(held, coder)
-            out, done = [], 0
-            for words, h in held:
-                out.append(spelt_out(spelt, each, index[done : done + len(h)], words)[0].astype("<u2").tobytes())
-                done += len(h)
-            held.clear()
-            trim()
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+        cut = [(w, w.hashes()) for _, _, w in word_pieces(left.column("text"))]
+        spelt, each, index, uniq, inverse = coded(cut, coder)
+        ids, sizes, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for words, h in cut:
+            for to, x in zip((ids, sizes), spelt_out(spelt, each, index[done : done + len(h)], words)):
+                to.append(x)
+            done += len(h)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        held = left.column("held_out").to_numpy(zero_copy_only=False)
+        learnt = np.repeat(~held, np.concatenate([w.counts for w, _ in cut]))
+        block = left.column("block")[0].as_py()
+        rows = entry_rows(block, uniq, np.bincount(inverse[learnt], minlength=len(uniq)).astype(np.uint32), buckets, False)
+        seen = np.bincount(ids[np.repeat(~held, sizes)], minlength=net.END + 1)
+        some = np.flatnonzero(seen)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        blob = lambda x, as_: pa.array([x.astype(as_).tobytes()], pa.binary())
+        out = pa.table(
+            {
+                "block": pa.array([block], pa.int32()),
+                "doc_id": one(left.column("doc_id").combine_chunks()),
+                "held_out": one(left.column("held_out").combine_chunks()),
+                "sizes": blob(sizes, "<i8"),
+                "ids": blob(ids, "<u2"),
+                "words": blob(inverse, "<u4"),
+                "entries": one(pa.StructArray.from_arrays(rows.columns[1:], names=rows.schema.names[1:])),
+                "seen_ids": blob(some, "<u2"),
+                "seen": blob(seen[some], "<i8"),
+            }
+        )
+        del cut, rows
+        trim()
+        return out
+
+    schema = f"block int, doc_id array<{kind}>, held_out array<boolean>, sizes binary, ids binary, words binary, entries array<struct<bucket int, keys binary, counts binary>>, seen_ids binary, seen binary"
+    dealt_rows = dealt(rows, blocks, "doc_id", "text", "held_out").select("block", "bh", "doc_id", "text", "held_out")
+    return saved(dealt_rows.groupBy("block").applyInArrow(code, schema))
+
+
+_PARTS = ("block", "ids", "sizes", "held_out")
+
+
+def _learnt(batch: pa.RecordBatch):
+    """(block, ids, bounds) of each block's training texts; batch: the columns of _PARTS."""
+    for k in range(batch.num_rows):
+        ids, sizes = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((1, "<u2"), (2, "<i8")))
+        mine = ~batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+        yield batch.column(0)[k].as_py(), ids[np.repeat(mine, sizes)].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[mine])))
 
-        for batch in batches:
-            for _, _, words in word_pieces(batch.column(0)):
-                held.append((words, words.hashes()))
-                size += len(words.buf)
-                if size > BLOCK_BYTES:
-                    yield add()
-                    size = 0
-        yield add()
 
-    return saved(docs.select("text").mapInArrow(run, "ids binary"))
+def _summed(df: DataFrame, run, size: int) -> np.ndarray:
+    """The sum of the counts by cell that run() gives for each partition of df; at most `size` rows come back, whatever df's size."""
+    rows = df.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def _ids(batch: pa.RecordBatch):
-    for x in batch.column(0):
-        yield np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
+def _cells(count: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(count)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["cell", "n"])
 
 
-def id_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Counts of each subword id over coded_texts(), ends included, and the number of texts. At most as many rows as ids come back."""
+def fitted(coded: DataFrame, begins: np.ndarray) -> tuple[net.Vocabulary, np.ndarray, dict[str, np.ndarray], int]:
+    """The model of coded_blocks()' training texts: classes, table of the last id, attention weights; and the number of texts."""
+    sc = coded.sparkSession.sparkContext
 
-    def run(batches):
+    def seen(batches):
         count = np.zeros(net.END + 1, np.int64)
         for batch in batches:
-            for ids in _ids(batch):
-                count += np.bincount(ids, minlength=len(count))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["id", "n"])
-
-    rows = texts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(net.END + 1)
-    out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    return out, int(out[net.END])
-
-
-def fitted(train: DataFrame, ranks: bytes) -> tuple[net.Vocabulary, np.ndarray, dict[str, np.ndarray], int]:
-    """The model of training texts: classes, table of the last id, attention weights; and the number of texts."""
-    sc = train.sparkSession.sparkContext
-    whole = coded_texts(train, ranks)
-    counts, texts = id_counts(whole)
-    vocabulary = net.Vocabulary.of(counts, _coder(ranks).begins)
-    prior = np.bincount(vocabulary.group, counts + 0.01, minlength=net.CLASSES) + 0.01
+            for ids, n in zip(*batch.columns):
+                count[np.frombuffer(ids.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i8")
+        yield _cells(count)
+
+    counts = _summed(coded.select("seen_ids", "seen"), seen, net.END + 1)
+    texts = int(counts[net.END])
+    single = np.full(net.END + 1, -1)
+    single[net.by_frequency(counts)[: net.SINGLES]] = np.arange(net.SINGLES)
+    singles = sc.broadcast(single)
+
+    def nearby(batches):
+        count = np.zeros((net.END + 1) * net.SINGLES, np.int64)
+        for batch in batches:
+            for _, ids, _ in _learnt(batch):
+                count += np.bincount(ids * net.SINGLES + net.last_frequent(ids, singles.value), minlength=len(count))
+        yield _cells(count)
+
+    near = _summed(coded.select(*_PARTS), nearby, (net.END + 1) * net.SINGLES).reshape(-1, net.SINGLES)
+    near[:, 0] = 0  # nothing frequent before
+    vocabulary = net.Vocabulary.of(counts, begins, near)
+    prior = np.bincount(vocabulary.group, counts + 0.01, minlength=net.CLASSES)
     shared = sc.broadcast(vocabulary)
 
     def pairs(batches):
         v = shared.value
-        cells = np.zeros(net.RANKS * net.CLASSES, np.int64)
+        count = np.zeros(net.RANKS * net.CLASSES, np.int64)
         for batch in batches:
-            for then in _ids(batch):
-                cells += np.bincount(v.rank[before(then)].astype(np.int64) * net.CLASSES + v.group[then], minlength=len(cells))
-        some = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], names=["cell", "n"])
-
-    rows = whole.mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(net.RANKS * net.CLASSES)
-    cells[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    skip = net.skip_table(cells.reshape(net.RANKS, net.CLASSES), prior / prior.sum())
+            for _, then, _ in _learnt(batch):
+                count += np.bincount(v.rank[before(then)].astype(np.int64) * net.CLASSES + v.group[then], minlength=len(count))
+        yield _cells(count)
+
+    skip = net.skip_table(_summed(coded.select(*_PARTS), pairs, net.RANKS * net.CLASSES).reshape(net.RANKS, net.CLASSES), prior / prior.sum())
     model = sc.broadcast((vocabulary, skip))
 
     def learn(batches):
         v, skip = model.value
-        weights, size, held = net.fresh_weights(), 0, []
-        total, seen = np.zeros(net.packed(weights).shape), 0
-
-        def turn():
-            nonlocal weights, total, seen, size
-            then = np.concatenate(held)
-            bounds = np.concatenate(([0], np.flatnonzero(then == net.END) + 1))
-            # only what a whole partition has too few steps for is gone over again
-            weights = net.train(weights, skip, v.rank[before(then)], bounds, v.group[then], **({"passes": 1} if seen else {}))
-            total, seen, size = total + len(then) * net.packed(weights), seen + len(then), 0
-            held.clear()
-
-        for batch in batches:
-            for ids in _ids(batch):
-                held.append(ids)
-                size += len(ids)
-                if size > TURN:
-                    turn()
-        if size:
-            turn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([seen]), pa.array([(total / seen).astype(np.float32).tolist()], pa.list_(pa.float32()))], names=["turn", "n", "w"])
-
-    def mean(key, batches) -> pa.Table:
-        total, seen = 0.0, 0
         for batch in batches:
-            for n, w in zip(batch.column("n").to_pylist(), batch.column("w")):
-                total, seen = total + n * np.asarray(w.values, np.float64), seen + n
-        return total, seen
+            for block, then, bounds in _learnt(batch):
+                if len(then):
+                    w = net.train(net.fresh_weights(), skip, v.rank[before(then)], bounds, v.group[then])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(then)]), pa.array([net.packed(w).tolist()], pa.list_(pa.float32()))], names=["block", "n", "w"])
+                    trim()
+
+    def mean(table: pa.Table) -> tuple[int, np.ndarray]:
+        table = table.sort_by("block")
+        n = table.column("n").to_numpy()
+        return int(n.sum()), sum(m * np.asarray(w.values, np.float64) for m, w in zip(n, table.column("w"))) / n.sum()
 
     def averaged(table: pa.Table) -> pa.Table:
-        total, seen = mean(None, table.to_batches())
-        return pa.table({"n": pa.array([seen]), "w": pa.array([(total / seen).astype(np.float32).tolist()], pa.list_(pa.float32()))})
+        n, w = mean(table)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py() // FAN_IN], pa.int32()), "n": pa.array([n]), "w": pa.array([w.astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
-    learnt = whole.mapInArrow(learn, "turn long, n long, w array<float>")
-    some = learnt.withColumn("part", F.spark_partition_id().bitwiseAND(F.lit(63))).groupBy("part").applyInArrow(averaged, "n long, w array<float>")
-    got = some.toArrow()
-    if not got.num_rows:
-        return vocabulary, skip, net.fresh_weights(), texts
-    total, seen = mean(None, got.to_batches())
-    return vocabulary, skip, net.unpacked(total / seen), texts
+    learnt = coded.select(*_PARTS).mapInArrow(learn, "block int, n long, w array<float>")
+    many = (coded.agg(F.max("block")).first()[0] or 0) + 1
+    while many > FAN_IN:
+        learnt = learnt.groupBy(F.floor(F.col("block") / FAN_IN)).applyInArrow(averaged, "block int, n long, w array<float>")
+        many = parts(many, FAN_IN)
+    got = learnt.toArrow()
+    return vocabulary, skip, net.unpacked(mean(got)[1]) if got.num_rows else net.fresh_weights(), texts
 
 
 def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -270,37 +287,21 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    vocabulary, skip, weights, texts = fitted(rows.where("not held_out"), ranks)
     size = text_bytes(rows)
     blocks, buckets = parts(size, BLOCK_BYTES), parts(size / 40, BUCKET_KEYS)
-    by_block = dealt(rows, blocks, "doc_id", "text", "held_out").select("block", "doc_id", "text", "held_out").groupBy("block")
-    model = spark.sparkContext.broadcast((ranks, vocabulary, skip, weights))
-
-    def block_words(left: pa.Table):
-        """Hashes of the block's words, and the bounds of its rows."""
-        h, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, w in word_pieces(left.column("text")):
-            h.append(w.hashes())
-            counts.append(w.counts)
-        return np.concatenate(h), np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
-
-    def send(left: pa.Table) -> pa.Table:
-        h, bounds = block_words(left)
-        uniq, inverse = distinct(h)
-        learnt = np.repeat(~left.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
-        n = np.bincount(inverse[learnt], minlength=len(uniq)).astype(np.uint32)
-        trim()
-        return pa.Table.from_batches([entry_rows(left.column("block")[0].as_py(), uniq, n, buckets, False)])
-
-    entries = by_block.applyInArrow(send, ENTRY)
-    back = totals(entries, False, "u4", 2**32 - 1)
+    begins = _coder(ranks).begins
+    coded = coded_blocks(rows, ranks, blocks, buckets)
+    vocabulary, skip, weights, texts = fitted(coded, begins)
+    model = spark.sparkContext.broadcast((begins, vocabulary, skip, weights))
+    entries = coded.select("block", F.explode("entries").alias("e")).select("block", "e.bucket", "e.keys", "e.counts")
+    back = totals(entries, False, "u4", 2**53, "u8")
 
     def sizes(table: pa.Table) -> pa.Table:
         keys = unpacked(table.column("keys").to_pylist(), np.uint64)
         n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
         uniq, inverse = distinct(keys)
         each = np.bincount(inverse, weights=n, minlength=len(uniq))
-        return pa.table({"n": pa.array([int(n.sum())]), "v": pa.array([int((each > 0).sum())]), "once": pa.array([int((each == 1).sum())])})
+        return pa.table({"n": pa.array([int(each.sum())]), "v": pa.array([int((each > 0).sum())]), "once": pa.array([int((each == 1).sum())])})
 
     sums = entries.groupBy("bucket").applyInArrow(sizes, "n long, v long, once long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once")])
     told = spark.range(blocks).select(F.col("id").cast("int").alias("block")).join(F.broadcast(sums))  # one row
@@ -309,48 +310,41 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
-        ranks, v, skip, weights = model.value
-        coder = _coder(ranks)
+        begins, v, skip, weights = model.value
         head = right.column("bucket").to_numpy() < 0
         n_all = int(np.asarray(right.column("n"))[head].sum()) + texts
         n_kinds = int(np.asarray(right.column("v"))[head].sum()) + (texts > 0)
         new = float(np.clip(NEW_PER_ONCE * np.asarray(right.column("once"))[head].sum() / max(n_all, 1), *NEW_WORDS))
-        back = joined(right.filter(pa.array(~head)), "u4").astype(np.float64)
-        cut = [(a, b, w, w.hashes()) for a, b, w in word_pieces(left.column("text"), PIECE)]
-        count = back[distinct(np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in cut)]))[1]]
-        spelt, each, index = coded([(w, h) for _, _, w, h in cut], coder)
-        per = np.concatenate([np.zeros(0, np.int64), *(w.counts for _, _, w, _ in cut)])
-        row = np.repeat(np.arange(len(per)), per)
-        scale = np.log10(n_all + 0.5 * (n_kinds + 1))
-        base = np.bincount(row, np.log10(count + 0.5), minlength=len(per)) + np.log10(texts + 0.5) - (per + 1) * scale
-        known = np.bincount(row, count > 0, minlength=len(per)).astype(np.int64) + (texts > 0)
-        score, done = np.zeros(len(per)), 0
-        for a, b, words, h in cut:
-            # what follows each input: the texts' ids, each text closed by an end
-            then, cuts, first, text = spelt_out(spelt, each, index[done : done + len(h)], words)
-            now = before(then)
-            logp, ends = net.scores(weights, skip, v.rank[now], cuts, v.group[then], v.starts)
-            p = logp.astype(np.float64) + v.share[then]
-            # the words and ends of texts in order, and how often each was learnt
-            units = np.sort(np.concatenate((first, cuts[1:] - 1)))
-            mine = np.full(len(units), float(texts))
-            mine[np.arange(len(first)) + text] = count[done : done + len(h)]
-            done += len(h)
-            of = np.repeat(np.arange(b - a), words.counts + 1)
-            # that a word ends belongs to it, not to what begins next; a text's first word needs nothing to end before it
-            p[units] -= ends[units]
-            whole = (logp[units] - ends[units]).astype(np.float64) - np.log(np.maximum(v.mass[v.group[then[units]]], 1))
-            word = np.add.reduceat(p, units)
-            after = np.flatnonzero(of[1:] == of[:-1])
-            word[after] += ends[units[after + 1]]
-            known_part = np.where(mine > 0, np.log(np.maximum((1 - new) * mine, 1e-300)) + whole, -np.inf)
-            mixed = np.logaddexp(np.log(new) + word, known_part)
-            score[a:b] = np.bincount(of, mixed, minlength=b - a) / np.log(10)
-        del cut
+        blob = lambda name, kind: np.frombuffer(left.column(name)[0].as_buffer(), kind)
+        # what follows each input: the texts' ids, each text closed by an end
+        then, cuts = blob("ids", "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(blob("sizes", "<i8"))))
+        count = joined(right.filter(pa.array(~head)), "u8").astype(np.float64)[blob("words", "<u4")]
+        # the words and ends of texts in order, and how often each was learnt
+        units = np.flatnonzero(begins[then])
+        is_end = then[units] == net.END
+        of = np.cumsum(is_end) - is_end
+        per = np.bincount(of, minlength=len(cuts) - 1)
+        mine = np.full(len(units), float(texts))
+        mine[~is_end] = count
+        base = np.bincount(of, np.log10(mine + 0.5), minlength=len(per)) - per * np.log10(n_all + 0.5 * (n_kinds + 1))
+        known = np.bincount(of, mine > 0, minlength=len(per)).astype(np.int64)
+        logp, ends = net.scores(weights, skip, v.rank[before(then)], cuts, v.group[then], v.starts)
+        p = logp.astype(np.float64) + v.share[then]
+        # that a word ends belongs to it, not to what begins next; a text's first word needs nothing to end before it
+        p[units] -= ends[units]
+        whole = (logp[units] - ends[units]).astype(np.float64) - np.log(np.maximum(v.mass[v.group[then[units]]], 1))
+        word = np.add.reduceat(p, units)
+        after = np.flatnonzero(of[1:] == of[:-1])
+        word[after] += ends[units[after + 1]]
+        known_part = np.where(mine > 0, np.log(np.maximum((1 - new) * mine, 1e-300)) + whole, -np.inf)
+        score = np.bincount(of, np.logaddexp(np.log(new) + word, known_part), minlength=len(per)) / np.log(10)
+        values = lambda name: left.column(name).combine_chunks().flatten()
+        out = pa.table({"doc_id": values("doc_id"), "held_out": values("held_out"), "n_tokens": pa.array(per), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(per), n_all)), "base_score": pa.array(base), "score": pa.array(score)})
         trim()
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(per + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(per), n_all)), "base_score": pa.array(base), "score": pa.array(score)})
+        return out
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     empty = spark.createDataFrame([], schema).toArrow()
-    return by_block.cogroup(right.groupBy("block")).applyInArrow(finish, schema)
+    left = coded.select("block", "doc_id", "held_out", "sizes", "ids", "words")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(finish, schema)

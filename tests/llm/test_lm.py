@@ -105,24 +105,92 @@ def test_mixture_is_a_distribution(ranks):
     assert (p[v.group] * np.exp(v.share)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def fit(spark, texts, ranks, parts=1):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("cast(null as long) as doc_id", "coalesce(text, '') as text", "false as held_out")
+    return lm.fitted(lm.coded_blocks(rows.repartition(parts), ranks, 1, 1), lm.Subwords(ranks).begins)
+
+
 def test_all_of_a_text_is_learnt(spark, ranks):
     """Texts that begin alike and hold the same words and pairs of words, in another order after their first 200 bytes."""
     head, n = "the start of it " * 15, 60
     one, two = head + "on in on th " * n, head + "on in " * n + "on th " * n
-    fit = lambda text: lm.fitted(spark.createDataFrame([(text,)] * 4, "text string").repartition(1), ranks)
-    (_, skip, weights, texts), (_, same, others, _) = fit(one), fit(two)
+    (_, skip, weights, texts), (_, same, others, _) = (fit(spark, [x] * 4, ranks) for x in (one, two))
     assert texts == 4 and np.array_equal(skip, same)
     assert not np.allclose(net.packed(weights), net.packed(others))
 
 
-def test_table_of_the_last_id_counts_whole_texts(spark, ranks):
+def test_tables_count_whole_texts(spark, ranks):
     texts = ["the start of it " * 20 + f"on in {i} th " * 700 for i in range(3)] + ["", None]
-    v, skip, _, _ = lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string"), ranks)
+    v, skip, _, _ = fit(spark, texts, ranks, 3)
     coder, counts, cells = lm.Subwords(ranks), np.zeros(net.END + 1), np.zeros((net.RANKS, net.CLASSES))
-    for t in texts:
-        ids = [net.END, *coder.each(lm.words_of((t or "").encode()))[0], net.END]
+    every = [[net.END, *coder.each(lm.words_of((t or "").encode()))[0], net.END] for t in texts]
+    for ids in every:
         for a, b in zip(ids[:-1], ids[1:]):
             counts[b] += 1
             cells[v.rank[a], v.group[b]] += 1
-    prior = np.bincount(v.group, counts + 0.01, minlength=net.CLASSES) + 0.01
+    prior = np.bincount(v.group, counts + 0.01, minlength=net.CLASSES)
     assert np.allclose(skip, net.skip_table(cells, prior / prior.sum()), atol=1e-5)
+    # the classes come from what stands before ids, counted by hand
+    frequent = net.by_frequency(counts)[: net.SINGLES].tolist()
+    near = np.zeros((net.END + 1, net.SINGLES))
+    for ids in every:
+        last = 0
+        for i in ids[1:]:
+            near[i, last] += last > 0
+            last = frequent.index(i) if i in frequent else last
+    assert np.array_equal(v.group, net.Vocabulary.of(counts, coder.begins, near).group)
+
+
+def test_classes_follow_what_stands_near():
+    rng = np.random.default_rng(4)
+    side = rng.integers(0, 2, 400)
+    near = rng.poisson(np.where(side[:, None] == np.arange(10)[None, :] % 2, 8.0, 0.3))
+    of = net.clusters(near.astype(float), np.ones(400))
+    assert all(len(set(side[of == c])) <= 1 for c in range(net.KINDS))
+
+
+def prose(n, seed=7):
+    """Texts in two made-up languages, whose words keep together."""
+    rnd = random.Random(seed)
+    tongues = [["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(300)] for parts in (["th", "er", "on", "in", "an"], ["eau", "ch", "qu", "ment", "re"])]
+    return [" ".join(rnd.choices(t, weights=[1 / (i + 1) for i in range(300)], k=rnd.randint(20, 120))) for t in (rnd.choice(tongues) for _ in range(n))]
+
+
+def test_scores_do_not_hang_on_partitions_and_beat_word_counts(spark, ranks, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    docs = spark.createDataFrame([*enumerate(prose(900))], "doc_id long, text string")
+    one, two = ({r.doc_id: r for r in lm.scored(d, ranks).collect()} for d in (docs, docs.repartition(7)))
+    assert one == two
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_score_against_a_plain_reading(spark, ranks):
+    """score, text by text and id by id, from the model's full distributions."""
+    texts = [*prose(60, 8), "Zyx unheard-of eau", "", "on in th"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.scored(docs, ranks).collect()}
+    coder = lm.Subwords(ranks)
+    rows = docs.select("doc_id", "text", lm.held_out().alias("held_out"))
+    v, skip, w, n_texts = lm.fitted(lm.coded_blocks(rows, ranks, 1, 1), coder.begins)
+    count = collections.Counter(x for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for x in lm.words_of(t.encode()))
+    total = sum(count.values()) + n_texts
+    new = min(max(lm.NEW_PER_ONCE * sum(c == 1 for c in count.values()) / total, lm.NEW_WORDS[0]), lm.NEW_WORDS[1])
+    for i, t in enumerate(texts):
+        words = [coder.each([x])[0].tolist() for x in lm.words_of(t.encode())] + [[net.END]]
+        ids = [net.END, *sum(words, [])]
+        at, _ = net.windows(np.array([0, len(ids) - 1]))
+        p = np.exp(net.forward(w, skip, v.rank[np.array(ids[:-1])], at).astype(float))[: len(ids) - 1]  # classes after each input
+        score, k = 0.0, 0
+        for x, word in zip([*lm.words_of(t.encode()), None], words):
+            first = p[k][v.group[word[0]]] / p[k][v.starts].sum()
+            spelt = first * math.exp(v.share[word[0]])
+            for j, piece in enumerate(word[1:], 1):
+                spelt *= p[k + j][v.group[piece]] * math.exp(v.share[piece])
+            k += len(word)
+            if x is not None:
+                spelt *= p[k][v.starts].sum()  # the word ends
+            c = n_texts if x is None else count[x]
+            score += math.log10(new * spelt + (1 - new) * c * first / max(v.mass[v.group[word[0]]], 1))
+        assert got[i].score == pytest.approx(score, rel=2e-4)

@@ -20,6 +20,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,14 +164,15 @@ def coded_blocks(rows: DataFrame, ranks: bytes, blocks: int, buckets: int) -> Da
         some = np.flatnonzero(seen)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         blob = lambda x, as_: pa.array([x.astype(as_).tobytes()], pa.binary())
+        small = zstandard.ZstdCompressor(level=1)
         out = pa.table(
             {
                 "block": pa.array([block], pa.int32()),
                 "doc_id": one(left.column("doc_id").combine_chunks()),
                 "held_out": one(left.column("held_out").combine_chunks()),
                 "sizes": blob(sizes, "<i8"),
-                "ids": blob(ids, "<u2"),
-                "words": blob(inverse, "<u4"),
+                "ids": pa.array([small.compress(ids.astype("<u2").tobytes())], pa.binary()),
+                "words": pa.array([small.compress(inverse.astype("<u4").tobytes())], pa.binary()),
                 "entries": one(pa.StructArray.from_arrays(rows.columns[1:], names=rows.schema.names[1:])),
                 "seen_ids": blob(some, "<u2"),
                 "seen": blob(seen[some], "<i8"),
@@ -185,13 +187,17 @@ def coded_blocks(rows: DataFrame, ranks: bytes, blocks: int, buckets: int) -> Da
     return saved(dealt_rows.groupBy("block").applyInArrow(code, schema))
 
 
+def _wide(x: pa.BinaryScalar, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), kind)
+
+
 _PARTS = ("block", "ids", "sizes", "held_out")
 
 
 def _learnt(batch: pa.RecordBatch):
     """(block, ids, bounds) of each block's training texts; batch: the columns of _PARTS."""
     for k in range(batch.num_rows):
-        ids, sizes = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((1, "<u2"), (2, "<i8")))
+        ids, sizes = _wide(batch.column(1)[k], "<u2"), np.frombuffer(batch.column(2)[k].as_buffer(), "<i8")
         mine = ~batch.column(3)[k].values.to_numpy(zero_copy_only=False)
         yield batch.column(0)[k].as_py(), ids[np.repeat(mine, sizes)].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[mine])))
 
@@ -315,10 +321,9 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
         n_all = int(np.asarray(right.column("n"))[head].sum()) + texts
         n_kinds = int(np.asarray(right.column("v"))[head].sum()) + (texts > 0)
         new = float(np.clip(NEW_PER_ONCE * np.asarray(right.column("once"))[head].sum() / max(n_all, 1), *NEW_WORDS))
-        blob = lambda name, kind: np.frombuffer(left.column(name)[0].as_buffer(), kind)
         # what follows each input: the texts' ids, each text closed by an end
-        then, cuts = blob("ids", "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(blob("sizes", "<i8"))))
-        count = joined(right.filter(pa.array(~head)), "u8").astype(np.float64)[blob("words", "<u4")]
+        then, cuts = _wide(left.column("ids")[0], "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(left.column("sizes")[0].as_buffer(), "<i8"))))
+        count = joined(right.filter(pa.array(~head)), "u8").astype(np.float64)[_wide(left.column("words")[0], "<u4")]
         # the words and ends of texts in order, and how often each was learnt
         units = np.flatnonzero(begins[then])
         is_end = then[units] == net.END

@@ -63,6 +63,19 @@ def unpacked(blobs: list[bytes], kind: type) -> np.ndarray:
     return np.concatenate(out)
 
 
+def plain(counts: np.ndarray) -> bytes:
+    """Counts as bytes; wide ones byte by byte, as their upper bytes are mostly zeros that compression takes away."""
+    return counts.tobytes() if counts.itemsize < 4 else np.ascontiguousarray(counts.view(np.uint8).reshape(-1, counts.itemsize).T).tobytes()
+
+
+def counted(blobs: list[bytes], kind: str) -> np.ndarray:
+    """The counts of plain() blobs, one blob after the other."""
+    size = np.dtype(kind).itemsize
+    if size < 4:
+        return np.frombuffer(b"".join(blobs), kind)
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs)])
+
+
 def entry_rows(block: int, at: np.ndarray, counts: np.ndarray, buckets: int, narrow: bool) -> pa.RecordBatch:
     """at: distinct places in ascending order."""
     b = bucket_of(at, buckets, narrow)
@@ -75,7 +88,7 @@ def entry_rows(block: int, at: np.ndarray, counts: np.ndarray, buckets: int, nar
             pa.array(np.full(len(firsts), block, np.int32)),
             pa.array(b[firsts].astype(np.int32)) if len(firsts) else pa.array([], pa.int32()),
             pa.array([packed(keys[i:j]) for i, j in zip(firsts, lasts)], pa.binary()),
-            pa.array([counts[i:j].tobytes() for i, j in zip(firsts, lasts)], pa.binary()),
+            pa.array([plain(counts[i:j]) for i, j in zip(firsts, lasts)], pa.binary()),
         ],
         names=["block", "bucket", "keys", "counts"],
     )
@@ -91,11 +104,11 @@ def totals(entries: DataFrame, narrow: bool, kind: str, cap: int, wide: str | No
     def add(table: pa.Table) -> pa.Table:
         blobs = table.column("keys").to_pylist()
         keys = unpacked(blobs, key)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
+        counts = counted(table.column("counts").to_pylist(), kind)
         _, inverse = distinct(keys)
         total = np.minimum(np.bincount(inverse, weights=counts), cap).astype(wide or kind)[inverse]
         ends = np.cumsum([len(x) // keys.itemsize for x in blobs])
-        out = [total[i:j].tobytes() for i, j in zip(np.concatenate(([0], ends[:-1])), ends)]
+        out = [plain(total[i:j]) for i, j in zip(np.concatenate(([0], ends[:-1])), ends)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(out, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(add, TOTAL)
@@ -107,7 +120,7 @@ def joined(table: pa.Table, kind: str) -> np.ndarray:
         return np.zeros(0, kind)
     order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
     blobs = table.column("counts").to_pylist()
-    return np.frombuffer(b"".join(blobs[i] for i in order), kind)
+    return counted([blobs[i] for i in order], kind)
 
 
 def dealt(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:

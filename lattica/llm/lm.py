@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import attention as net
 from ._bytes import Words, trim, word_pieces
 from ._cluster import parts, saved, text_bytes
-from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, totals, unpacked
+from ._exchange import BLOCK_BYTES, BUCKET_KEYS, counted, dealt, distinct, entry_rows, joined, totals, unpacked
 
 #: Blocks whose weights are averaged together.
 FAN_IN = 64
@@ -304,7 +304,7 @@ def scored(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     def sizes(table: pa.Table) -> pa.Table:
         keys = unpacked(table.column("keys").to_pylist(), np.uint64)
-        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        n = counted(table.column("counts").to_pylist(), "u4")
         uniq, inverse = distinct(keys)
         each = np.bincount(inverse, weights=n, minlength=len(uniq))
         return pa.table({"n": pa.array([int(each.sum())]), "v": pa.array([int((each > 0).sum())]), "once": pa.array([int((each == 1).sum())])})

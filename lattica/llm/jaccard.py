@@ -9,7 +9,8 @@ Scale: documents with the same set are one class, and only one of them goes on.
 blockwise exchange (see _exchange). Shingles that only one class has cannot join and are dropped from prefixes, and
 classes with too few shared shingles leave early. Where one shingle is in the prefixes of many classes, the classes
 are first compared with one centre each, the one whose shingles are the most shared; what those links connect needs no more comparing, so only classes of different
-components are then paired, all of them.
+components are then paired, all of them. Every entry of a shingle carries its frequency, so both sides of a join agree on
+how many parts of HOT entries it is split into: no key gets more rows than that, and pairs of parts meet one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from ._cluster import components, free_shuffles, parts, saved
 from ._exchange import BLOCK_BYTES, BUCKET_KEYS, ENTRY, dealt, distinct, entry_rows, joined, place, totals
 
 RANGES = 16
-LIVE = "fp long, n int, weight long, prefix array<long>, at array<int>, spread array<int>, items binary"
+#: Entries of one shingle that are handled together.
+HOT = 1024
+LIVE = "fp long, n int, weight long, prefix array<long>, at array<int>, freq array<int>, spread array<int>, items binary"
 
 
 def required(n: int, m: int, percent: int) -> int:
@@ -83,17 +86,17 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
         at, n = np.unique(place(values, buckets, True), return_counts=True)
         trim()
         block = (left if left.num_rows else right).column("block")[0].as_py()
-        return pa.Table.from_batches([entry_rows(block, at, np.minimum(n, 255).astype(np.uint8), buckets, True)])
+        return pa.Table.from_batches([entry_rows(block, at, n.astype(np.uint32), buckets, True)])
 
     entries = text.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, ENTRY)
-    back = totals(entries, True, "u1", 255)
+    back = totals(entries, True, "u4", 2**31 - 1)
     right = chosen.select("block", F.lit(-1).alias("bucket"), "bh", F.lit(None).cast("binary").alias("counts")).unionByName(back.select("block", "bucket", F.lit(None).cast("long").alias("bh"), "counts"))
 
     def prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
         head = np.asarray(right.column("bucket").to_numpy()) < 0
         values, bounds, fps = _block_sets(left, right.filter(pa.array(head)), size) if left.num_rows and head.any() else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64))
         at = place(values, buckets, True)
-        many = joined(right.filter(pa.array(~head)), "u1")[distinct(at)[1]] if len(at) else np.zeros(0, np.uint8)
+        many = joined(right.filter(pa.array(~head)), "u4")[distinct(at)[1]] if len(at) else np.zeros(0, np.uint32)
         n = np.diff(bounds)
         rows = np.repeat(np.arange(len(n)), n)
         least = -(-percent * n // 100)
@@ -119,6 +122,7 @@ def _live_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
                 "weight": pa.array(np.bincount(rows, weights=many, minlength=len(n))[ids].astype(np.int64)),
                 "prefix": pa.ListArray.from_arrays(cuts, pa.array(values[order][keep].view(np.int64))),
                 "at": pa.ListArray.from_arrays(cuts, pa.array(pos[keep].astype(np.int32))),
+                "freq": pa.ListArray.from_arrays(cuts, pa.array(many[order][keep].astype(np.int32))),
                 "spread": pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * RANGES).astype(np.int32)), pa.array(spread)),
                 "items": binary_rows(values[inside], sets),
             }
@@ -163,22 +167,38 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(_may_reach(percent)).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
 
 
+def _parts_of(freq: str = "freq") -> F.Column:
+    """How many parts the entries of a shingle are split into."""
+    return F.ceil(F.col(freq) / F.lit(HOT)).cast("int")
+
+
+def _for_parts(rows: DataFrame, *names: str) -> DataFrame:
+    """rows once for each value of the named columns, which count the parts of their shingle."""
+    for name in names:
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), _parts_of() - 1)))
+    return rows
+
+
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes, enough to connect all that the join's links connect."""
     spark = live.sparkSession
-    tokens = live.select("fp", "n", "weight", F.explode(F.arrays_zip("prefix", "at")).alias("x")).select("fp", "n", "weight", F.col("x.prefix").alias("token"), F.col("x.at").alias("at"))
-    centre = tokens.groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "at")).alias("c"), F.count("*").alias("many")).where("many > 1")
-    near = tokens.join(centre, "token").where("fp <> c.fp").select(F.col("c.fp").alias("a_fp"), F.col("c.n").alias("a_n"), F.col("c.at").alias("a_at"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    tokens = live.select("fp", "n", "weight", F.explode(F.arrays_zip("prefix", "at", "freq")).alias("x")).select("fp", "n", "weight", F.col("x.prefix").alias("token"), F.col("x.at").alias("at"), F.col("x.freq").alias("freq"))
+    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("fp"), _parts_of()).cast("int"))
+    centre = tokens.groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "at")).alias("c"), F.max("freq").alias("freq"), F.count("*").alias("many")).where("many > 1")
+    near = tokens.join(_for_parts(centre.select("token", "c", "freq"), "part").drop("freq"), ["token", "part"]).where("fp <> c.fp")
+    near = near.select(F.col("c.fp").alias("a_fp"), F.col("c.n").alias("a_n"), F.col("c.at").alias("a_at"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     tried = saved(_pairs(near, percent))
     links = saved(_verified(tried, live, percent))
     comps = components(links)
     told = tokens.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    mixed = told.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    told = saved(told.join(mixed, "token"))
-    main = told.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    told = told.join(main, "token").withColumn("is_main", F.col("component") == F.col("main"))
-    side = lambda p, df: df.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("fp", "n", "at", "component", "is_main")])
-    cross = side("a", told.where("not is_main")).join(side("b", told), "token").where("a_component <> b_component and (b_is_main or a_fp < b_fp)")
+    # of shingles whose entries are still of several components, the one with the most of them
+    many = told.groupBy("token", "component").agg(F.count("*").alias("n"), F.max("freq").alias("freq"))
+    main = many.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"), F.max("freq").alias("freq")).where("kinds > 1")
+    told = saved(told.join(_for_parts(main.select("token", "main", "freq"), "part").drop("freq"), ["token", "part"]))
+    told = told.withColumn("is_main", F.col("component") == F.col("main"))
+    side = lambda p, df: df.select("token", "i", "j", *[F.col(c).alias(f"{p}_{c}") for c in ("fp", "n", "at", "component", "is_main")])
+    left, right = _for_parts(told.where("not is_main").withColumn("i", F.col("part")), "j"), _for_parts(told.withColumn("j", F.col("part")), "i")
+    cross = side("a", left).join(side("b", right), ["token", "i", "j"]).where("a_component <> b_component and (b_is_main or a_fp < b_fp)")
     rest = saved(_pairs(cross, percent).join(tried, ["a", "b"], "left_anti"))
     free_shuffles(spark)
     return saved(links.unionByName(_verified(rest, live, percent)))

@@ -43,8 +43,9 @@ def texts(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_same_as_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 1024), (2, 3)])
+def test_same_as_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     t = [*texts(seed), None, "", " \t\n", "one two", "ONE  two", "é É", "x " * 5000]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("block", F.lit("x")).withColumn("n", F.lit(None).cast("int"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}

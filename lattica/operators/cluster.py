@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scale import kept, running
 from .graph import filter_by_rank_and_threshold
 
 BLOCK = 4096
-#: Up to so many edges a graph is clustered in one task; larger ones in distributed rounds.
+#: Up to so many edges a graph is clustered in one task; the steps, and the labels, are the same beyond.
 TASK_EDGES = 20_000_000
 
 
@@ -19,7 +20,7 @@ def feature_knn(embedding: DataFrame, k: int = 50) -> DataFrame:
 
     Blocks of cells meet in pairs, and each pair keeps its k best of every cell, so no task holds more than two blocks.
     """
-    e = embedding.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("pc").cast("array<double>").alias("pc"))
+    e = kept(embedding.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("pc").cast("array<double>").alias("pc")))
     blocks = max(1, -(-e.count() // BLOCK))
     home = F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -82,96 +83,212 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def _move(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, comm: np.ndarray, resolution: float, total: float, within: np.ndarray | None, sweeps: int) -> np.ndarray:
-    """Local moving over nodes in a fixed order; within keeps moves inside those groups."""
-    order = np.argsort(src, kind="stable")
-    s, d, ww = src[order], dst[order], w[order]
-    first = np.searchsorted(s, np.arange(n + 1))
-    size = np.bincount(comm, k, minlength=n)
-    queue, queued = list(range(n)), np.ones(n, bool)
-    turns = 0
-    while queue and turns < sweeps * n:
-        nxt = []
-        for v in queue:
-            queued[v] = False
-            turns += 1
-            a, b = first[v], first[v + 1]
-            if a == b:
-                continue
-            near, nw = d[a:b], ww[a:b]
-            if within is not None:
-                same = within[near] == within[v]
-                near, nw = near[same], nw[same]
-            own = comm[v]
-            size[own] -= k[v]
-            c, back = np.unique(np.append(comm[near], own), return_inverse=True)
-            gain = np.bincount(back[:-1], nw, minlength=len(c)) - resolution * k[v] * size[c] / (2 * total)
-            best = int(np.argmax(gain))
-            stay = int(np.searchsorted(c, own))
-            new = c[best] if gain[best] > gain[stay] + 1e-12 else own
-            size[new] += k[v]
-            if new != own:
-                comm[v] = new
-                for x in near[(comm[near] != new) & ~queued[near]]:
-                    queued[x] = True
-                    nxt.append(int(x))
-        queue = nxt
-    return comm
-
-
-def leiden_numpy(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, iterations: int = -1, seed: int = 1234) -> np.ndarray:
-    """Communities of an undirected graph (each edge once) by local moving, refinement and aggregation.
-
-    Maximises sum over communities of e_c - resolution * K_c**2 / (4 m). Labels run from the largest community down.
+def _mix(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 makes of 64-bit integers, one by one, from the hash so far."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (seed + five + np.uint64(8)) ^ (turn(values * two, 31) * one)
+        h = turn(h, 27) * one + four
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
+def coin(seed: int, r: int, ids: np.ndarray) -> np.ndarray:
+    """For each id whether its turn comes in round r; _coin() is the same as a column."""
+    h = np.full(len(ids), 42, np.uint64)
+    for x in (np.full(len(ids), seed), np.full(len(ids), r), ids):
+        h = _mix(x.astype(np.int64).view(np.uint64), h)
+    return (h & np.uint64(1)) == 0
+
+
+def _coin(seed: int, r: int, column: str) -> F.Column:
+    return F.xxhash64(F.lit(seed).cast("long"), F.lit(r).cast("long"), F.col(column).cast("long")).bitwiseAND(F.lit(1)) == 0
+
+
+#: Rounds of moving and of refining at each level, at most, and passes over all levels.
+MOVES, REFINES, PASSES = 60, 20, 10
+
+
+class LocalGraph:
+    """A graph of one task. ids ascend; src, dst: each edge in both directions; c: communities; node: of each cell."""
+
+    def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, seed: int):
+        self.first = (ids, np.concatenate((src, dst)), np.concatenate((dst, src)), np.concatenate((w, w)).astype(np.int64))
+        self.k0 = np.bincount(self.first[1], self.first[3], minlength=len(ids))
+        self.total, self.resolution, self.seed = float(self.k0.sum()), resolution, seed
+        self.cells = ids.copy()
+
+    def begin(self) -> None:
+        self.ids, self.src, self.dst, self.w = self.first
+        self.k, self.c, self.node = self.k0, self.cells, np.arange(len(self.ids))
+
+    def _gains(self, groups: np.ndarray, use: np.ndarray, own: bool) -> tuple:
+        """Node, group and gain of each node's neighbouring groups, over the edges in use; and, with own, its own group."""
+        names, g = np.unique(groups, return_inverse=True)
+        key = self.src[use] * len(names) + g[self.dst[use]]
+        w = self.w[use]
+        if own:
+            key, w = np.concatenate((key, np.arange(len(g)) * len(names) + g)), np.concatenate((w, np.zeros(len(g), np.int64)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = np.flatnonzero(np.concatenate(([len(key) > 0], key[1:] != key[:-1])))
+        e = np.add.reduceat(w[order], start).astype(float) if len(start) else np.zeros(0)
+        v, to = key[start] // len(names), key[start] % len(names)
+        size = np.bincount(g, self.k, minlength=len(names))
+        gain = e - self.resolution * self.k[v] * (size[to] - np.where(to == g[v], self.k[v], 0)) / self.total
+        return v, names[to], gain
+
+    @staticmethod
+    def _best(v: np.ndarray, to: np.ndarray, gain: np.ndarray) -> tuple:
+        order = np.lexsort((to, -gain, v))
+        first = order[np.flatnonzero(np.concatenate(([len(v) > 0], v[order][1:] != v[order][:-1])))]
+        return v[first], to[first], gain[first]
+
+    def move(self, r: int) -> int:
+        v, to, gain = self._gains(self.c, np.ones(len(self.src), bool), True)
+        stay = np.empty(len(self.ids))
+        mine = to == self.c[v]
+        stay[v[mine]] = gain[mine]
+        v, to, gain = self._best(v, to, gain)
+        want = gain > stay[v]
+        go = want & coin(self.seed, r, self.ids[v])
+        self.c = self.c.copy()
+        self.c[v[go]] = to[go]
+        return int(want.sum())
+
+    def split(self) -> None:
+        self.f = self.ids.copy()
+
+    def refine(self, r: int) -> int:
+        names, of, many = np.unique(self.f, return_inverse=True, return_counts=True)
+        alone = many[of] == 1
+        use = (self.c[self.src] == self.c[self.dst]) & (self.f[self.src] != self.f[self.dst]) & alone[self.src]
+        v, to, gain = self._gains(self.f, use, False)
+        some = gain > 0
+        v, to, gain = v[some], to[some], gain[some]
+        want = len(np.unique(v))
+        may = coin(self.seed, -1 - r, self.ids[v]) & ~coin(self.seed, -1 - r, to)
+        v, to, _ = self._best(v[may], to[may], gain[may])
+        self.f = self.f.copy()
+        self.f[v] = to
+        return want
+
+    def shrink(self) -> bool:
+        names, of = np.unique(self.f, return_inverse=True)
+        if len(names) == len(self.ids):
+            return False
+        c = np.empty(len(names), np.int64)
+        c[of] = self.c
+        src, dst = of[self.src], of[self.dst]
+        apart = src != dst
+        key, inverse = np.unique(src[apart] * len(names) + dst[apart], return_inverse=True)
+        self.w = np.bincount(inverse, self.w[apart], minlength=len(key)).astype(np.int64)
+        self.src, self.dst = key // len(names), key % len(names)
+        self.k, self.ids, self.c, self.node = np.bincount(of, self.k), names, c, of[self.node]
+        return True
+
+    def end(self) -> tuple[int, int]:
+        """Communities of the cells; the weight inside them, each edge twice, and the sum of their squared strengths."""
+        self.cells = self.c[self.node]
+        _, src, dst, w = self.first
+        inside = int(w[self.cells[src] == self.cells[dst]].sum())
+        return inside, sum(int(x) ** 2 for x in np.bincount(np.unique(self.cells, return_inverse=True)[1], self.k0))
+
+
+class SpreadGraph:
+    """The same steps over tables: edges(src, dst, w) once each, whole numbers."""
+
+    def __init__(self, edges: DataFrame, resolution: float, seed: int):
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        self.first = kept(both)
+        self.cells = kept(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")))
+        self.total, self.resolution, self.seed = float(self.cells.agg(F.sum("k")).first()[0] or 0), resolution, seed
+
+    def begin(self) -> None:
+        self.edges, self.nodes = self.first, self.cells
+        self.node = self.cells.select(F.col("id").alias("cell_id"), F.col("id").alias("node"))
+
+    def _gain(self, own: str, group: str) -> F.Column:
+        size = F.col("size") - F.when(F.col(group) == F.col(own), F.col("k")).otherwise(F.lit(0))
+        return F.col("e").cast("double") - F.lit(self.resolution) * F.col("k").cast("double") * size.cast("double") / F.lit(self.total)
+
+    def move(self, r: int) -> int:
+        of = self.nodes.select(F.col("id").alias("dst"), "c")
+        near = self.edges.join(of, "dst").select("src", "c", "w").unionByName(self.nodes.select(F.col("id").alias("src"), "c", F.lit(0).cast("long").alias("w")))
+        size = self.nodes.groupBy("c").agg(F.sum("k").alias("size"))
+        mine = self.nodes.select(F.col("id").alias("src"), "k", F.col("c").alias("own"))
+        told = near.groupBy("src", "c").agg(F.sum("w").alias("e")).join(size, "c").join(mine, "src").withColumn("gain", self._gain("own", "c"))
+        best = told.groupBy("src", "k", "own").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        want = F.col("best.gain") > F.col("stay")
+        new = kept(best.select(F.col("src").alias("id"), "k", F.when(want & _coin(self.seed, r, "src"), -F.col("best.c")).otherwise(F.col("own")).alias("c"), want.alias("want")))
+        self.nodes = new.select("id", "k", "c")
+        return new.where("want").count()
+
+    def split(self) -> None:
+        self.fine = self.nodes.withColumn("f", F.col("id"))
+
+    def refine(self, r: int) -> int:
+        many = self.fine.groupBy("f").agg(F.count("*").alias("many"), F.sum("k").alias("size"))
+        alone = self.fine.join(many.where("many = 1").select("f"), "f", "left_semi").select(F.col("id").alias("src"), "k", F.col("c").alias("own_c"), F.col("f").alias("own"))
+        to = self.fine.select(F.col("id").alias("dst"), "c", "f")
+        near = self.edges.join(alone, "src").join(to, "dst").where("c = own_c and f <> own").groupBy("src", "k", "own", "f").agg(F.sum("w").alias("e"))
+        told = near.join(many.select("f", "size"), "f").withColumn("gain", self._gain("own", "f")).where("gain > 0")
+        may = _coin(self.seed, -1 - r, "src") & ~_coin(self.seed, -1 - r, "f")
+        best = kept(told.groupBy("src").agg(F.max(F.when(may, F.struct("gain", (-F.col("f")).alias("f")))).alias("best")))
+        go = best.where("best is not null").select(F.col("src").alias("id"), (-F.col("best.f")).alias("to"))
+        self.fine = kept(self.fine.join(go, "id", "left").select("id", "k", "c", F.coalesce("to", "f").alias("f")))
+        return best.count()
+
+    def shrink(self) -> bool:
+        nodes = kept(self.fine.groupBy(F.col("f").alias("id")).agg(F.sum("k").alias("k"), F.max("c").alias("c")))
+        if nodes.count() == self.fine.count():
+            return False
+        of = self.fine.select("id", "f")
+        ends = self.edges.join(of.select(F.col("id").alias("src"), F.col("f").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("f").alias("b")), "dst")
+        self.edges = kept(ends.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        self.node = kept(self.node.join(of.withColumnRenamed("id", "node"), "node").select("cell_id", F.col("f").alias("node")))
+        self.nodes = nodes
+        return True
+
+    def end(self) -> tuple[int, int]:
+        told = self.node.join(self.nodes.select(F.col("id").alias("node"), "c"), "node").select(F.col("cell_id").alias("id"), "c")
+        self.cells = kept(self.cells.select("id", "k").join(told, "id"))
+        a, b = (self.cells.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("src", "dst"))
+        inside = self.first.join(a, "src").join(b, "dst").where("csrc = cdst").agg(F.sum("w")).first()[0] or 0
+        squares = self.cells.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
+        return int(inside), int(squares)
+
+
+def communities(g: LocalGraph | SpreadGraph, iterations: int = -1):
+    """Communities of the cells (g.cells), by rounds of moving, refining and shrinking; then again from what was found, until it is no better.
+
+    Maximises the sum over communities of inside / 2m - resolution * (strength / 2m)**2. In a round all nodes whose turn comes by
+    their coin go to the neighbouring community of the largest gain, the smaller of equals, at once. Refining parts each
+    community again: nodes that are alone join groups of their community that don't move in that round. Weights are whole
+    numbers, so neither the order of sums nor the engine that runs these steps changes a label.
     """
-    total = float(w.sum())
-    if not len(src) or total <= 0:
-        return np.arange(n)
-    rng = np.random.default_rng(seed)
-    shuffle = rng.permutation(n)
-    at = np.empty(n, np.int64)
-    at[shuffle] = np.arange(n)
-    best, best_q = None, -np.inf
-    start = np.arange(n)
-    done = 0
-    while iterations < 0 or done < iterations:
-        node = np.arange(n)  # of each cell in the aggregated graph
-        a, b, x = at[src], at[dst], w.astype(float)
-        k = np.bincount(a, x, minlength=n) + np.bincount(b, x, minlength=n)
-        m, comm = n, start.copy()
+    best, found, done = None, g.cells, 0
+    while g.total > 0 and done < (iterations if iterations >= 0 else PASSES):
+        g.begin()
         while True:
-            loop = a == b
-            both = (np.concatenate((a[~loop], b[~loop])), np.concatenate((b[~loop], a[~loop])), np.concatenate((x[~loop], x[~loop])))
-            comm = _move(m, *both, k, comm, resolution, total, None, 50)
-            fine = _move(m, *both, k, np.arange(m), resolution, total, comm, 1)
-            ids, fine = np.unique(fine, return_inverse=True)
-            if len(ids) == m:
+            for r in range(MOVES):
+                if not g.move(r):
+                    break
+            g.split()
+            for r in range(REFINES):
+                if not g.refine(r):
+                    break
+            if not g.shrink():
                 break
-            up = np.zeros(len(ids), np.int64)
-            up[fine] = comm
-            lead = np.full(m, -1)
-            lead[up[::-1]] = np.arange(len(ids))[::-1]
-            node = fine[node]
-            a, b = np.minimum(fine[a], fine[b]), np.maximum(fine[a], fine[b])
-            key, inv = np.unique(a * len(ids) + b, return_inverse=True)
-            x = np.bincount(inv, x)
-            a, b = key // len(ids), key % len(ids)
-            k = np.bincount(fine, k)
-            m, comm = len(ids), lead[up]
-        cell = comm[node]
-        q = quality(at[src], at[dst], w, cell, resolution)
+        inside, squares = g.end()
+        now = inside / g.total - g.resolution * squares / g.total**2
         done += 1
-        if q <= best_q + 1e-12:
+        if best is not None and now <= best + 1e-12:
             break
-        best, best_q = cell, q
-        start = np.unique(cell, return_inverse=True)[1]
-    out = best[at]
-    ids, inv, count = np.unique(out, return_inverse=True, return_counts=True)
-    first = np.full(len(ids), n)
-    np.minimum.at(first, inv, np.arange(n))
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((first, -count))] = np.arange(len(ids))
-    return rank[inv]
+        best, found = now, g.cells
+    return found
 
 
 def quality(src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, resolution: float = 1.0) -> float:
@@ -182,53 +299,30 @@ def quality(src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, r
 
 
 def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iterations: int = -1, seed: int = 1234) -> DataFrame:
-    """(cell_id, label) by Leiden on undirected edges; cells without edges stay alone.
+    """(cell_id, label) by Leiden on undirected edges: labels from the largest community down, equals by their smallest cell.
 
-    A graph of up to TASK_EDGES edges is clustered in one task; larger ones by propagated_labels(), in distributed rounds.
+    Cells without edges are communities of their own. Weights count in millionths of the largest. A graph of up to TASK_EDGES edges is
+    gone over in one task, a larger one over tables; the steps are the same (see communities()), and so are the labels.
     """
-    g = undirected(edges)
-    if g.limit(TASK_EDGES + 1).count() > TASK_EDGES:
-        return propagated_labels(cells, g, resolution)
-    one = g.select(F.lit(0).alias("g"), "src", "dst", "w").unionByName(cells.select(F.lit(0).alias("g"), F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("w")))
-
-    def run(table: pa.Table) -> pa.Table:
-        src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
-        ids = np.unique(np.concatenate((src, dst)))
-        real = src != dst
-        order = np.lexsort((dst[real], src[real]))
-        a, b = np.searchsorted(ids, src[real][order]), np.searchsorted(ids, dst[real][order])
-        return pa.table({"cell_id": ids, "label": leiden_numpy(len(ids), a, b, w[real][order], resolution, iterations, seed).astype(np.int32)})
-
-    return one.groupBy("g").applyInArrow(run, "cell_id long, label int")
-
-
-def propagated_labels(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, rounds: int = 20) -> DataFrame:
-    """Local moving in distributed rounds: every other cell, by hash, moves to the neighbouring community of the largest gain."""
-    from .graph import _has_checkpoint
-
-    hold = lambda df: df.checkpoint() if _has_checkpoint(df) else df.persist()
-    both = hold(edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
-    degree = hold(both.groupBy("src").agg(F.sum("w").alias("k")))
-    total = both.agg(F.sum("w") / 2).first()[0] or 1.0
-    comm = hold(degree.select(F.col("src").alias("cell_id"), F.col("src").alias("c"), "k"))
-    for r in range(rounds):
-        size = comm.groupBy("c").agg(F.sum("k").alias("kc"))
-        near = both.join(comm.select(F.col("cell_id").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("e"))
-        mine = comm.select(F.col("cell_id").alias("src"), F.col("c").alias("own"), "k")
-        cand = near.join(mine, "src").join(size, "c")
-        cand = cand.withColumn("gain", F.col("e") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total))
-        best = cand.groupBy("src").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("cell_id", F.lit(r)), F.lit(2)) == 0
-        moves = comm.join(best.withColumnRenamed("src", "cell_id"), "cell_id", "left")
-        go = turn & (F.col("top") > F.coalesce("stay", -resolution * F.col("k") * F.lit(0.0)) + 1e-12)
-        new = hold(moves.select("cell_id", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), "k", go.alias("moved")))
-        comm, moved = new.select("cell_id", "c", "k"), new.where("moved").limit(1).count()
-        if not moved and r % 2:
-            break
-    sized = comm.groupBy("c").agg(F.count("*").alias("n"))
-    every = cells.select("cell_id").join(comm, "cell_id", "left").select("cell_id", F.coalesce("c", "cell_id").alias("c"))
-    rank = sized.withColumn("label", (F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).cast("int"))
-    return every.join(rank.select("c", "label"), "c", "left").select("cell_id", F.coalesce("label", F.col("c").cast("int")).alias("label"))
+    g = kept(undirected(edges).where("w > 0"))
+    many, top = g.agg(F.count("*"), F.max("w")).first()
+    whole = g.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.greatest(F.floor(F.col("w") / F.lit(float(top or 1.0)) * 2**20 + 0.5), F.lit(1)).cast("long").alias("w"))
+    ids = cells.select(F.col("cell_id").cast("long").alias("cell_id")).distinct()
+    if many <= TASK_EDGES:
+
+        def run(table: pa.Table) -> pa.Table:
+            src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
+            names = np.unique(np.concatenate((src, dst)))
+            found = communities(LocalGraph(names, np.searchsorted(names, src), np.searchsorted(names, dst), w, resolution, seed), iterations)
+            return pa.table({"cell_id": names, "c": found})
+
+        found = whole.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(run, "cell_id long, c long")
+    else:
+        found = communities(SpreadGraph(whole, resolution, seed), iterations).select(F.col("id").alias("cell_id"), "c")
+    every = kept(ids.join(found, "cell_id", "left").select("cell_id", F.coalesce("c", "cell_id").alias("c")))
+    sized = every.groupBy("c").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
+    number = running(sized, [F.desc("n"), "first"], F.lit(1), "label").select("c", F.col("label").cast("int").alias("label"))
+    return every.join(number, "c").select("cell_id", "label")
 
 
 def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
@@ -258,7 +352,7 @@ def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, roun
         total = p.sum(axis=1, keepdims=True)
         return p / total, float((np.log(total) + top).sum())
 
-    e = e.persist()
+    e = kept(e)
     last = -np.inf
     for _ in range(rounds):
         shared = (weight, mu, cov)
@@ -295,10 +389,10 @@ def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, roun
 
 def find_resolution(cells: DataFrame, edges: DataFrame, n_labels: int, start: float = 0.6, step: float = 0.05, max_iter: int = 25, seed: int = 1234) -> tuple[float, DataFrame]:
     """Walks the resolution by a fixed step until the number of labels matches, or max_iter tries are over; counted in whole steps."""
-    at, edges = 0, undirected(edges).persist()
+    at, edges = 0, kept(undirected(edges))
     for _ in range(max_iter):
         resolution = start + at * step
-        labels = leiden(cells, edges, resolution, seed=seed).persist()
+        labels = kept(leiden(cells, edges, resolution, seed=seed))
         n = labels.select("label").distinct().count()
         if n == n_labels:
             break

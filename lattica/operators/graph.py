@@ -12,74 +12,135 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gaussian_weight_2d, p_equiv_radius
+from ._scale import kept
 
 DECAYS = ("uniform", "reciprocal", "reciprocal_squared", "scaled_gaussian", "ranked")
 #: Below this many cells a sample's cells are all one bucket, which is then exact at once.
 SMALL = 600
+#: Levels of squares: at most, and those that are tried for all squares.
+MOST_LEVELS, STEPS = 40, 3
+#: Squares of one level that are sent to all executors, at most.
+FEW = 20_000
 
 
 def _keys(df: DataFrame, *more: str) -> list[str]:
     return (["sample"] if "sample" in df.columns else []) + list(more)
 
 
-def _pairs(queries: DataFrame, cells: DataFrame, h: Column | float) -> DataFrame:
-    """Pairs of queries and cells in the same or adjacent squares of side h: an equi-join on the square."""
-    by = _keys(cells)
-    square = lambda c, step: F.floor(F.col(c) / step).cast("long")
+def _square(c: str, step: Column | float) -> Column:
+    return F.floor(F.col(c) / step).cast("long")
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """df once for each of the nine squares around its __gx, __gy."""
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    left = queries.withColumn("__gx", square("x", h)).withColumn("__gy", square("y", h))
-    left = left.withColumn("__i", near).withColumn("__j", near).withColumn("__gx", F.col("__gx") + F.col("__i")).withColumn("__gy", F.col("__gy") + F.col("__j")).drop("__i", "__j")
-    right = cells.select(*by, F.col("cell_id").alias("dst"), F.col("x").alias("__x"), F.col("y").alias("__y"), square("x", h).alias("__gx"), square("y", h).alias("__gy"))
-    both = left.join(right, [*by, "__gx", "__gy"]).where("cell_id <> dst")
+    both = df.withColumn("__i", near).withColumn("__j", near)
+    return both.withColumn("__gx", F.col("__gx") + F.col("__i")).withColumn("__gy", F.col("__gy") + F.col("__j")).drop("__i", "__j")
+
+
+def _edges(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    both = left.join(right, keys).where("cell_id <> dst")
     dx, dy = F.col("__x") - F.col("x"), F.col("__y") - F.col("y")
-    out = both.select(*by, F.col("cell_id").alias("src"), "dst", F.sqrt(dx * dx + dy * dy).alias("dist"), dx.alias("dx"), dy.alias("dy"))
-    return out
+    return both.select(*by, F.col("cell_id").alias("src"), "dst", F.sqrt(dx * dx + dy * dy).alias("dist"), dx.alias("dx"), dy.alias("dy"))
+
+
+def _others(cells: DataFrame, *columns: str) -> DataFrame:
+    return cells.select(*_keys(cells), F.col("cell_id").alias("dst"), F.col("x").alias("__x"), F.col("y").alias("__y"), *columns)
+
+
+def _levels(shown: DataFrame, k: int, top: int) -> DataFrame:
+    """(sample, __gx, __gy, __l) of the finest squares: the first level at which the square around holds more than k cells, or the top.
+
+    A square of level l is made of 4**l of the finest. Most squares are settled within STEPS levels, which counts of few squares
+    each decide; only the others go on to the higher ones.
+    """
+    by = _keys(shown)
+    fine = shown.groupBy(*by, "__gx", "__gy").agg(F.count("*").alias("__n"))
+    at = lambda c: F.call_function("shiftright", F.col(c), F.col("__l")).alias(f"__{c[-1]}")
+
+    def settled(of: DataFrame, lo: int, hi: int) -> DataFrame:
+        up = lambda df: df.withColumn("__l", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        counts = up(fine).groupBy(*by, "__l", at("__gx"), at("__gy")).agg(F.sum("__n").alias("__m")).where(F.col("__m") > k)
+        wide = up(of).select(*by, "__gx", "__gy", "__l", at("__gx"), at("__gy"))
+        return wide.join(counts, [*by, "__l", "__x", "__y"]).groupBy(*by, "__gx", "__gy").agg(F.min("__l").alias("__l"))
+
+    squares = fine.select(*by, "__gx", "__gy")
+    low = kept(settled(squares, 0, min(STEPS, top)))
+    rest = squares.join(low, [*by, "__gx", "__gy"], "left_anti")
+    if top <= STEPS:
+        return low.unionByName(rest.withColumn("__l", F.lit(top)))
+    high = settled(rest, STEPS + 1, top)
+    last = rest.join(high, [*by, "__gx", "__gy"], "left").withColumn("__l", F.coalesce("__l", F.lit(top)))
+    return low.unionByName(last)
+
+
+def _ranked(queries: DataFrame, shown: DataFrame, k: int) -> DataFrame:
+    """The k nearest in the nine squares around each query, at its own level __l. shown: cells with their finest squares."""
+    by = _keys(shown)
+    at = lambda c: F.call_function("shiftright", F.col(c), F.col("__l"))
+    left = _around(queries.withColumn("__gx", at("__gx")).withColumn("__gy", at("__gy")))
+    # levels that few squares ask for get only those; a cell is sent once a level that many ask for
+    asked = left.select(*by, "__l", "__gx", "__gy").distinct()
+    per = {r["__l"]: r["n"] for r in asked.groupBy("__l").agg(F.count("*").alias("n")).collect()}
+    right = lambda levels: _others(shown, "__gx", "__gy").withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("__gx", at("__gx")).withColumn("__gy", at("__gy"))
+    many, few = [x for x, n in per.items() if n > FEW], [x for x, n in per.items() if n <= FEW]
+    keys = [*by, "__l", "__gx", "__gy"]
+    parts = [right(many)] if many else []
+    if few:
+        parts.append(right(few).join(F.broadcast(asked.where(F.col("__l").isin(few))), keys, "left_semi"))
+    if not parts:
+        parts = [right([0]).limit(0)]
+    found = _edges(left, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), keys, by)
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst"))).where(F.col("rk") <= k)
 
 
 def knn_graph(cells: DataFrame, k: int, max_radius: float | None = None) -> DataFrame:
     """The k nearest neighbours of each cell by Euclidean distance; with max_radius only edges up to it.
 
-    Cells are bucketed into squares that hold about k + 2 cells, and each is compared with those of its own and the adjacent
-    squares. A cell is done when its k-th distance is at most the square's side; the rest are tried again with doubled squares,
-    until the squares take in everything. Of cells at one point only the k + 1 first can be among anyone's
-    neighbours, so piles of equal coordinates make no large bucket. Cells with a null coordinate have no edges.
+    Squares follow the density: each cell takes the smallest square around it, of sides doubling from level to level, that
+    holds more than k cells, and is compared with those of its own and the adjacent squares of that size. It is done when its
+    k-th distance is at most that side. The k-th distance is at most the square's diagonal, so one level more is enough for
+    the rest: two joins, however cells crowd and stray. Of cells at one point only the k + 1 first can be among anyone's
+    neighbours, so piles of equal coordinates make no large square. Cells with a null coordinate have no edges.
     """
     by = _keys(cells)
     base = cells.select(*by, "cell_id", "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    n, lo_x, hi_x, lo_y, hi_y = base.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    middle = lambda c: F.percentile_approx(c, F.array(F.lit(0.1), F.lit(0.9)), 1000).alias(f"q{c}")
+    n, lo_x, hi_x, lo_y, hi_y, qx, qy = base.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), middle("x"), middle("y")).first()
     spot = Window.partitionBy(*by, "x", "y").orderBy("cell_id")
+    extent = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0), 1e-12) * 1.01
+    if n <= SMALL:
+        side = extent
+    else:
+        # squares of a quarter of k + 2 cells where most cells are
+        w, h = (max(q[1] - q[0], 0.0) for q in (qx, qy))
+        side = math.sqrt(max(w * h, max(w, h) ** 2 * 1e-6) * (k + 2) / (0.64 * n)) / 2 or extent / 1024
+    top = max(0, min(MOST_LEVELS, math.ceil(math.log2(extent / side))))
+    side = extent / 2**top
+    base = base.withColumn("__gx", F.floor((F.col("x") - (lo_x or 0.0)) / side).cast("long")).withColumn("__gy", F.floor((F.col("y") - (lo_y or 0.0)) / side).cast("long"))
     shown = base.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k + 1).drop("__n")
-    extent = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0), 1e-12)
-    area = max(((hi_x or 0) - (lo_x or 0)) * ((hi_y or 0) - (lo_y or 0)), extent * extent * 1e-6)
-    h = extent * 1.01 if n <= SMALL else min(extent * 1.01, math.sqrt(area * (k + 2) / n) * 1.5)
-    order = Window.partitionBy(*by, "src").orderBy("dist", "dst")
-    done, left = None, base
-    while True:
-        ranked = _pairs(left, shown, h).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-        whole = h > extent
-        if whole:
-            done = ranked if done is None else done.unionByName(ranked)
-            break
-        sure = ranked.groupBy(*by, "src").agg(F.count("*").alias("__c"), F.max("dist").alias("__d")).where((F.col("__c") == k) & (F.col("__d") <= h)).select(*by, "src")
-        sure = sure.checkpoint() if _has_checkpoint(cells) else sure.persist()
-        good = ranked.join(sure, [*by, "src"], "left_semi")
-        done = good if done is None else done.unionByName(good)
-        left = left.join(sure.withColumnRenamed("src", "cell_id"), [*by, "cell_id"], "left_anti")
-        if left.isEmpty():
-            break
-        h *= 2
+    if top == 0:
+        done = _ranked(base.withColumn("__l", F.lit(0)), shown, k)
+    else:
+        levels = _levels(shown, k, top)
+        queries = base.join(levels, [*by, "__gx", "__gy"])
+        first = kept(_ranked(queries, shown, k))
+        reached = first.groupBy(*by, "src").agg(F.count("*").alias("__c"), F.max("dist").alias("__d")).withColumnRenamed("src", "cell_id")
+        told = queries.join(reached, [*by, "cell_id"], "left")
+        sure = (F.col("__l") == top) | ((F.coalesce("__c", F.lit(0)) == k) & (F.col("__d") <= F.lit(side) * F.pow(F.lit(2.0), F.col("__l"))))
+        again = kept(told.where(~sure).withColumn("__l", F.col("__l") + 1).drop("__c", "__d"))
+        done = first
+        if not again.isEmpty():
+            done = first.join(again.select(*by, F.col("cell_id").alias("src")), [*by, "src"], "left_anti").unionByName(_ranked(again, shown, k))
     return done if max_radius is None else done.where(F.col("dist") <= max_radius)
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def radius_graph(cells: DataFrame, radius: float) -> DataFrame:
     """All neighbours within the radius (inclusive): a range join as an equi-join on squares of that side."""
     by = _keys(cells)
     base = cells.select(*by, "cell_id", "x", "y").where("x is not null and y is not null")
-    edges = _pairs(base, base, radius).where(F.col("dist") <= radius)
+    base = base.withColumn("__gx", _square("x", radius)).withColumn("__gy", _square("y", radius))
+    edges = _edges(_around(base), _others(base, "__gx", "__gy"), [*by, "__gx", "__gy"], by).where(F.col("dist") <= radius)
     return edges.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst")))
 
 
@@ -92,6 +153,11 @@ def with_theta(edges: DataFrame) -> DataFrame:
     return edges.withColumn("theta", F.atan2("dy", "dx"))
 
 
+def theta_degrees(edges: DataFrame) -> DataFrame:
+    """edges with the angle in degrees, as it is written beside a drawn edge."""
+    return with_theta(edges).withColumn("degrees", F.degrees("theta"))
+
+
 def with_decay(edges: DataFrame, decay: str, k: int) -> DataFrame:
     """edges with weight w. Duplicate coordinates (distance 0) give a null reciprocal; `ranked` counts edges by rising distance."""
     by = Window.partitionBy(*_keys(edges, "src"))
@@ -172,14 +238,16 @@ def empty_rows(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(edges.select(F.col("src").alias("cell_id")), "cell_id", "left_anti")
 
 
-def labels_to_onehot(labels: DataFrame, normalize: bool = True) -> DataFrame:
-    """(label, cell_id, v): a row for each cell, and one without cell for each id up to the largest that no cell has."""
+def labels_to_onehot(labels: DataFrame, normalize: bool = True, gaps: bool = True) -> DataFrame:
+    """(label, cell_id, v): a row for each cell; with gaps also one without cell for each id up to the largest that no cell has."""
     counts = labels.groupBy("label").agg(F.count("*").alias("__n"))
     full = labels.join(F.broadcast(counts), "label") if normalize else labels.withColumn("__n", F.lit(1))
     rows = full.select("label", "cell_id", (1.0 / F.col("__n")).alias("v"))
+    if not gaps:
+        return rows
     top = labels.agg(F.max("label").alias("__m"))
-    gaps = top.select(F.explode(F.sequence(F.lit(0).cast(dict(labels.dtypes)["label"]), F.col("__m"))).alias("label")).join(counts, "label", "left_anti")
-    return rows.unionByName(gaps.select("label", F.lit(None).cast(dict(labels.dtypes)["cell_id"]).alias("cell_id"), F.lit(0.0).alias("v")))
+    every = top.select(F.explode(F.sequence(F.lit(0).cast(dict(labels.dtypes)["label"]), F.col("__m"))).alias("label")).join(counts, "label", "left_anti")
+    return rows.unionByName(every.select("label", F.lit(None).cast(dict(labels.dtypes)["cell_id"]).alias("cell_id"), F.lit(0.0).alias("v")))
 
 
 def onehot_to_labels(onehot: DataFrame) -> DataFrame:

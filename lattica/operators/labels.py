@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scale import kept
+
 
 def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -51,21 +53,33 @@ def _table(t: DataFrame) -> np.ndarray:
     return out
 
 
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k!, by Stirling's series ten places further on."""
+    z = k + 1.0
+    y = z + 10
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - sum(np.log(z + i) for i in range(10))
+
+
 def ami(a: DataFrame, b: DataFrame) -> float:
-    """Adjusted mutual information (mean of entropies), the expected value over hypergeometric tables."""
+    """Adjusted mutual information (mean of entropies), the expected value over hypergeometric tables.
+
+    Only labels by labels come to the driver. Of each pair of labels those overlaps count that lie within 40 standard
+    deviations of their mean, so the work grows with the root of the cells.
+    """
     t = _table(contingency(a, b))
     n, ra, rb = t.sum(), t.sum(axis=1), t.sum(axis=0)
-    if min(t.shape) == 1 and t.shape[0] == t.shape[1] == 1:
+    if not t.size or t.shape == (1, 1):
         return 1.0
     ent = lambda r: -float((r[r > 0] / n * np.log(r[r > 0] / n)).sum())
     some = t > 0
     mi = float((t[some] / n * np.log(n * t[some] / np.outer(ra, rb)[some])).sum())
-    lg = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))))
-    expected = 0.0
-    for x in ra.astype(int):
-        for y in rb.astype(int):
-            k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
-            p = np.exp(lg[x] + lg[y] + lg[int(n) - x] + lg[int(n) - y] - lg[int(n)] - lg[k] - lg[x - k] - lg[y - k] - lg[int(n) - x - y + k])
+    lf, expected = _log_factorial, 0.0
+    for x in ra:
+        for y in rb:
+            wide = 40 * math.sqrt(max(x * y / n * (1 - x / n) * (1 - y / n), 0.0)) + 40
+            k = np.arange(max(1.0, x + y - n, math.floor(x * y / n - wide)), min(x, y, math.ceil(x * y / n + wide)) + 1)
+            p = np.exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k))
             expected += float((k / n * np.log(n * k / (x * y)) * p).sum())
     below = (ent(ra) + ent(rb)) / 2 - expected
     return (mi - expected) / below if abs(below) > 1e-15 else 1.0
@@ -125,46 +139,42 @@ def votes(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return told.withColumn("total", total).join(mine, "src").select(F.col("src").alias("cell_id"), "label", "own", "n", "total")
 
 
-def refined_once(labels: DataFrame, edges: DataFrame, k: int = 6, percentile: float | None = None) -> tuple[DataFrame, DataFrame]:
+def refined_once(labels: DataFrame, edges: DataFrame, percentile: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels after one synchronous vote, and one row with the mean entropy of the votes.
 
     A cell takes the most frequent label of itself and its neighbours (the smallest of equals) where that has at least
-    half of k, rounded down, plus one vote. percentile drops edges as long as that quantile of distances, or longer.
+    half as many votes as it has neighbours, rounded down, plus one. percentile drops edges as long as that quantile of distances, or
+    longer; a cell that is left without neighbours keeps its label.
     """
     if percentile is not None:
         cut = edges.agg(F.percentile("dist", percentile).alias("__cut"))
         edges = edges.join(F.broadcast(cut)).where(F.col("dist") < F.col("__cut")).drop("__cut")
     v = votes(labels, edges)
-    best = v.groupBy("cell_id", "own").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.max("n").alias("n"), F.sum(-F.col("n") / F.col("total") * F.ln(F.col("n") / F.col("total"))).alias("e"))
-    new = F.when((F.col("most") != F.col("own")) & (F.col("n") >= k // 2 + 1), F.col("most")).otherwise(F.col("own"))
+    best = v.groupBy("cell_id", "own").agg(
+        F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.max("n").alias("n"), (F.max("total") - 1).alias("near"), F.sum(-F.col("n") / F.col("total") * F.ln(F.col("n") / F.col("total"))).alias("e")
+    )
+    new = F.when((F.col("most") != F.col("own")) & (F.col("n") >= F.floor(F.col("near") / 2) + 1), F.col("most")).otherwise(F.col("own"))
     return best.select("cell_id", new.alias("label")), best.agg((F.sum("e") / F.count("*")).alias("entropy"))
 
 
-def refined(labels: DataFrame, edges: DataFrame, method: str = "once", iterations: int = 1, k: int = 6) -> tuple[DataFrame, float, int]:
+def refined(labels: DataFrame, edges: DataFrame, method: str = "once", iterations: int = 1) -> tuple[DataFrame, float, int]:
     """Labels, entropy and number of votes. once; num_iter (also iter_num): so many; auto: until entropy is at most 0.05, 19 more at most."""
-    from .graph import _has_checkpoint
-
-    hold = lambda df: df.checkpoint() if _has_checkpoint(df) else df.persist()
     done, entropy = 0, math.inf
     most = {"once": 1, "num_iter": iterations, "iter_num": iterations, "auto": 20}[method]
     while done < most and (method != "auto" or entropy * 100 > 5):
-        labels, e = refined_once(labels, edges, k)
-        labels = hold(labels)
+        labels, e = refined_once(labels, edges)
+        labels = kept(labels)
         entropy, done = e.first()[0], done + 1
     return labels, entropy, done
 
 
 def expanded_ids(ids: list[int], largest: int) -> dict[int, int]:
-    """ids spread evenly over 0..largest, the wider gaps first."""
+    """ids from 0 to largest: their own gaps, and what is left spread evenly between them, the first gaps wider by one."""
     ids = sorted(ids)
     if len(ids) == 1:
         return {ids[0]: 0}
-    gap, extra = divmod(largest, len(ids) - 1)
-    at, out = 0, {}
-    for k, i in enumerate(ids):
-        out[i] = at
-        at += gap + (k < extra)
-    return out
+    gap, extra = divmod(max(largest - (ids[-1] - ids[0]), 0), len(ids) - 1)
+    return {i: i - ids[0] + k * gap + min(k, extra) for k, i in enumerate(ids)}
 
 
 def relabelled(labels: DataFrame, mapping: dict[int, int]) -> DataFrame:
@@ -202,8 +212,13 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j - 1, match[j] - 1) if flip else (match[j] - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def matching(a: DataFrame, b: DataFrame) -> dict[int, int]:
-    """How labels of b are best renamed to those of a: by most shared cells, then extra labels into the widest gaps."""
+def matching(a: DataFrame, b: DataFrame, extra: str = "greedy", seed: int = 0) -> dict[int, int]:
+    """How labels of b are best renamed to those of a: by most shared cells, then extra labels.
+
+    greedy: into the middle of the widest gaps; random: to ids that are free up to the largest of both, drawn by the seed.
+    """
+    if extra not in ("greedy", "random"):
+        raise ValueError("extra must be greedy or random")
     rows = contingency(a, b).collect()  # labels by labels
     ids_a, ids_b = sorted({r.a for r in rows}), sorted({r.b for r in rows})
     gain = np.zeros((len(ids_a), len(ids_b)))
@@ -212,7 +227,11 @@ def matching(a: DataFrame, b: DataFrame) -> dict[int, int]:
     out = {ids_b[j]: ids_a[i] for i, j in assignment(gain)}
     taken = set(out.values())
     top = max([*ids_a, *ids_b])
-    for x in [x for x in ids_b if x not in out]:
+    left = [x for x in ids_b if x not in out]
+    if extra == "random":
+        free = np.array([i for i in range(top + 1) if i not in taken])
+        return out | {x: int(i) for x, i in zip(left, np.random.default_rng(seed).permutation(free))}
+    for x in left:
         used = sorted(taken)
         gaps = [(q - p, p) for p, q in zip(used, used[1:]) if q - p > 1]
         best = max(gaps, key=lambda g: (g[0], -g[1]), default=None)
@@ -222,8 +241,8 @@ def matching(a: DataFrame, b: DataFrame) -> dict[int, int]:
     return out
 
 
-def matched(a: DataFrame, b: DataFrame) -> DataFrame:
-    return relabelled(b, matching(a, b))
+def matched(a: DataFrame, b: DataFrame, extra: str = "greedy", seed: int = 0) -> DataFrame:
+    return relabelled(b, matching(a, b, extra, seed))
 
 
 def matched_series(tables: list[DataFrame], least_first: bool = True) -> list[DataFrame]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scale import kept, running
+
 
 def _clean() -> F.Column:
     return F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x))
@@ -58,6 +62,7 @@ def fit_pca(features: DataFrame, dims: int | float) -> tuple[np.ndarray, np.ndar
 
 def pca(features: DataFrame, dims: int | float = 20) -> DataFrame:
     """(cell_id, pc array<double>): centred projections; each component's largest loading is positive."""
+    features = kept(features)  # read twice
     mean, vectors, _ = fit_pca(features, dims)
     shared = features.sparkSession.sparkContext.broadcast((mean, vectors))
 
@@ -76,25 +81,149 @@ def remaining_variance(ratio: np.ndarray) -> np.ndarray:
     return 1 - np.cumsum(ratio)
 
 
+def _centred(n: int, s: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Singular values of the matrix less its column means, largest first."""
+    return np.sqrt(np.maximum(np.linalg.eigvalsh(g - np.outer(s, s) / max(n, 1))[::-1], 0))
+
+
 def singular_values(features: DataFrame) -> np.ndarray:
-    """Singular values of the matrix as it is, largest first."""
-    return np.sqrt(np.maximum(np.linalg.eigvalsh(gram(features)[2])[::-1], 0))
+    """Singular values of the centred matrix, largest first."""
+    return _centred(*gram(features))
 
 
-def noise_floor(features: DataFrame, permutations: int = 50, average: str = "mean", seed: int = 0) -> float:
-    """The average top singular value when each column is permuted on its own.
+def noise_floor(features: DataFrame, permutations: int = 50, average: str = "mean", seed: int = 0, together: int = 10) -> float:
+    """The average top singular value, centred, when each column is permuted on its own.
 
-    A permutation orders cells by a hash of (seed, column, cell), so it is the same wherever the rows stand; columns are
-    permuted by pairing each one's order with the first column's: one join a permutation.
+    A permutation orders a column's cells by a hash of (seed, permutation, column, cell), so it is the same wherever the rows
+    stand; places in that order come from running sums over ranges, and rows are put together by place. So many permutations go together.
     """
     if average not in ("mean", "median"):
         raise ValueError("average must be mean or median")
-    from pyspark.sql import Window
-
-    long = features.select("cell_id", F.posexplode(_clean()).alias("i", "x"))
+    long = kept(features.select("cell_id", F.posexplode(_clean()).alias("i", "x")))
+    n = features.count()
     tops = []
-    for p in range(permutations):
-        place = F.row_number().over(Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed), F.lit(p), "i", "cell_id"), "cell_id"))
-        rows = long.select(place.alias("cell_id"), "i", "x").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-        tops.append(singular_values(rows.select("cell_id", F.transform("s", lambda s: s["x"]).alias("features")))[0])
+    for lo in range(0, permutations if n else 0, together):
+        some = long.withColumn("p", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + together, permutations) - 1))))
+        some = some.withColumn("h", F.xxhash64(F.lit(seed), "p", "i", "cell_id"))
+        placed = running(some, ["p", "i", "h", "cell_id"], F.lit(1), "place").withColumn("place", F.col("place") % n)  # each p, i has n rows
+        rows = placed.groupBy("p", "place").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+        wide = kept(rows.select("p", F.transform("s", lambda s: s["x"]).alias("features")))
+        tops += [singular_values(wide.where(F.col("p") == p))[0] for p in range(lo, min(lo + together, permutations))]
+    if not tops:
+        return 0.0
     return float(np.mean(tops) if average == "mean" else np.median(tops))
+
+
+@dataclass(frozen=True)
+class Harmony:
+    """Settings of harmonised(): clusters, spread, the pull towards mixed clusters, the ridge, and rounds."""
+
+    clusters: int | None = None
+    sigma: float = 0.1
+    theta: float = 2.0
+    ridge: float = 1.0
+    rounds: int = 10
+    steps: int = 10
+    tol: float = 1e-4
+    seed: int = 0
+
+
+def _shares(z: np.ndarray, batch: np.ndarray, centres: np.ndarray, penalty: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, cluster shares of each cell, and its distance to each cluster. penalty: clusters by batches."""
+    unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    far = 2 * (1 - unit @ centres.T)
+    weight = -far / sigma + penalty.T[batch]
+    weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+    return unit, weight / weight.sum(axis=1, keepdims=True), far
+
+
+def harmonised(embedding: DataFrame, batches: DataFrame, settings: Harmony = Harmony()) -> DataFrame:
+    """(cell_id, pc) of embedding(cell_id, pc) with the batches of batches(cell_id, batch) mixed (Harmony, Korsunsky and others, 2019).
+
+    Rounds of soft clustering on directions, where clusters that lack a batch draw it in, and of a ridge regression per
+    cluster on the batch, whose batch terms are taken off. Cells are gone over in whole passes that add up sums of clusters by batches
+    by components; shares are worked out again from the centres and sums of the pass before, never kept by cell. Cells without a batch are a batch.
+    """
+    spark = embedding.sparkSession
+    told = embedding.select("cell_id", F.col("pc").cast("array<double>").alias("pc")).join(batches.select("cell_id", F.coalesce(F.col("batch").cast("string"), F.lit("")).alias("batch")), "cell_id", "left").fillna("", ["batch"])
+    names = [r.batch for r in told.select("batch").distinct().orderBy("batch").collect()]  # batches are few
+    number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("batch")).cast("int") - 1 if names else F.lit(0)
+    z = kept(told.select("cell_id", F.col("pc"), F.col("pc").alias("raw"), number.alias("b")))
+    n = z.count()
+    if n == 0:
+        return embedding.select("cell_id", "pc")
+    many, b_many = settings.clusters or max(1, min(100, round(n / 30))), len(names)
+    sample = np.array([r.pc for r in z.orderBy(F.xxhash64("cell_id", F.lit(settings.seed)), "cell_id").limit(10_000).collect()], float)
+    dims = sample.shape[1]
+    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    rng = np.random.default_rng(settings.seed)
+    centres = unit[[rng.integers(len(unit))]]
+    while len(centres) < many:  # k-means++ over the sample
+        d = np.maximum(1 - (unit @ centres.T).max(axis=1), 0)
+        centres = np.concatenate((centres, unit[[rng.choice(len(unit), p=d / d.sum()) if d.sum() > 0 else 0]]))
+    sizes = np.zeros(b_many)
+    for r in z.groupBy("b").count().collect():
+        sizes[r.b] = r["count"]
+    penalty = np.zeros((many, b_many))
+
+    def passed(rows: DataFrame, work, size: int) -> np.ndarray:
+        def run(parts):
+            total = np.zeros(size)
+            for part in parts:
+                if part.num_rows:
+                    wide = lambda k: part.column(k).flatten().to_numpy().reshape(part.num_rows, -1)
+                    total += work(wide(0), wide(1), part.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
+
+        return rows.select("pc", "raw", "b").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow().column("v").to_numpy()
+
+    before = np.inf
+    for _ in range(settings.rounds):
+        last = np.inf
+        for _ in range(settings.steps):
+
+            def cluster(pc, raw, b, centres=centres, penalty=penalty):
+                unit, share, far = _shares(pc, b, centres, penalty, settings.sigma)
+                here = np.stack([share[b == k].sum(axis=0) for k in range(b_many)], axis=1)
+                cost = (share * far).sum() + settings.sigma * (share * np.log(np.maximum(share, 1e-300))).sum()
+                return np.concatenate(([cost], here.ravel(), (share.T @ unit).ravel()))
+
+            got = passed(z, cluster, 1 + many * b_many + many * dims)
+            seen, sums = got[1 : 1 + many * b_many].reshape(many, b_many), got[1 + many * b_many :].reshape(many, dims)
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+            due = seen.sum(axis=1, keepdims=True) * sizes[None, :] / n
+            penalty = settings.theta * np.log((due + 1) / (seen + 1))
+            cost = got[0] - settings.sigma * float((seen * penalty).sum())
+            if abs(last - cost) < settings.tol * abs(cost):
+                break
+            last = cost
+
+        def regress(pc, raw, b, centres=centres, penalty=penalty):
+            share = _shares(pc, b, centres, penalty, settings.sigma)[1]
+            here = np.stack([share[b == k].sum(axis=0) for k in range(b_many)], axis=1)
+            each = np.stack([share[b == k].T @ raw[b == k] for k in range(b_many)], axis=1)
+            return np.concatenate((here.ravel(), each.ravel()))
+
+        got = passed(z, regress, many * b_many * (1 + dims))
+        seen, sums = got[: many * b_many].reshape(many, b_many), got[many * b_many :].reshape(many, b_many, dims)
+        shift = np.zeros((many, b_many, dims))
+        for k in range(many):
+            left = np.diag(np.concatenate(([seen[k].sum()], seen[k] + settings.ridge)))
+            left[0, 1:] = left[1:, 0] = seen[k]
+            shift[k] = np.linalg.lstsq(left, np.concatenate((sums[k].sum(axis=0)[None], sums[k])), rcond=None)[0][1:]
+
+        def correct(parts, centres=centres, penalty=penalty, shift=shift):
+            for part in parts:
+                if part.num_rows:
+                    pc, raw = (part.column(k).flatten().to_numpy().reshape(part.num_rows, -1) for k in (1, 2))
+                    b = part.column(3).to_numpy()
+                    share = _shares(pc, b, centres, penalty, settings.sigma)[1]
+                    better = raw - np.einsum("nk,nkd->nd", share, shift.transpose(1, 0, 2)[b])
+                    cuts = pa.array((np.arange(len(better) + 1) * dims).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, pa.array(better.ravel())), part.column(2), part.column(3)], names=["cell_id", "pc", "raw", "b"])
+
+        z = kept(z.select("cell_id", "pc", "raw", "b").mapInArrow(correct, f"cell_id {dict(embedding.dtypes)['cell_id']}, pc array<double>, raw array<double>, b int"))
+        if abs(before - cost) < settings.tol * 10 * abs(cost):
+            break
+        before = cost
+    return z.select("cell_id", "pc")

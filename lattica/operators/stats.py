@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scale import running
+
 
 def metagenes(cells: DataFrame, genes: DataFrame, expr: DataFrame, markers: DataFrame) -> DataFrame:
     """(cell_id, cell_type, value): the mean over those of a type's marker genes that exist. markers(cell_type, gene_name)."""
@@ -50,6 +53,26 @@ def point_biserial(labels: DataFrame, values: DataFrame) -> DataFrame:
     return per.select("label", r.alias("r"), F.col("n").cast("long").alias("n")).withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
 
 
+def with_p_value(correlations: DataFrame) -> DataFrame:
+    """point_biserial()'s rows, one a label, with the two-sided p of each t; null where t is."""
+    rows = correlations.collect()
+    out = [(*r, None if r.t is None else t_p_value(r.t, r.n - 2)) for r in rows]
+    return correlations.sparkSession.createDataFrame(out, ", ".join(f"{c} {t}" for c, t in correlations.dtypes) + ", p double")
+
+
+def volcano(scores: DataFrame, score: str = "u_z") -> DataFrame:
+    """scores with `minus_log10_p`, of the two-sided normal p of each z-score; by its leading terms where p is too small for a double."""
+    spec = f"{', '.join(f'{c} {t}' for c, t in scores.dtypes)}, minus_log10_p double"
+
+    def run(batches):
+        for batch in batches:
+            z = [None if x is None else abs(x) for x in batch.column(score).to_pylist()]
+            p = [None if x is None else (-math.log10(math.erfc(x / math.sqrt(2))) if x < 30 else (x * x / 2 + math.log(x * math.sqrt(math.pi / 2)) - math.log1p(-1 / (x * x))) / math.log(10)) for x in z]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "minus_log10_p"])
+
+    return scores.mapInArrow(run, spec)
+
+
 def t_p_value(t: float, df: float) -> float:
     """Two-sided p of Student's t, by the incomplete beta function's continued fraction."""
     x = df / (df + t * t)
@@ -77,13 +100,15 @@ def t_p_value(t: float, df: float) -> float:
 def wilcoxon(labels: DataFrame, expr: DataFrame) -> DataFrame:
     """(label, gene_id, u_z, n): rank-sum z-score of each label against the rest, per gene of a dense expr; ties share their mean rank.
 
-    Ranks come from counts of distinct values, so equal values (many zeros) don't gather in a sort of cells.
+    Ranks come from counts of distinct values, so equal values (many zeros) don't gather in a sort of cells; they are running sums
+    over ranges of (gene, value), so no gene's values gather in one task either.
     """
-    both = expr.join(labels, "cell_id")
+    both = expr.where("value is not null").join(labels, "cell_id")
     by_value = both.groupBy("gene_id", "value", "label").agg(F.count("*").alias("c"))
     of_value = by_value.groupBy("gene_id", "value").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = of_value.withColumn("rank", before + (F.col("t") + 1) / 2.0)
+    placed = running(of_value, ["gene_id", "value"], "t")
+    of_gene = placed.groupBy("gene_id").agg(F.min("before").alias("start"))  # values of genes before it
+    ranked = placed.join(F.broadcast(of_gene), "gene_id").select("gene_id", "value", (F.col("before") - F.col("start") + (F.col("t") + 1) / 2.0).alias("rank"))
     sums = by_value.join(ranked, ["gene_id", "value"]).groupBy("gene_id", "label").agg(F.sum(F.col("c") * F.col("rank")).alias("w"))
     n = labels.groupBy("label").agg(F.count("*").cast("double").alias("n1"))
     total = n.agg(F.sum("n1").alias("n"))
@@ -126,3 +151,25 @@ def per_sample_ari(a: DataFrame, b: DataFrame, cells: DataFrame) -> DataFrame:
     expected = F.try_divide(F.col("ra") * F.col("rb"), F.col("n") * (F.col("n") - 1) / 2.0)
     most = (F.col("ra") + F.col("rb")) / 2.0
     return s.join(ra, "sample").join(rb, "sample").select("sample", F.coalesce(F.try_divide(F.col("s") - expected, F.nullif(most - expected, F.lit(0.0))), F.lit(1.0)).alias("ari"))
+
+
+def median_ari(per_sample: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, median_ari, n): per_sample_ari()'s samples by the number of labels they should have, targets(sample, target)."""
+    return per_sample.join(targets, "sample").groupBy("target").agg(F.median("ari").alias("median_ari"), F.count("*").alias("n"))
+
+
+def group_means(labels: DataFrame, expr: DataFrame) -> tuple[list, np.ndarray]:
+    """Labels and their mean of each gene of a dense expr, labels by genes: what dendrogram() joins."""
+    rows = expr.join(labels, "cell_id").groupBy("label", "gene_id").agg(F.avg("value").alias("m")).collect()
+    names, genes = sorted({r.label for r in rows}), sorted({r.gene_id for r in rows})
+    out = np.zeros((len(names), len(genes)))
+    for r in rows:
+        out[names.index(r.label), genes.index(r.gene_id)] = r.m
+    return names, out
+
+
+def merges(labels: DataFrame, expr: DataFrame) -> DataFrame:
+    """(step, a, b, distance) of the dendrogram of labels by their mean features; groups are numbered in order of labels, then on."""
+    names, means = group_means(labels, expr)
+    rows = [(i, a, b, d) for i, (a, b, d) in enumerate(dendrogram(means))] if names else []
+    return labels.sparkSession.createDataFrame(rows, "step int, a int, b int, distance double")

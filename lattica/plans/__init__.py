@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import augment, cluster, graph, labels as lab, reduce as red
+from ..operators._scale import kept
 
 
 @dataclass(frozen=True)
@@ -22,7 +24,7 @@ class Spatial:
 
 def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1) -> Spatial:
     """Weights of each order from one neighbour search of the largest order's size."""
-    widest = graph.knn_graph(cells, k * (max_m + 1)).persist()  # each order reads it
+    widest = kept(graph.knn_graph(cells, k * (max_m + 1)))  # each order reads it
     out = {}
     for m in range(max_m + 1):
         edges = widest.where(F.col("rk") <= k * (m + 1))
@@ -100,28 +102,28 @@ def run(cells: DataFrame, expr: DataFrame, s: Settings, annotations: DataFrame |
         matrices.append(("nonspatial", 0.0, nonspatial(expr, n)))
     rows, out = [], {}
     for decay, lam, matrix in matrices:
-        features = augment.wide(matrix).persist()
+        features = kept(augment.wide(matrix))
         for pcs in s.pcs:
-            scores = red.pca(features, pcs).persist()
+            scores = kept(red.pca(features, pcs))
             dims = len(scores.first().pc) if n else 0
             if s.algorithm == "mixture":
                 found = [(float("nan"), cluster.gaussian_mixture(scores, s.max_labels or 8, s.seed), None)]
             else:
-                knn = cluster.feature_knn(scores, s.feature_neighbours).persist()
-                g = cluster.undirected(cluster.shared_graph(knn, True, s.shared_max_rank, s.shared_threshold)).persist()
+                knn = kept(cluster.feature_knn(scores, s.feature_neighbours))
+                g = kept(cluster.undirected(cluster.shared_graph(knn, True, s.shared_max_rank, s.shared_threshold)))
                 if s.resolutions is None:
                     found = [(*cluster.find_resolution(cells, g, s.max_labels, seed=s.seed), g)]
                 else:
                     found = [(r, cluster.leiden(cells, g, r, seed=s.seed), g) for r in s.resolutions]
             for resolution, labels, g in found:
-                labels = labels.persist()
+                labels = kept(labels)
                 num = labels.select("label").distinct().count()
                 q = lab.modularity(labels, g).first()[0] if g is not None else None
                 agree = lab.ari(annotations, labels).first()[0] if annotations is not None else None
                 refined_ari = entropy = None
                 if s.refine:
-                    near = graph.knn_graph(cells, s.refine_neighbours)
-                    better, e, _ = lab.refined(labels, near, s.refine, k=s.refine_neighbours)
+                    near = kept(graph.knn_graph(cells, s.refine_neighbours))
+                    better, e, _ = lab.refined(labels, near, s.refine)
                     refined_ari = lab.ari(annotations, better).first()[0] if annotations is not None else -1.0
                     entropy = e / math.log(num) if num > 1 else 0.0
                     labels = better
@@ -136,3 +138,71 @@ def stacked(out: dict[tuple, DataFrame]) -> DataFrame:
     """All label tables of run() under each other, with their parameters."""
     each = [df.select("cell_id", "label").withColumns({"decay": F.lit(k[0]), "lambda_param": F.lit(k[1]), "num_pcs": F.lit(k[2]), "resolution": F.lit(k[3])}) for k, df in out.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+def looked_up(stack: DataFrame, decay: str, lam: float, pcs: int, resolution: float) -> DataFrame:
+    """(cell_id, label) of one setting among stacked() tables; raises if there is none."""
+    out = stack.where((F.col("decay") == decay) & (F.col("lambda_param") == lam) & (F.col("num_pcs") == pcs) & (F.col("resolution") == resolution)).select("cell_id", "label")
+    if out.isEmpty():
+        raise KeyError((decay, lam, pcs, resolution))
+    return out
+
+
+def spatial_and_nonspatial(stack: DataFrame, pcs: int, lam: float, resolution: float, names: dict[int, str], plain_names: dict[int, str], decay: str = "scaled_gaussian") -> tuple[DataFrame, DataFrame]:
+    """The labels of a spatial setting and of the nonspatial one, each with the cell type that its own dictionary gives a label; null where it has none."""
+
+    def typed(df: DataFrame, names: dict[int, str]) -> DataFrame:
+        m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+        return df.withColumn("cell_type", F.lit(None).cast("string") if m is None else F.try_element_at(m, F.col("label")))
+
+    return typed(looked_up(stack, decay, lam, pcs, resolution), names), typed(looked_up(stack, "nonspatial", 0.0, pcs, resolution), plain_names)
+
+
+def pca_dims(names: list[str]) -> list[int | float]:
+    """The numbers of components, or shares of variance, that names of embeddings such as reduced_pc_20 or reduced_pc_0.95 tell."""
+    found = [m for m in (re.search(r"reduced_pc_([0-9]+|0\.[0-9]+)$", x) for x in names) if m]
+    return [float(m[1]) if "." in m[1] else int(m[1]) for m in found]
+
+
+def sorted_results(results: DataFrame) -> tuple[DataFrame, int]:
+    """run()'s results in order of their parameters, and the largest number of labels."""
+    return results.orderBy("decay", "lambda_param", "num_pcs", "resolution"), results.agg(F.max("num_labels")).first()[0] or 0
+
+
+def qc_histograms(qc: DataFrame, total_cutoff: float, genes_low: float, genes_high: float, bins: int | None = None) -> DataFrame:
+    """(panel, bin, low, n): the four QC histograms, of total_counts and n_genes_by_counts, each as it is and within its bounds.
+
+    Without bins their width is the smaller of Sturges' and Freedman and Diaconis' (the latter where it isn't 0).
+    """
+    t, g = F.col("total_counts").cast("double"), F.col("n_genes_by_counts").cast("double")
+    panel = lambda name, x, ok: F.when(ok, F.struct(F.lit(name).alias("panel"), x.alias("x")))
+    every = F.array(panel("total", t, t.isNotNull()), panel("total_bounded", t, t < total_cutoff), panel("genes", g, g.isNotNull()), panel("genes_bounded", g, (g < genes_high) & (g > genes_low)))
+    long = qc.select(F.explode(F.array_compact(every)).alias("p")).select("p.panel", "p.x")
+    ends = long.groupBy("panel").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    span = F.col("hi") - F.col("lo")
+    if bins is None:
+        n = F.col("all").cast("double")
+        sturges, fd = span / (F.log2(n) + 1), 2 * (F.col("q")[1] - F.col("q")[0]) / F.cbrt(n)
+        width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
+        many = F.greatest(F.ceil(F.coalesce(F.try_divide(span, width), F.lit(1.0))), F.lit(1))
+    else:
+        many = F.lit(bins)
+    ends = ends.select("panel", "lo", many.cast("long").alias("many"), (span / many).alias("step"))
+    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("step")), F.lit(0.0))), F.col("many") - 1).cast("int")
+    return long.join(F.broadcast(ends), "panel").groupBy("panel", at.alias("bin"), (F.col("lo") + at * F.col("step")).alias("low")).agg(F.count("*").alias("n"))
+
+
+def kept_positions(cells: DataFrame, left: DataFrame) -> DataFrame:
+    """(cell_id, x, y, kept): where all cells were, and which are still in left(cell_id)."""
+    still = left.select("cell_id").distinct().withColumn("kept", F.lit(True))
+    return cells.select("cell_id", "x", "y").join(still, "cell_id", "left").fillna(False, ["kept"])
+
+
+def labelled_positions(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell_id, x, y, label) of labelled cells."""
+    return cells.select("cell_id", "x", "y").join(labels.select("cell_id", "label"), "cell_id")
+
+
+def labelled_embedding(embedding: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell_id, first, second, label): the first two components, to be drawn by label."""
+    return embedding.select("cell_id", F.try_element_at("pc", F.lit(1)).alias("first"), F.try_element_at("pc", F.lit(2)).alias("second")).join(labels.select("cell_id", "label"), "cell_id")

@@ -7,14 +7,16 @@ B: customers as cells, part brands as genes, ordered quantities as sparse values
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import plans
+from . import plans, sources
 from .functions import gaussian_weight_1d
 from .operators import augment, cluster, graph, labels as lab, qc, reduce as red, stats
+from .operators._scale import kept, running, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,22 +460,22 @@ def connection_grid(spark, d):
 
 def _vote(source: str, name: str) -> str:
     return f"""{name}v as (select src, own, label, count(*) as n from (select k.src, o.label as own, l.label from (select src, dst from knn union all select cell_id, cell_id from cells) k join {source} o on o.cell_id = k.src join {source} l on l.cell_id = k.dst) group by 1, 2, 3),
-{name}t as (select src, own, arg_max(label, n * 1000 - label) as most, max(n) as top, sum(n) as total from {name}v group by 1, 2), {name} as (select src as cell_id, case when most <> own and top >= 4 then most else own end as label from {name}t)"""
+{name}t as (select src, own, arg_max(label, n * 1000 - label) as most, max(n) as top, sum(n) as total from {name}v group by 1, 2), {name} as (select src as cell_id, case when most <> own and top >= (total - 1) // 2 + 1 then most else own end as label from {name}t)"""
 
 
 @query(f"with {knn(6)}, {_vote('lab', 'one')} select cell_id, label from one")
 def refine_once(spark, d):
-    return lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), 6)[0]
+    return lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6))[0]
 
 
 @query(f"with {knn(6)}, {_vote('lab', 'one')}, {_vote('one', 'two')} select cell_id, label from two")
 def refine_two_rounds(spark, d):
-    return lab.refined(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), "num_iter", 2, 6)[0]
+    return lab.refined(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), "num_iter", 2)[0]
 
 
 @query(f"with {knn(6)}, {_vote('lab', 'one')}, e as (select src, -sum(n / total * ln(n / total)) as e from onev join (select src, total from onet) using (src) group by 1) select {r('avg(e)', 'entropy')} from e")
 def neigh_entropy(spark, d):
-    return rounded(lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), 6)[1], "entropy")
+    return rounded(lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6))[1], "entropy")
 
 
 @query(f"with {A} select label, coalesce(name, 'other') as name from (select distinct label from lab) left join (values (0, 'zero'), (3, 'three')) n(label, name) using (label)")
@@ -481,7 +483,7 @@ def pad_clusters(spark, d):
     return lab.padded(spark.createDataFrame([(0, "zero"), (3, "three")], "label int, name string"), labels_a(spark, d))
 
 
-@query()
+@query(f"with {A} select cell_id, label from lab2")  # most cells keep their label, so each label is matched to itself
 def match_labels(spark, d):
     return lab.matched(labels_a(spark, d), labels_a(spark, d, True))
 
@@ -567,7 +569,7 @@ for _diagonal, _expr in (("zero", "case when a = b then 0 else v end"), ("scale"
 
 @query(f"with {knn(6)}, cut as (select quantile_cont(dist, 0.9) as c from knn), near as (select src, dst from knn, cut where dist < c), {_vote('lab', 'one').replace('from knn union', 'from near union')} select cell_id, label from one")
 def refine_percentile(spark, d):
-    return lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), 6, percentile=0.9)[0]
+    return lab.refined_once(labels_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), percentile=0.9)[0]
 
 
 @query(f"""with {weights(15)}, nb as (select src as cell_id, gene_id, sum(w * value) as value from w join expr on dst = cell_id group by 1, 2)
@@ -607,29 +609,29 @@ def dense_matrix(spark, d):
     return augment.dense(cells_b(spark, d), genes_b(spark, d), expr_b(spark, d))
 
 
-@query()
+@query(_augmented_sql(0.2, False))  # eight z-scored features have fewer directions than are balanced: every block's variance is theirs
 def variance_balanced(spark, d):
-    return plans.augmented(cells_a(spark, d), expr_a(spark, d), 0.2, variance_balance=True)
+    return rounded(plans.augmented(cells_a(spark, d), expr_a(spark, d), 0.2, variance_balance=True).select("cell_id", "gene_id", "k", "value"), "value")
 
 
-@query()
+_LF = lambda x: f"lgamma({x} + 1)"
+
+
+@query(f"""with {_TABLE}, n as (select sum(n)::double as n from t), ra as (select a, sum(n)::double as x from t group by a), rb as (select b, sum(n)::double as y from t group by b),
+mi as (select sum(t.n / n.n * ln(n.n * t.n / (x * y))) as mi from t join ra using (a) join rb using (b), n), ha as (select -sum(x / n * ln(x / n)) as ha from ra, n), hb as (select -sum(y / n * ln(y / n)) as hb from rb, n),
+cells2 as (select x, y, n, unnest(range(greatest(1, x + y - n)::bigint, least(x, y)::bigint + 1))::double as k from ra, rb, n),
+e as (select sum(k / n * ln(n * k / (x * y)) * exp({_LF('x')} + {_LF('y')} + {_LF('n - x')} + {_LF('n - y')} - {_LF('n')} - {_LF('k')} - {_LF('x - k')} - {_LF('y - k')} - {_LF('n - x - y + k')})) as e from cells2)
+select {r('(mi - e) / ((ha + hb) / 2 - e)', 'ami')} from mi, ha, hb, e""")
 def ami(spark, d):
-    return spark.createDataFrame([(lab.ami(labels_a(spark, d), labels_a(spark, d, True)),)], "ami double")
+    return rounded(spark.createDataFrame([(lab.ami(labels_a(spark, d), labels_a(spark, d, True)),)], "ami double"), "ami")
 
 
-@query()
+@query(f"with {A} select cell_id, label, 0 as \"table\" from lab union all select cell_id, label, 1 from lab2")  # ten labels from 0 to 9 are spread already
 def match_series(spark, d):
     out = lab.matched_series([labels_a(spark, d), labels_a(spark, d, True)])
     return out[0].withColumn("table", F.lit(0)).unionByName(out[1].withColumn("table", F.lit(1)))
 
 
-@query()
-def propagated_labels(spark, d):
-    c = cells_a(spark, d)
-    g = cluster.undirected(graph.knn_graph(c, 15).withColumn("w", 1 / (1 + F.col("dist"))))
-    return cluster.propagated_labels(c, g, 0.7, rounds=4)
-
-
 @query()
 def remaining_variance(spark, d):
     ratio = red.fit_pca(_matrix(spark, d), 24)[2]
@@ -651,11 +653,11 @@ def pca_scores(spark, d):
 @query()
 def noise_floor(spark, d):
     e = augment.wide(expr_a(spark, d).withColumn("k", F.lit(-1)))
-    return spark.createDataFrame([(red.noise_floor(e, 3),)], "noise double")
+    return spark.createDataFrame([(red.noise_floor(e),)], "noise double")
 
 
 def _graph(spark, d) -> DataFrame:
-    return cluster.shared_graph(cluster.feature_knn(red.pca(_matrix(spark, d), 8), 15))
+    return kept(cluster.shared_graph(kept(cluster.feature_knn(red.pca(_matrix(spark, d), 8), 15))))
 
 
 @query()
@@ -665,12 +667,12 @@ def leiden_labels(spark, d):
 
 @query()
 def gmm_labels(spark, d):
-    return cluster.gaussian_mixture(red.pca(_matrix(spark, d), 4), 5, rounds=10)
+    return cluster.gaussian_mixture(red.pca(_matrix(spark, d), 4), 5)
 
 
 @query()
 def resolution_search(spark, d):
-    resolution, labels = cluster.find_resolution(cells_a(spark, d), _graph(spark, d).persist(), 7, max_iter=6)
+    resolution, labels = cluster.find_resolution(cells_a(spark, d), _graph(spark, d), 7)
     return labels.withColumn("resolution", F.lit(resolution))
 
 
@@ -678,3 +680,254 @@ def resolution_search(spark, d):
 def pipeline_results(spark, d):
     s = plans.Settings(lambdas=(0.2,), pcs=(8,), resolutions=(0.7,), feature_neighbours=15, refine="once")
     return plans.run(cells_a(spark, d), expr_a(spark, d), s, labels_a(spark, d))[0]
+
+
+# --- the same where SQL can tell the result
+
+
+@query(f"with recursive {_NEAR}, reach as (select src as a, dst as b from near union select r.a, n.dst from reach r join near n on n.src = r.b) select cell_id, least(cell_id, coalesce(min(b), cell_id)) as \"first\" from cells left join reach on a = cell_id group by cell_id")
+def leiden_connected(spark, d):
+    """At resolution 0 nothing holds communities apart: they are the graph's connected components."""
+    c = cells_a(spark, d)
+    labels = kept(cluster.leiden(c, graph.radius_graph(c, 0.03).withColumn("w", F.lit(1.0)), 0.0))
+    return labels.join(labels.groupBy("label").agg(F.min("cell_id").alias("first")), "label").select("cell_id", "first")
+
+
+_CENTRED = f"{A}, z as (select cell_id, gene_id, value - avg(value) over (partition by gene_id) as z from expr)"
+
+
+@query(f"with {_CENTRED} select cell_id, {r('sum(z * z)', 'norm2')} from z group by cell_id")
+def pca_norms(spark, d):
+    """All components together keep each cell's distance from the mean."""
+    scores = red.pca(augment.wide(expr_a(spark, d).withColumn("k", F.lit(-1))), 8)
+    return rounded(scores.select("cell_id", F.aggregate("pc", F.lit(0.0), lambda s, x: s + x * x).alias("norm2")), "norm2")
+
+
+_TWO = f"{_CENTRED}, m as (select sum(a.z * a.z) as p, sum(b.z * b.z) as q, sum(a.z * b.z) as c from z a join z b using (cell_id) where a.gene_id = 2 and b.gene_id = 3), v as (select (p + q + sqrt((p - q) * (p - q) + 4 * c * c)) / 2 as hi, (p + q - sqrt((p - q) * (p - q) + 4 * c * c)) / 2 as lo from m)"
+
+
+def _two(spark, d) -> DataFrame:
+    return augment.wide(expr_a(spark, d).where("gene_id in (2, 3)").withColumn("k", F.lit(-1)))
+
+
+@query(f"with {_TWO} select 0 as component, {r('sqrt(hi)', 'value')} from v union all select 1, {r('sqrt(lo)', 'value')} from v")
+def singular_values(spark, d):
+    return rounded(spark.createDataFrame([(i, float(x)) for i, x in enumerate(red.singular_values(_two(spark, d)))], "component int, value double"), "value")
+
+
+@query(f"with {_TWO} select 0 as component, {r('lo / (hi + lo)', 'left_over')} from v union all select 1, 0.0 from v")
+def remaining_variance_of_two(spark, d):
+    ratio = red.fit_pca(_two(spark, d), 2)[2]
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(red.remaining_variance(ratio))], "component int, left_over double"), "left_over")
+
+
+@query(f"with {_CENTRED} select {r('sqrt(sum(z * z))', 'noise')} from z where gene_id = 2")
+def noise_floor_of_one(spark, d):
+    """A single column's singular value is the same in any order."""
+    e = augment.wide(expr_a(spark, d).where("gene_id = 2").withColumn("k", F.lit(-1)))
+    return rounded(spark.createDataFrame([(red.noise_floor(e, 3),)], "noise double"), "noise")
+
+
+def _embedding(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.array(*[F.col("embedding")[g].cast("double") for g in GENES_A]).alias("pc"))
+
+
+@query()
+def harmony(spark, d):
+    return red.harmonised(_embedding(spark, d), cells_a(spark, d).select("cell_id", (F.col("cell_id") % 3).cast("string").alias("batch")))
+
+
+@query(f"with {A} select cell_id, {r('sum(value)', 'total')} from expr group by cell_id")
+def harmony_one_batch(spark, d):
+    """With one batch there is nothing to take off."""
+    out = red.harmonised(_embedding(spark, d), cells_a(spark, d).select("cell_id", F.lit("all").alias("batch")))
+    return rounded(out.select("cell_id", F.aggregate("pc", F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
+
+
+@query(f"with {A}, m as (select label, gene_id, avg(value) as m from expr join lab using (cell_id) group by 1, 2), p as (select dense_rank() over (order by label) - 1 as k, gene_id, m from m), c as (select a.k as a, b.k as b, 1 - corr(a.m, b.m) as dist from p a join p b on a.gene_id = b.gene_id and a.k < b.k group by 1, 2) select a::int as a, b::int as b, {r('dist', 'distance')} from c order by dist, a, b limit 1")
+def dendrogram_first(spark, d):
+    return rounded(stats.merges(labels_a(spark, d), expr_a(spark, d)).where("step = 0").select("a", "b", "distance"), "distance")
+
+
+@query()
+def dendrogram(spark, d):
+    return stats.merges(labels_a(spark, d), expr_a(spark, d))
+
+
+# --- files: written to the shared folder and read again
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _text(df: DataFrame, path: str) -> None:
+    """(n, line) as one text file, in order of n."""
+    df.repartition(1).sortWithinPartitions("n").select("line").write.text(path)
+
+
+@query(f"with {B}, s as (select o_custkey % 40 as k, gene_id, sum(l_quantity::double) as value from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join genes using (p_brand) group by 1, 2) select 'c' || k as cell_name, gene_name, k::double as x, -k::double as y, value from s join genes using (gene_id)")
+def load_csv(spark, d):
+    """A gene-by-cell matrix of 40 groups of customers, and their places."""
+    e = expr_b(spark, d).groupBy((F.col("cell_id") % 40).alias("k"), "gene_id").agg(F.sum("value").alias("value"))
+    wide = e.join(F.broadcast(genes_b(spark, d)), "gene_id").groupBy(F.col("gene_name").alias("gene")).pivot("k", list(range(40))).agg(F.first("value"))
+    matrix, places = _folder(spark, "matrix"), _folder(spark, "places")
+    sources.write(wide.select("gene", *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"c{k}") for k in range(40)]), matrix, "csv")
+    sources.write(spark.range(40).selectExpr("concat('c', id) as id", "cast(id as double) as xcoord", "cast(-id as double) as ycoord"), places, "csv")
+    cells, genes, expr = sources.load(spark, matrix, places)
+    return expr.join(cells, "cell_id").join(genes, "gene_id").select("cell_name", "gene_name", "x", "y", "value")
+
+
+@query(f"with {B} select cell_id, sample, gene_name, value from expr join cells using (cell_id) join genes using (gene_id)")
+def load_parquet(spark, d):
+    folder = _folder(spark, "tables")
+    for name, df in (("cells", cells_b(spark, d)), ("genes", genes_b(spark, d)), ("expr", expr_b(spark, d))):
+        sources.write(df, f"{folder}/{name}.parquet")
+    cells, genes, expr = sources.load(spark, parquet=folder)
+    return expr.join(cells, "cell_id").join(genes, "gene_id").select("cell_id", "sample", "gene_name", "value")
+
+
+@query("select 'b' || c_custkey as barcode, (c_custkey % 2)::int as x1, c_acctbal::double as x_pixel, case when c_custkey % 3 = 0 then c_mktsegment else 'other' end as layer from customer")
+def tissue_positions(spark, d):
+    c = table(spark, d, "customer").withColumn("barcode", F.concat(F.lit("b"), F.col("c_custkey").cast("string")))
+    places, notes = _folder(spark, "positions"), _folder(spark, "notes")
+    c.select("barcode", (F.col("c_custkey") % 2).cast("int"), F.lit(1), F.lit(2), F.col("c_acctbal").cast("double"), F.lit(0.5)).write.csv(places)
+    c.where("c_custkey % 3 = 0").select("barcode", F.lit("151673"), "c_mktsegment").write.csv(notes, sep="\t")
+    return sources.annotated(sources.read_positions(spark, places), sources.read_annotations(spark, notes)).select("barcode", "x1", "x_pixel", "layer")
+
+
+@query(f"with {B} select cell_id as \"row\", gene_id::bigint as col, value from expr")
+def matrix_market(spark, d):
+    e, path = expr_b(spark, d), _folder(spark, "market")
+    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "1000000 25 0")], "n long, line string")
+    _text(head.unionByName(e.select(F.col("cell_id").alias("n"), F.concat_ws(" ", F.col("cell_id") + 1, F.col("gene_id") + 1, "value").alias("line"))), path)
+    return sources.read_matrix_market(spark, path)
+
+
+@query(f"with {B} select 'b' || c as barcode, gene_name, value from (select row_number() over (order by cell_id) - 1 as at, cell_id as c from (select distinct cell_id from expr)) join expr on cell_id = c join genes using (gene_id)")
+def read_10x(spark, d):
+    e, folder = kept(expr_b(spark, d)), _folder(spark, "10x")
+    cells = kept(running(e.select("cell_id").distinct(), ["cell_id"], F.lit(1), "at"))
+    _text(cells.select(F.col("at").alias("n"), F.concat(F.lit("b"), F.col("cell_id").cast("string")).alias("line")), f"{folder}/barcodes.tsv")
+    _text(genes_b(spark, d).select(F.col("gene_id").alias("n"), F.concat_ws("\t", "p_brand", "gene_name", F.lit("Gene Expression")).alias("line")), f"{folder}/features.tsv")
+    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "25 1000000 0")], "n long, line string")
+    _text(head.unionByName(e.join(cells, "cell_id").select(F.col("at").alias("n"), F.concat_ws(" ", F.col("gene_id") + 1, F.col("at") + 1, "value").alias("line"))), f"{folder}/matrix.mtx")
+    cells, genes, expr = sources.read_10x(spark, folder)
+    return expr.join(cells, "cell_id").join(F.broadcast(genes), "gene_id").select("barcode", "gene_name", "value")
+
+
+@query("select vec_id as cell_id, label, g.gene_id::int as gene_id, round(embedding[g.gene_id + 1]::double, 6) + 0.0 as value from embeddings, (select unnest(range(0, 3)) as gene_id) g where label in (1, 2)")
+def wide_csv(spark, d):
+    path = _folder(spark, "wide")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"m{i}") for i in range(3)], "label")
+    sources.write(e, path, "csv")
+    cells, _, expr = sources.split_wide(spark.read.csv(path, header=True, inferSchema=True), 3, "id")
+    chosen = cells.where(F.col("label").isin(1, 2)).select(F.col("id").cast("long").alias("cell_id"), F.col("label").cast("long").alias("label"))
+    return rounded(expr.withColumn("cell_id", F.col("cell_id").cast("long")).join(chosen, "cell_id").select("cell_id", "label", "gene_id", "value"), "value")
+
+
+@query(f"with {B} select upper(gene_name) as gene_name from genes where gene_name like 'Brand#1%'")
+def gene_list(spark, d):
+    path = _folder(spark, "genes")
+    sources.write_gene_list(genes_b(spark, d).where("gene_name like 'Brand#1%'"), path)
+    return sources.read_gene_list(spark, path)
+
+
+# --- views of results
+
+
+@query(f"with {A} select cell_id, gene_id::int as gene_id, {r(f'{_Z} * sqrt(0.8)', 'value')} from expr")
+def self_features(spark, d):
+    return rounded(augment.self_features(plans.augmented(cells_a(spark, d), expr_a(spark, d), 0.2)).select("cell_id", "gene_id", "value"), "value")
+
+
+@query(f"with {knn(15)} select src, dst, {r('degrees(atan2(dy, dx))', 'degrees')} from knn")
+def theta_degrees(spark, d):
+    return rounded(graph.theta_degrees(graph.knn_graph(cells_a(spark, d), 15)).select("src", "dst", "degrees"), "degrees")
+
+
+@query(f"with {A} select label, cell_id, 1.0::double as v from lab where label <> 4")
+def onehot_without_gaps(spark, d):
+    return graph.labels_to_onehot(labels_a(spark, d).where("label <> 4"), False, gaps=False).withColumn("v", F.col("v").cast("double"))
+
+
+_T = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + u * u / df) ** (-(df + 1) / 2)"
+
+
+@query(f"""with {A}, v as (select * from expr where gene_id = 2), l as (select distinct label from lab), c as (select l.label, corr((a.label = l.label)::int::double, value) as r, count(*) - 2.0 as df from lab a join v using (cell_id) cross join l group by 1),
+t as (select label, r, df, abs(r) * sqrt(df / (1 - r * r)) as t from c), s as (select label, df, t, i, t * i / 4000 as u from t, (select unnest(range(0, 4001)) as i)), p as (select label, 1 - 2 * sum({_T} * case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * t / 12000) as p from s group by 1)
+select label, {r('p')} from p""")  # by Simpson's rule
+def point_biserial_p(spark, d):
+    values = expr_a(spark, d).where("gene_id = 2").select("cell_id", "value")
+    return rounded(stats.with_p_value(stats.point_biserial(labels_a(spark, d), values)).select("label", "p"), "p")
+
+
+@query()
+def volcano(spark, d):
+    return stats.volcano(stats.wilcoxon(labels_a(spark, d), expr_a(spark, d)).select("label", "gene_id", "u_z"))
+
+
+@query(f"""with {B}, q as (select c.cell_id, coalesce(sum(value), 0)::double as t, count(*) filter (value > 0)::double as g from cells c left join expr using (cell_id) group by 1),
+l as (select 'total' as panel, t as x from q union all select 'total_bounded', t from q where t < 900 union all select 'genes', g from q union all select 'genes_bounded', g from q where g < 24 and g > 5),
+e as (select panel, min(x) as lo, (max(x) - min(x)) / 20 as step from l group by 1)
+select panel, least(floor((x - lo) / step), 19)::int as bin, round(lo + least(floor((x - lo) / step), 19) * step, 6) + 0.0 as low, count(*) as n from l join e using (panel) group by 1, 2, 3""")
+def qc_histograms(spark, d):
+    q = qc.qc_cells(cells_b(spark, d), genes_b(spark, d), expr_b(spark, d), ())
+    return rounded(plans.qc_histograms(q, 900, 5, 24, bins=20), "low")
+
+
+@query(f"with {B} select cell_id, x, y, sqrt((x - 4000) * (x - 4000) + (y - 5000) * (y - 5000)) < 2550 as kept from cells")
+def kept_positions(spark, d):
+    c = cells_b(spark, d)
+    return plans.kept_positions(c, qc.circle_filter(c, 4000, 5000, 2550))
+
+
+@query(f"with {A} select cell_id, {r('x')}, {r('y')}, label from cells join lab using (cell_id) where label <> 3")
+def labelled_positions(spark, d):
+    return rounded(plans.labelled_positions(cells_a(spark, d), labels_a(spark, d).where("label <> 3")), "x", "y")
+
+
+@query('select vec_id as cell_id, round(embedding[3]::double, 6) + 0.0 as "first", round(embedding[4]::double, 6) + 0.0 as "second", label::int as label from embeddings')
+def labelled_embedding(spark, d):
+    return rounded(plans.labelled_embedding(_embedding(spark, d), labels_a(spark, d)), "first", "second")
+
+
+def _stack(spark, d) -> DataFrame:
+    one, two = labels_a(spark, d), labels_a(spark, d, True)
+    keys = [("scaled_gaussian", 0.2, 20, 0.7), ("scaled_gaussian", 0.8, 20, 0.7), ("nonspatial", 0.0, 20, 0.7)]
+    return plans.stacked(dict(zip(keys, (one, two, two))))
+
+
+@query(f"with {A} select cell_id, label, case label when 0 then 'zero' when 1 then 'one' end as cell_type, true as spatial from lab union all select cell_id, label, case label when 1 then 'uno' end, false from lab2")
+def spatial_and_nonspatial(spark, d):
+    one, two = plans.spatial_and_nonspatial(_stack(spark, d), 20, 0.2, 0.7, {0: "zero", 1: "one"}, {1: "uno"})
+    return one.withColumn("spatial", F.lit(True)).unionByName(two.withColumn("spatial", F.lit(False)))
+
+
+@query("select 0 as at, 20.0::double as dims union all select 1, 0.95")
+def pca_dims(spark, d):
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(plans.pca_dims(["reduced_pc_20", "coord_xy", "reduced_pc_0.95", "reduced_pc_20_umap"]))], "at int, dims double")
+
+
+@query("with s as (select 'b' || (vec_id % 3) as decay, vec_id / 100.0 as lambda_param, (vec_id % 5)::int as num_pcs, label::int as num_labels from embeddings) select row_number() over (order by decay, lambda_param, num_pcs) as at, decay, lambda_param::double as lambda_param, (select max(num_labels) from s) as most from s")
+def sorted_results(spark, d):
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("b"), (F.col("vec_id") % 3).cast("string")).alias("decay"), (F.col("vec_id") / 100).alias("lambda_param"), (F.col("vec_id") % 5).cast("int").alias("num_pcs"), F.lit(0.7).alias("resolution"), F.col("label").cast("int").alias("num_labels"))
+    rows, most = plans.sorted_results(e)
+    told = [(i + 1, x.decay, x.lambda_param, most) for i, x in enumerate(rows.collect())]  # a row a setting
+    return spark.createDataFrame(told, "at long, decay string, lambda_param double, most int")
+
+
+@query(f"""with {A}, t as (select (vec_id % 4)::varchar as sample, a.label as a, b.label as b, count(*) as n from embeddings join lab a on a.cell_id = vec_id join lab2 b on b.cell_id = vec_id group by 1, 2, 3),
+s as (select sample, sum(n * (n - 1) / 2) as s, sum(n) as n from t group by 1), ra as (select sample, sum(n * (n - 1) / 2) as ra from (select sample, sum(n) as n from t group by sample, a) group by 1), rb as (select sample, sum(n * (n - 1) / 2) as rb from (select sample, sum(n) as n from t group by sample, b) group by 1),
+q as (select sample, (s - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)) as ari from s join ra using (sample) join rb using (sample))
+select case when sample = '0' then 5 else 7 end as target, {r('median(ari)', 'median_ari')}, count(*) as n from q group by 1""")
+def ari_median(spark, d):
+    samples = cells_a(spark, d).select("cell_id", (F.col("cell_id") % 4).cast("string").alias("sample"))
+    targets = spark.createDataFrame([("0", 5), ("1", 7), ("2", 7), ("3", 7)], "sample string, target int")
+    return rounded(stats.median_ari(stats.per_sample_ari(labels_a(spark, d), labels_a(spark, d, True), samples), targets), "median_ari")
+
+
+@query()
+def refine_auto(spark, d):
+    labels, entropy, votes = lab.refined(labels_a(spark, d), kept(graph.knn_graph(cells_a(spark, d), 6)), "auto")
+    return labels.withColumns({"entropy": F.lit(entropy), "votes": F.lit(votes)})

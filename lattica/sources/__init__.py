@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators._scale import running
+
 
 def read_matrix_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A gene-by-cell CSV (first column gene names, a column a cell) as genes(gene_id, gene_name), expr(cell_name, gene_id, value).
@@ -70,6 +72,21 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((part[0].cast("long") - 1).alias("row"), (part[1].cast("long") - 1).alias("col"), value.alias("value"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value) of a text file's lines, counted from 0."""
+    return running(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()), ["n"], F.lit(1), "at").select(F.col("at").cast("long").alias("at"), "value")
+
+
+def read_10x(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells(cell_id, barcode), genes(gene_id, gene_key, gene_name), expr) of a folder with matrix.mtx (genes by barcodes),
+    barcodes.tsv and features.tsv, what the HDF5 form of the same counts holds."""
+    cells = _lines(spark, f"{folder}/barcodes.tsv").select(F.col("at").alias("cell_id"), F.split("value", "\t")[0].alias("barcode"))
+    part = F.split("value", "\t")
+    genes = _lines(spark, f"{folder}/features.tsv").select(F.col("at").cast("int").alias("gene_id"), part[0].alias("gene_key"), F.coalesce(F.try_element_at(part, F.lit(2)), part[0]).alias("gene_name"))
+    expr = read_matrix_market(spark, f"{folder}/matrix.mtx").select(F.col("col").alias("cell_id"), F.col("row").cast("int").alias("gene_id"), "value")
+    return cells, genes, expr
+
+
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     """gene_name, upper-cased, from a one-column CSV with header."""
     df = spark.read.csv(path, header=True)
@@ -86,6 +103,11 @@ def split_wide(df: DataFrame, n_features: int, id_column: str) -> tuple[DataFram
     return df.select(*[F.col(f"`{c}`") for c in rest]), genes, expr
 
 
+def write_gene_list(genes: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """gene_name, sorted, as a one-column CSV with header that read_gene_list() reads."""
+    genes.select("gene_name").orderBy("gene_name").write.mode(mode).csv(path, header=True)
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
     """Writes a table as parquet, csv (with header) or json."""
     writer = df.write.mode(mode)

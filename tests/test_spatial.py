@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica import plans, sources
 from lattica.functions import p_equiv_radius
 from lattica.operators import augment, cluster, graph, labels as lab, qc, reduce as red, stats
+from lattica.operators._scale import running
 
 
 def make_cells(spark, xy, sample=None):
@@ -93,7 +94,7 @@ def test_golden_labels(spark):
     out = lab.matched_series([a, b])
     assert lab.ari(out[0], a).first().ari == pytest.approx(1)
     assert lab.matched_series([a, b], least_first=False)[1].count() == 11
-    assert lab.expanded_ids([3, 7, 8], 9) == {3: 0, 7: 5, 8: 9} and lab.expanded_ids([4], 9) == {4: 0}
+    assert lab.expanded_ids([3, 7, 8], 9) == {3: 0, 7: 6, 8: 9} and lab.expanded_ids([0, 1, 5, 9], 12) == {0: 0, 1: 2, 5: 7, 9: 12} and lab.expanded_ids([4], 9) == {4: 0}
 
 
 def test_assignment_against_all_permutations():
@@ -114,8 +115,12 @@ def test_refinement(spark):
     out, entropy, n = lab.refined(same, e, "auto")
     assert {r.label for r in out.collect()} == {3} and entropy == 0 and n == 1
     odd = same.withColumn("label", F.when(F.col("cell_id") == 14, 1).otherwise(F.col("label")))
-    assert {r.label for r in lab.refined_once(odd, e, 6)[0].collect()} == {3}
-    assert lab.refined_once(odd, e, 6, percentile=0.5)[0].count() == 36
+    assert {r.label for r in lab.refined_once(odd, e)[0].collect()} == {3}
+    assert lab.refined_once(odd, e, percentile=0.5)[0].count() == 36
+    # two neighbours are left, both of another label: two votes of three are enough
+    three = spark.createDataFrame([(0, 1), (1, 2), (2, 2), (3, 1)], "cell_id long, label int")
+    few = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (0, 3, 9.0)], "src long, dst long, dist double")
+    assert {r.cell_id: r.label for r in lab.refined_once(three, few, percentile=0.9)[0].collect()} == {0: 2, 1: 2, 2: 2, 3: 1}
 
 
 def planted(rng, groups=4, each=30, inside=0.5, outside=0.01):
@@ -126,20 +131,62 @@ def planted(rng, groups=4, each=30, inside=0.5, outside=0.01):
 def test_communities_are_recovered(spark):
     n, pairs = planted(np.random.default_rng(2))
     src, dst = np.array(pairs).T
-    comm = cluster.leiden_numpy(n, src, dst, np.ones(len(src)), 1.0)
     truth = np.arange(n) // 30
-    assert len(set(zip(comm, truth))) == 4
-    cells = spark.range(n + 1).select(F.col("id").alias("cell_id"))  # the last is alone
+    cells = spark.range(n + 3).select(F.col("id").alias("cell_id"))  # the last three are alone
     edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in pairs], "src long, dst long, w double")
-    for labels in (cluster.leiden(cells, edges, 1.0), cluster.propagated_labels(cells, edges, 1.0)):
-        got = {r.cell_id: r.label for r in labels.collect()}
-        assert len(got) == n + 1 and sum(v == got[n] for v in got.values()) == 1
-        q = lab.modularity(labels.where(f"cell_id < {n}"), edges).first().modularity
-        assert q > 0.9 * cluster.quality(src, dst, np.ones(len(src)), truth)
+    labels = cluster.leiden(cells, edges, 1.0)
+    got = {r.cell_id: r.label for r in labels.collect()}
+    assert len(got) == n + 3 and [got[n + i] for i in range(3)] == [4, 5, 6]
+    assert len(set(zip(truth, [got[i] for i in range(n)]))) == 4
+    assert lab.modularity(labels.where(f"cell_id < {n}"), edges).first().modularity == pytest.approx(cluster.quality(src, dst, np.ones(len(src)), truth))
     resolution, labels = cluster.find_resolution(cells.where(f"cell_id < {n}"), edges, 4)
     assert labels.select("label").distinct().count() == 4
 
 
+def test_labels_are_the_same_in_one_task_and_over_tables(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, pairs = planted(rng, 3, 6, 0.7, 0.05)
+    name = lambda i: i * 10**10 - 5
+    cells = spark.createDataFrame([(name(i),) for i in range(n + 1)], "cell_id long")
+    edges = spark.createDataFrame([(name(a), name(b), float(rng.random() + 0.5)) for a, b in pairs], "src long, dst long, w double")
+    for name_, most in (("PASSES", 1), ("MOVES", 3), ("REFINES", 2)):
+        monkeypatch.setattr(cluster, name_, most)
+    one = {tuple(r) for r in cluster.leiden(cells, edges, 0.8).collect()}
+    monkeypatch.setattr(cluster, "TASK_EDGES", 0)
+    assert {tuple(r) for r in cluster.leiden(cells, edges, 0.8).collect()} == one
+    assert len(one) == n + 1 and len({x for _, x in one}) >= 4
+
+
+def test_coins_are_those_of_the_columns(spark):
+    ids = np.array([0, 1, -5, 2**40, 2**62, -(2**63)])
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    for r in (0, 3, -4):
+        assert [x[0] for x in df.select(cluster._coin(1234, r, "id")).collect()] == cluster.coin(1234, r, ids).tolist()
+
+
+def test_cells_without_edges_keep_apart(spark):
+    cells = spark.range(6).select(F.col("id").alias("cell_id"))
+    edges = spark.createDataFrame([(2, 3, 1.0), (4, 5, 1.0)], "src long, dst long, w double")
+    assert {r.cell_id: r.label for r in cluster.leiden(cells, edges).collect()} == {2: 0, 3: 0, 4: 1, 5: 1, 0: 2, 1: 3}
+    assert {r.cell_id: r.label for r in cluster.leiden(cells, edges.limit(0)).collect()} == {i: i for i in range(6)}
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "a int, v int")
+    got = {r.a: r.before for r in running(df.repartition(5), [F.desc("a")], "v").collect()}
+    values = {i * 7919 % 1000: i for i in range(1000)}
+    assert got == {a: sum(v for b, v in values.items() if b > a) for a in values}
+    assert running(df.limit(0), ["a"], "v").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_knn_with_outliers_and_crowds(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "FEW", 5)
+    rng = np.random.default_rng(seed)
+    xy = np.concatenate((rng.random((700, 2)), [(1e4, 1e4), (-1e4, 3.0)], rng.normal(5, 1e-3, (200, 2)), np.stack((np.linspace(0, 50, 60), np.full(60, 7.0)), axis=1)))
+    assert edges_of(graph.knn_graph(make_cells(spark, xy), 6)) == brute(xy.tolist(), 6)
+
+
 def test_shared_neighbours_against_matrix(spark):
     xy = np.random.default_rng(7).random((40, 2))
     e = graph.knn_graph(make_cells(spark, xy), 5)
@@ -162,7 +209,12 @@ def test_components_and_mixture(spark):
     ratio = red.fit_pca(df, 5)[2]
     assert red.fit_pca(df, 0.9)[1].shape[1] == int(np.searchsorted(np.cumsum(ratio), 0.9, side="right")) + 1
     assert abs(red.remaining_variance(ratio)[-1]) < 1e-9
-    assert 0 < red.noise_floor(df, 2, "median") < 1.05 * red.singular_values(df)[0]
+    assert np.allclose(red.singular_values(df), np.linalg.svd(c, compute_uv=False))
+    # uncorrelated columns: a permutation's top singular value is near the longest column's
+    far = spark.createDataFrame([(i, (r + 5).tolist()) for i, r in enumerate(rng.normal(size=(200, 3)))], "cell_id long, features array<double>")
+    assert 13 < red.noise_floor(far, 3, together=2) < 18 and red.noise_floor(df, 2, "median") < 1.05 * red.singular_values(df)[0]
+    one = df.select("cell_id", F.slice("features", 1, 1).alias("features"))
+    assert red.noise_floor(one, 1) == pytest.approx(np.linalg.norm(c[:, 0]))
     two = np.concatenate((rng.normal(0, 1, (60, 2)), rng.normal(12, 1, (40, 2))))
     e = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(two)], "cell_id long, pc array<double>")
     got = {r.cell_id: r.label for r in cluster.gaussian_mixture(e, 2).collect()}
@@ -203,6 +255,74 @@ def test_statistics(spark):
     assert stats.top_genes(stats.wilcoxon(labels, expr), 1).count() == 2
 
 
+def plain_harmony(z, b, y, rounds, steps, sigma=0.1, theta=2.0, ridge=1.0):
+    """harmonised() from given centres, cell by cell in one matrix."""
+    raw, z, n = z, z.copy(), len(z)
+    phi = np.eye(b.max() + 1)[b]
+    pen = np.zeros((len(y), phi.shape[1]))
+    for _ in range(rounds):
+        unit = z / np.linalg.norm(z, axis=1, keepdims=True)
+
+        def share():
+            w = np.exp(-2 * (1 - unit @ y.T) / sigma) * np.exp(pen)[:, b].T
+            return w / w.sum(axis=1, keepdims=True)
+
+        for _ in range(steps):
+            r = share()
+            y = r.T @ unit
+            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            o = r.T @ phi
+            pen = theta * np.log((np.outer(o.sum(axis=1), phi.mean(axis=0)) + 1) / (o + 1))
+        r, x = share(), np.concatenate((np.ones((n, 1)), phi), axis=1)
+        z = raw.copy()
+        for k in range(len(y)):
+            w = np.linalg.lstsq((x * r[:, [k]]).T @ x + np.diag([0] + [ridge] * phi.shape[1]), (x * r[:, [k]]).T @ raw, rcond=None)[0]
+            z -= r[:, [k]] * (phi @ w[1:])
+    return z
+
+
+def test_harmony(spark):
+    rng = np.random.default_rng(9)
+    group, b = rng.integers(0, 3, 240), rng.integers(0, 2, 240)
+    x = np.array([[6, 0, 0], [0, 6, 0], [0, 0, 6.0]])[group] + rng.normal(0, 0.4, (240, 3)) + b[:, None] * np.array([1.5, 1.0, -0.5])
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, pc array<double>").repartition(3)
+    batch = spark.createDataFrame([(i, "pq"[k]) for i, k in enumerate(b.tolist())], "cell_id long, batch string")
+    s = red.Harmony(clusters=3, rounds=2, steps=2, tol=0.0)
+    got = np.array([r.pc for r in red.harmonised(e, batch, s).orderBy("cell_id").collect()])
+    gap = lambda z: max(np.linalg.norm(z[(group == g) & (b == 0)].mean(axis=0) - z[(group == g) & (b == 1)].mean(axis=0)) for g in range(3))
+    assert gap(x) > 1.5 and gap(got) < 0.25 * gap(x)
+    # the same centres as the operator draws: by the hash order of the cells
+    order = [r.cell_id for r in e.orderBy(F.xxhash64("cell_id", F.lit(0)), "cell_id").collect()]
+    unit = x[order] / np.linalg.norm(x[order], axis=1, keepdims=True)
+    draw = np.random.default_rng(0)
+    y = unit[[draw.integers(240)]]
+    while len(y) < 3:
+        d = np.maximum(1 - (unit @ y.T).max(axis=1), 0)
+        y = np.concatenate((y, unit[[draw.choice(240, p=d / d.sum())]]))
+    assert np.allclose(got, plain_harmony(x, b, y, 2, 2), atol=1e-8)
+    alone = np.array([r.pc for r in red.harmonised(e, batch.withColumn("batch", F.lit(None).cast("string")), s).orderBy("cell_id").collect()])
+    assert np.allclose(alone, x, atol=1e-8) and red.harmonised(e.limit(0), batch).count() == 0
+
+
+def test_views_of_results(spark):
+    assert plans.pca_dims(["reduced_pc_20", "reduced_pc_0.95", "reduced_pc_20_umap", "coord_xy"]) == [20, 0.95]
+    rows = [(i, i % 2, d, l, 20, 0.7) for i in range(4) for d, l in (("scaled_gaussian", 0.2), ("nonspatial", 0.0))]
+    stack = spark.createDataFrame(rows, "cell_id long, label int, decay string, lambda_param double, num_pcs int, resolution double")
+    one, two = plans.spatial_and_nonspatial(stack, 20, 0.2, 0.7, {0: "a", 1: "b"}, {0: "c"})
+    assert {r.cell_type for r in one.collect()} == {"a", "b"} and {r.cell_type for r in two.collect()} == {"c", None}
+    with pytest.raises(KeyError):
+        plans.looked_up(stack, "uniform", 0.2, 20, 0.7)
+    told = spark.createDataFrame([(0, 0, 3.0), (0, 1, 40.0), (0, 2, None)], "label int, gene_id int, u_z double")
+    got = [r.minus_log10_p for r in stats.volcano(told).orderBy("gene_id").collect()]
+    assert got[0] == pytest.approx(-math.log10(math.erfc(3 / math.sqrt(2)))) and got[1] == pytest.approx(349.4370 - math.log10(2), abs=1e-3) and got[2] is None  # both sides
+    a, b = (spark.createDataFrame(list(enumerate(x)), "cell_id long, label int") for x in ([0, 0, 1, 1], [0, 5, 1, 7]))
+    m = lab.matching(a, b, "random", 3)
+    assert len(set(m.values())) == 4 and set(m.values()) <= set(range(8)) and m == lab.matching(a, b, "random", 3)
+    with pytest.raises(ValueError):
+        lab.matching(a, b, "other")
+    assert graph.labels_to_onehot(b.where("label <> 5"), gaps=False).count() == 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("gene,c1,c2\nG2,1,0\nG1,0,2.5\n")
     (tmp_path / "l.csv").write_text("id,xcoord,ycoord\nc1,1,2\nc2,3,4\n")

@@ -15,10 +15,10 @@ from ..functions import gaussian_weight_2d, p_equiv_radius
 from ._scale import kept
 
 DECAYS = ("uniform", "reciprocal", "reciprocal_squared", "scaled_gaussian", "ranked")
-#: Below this many cells a sample's cells are all one bucket, which is then exact at once.
-SMALL = 600
+#: So many cells, all samples together, are sent to all tasks and compared with all at once.
+SMALL = 3000
 #: Levels of squares: at most, and those that are tried for all squares.
-MOST_LEVELS, STEPS = 40, 3
+MOST_LEVELS, STEPS = 40, 8
 #: Squares of one level that are sent to all executors, at most.
 FEW = 20_000
 
@@ -65,7 +65,8 @@ def _levels(shown: DataFrame, k: int, top: int) -> DataFrame:
         return wide.join(counts, [*by, "__l", "__x", "__y"]).groupBy(*by, "__gx", "__gy").agg(F.min("__l").alias("__l"))
 
     squares = fine.select(*by, "__gx", "__gy")
-    low = kept(settled(squares, 0, min(STEPS, top)))
+    low = settled(squares, 0, min(STEPS, top))
+    low = low if top <= STEPS else kept(low)
     rest = squares.join(low, [*by, "__gx", "__gy"], "left_anti")
     if top <= STEPS:
         return low.unionByName(rest.withColumn("__l", F.lit(top)))
@@ -90,8 +91,11 @@ def _ranked(queries: DataFrame, shown: DataFrame, k: int) -> DataFrame:
         parts.append(right(few).join(F.broadcast(asked.where(F.col("__l").isin(few))), keys, "left_semi"))
     if not parts:
         parts = [right([0]).limit(0)]
-    found = _edges(left, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), keys, by)
-    return found.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst"))).where(F.col("rk") <= k)
+    return _nearest(_edges(left, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), keys, by), by, k)
+
+
+def _nearest(edges: DataFrame, by: list[str], k: int) -> DataFrame:
+    return edges.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst"))).where(F.col("rk") <= k)
 
 
 def knn_graph(cells: DataFrame, k: int, max_radius: float | None = None) -> DataFrame:
@@ -120,10 +124,11 @@ def knn_graph(cells: DataFrame, k: int, max_radius: float | None = None) -> Data
     base = base.withColumn("__gx", F.floor((F.col("x") - (lo_x or 0.0)) / side).cast("long")).withColumn("__gy", F.floor((F.col("y") - (lo_y or 0.0)) / side).cast("long"))
     shown = base.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k + 1).drop("__n")
     if top == 0:
-        done = _ranked(base.withColumn("__l", F.lit(0)), shown, k)
+        spread = base.repartition(cells.sparkSession.sparkContext.defaultParallelism, "cell_id")
+        done = _nearest(_edges(spread, F.broadcast(_others(shown, "__gx", "__gy")), [*by, "__gx", "__gy"], by), by, k)
     else:
         levels = _levels(shown, k, top)
-        queries = base.join(levels, [*by, "__gx", "__gy"])
+        queries = kept(base.join(levels, [*by, "__gx", "__gy"]))
         first = kept(_ranked(queries, shown, k))
         reached = first.groupBy(*by, "src").agg(F.count("*").alias("__c"), F.max("dist").alias("__d")).withColumnRenamed("src", "cell_id")
         told = queries.join(reached, [*by, "cell_id"], "left")

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from . import ann, decontaminate, html_text, jaccard, lm, pieces, pii, quality, suffixes, url_filter
 
 
-#: The public vocabulary that op4 encodes with; a parameter, not a part of the repository.
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-
-
-#: The public vocabulary of op3's model.
-SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the public vocabularies are; a parameter, they are not a part of the repository.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: The one that op4 encodes with, and the one of op3's model.
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+SUBWORD_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: The rules that op2 judges by: host, path prefix, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import attention as net
 from lattica.llm import lm
+from lattica.llm._exchange import counted, plain
 from lattica.llm.queries import SUBWORD_RANKS
 
 
@@ -194,3 +195,13 @@ def test_score_against_a_plain_reading(spark, ranks):
             c = n_texts if x is None else count[x]
             score += math.log10(new * spelt + (1 - new) * c * first / max(v.mass[v.group[word[0]]], 1))
         assert got[i].score == pytest.approx(score, rel=2e-4)
+
+
+@pytest.mark.parametrize("kind", ["u1", "u2", "u4", "u8"])
+def test_counts_come_back_as_they_went(kind):
+    top = np.iinfo(kind).max
+    parts = [np.array(x, kind) for x in ([], [0], [1, 2, 3], [top, 0, top - 1], np.arange(200) % 251)]
+    for some in ([], parts, parts[::-1]):
+        got = counted([plain(x) for x in some], kind)
+        assert got.dtype == np.dtype(kind)
+        assert got.tolist() == [v for x in some for v in x.tolist()]

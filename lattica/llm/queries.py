@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, jaccard, lm, pieces, pii, quality, runs, suffixes, url_filter
+from . import ann, decontaminate, html_text, jaccard, lm, pieces, pii, quality, runs, suffixes, trie, url_filter
 
 
 #: Where the public vocabularies are; a parameter, they are not a part of the repository.
@@ -82,6 +82,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return trie.trie_nodes(*trie.spliced(trie.numbered(table(spark, sf_dir, "conversations")), 20, head))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """docs in which the texts of every tenth id or so, by crc32, become periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -157,8 +163,23 @@ l as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.d
 reach as (select x, y from l union select r.x, l.y from reach r join l on l.x = r.y)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce((select min(y) from reach r where r.x = d.doc_id), d.doc_id)) as component_id from documents d left join n on n.doc_id = d.doc_id"""
 
+_CRC = "(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 8 * length(c::varchar)), lambda s: s)), lambda v, s: case when (xor(v, case when s % 8 = 0 then ascii(substr(c::varchar, (s // 8 + 1)::bigint, 1)) else 0 end) & 1) = 1 then xor(xor(v, case when s % 8 = 0 then ascii(substr(c::varchar, (s // 8 + 1)::bigint, 1)) else 0 end) >> 1, 3988292384) else xor(v, case when s % 8 = 0 then ascii(substr(c::varchar, (s // 8 + 1)::bigint, 1)) else 0 end) >> 1 end))"
+_TRIE_SQL = rf"""with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+l as (select c, list({{'r': role, 't': text}} order by turn nulls first, role, text) as own from t group by c),
+h as (select c, own, xor({_CRC}, 4294967295) % 4 as h from l),
+b as (select h.c, case when h.h = 0 then [] else coalesce(l.own, [])[1 : h.h] end || h.own[h.h + 1 :] as w from h left join l on l.c = h.c - h.c % 20),
+q as (select c, d, case when d = 0 then [] else w[1 : d] end as pre, d = len(w) as over from (select c, w, unnest(range(0, len(w) + 1)) as d from b)),
+n as (select pre, d, min(c) as c, count(*) as n_convs, string_agg(c::varchar, ',' order by c) filter (over) as e, case when d = 0 then 0 else (count(*) - 1) * len(regexp_extract_all(pre[-1].t, $$[^\x20\x09-\x0D]+$$)) end as saved from q group by pre, d),
+m as (select q.c, q.d, n.c as top from q join n on q.pre = n.pre and q.d = n.d),
+p as (select n.*, m.top as parent from n left join m on m.c = n.c and m.d = n.d - 1),
+k as (select parent as c, d - 1 as d, count(*) as n_children from p where d > 0 group by 1, 2),
+f as (select p.*, coalesce(k.n_children, 0) as n_children from p left join k on k.c = p.c and k.d = p.d),
+s as (select m.top as c, m.d, count(*) filter (f.n_children = 0) as n_leaves, sum(f.saved) as saved_tokens from f join m on m.c = f.c and m.d <= f.d group by 1, 2)
+select f.c as conv_id, f.d as depth, f.parent as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(f.e, '')) as ends_sha256 from f join s on s.c = f.c and s.d = f.d"""
+
 #: The same results in DuckDB's SQL. The others can't be put in SQL, or hang on floating-point sums in a given order.
 ORACLES: dict[str, str] = {
     "op2_url_filter": _URL_SQL,
     "op10_ngram_jaccard": _JACCARD_SQL,
+    "op12_conversation_trie": _TRIE_SQL,
 }

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, jaccard, lm, pieces, pii, quality, runs, suffixes, trie, url_filter
+from . import ann, decontaminate, html_text, jaccard, langid, lm, pieces, pii, quality, runs, suffixes, trie, url_filter
 
 
 #: Where the public vocabularies are; a parameter, they are not a part of the repository.
@@ -82,6 +82,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
     return trie.trie_nodes(*trie.spliced(trie.numbered(table(spark, sf_dir, "conversations")), 20, head))
@@ -121,6 +125,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_language_id": op11_language_id,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -6,21 +6,13 @@ cell itself; ties in distance go to the smaller dst.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gaussian_weight_2d, p_equiv_radius
-from ._scale import kept
+from .spatial_index import SpatialIndex
 
 DECAYS = ("uniform", "reciprocal", "reciprocal_squared", "scaled_gaussian", "ranked")
-#: So many cells, all samples together, are sent to all tasks and compared with all at once.
-SMALL = 3000
-#: Levels of squares: at most, and those that are tried for all squares.
-MOST_LEVELS, STEPS = 40, 8
-#: Squares of one level that are sent to all executors, at most.
-FEW = 20_000
 
 
 def _keys(df: DataFrame, *more: str) -> list[str]:
@@ -48,96 +40,13 @@ def _others(cells: DataFrame, *columns: str) -> DataFrame:
     return cells.select(*_keys(cells), F.col("cell_id").alias("dst"), F.col("x").alias("__x"), F.col("y").alias("__y"), *columns)
 
 
-def _levels(shown: DataFrame, k: int, top: int) -> DataFrame:
-    """(sample, __gx, __gy, __l) of the finest squares: the first level at which the square around holds more than k cells, or the top.
-
-    A square of level l is made of 4**l of the finest. Most squares are settled within STEPS levels, which counts of few squares
-    each decide; only the others go on to the higher ones.
-    """
-    by = _keys(shown)
-    fine = shown.groupBy(*by, "__gx", "__gy").agg(F.count("*").alias("__n"))
-    at = lambda c: F.call_function("shiftright", F.col(c), F.col("__l")).alias(f"__{c[-1]}")
-
-    def settled(of: DataFrame, lo: int, hi: int) -> DataFrame:
-        up = lambda df: df.withColumn("__l", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-        counts = up(fine).groupBy(*by, "__l", at("__gx"), at("__gy")).agg(F.sum("__n").alias("__m")).where(F.col("__m") > k)
-        wide = up(of).select(*by, "__gx", "__gy", "__l", at("__gx"), at("__gy"))
-        return wide.join(counts, [*by, "__l", "__x", "__y"]).groupBy(*by, "__gx", "__gy").agg(F.min("__l").alias("__l"))
-
-    squares = fine.select(*by, "__gx", "__gy")
-    low = settled(squares, 0, min(STEPS, top))
-    low = low if top <= STEPS else kept(low)
-    rest = squares.join(low, [*by, "__gx", "__gy"], "left_anti")
-    if top <= STEPS:
-        return low.unionByName(rest.withColumn("__l", F.lit(top)))
-    high = settled(rest, STEPS + 1, top)
-    last = rest.join(high, [*by, "__gx", "__gy"], "left").withColumn("__l", F.coalesce("__l", F.lit(top)))
-    return low.unionByName(last)
-
-
-def _ranked(queries: DataFrame, shown: DataFrame, k: int) -> DataFrame:
-    """The k nearest in the nine squares around each query, at its own level __l. shown: cells with their finest squares."""
-    by = _keys(shown)
-    at = lambda c: F.call_function("shiftright", F.col(c), F.col("__l"))
-    left = _around(queries.withColumn("__gx", at("__gx")).withColumn("__gy", at("__gy")))
-    # levels that few squares ask for get only those; a cell is sent once a level that many ask for
-    asked = left.select(*by, "__l", "__gx", "__gy").distinct()
-    per = {r["__l"]: r["n"] for r in asked.groupBy("__l").agg(F.count("*").alias("n")).collect()}
-    right = lambda levels: _others(shown, "__gx", "__gy").withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("__gx", at("__gx")).withColumn("__gy", at("__gy"))
-    many, few = [x for x, n in per.items() if n > FEW], [x for x, n in per.items() if n <= FEW]
-    keys = [*by, "__l", "__gx", "__gy"]
-    parts = [right(many)] if many else []
-    if few:
-        parts.append(right(few).join(F.broadcast(asked.where(F.col("__l").isin(few))), keys, "left_semi"))
-    if not parts:
-        parts = [right([0]).limit(0)]
-    return _nearest(_edges(left, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), keys, by), by, k)
-
-
-def _nearest(edges: DataFrame, by: list[str], k: int) -> DataFrame:
-    return edges.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst"))).where(F.col("rk") <= k)
-
-
-def knn_graph(cells: DataFrame, k: int, max_radius: float | None = None) -> DataFrame:
+def knn_graph(cells: DataFrame, k: int, max_radius: float | None = None, index: SpatialIndex | None = None) -> DataFrame:
     """The k nearest neighbours of each cell by Euclidean distance; with max_radius only edges up to it.
 
-    Squares follow the density: each cell takes the smallest square around it, of sides doubling from level to level, that
-    holds more than k cells, and is compared with those of its own and the adjacent squares of that size. It is done when its
-    k-th distance is at most that side. The k-th distance is at most the square's diagonal, so one level more is enough for
-    the rest: two joins, however cells crowd and stray. Of cells at one point only the k + 1 first can be among anyone's
-    neighbours, so piles of equal coordinates make no large square. Cells with a null coordinate have no edges.
+    The search is that of SpatialIndex, which is exact however cells crowd and stray; an index of these cells that was fitted
+    before, for k neighbours or more, is used as it is. Cells with a null coordinate have no edges.
     """
-    by = _keys(cells)
-    base = cells.select(*by, "cell_id", "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    middle = lambda c: F.percentile_approx(c, F.array(F.lit(0.1), F.lit(0.9)), 1000).alias(f"q{c}")
-    n, lo_x, hi_x, lo_y, hi_y, qx, qy = base.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), middle("x"), middle("y")).first()
-    spot = Window.partitionBy(*by, "x", "y").orderBy("cell_id")
-    extent = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0), 1e-12) * 1.01
-    if n <= SMALL:
-        side = extent
-    else:
-        # squares of a quarter of k + 2 cells where most cells are
-        w, h = (max(q[1] - q[0], 0.0) for q in (qx, qy))
-        side = math.sqrt(max(w * h, max(w, h) ** 2 * 1e-6) * (k + 2) / (0.64 * n)) / 2 or extent / 1024
-    top = max(0, min(MOST_LEVELS, math.ceil(math.log2(extent / side))))
-    side = extent / 2**top
-    base = base.withColumn("__gx", F.floor((F.col("x") - (lo_x or 0.0)) / side).cast("long")).withColumn("__gy", F.floor((F.col("y") - (lo_y or 0.0)) / side).cast("long"))
-    shown = base.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k + 1).drop("__n")
-    if top == 0:
-        spread = base.repartition(cells.sparkSession.sparkContext.defaultParallelism, "cell_id")
-        done = _nearest(_edges(spread, F.broadcast(_others(shown, "__gx", "__gy")), [*by, "__gx", "__gy"], by), by, k)
-    else:
-        levels = _levels(shown, k, top)
-        queries = kept(base.join(levels, [*by, "__gx", "__gy"]))
-        first = kept(_ranked(queries, shown, k))
-        reached = first.groupBy(*by, "src").agg(F.count("*").alias("__c"), F.max("dist").alias("__d")).withColumnRenamed("src", "cell_id")
-        told = queries.join(reached, [*by, "cell_id"], "left")
-        sure = (F.col("__l") == top) | ((F.coalesce("__c", F.lit(0)) == k) & (F.col("__d") <= F.lit(side) * F.pow(F.lit(2.0), F.col("__l"))))
-        again = kept(told.where(~sure).withColumn("__l", F.col("__l") + 1).drop("__c", "__d"))
-        done = first
-        if not again.isEmpty():
-            done = first.join(again.select(*by, F.col("cell_id").alias("src")), [*by, "src"], "left_anti").unionByName(_ranked(again, shown, k))
-    return done if max_radius is None else done.where(F.col("dist") <= max_radius)
+    return (index or SpatialIndex.fit(cells, most=k)).neighbours(cells, k, max_radius, same=True)
 
 
 def radius_graph(cells: DataFrame, radius: float) -> DataFrame:
@@ -149,9 +58,9 @@ def radius_graph(cells: DataFrame, radius: float) -> DataFrame:
     return edges.withColumn("rk", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dist", "dst")))
 
 
-def nearest_median(cells: DataFrame) -> DataFrame:
+def nearest_median(cells: DataFrame, index: SpatialIndex | None = None) -> DataFrame:
     """One row: the median distance to the nearest neighbour."""
-    return knn_graph(cells, 1).agg(F.median("dist").alias("median_dist"))
+    return knn_graph(cells, 1, index=index).agg(F.median("dist").alias("median_dist"))
 
 
 def with_theta(edges: DataFrame) -> DataFrame:
@@ -196,11 +105,11 @@ def modulated(edges: DataFrame, m: int) -> DataFrame:
     return t.withColumn("w_re", F.col("w") * F.cos(m * F.col("theta"))).withColumn("w_im", F.col("w") * F.sin(m * F.col("theta")))
 
 
-def spatial_weights(cells: DataFrame, m: int = 0, k: int = 15, decay: str = "scaled_gaussian", max_radius: float | None = None) -> DataFrame:
+def spatial_weights(cells: DataFrame, m: int = 0, k: int = 15, decay: str = "scaled_gaussian", max_radius: float | None = None, index: SpatialIndex | None = None) -> DataFrame:
     """Weights of order m over k * (m + 1) neighbours: decay, row normalisation, and for m > 0 the angle's phase."""
     if decay not in DECAYS:
         raise ValueError(f"unknown decay {decay!r}; one of {DECAYS}")
-    edges = knn_graph(cells, k * (m + 1), max_radius)
+    edges = knn_graph(cells, k * (m + 1), max_radius, index)
     edges = row_normalized(with_decay(edges, decay, k * (m + 1)))
     return modulated(edges, m) if m else edges
 

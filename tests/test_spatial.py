@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica import plans, sources
 from lattica.functions import p_equiv_radius
-from lattica.operators import augment, cluster, graph, labels as lab, qc, reduce as red, stats
+from lattica.operators import augment, cluster, graph, labels as lab, qc, reduce as red, spatial_index, stats
 from lattica.operators._scale import running
 
 
@@ -34,12 +34,13 @@ def edges_of(df):
 def test_knn_is_exact(spark, monkeypatch, seed, n, k):
     rng = np.random.default_rng(seed)
     xy = np.concatenate((rng.normal(0, 1, (n // 2, 2)), rng.normal(50, 0.01, (n - n // 2, 2)))).round(3)
-    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(spatial_index, "LEAF", 7)
     assert edges_of(graph.knn_graph(make_cells(spark, xy), k)) == brute(xy.tolist(), k)
 
 
 def test_knn_with_piles_samples_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(spatial_index, "LEAF", 2)
+    monkeypatch.setattr(spatial_index, "QUERIES", 3)
     xy = [(0, 0)] * 30 + [(1, 1)] * 3 + [(9, 9)]
     sample = ["a", "b"] * 17
     assert edges_of(graph.knn_graph(make_cells(spark, xy, sample), 3)) == brute(xy, 3, sample)
@@ -181,7 +182,9 @@ def test_running_sums(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_knn_with_outliers_and_crowds(spark, monkeypatch, seed):
-    monkeypatch.setattr(graph, "FEW", 5)
+    monkeypatch.setattr(spatial_index, "LEAF", 12)
+    monkeypatch.setattr(spatial_index, "FANOUT", 3)
+    monkeypatch.setattr(spatial_index, "QUERIES", 20)
     rng = np.random.default_rng(seed)
     xy = np.concatenate((rng.random((700, 2)), [(1e4, 1e4), (-1e4, 3.0)], rng.normal(5, 1e-3, (200, 2)), np.stack((np.linspace(0, 50, 60), np.full(60, 7.0)), axis=1)))
     assert edges_of(graph.knn_graph(make_cells(spark, xy), 6)) == brute(xy.tolist(), 6)

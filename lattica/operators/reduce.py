@@ -2,81 +2,220 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scale import kept, running
 
+#: Columns up to which products of columns are added up; directions tried beside those asked for, and directions kept of a wide matrix.
+GRAM, OVER, KEPT = 512, 10, 240
+#: Numbers that are added up in one place at a time, and bytes of rows that a task looks at together.
+CHUNK, BATCH_BYTES = 1 << 18, 64 << 20
+
 
 def _clean() -> F.Column:
     return F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x))
 
 
-def gram(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, column sums and X'X, added up partition by partition: only features by features values come back."""
+def _wide(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists, without a Python object a number."""
+    m = np.ascontiguousarray(m, dtype=float)
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(m) + 1) * m.shape[1]).astype(np.int32)), pa.array(m.ravel()))
+
+
+@contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """While it is open, rows go to Python in batches of at most BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _spread(features: DataFrame) -> DataFrame:
+    """The rows' vectors over as many tasks as run at once, each of which hands over one sum however many rows it has."""
+    return features.select(_clean().alias("x")).coalesce(features.sparkSession.sparkContext.defaultParallelism)
+
+
+def summed(features: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over batches of rows of work(rows by columns), a vector; None without rows.
+
+    Tasks add up their batches, and CHUNK numbers of every task at a time are added up in one place.
+    """
 
     def run(batches):
-        n, s, g = 0, None, None
+        total = None
         for batch in batches:
-            x = np.array(batch.column(0).flatten(), float).reshape(len(batch), -1) if len(batch) else None
-            if x is None:
-                continue
-            n += len(x)
-            s = x.sum(axis=0) if s is None else s + x.sum(axis=0)
-            g = x.T @ x if g is None else g + x.T @ x
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "g"])
+            if batch.num_rows:
+                v = work(_wide(batch.column(0), batch.num_rows))
+                total = v if total is None else total + v
+        for j in range(0, 0 if total is None else len(total), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([j]), _lists(total[None, j : j + CHUNK])], names=["j", "v"])
 
     def add(table: pa.Table) -> pa.Table:
-        s = np.sum([np.array(x) for x in table.column("s").to_pylist()], axis=0)
-        g = np.sum([np.array(x) for x in table.column("g").to_pylist()], axis=0)
-        return pa.table({"n": pa.array([sum(table.column("n").to_pylist())]), "s": pa.array([s.tolist()]), "g": pa.array([g.tolist()])})
-
-    kind = "n long, s array<double>, g array<double>"
-    parts = features.select(_clean().alias("x")).mapInArrow(run, kind)
-    got = parts.groupBy(F.spark_partition_id().bitwiseAND(F.lit(31)).alias("p")).applyInArrow(add, kind).toPandas()
-    if not len(got):
+        total = None
+        for v in table.column("v").chunks:
+            v = _wide(v, len(v)).sum(axis=0)
+            total = v if total is None else total + v
+        return pa.table({"j": table.column("j")[:1], "v": _lists(total[None])})
+
+    kind = "j long, v array<double>"
+    with _batches(features.sparkSession):
+        got = _spread(features).mapInArrow(run, kind).groupBy("j").applyInArrow(add, kind).toArrow().sort_by("j")
+    return got.column("v").combine_chunks().flatten().to_numpy() if got.num_rows else None
+
+
+def gram(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, column sums and X'X, added up task by task: only features by features values come back."""
+    got = summed(features, lambda x: np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel())))
+    if got is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    s = np.sum(np.stack(got.s.to_numpy()), axis=0)
-    return int(got.n.sum()), s, np.sum(np.stack(got.g.to_numpy()), axis=0).reshape(len(s), len(s))
+    d = math.isqrt(len(got) - 1)  # 1 + d + d * d numbers
+    return int(got[0]), got[1 : 1 + d], got[1 + d :].reshape(d, d)
+
+
+def qr_tree(features: DataFrame, shift: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The triangular factor R of (X - shift) vectors, from a tree of QR factors: of batches, of tasks, of groups of tasks."""
+
+    def stacked(parts: list[np.ndarray]) -> np.ndarray:
+        return np.linalg.qr(np.concatenate(parts), mode="r")
+
+    def run(batches):
+        r = None
+        for batch in batches:
+            if batch.num_rows:
+                y = (_wide(batch.column(0), batch.num_rows) - shift) @ vectors
+                r = stacked([y] if r is None else [r, y])
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 32]), pa.array([len(r)]), _lists(r.reshape(1, -1))], names=["g", "n", "r"])
+
+    def join(table: pa.Table) -> pa.Table:
+        r = stacked([np.array(v, float).reshape(n, -1) for n, v in zip(table.column("n").to_pylist(), table.column("r").to_pylist())])
+        return pa.table({"g": pa.array([table.column("g")[0].as_py() // 32]), "n": pa.array([len(r)]), "r": _lists(r.reshape(1, -1))})
+
+    kind = "g long, n long, r array<double>"
+    with _batches(features.sparkSession):
+        got = _spread(features).mapInArrow(run, kind).groupBy("g").applyInArrow(join, kind).toArrow()
+    return stacked([np.array(v, float).reshape(n, -1) for n, v in zip(got.column("n").to_pylist(), got.column("r").to_pylist())])
+
+
+def leading(features: DataFrame, dims: int, center: bool = True, seed: int = 0, tol: float = 1e-11) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rows, column means (0 if not to be centred), the dims largest singular values, their directions (columns by dims) and the sum of all squares.
+
+    A randomised range finder: a random block of dims + OVER directions is sent through the rows, (X - m)'(X - m) V, and what comes back widens
+    the block Krylov space that the directions are taken from, until they change the matrix's action by no more than tol; the
+    space is cut to its best directions when it has KEPT. Last, the values and the turn within the space come from a tree of QR factors,
+    so no product of the matrix with itself limits their accuracy. A task holds a batch and columns by (dims + OVER) numbers; columns by
+    columns are never made.
+    """
+    first = summed(features, lambda x: np.concatenate(([len(x)], x.sum(axis=0))))
+    if first is None:
+        return 0, np.zeros(0), np.zeros(0), np.zeros((0, 0)), 0.0
+    n, d = int(first[0]), len(first) - 1
+    shift = first[1:] / n if center else np.zeros(d)
+    wide = min(d, dims + OVER)
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, wide)))[0]
+    basis, image, total = np.zeros((d, 0)), np.zeros((d, 0)), 0.0
+    while True:
+
+        def through(x: np.ndarray, v=v) -> np.ndarray:
+            x = x - shift
+            return np.concatenate(([(x * x).sum()], (x.T @ (x @ v)).ravel()))
+
+        got = summed(features, through)
+        total, w = got[0], got[1:].reshape(d, -1)
+        basis, image = np.hstack((basis, v)), np.hstack((image, w))
+        t = basis.T @ image
+        values, turn = np.linalg.eigh((t + t.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        keep = min(dims, len(values))
+        found = basis @ turn[:, :keep]
+        off = np.linalg.norm(image @ turn[:, :keep] - found * values[:keep], axis=0).max(initial=0.0)
+        if basis.shape[1] >= d or off <= tol * max(values[0], 1e-300):
+            break
+        for _ in range(2):  # twice is enough for orthogonality
+            w = w - basis @ (basis.T @ w)
+        u, s, _ = np.linalg.svd(w, full_matrices=False)
+        v = u[:, s > 1e-13 * max(values[0], 1e-300)][:, : d - basis.shape[1]]
+        v = np.linalg.qr(v - basis @ (basis.T @ v))[0]
+        if not v.shape[1]:
+            break
+        if basis.shape[1] > max(KEPT, 4 * wide):
+            basis, image = basis @ turn[:, :wide], image @ turn[:, :wide]
+    _, s, turn = np.linalg.svd(qr_tree(features, shift, found))
+    return n, shift, s[:keep], (found @ turn.T)[:, :keep], float(total)
 
 
 def fit_pca(features: DataFrame, dims: int | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, components (features by dims) and explained ratios. A float asks for the fewest whose ratios add up to more."""
-    n, s, g = gram(features)
-    mean = s / max(n, 1)
-    values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    ratio = values / values.sum() if values.sum() > 0 else values
+    """Means, components (features by dims) and explained ratios. A float asks for the fewest whose ratios add up to more.
+
+    Up to GRAM columns the columns' products are added up, and all ratios come back; beyond, leading() finds the components asked
+    for, and their ratios. Both agree to rounding.
+    """
+    row = features.select(F.size("features").alias("d")).first()
+    if row is not None and row.d > GRAM:
+        want = int(dims) if not isinstance(dims, float) else 32
+        while True:
+            n, mean, s, vectors, total = leading(features, want)
+            ratio = s * s / total if total > 0 else s
+            if not isinstance(dims, float) or ratio.sum() > dims or len(s) < want or want >= min(n, row.d):
+                break
+            want *= 2
+    else:
+        n, s, g = gram(features)
+        mean = s / max(n, 1)
+        values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        ratio = values / values.sum() if values.sum() > 0 else values
     if isinstance(dims, float):
         dims = int(np.searchsorted(np.cumsum(ratio), dims, side="right")) + 1
-    dims = min(int(dims), len(values))
-    vectors = vectors[:, :dims]
-    lead = vectors[np.abs(vectors).argmax(axis=0), np.arange(dims)]
-    return mean, vectors * np.where(lead < 0, -1, 1), ratio
+    dims = min(int(dims), len(ratio))
+    return mean, signed(vectors[:, :dims]), ratio
 
 
-def pca(features: DataFrame, dims: int | float = 20) -> DataFrame:
-    """(cell_id, pc array<double>): centred projections; each component's largest loading is positive."""
-    features = kept(features)  # read twice
-    mean, vectors, _ = fit_pca(features, dims)
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """Directions turned so that each one's largest loading is positive."""
+    if not vectors.size:
+        return vectors
+    lead = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])]
+    return vectors * np.where(lead < 0, -1, 1)
+
+
+def projected(features: DataFrame, mean: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """(cell_id, pc array<double>): (features - mean) along each direction."""
     shared = features.sparkSession.sparkContext.broadcast((mean, vectors))
 
     def run(batches):
         mean, vectors = shared.value
         for batch in batches:
             if len(batch):
-                z = (np.array(batch.column(1).flatten(), float).reshape(len(batch), -1) - mean) @ vectors
-                cuts = pa.array((np.arange(len(z) + 1) * z.shape[1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(z.ravel()))], names=["cell_id", "pc"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists((_wide(batch.column(1), len(batch)) - mean) @ vectors)], names=["cell_id", "pc"])
 
     return features.select("cell_id", _clean().alias("x")).mapInArrow(run, f"cell_id {dict(features.dtypes)['cell_id']}, pc array<double>")
 
 
+def pca(features: DataFrame, dims: int | float = 20) -> DataFrame:
+    """(cell_id, pc array<double>): centred projections; each component's largest loading is positive."""
+    features = kept(features)  # read several times
+    mean, vectors, _ = fit_pca(features, dims)
+    return projected(features, mean, vectors)
+
+
 def remaining_variance(ratio: np.ndarray) -> np.ndarray:
     return 1 - np.cumsum(ratio)
 
@@ -91,6 +230,15 @@ def singular_values(features: DataFrame) -> np.ndarray:
     return _centred(*gram(features))
 
 
+def top_values(features: DataFrame, top: int, center: bool = True) -> np.ndarray:
+    """The `top` largest singular values, from products of columns where these are few, else by leading()."""
+    row = features.select(F.size("features").alias("d")).first()
+    if row is not None and row.d > GRAM:
+        return leading(features, top, center)[2]
+    n, s, g = gram(features)
+    return _centred(n, s if center else 0 * s, g)[:top]
+
+
 def noise_floor(features: DataFrame, permutations: int = 50, average: str = "mean", seed: int = 0, together: int = 10) -> float:
     """The average top singular value, centred, when each column is permuted on its own.
 
@@ -108,7 +256,7 @@ def noise_floor(features: DataFrame, permutations: int = 50, average: str = "mea
         placed = running(some, ["p", "i", "h", "cell_id"], F.lit(1), "place").withColumn("place", F.col("place") % n)  # each p, i has n rows
         rows = placed.groupBy("p", "place").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
         wide = kept(rows.select("p", F.transform("s", lambda s: s["x"]).alias("features")))
-        tops += [singular_values(wide.where(F.col("p") == p))[0] for p in range(lo, min(lo + together, permutations))]
+        tops += [top_values(wide.where(F.col("p") == p), 1)[0] for p in range(lo, min(lo + together, permutations))]
     if not tops:
         return 0.0
     return float(np.mean(tops) if average == "mean" else np.median(tops))

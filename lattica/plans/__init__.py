@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import augment, cluster, graph, labels as lab, reduce as red
 from ..operators._scale import kept
+from ..operators.spatial_index import SpatialIndex
 
 
 @dataclass(frozen=True)
@@ -22,9 +23,9 @@ class Spatial:
     weights: dict[int, DataFrame]
 
 
-def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1) -> Spatial:
-    """Weights of each order from one neighbour search of the largest order's size."""
-    widest = kept(graph.knn_graph(cells, k * (max_m + 1)))  # each order reads it
+def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1, index: SpatialIndex | None = None) -> Spatial:
+    """Weights of each order from one neighbour search of the largest order's size, in an index of the cells if one is given."""
+    widest = kept(graph.knn_graph(cells, k * (max_m + 1), index=index))  # each order reads it
     out = {}
     for m in range(max_m + 1):
         edges = widest.where(F.col("rk") <= k * (m + 1))
@@ -43,8 +44,8 @@ def neighbour_blocks(spatial: Spatial, expr: DataFrame, center: bool = False) ->
 
 def variance_balanced(blocks: dict[int, DataFrame], n_cells: int, top: int = 20) -> dict[int, DataFrame]:
     """Neighbour blocks z-scored and scaled to the own block's variance in the leading directions."""
-    grams = {k: red.gram(augment.wide(augment.zscore(b, n_cells).withColumn("k", F.lit(k))))[2] for k, b in blocks.items()}
-    return {k: b if k < 0 else b.withColumn("value", F.col("value") * augment.balance_factor(grams[-1], grams[k], top)) for k, b in blocks.items()}
+    lead = {k: float((red.top_values(kept(augment.wide(augment.zscore(b, n_cells).withColumn("k", F.lit(k)))), top, center=False) ** 2).sum()) for k, b in blocks.items()}
+    return {k: b if k < 0 else b.withColumn("value", F.col("value") * augment.balance_factor(lead[-1], lead[k])) for k, b in blocks.items()}
 
 
 def augmented(cells: DataFrame, expr: DataFrame, lam: float, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1, center: bool = False, variance_balance: bool = False) -> DataFrame:

@@ -703,6 +703,25 @@ def pca_norms(spark, d):
     return rounded(scores.select("cell_id", F.aggregate("pc", F.lit(0.0), lambda s, x: s + x * x).alias("norm2")), "norm2")
 
 
+def _power(matrix: str, out: str) -> str:
+    """The direction that 3,000 steps of power iteration reach, its largest loading positive."""
+    step = f"select n + 1 as n, m, list_transform(m, lambda row: list_dot_product(row, v)) as u from {out}_it where n < 3000"
+    return f"""{out}_it(n, m, v) as (select 0, m, list_transform(m, lambda row, i: 1.0 + i / 7.0) from {matrix} union all select n, m, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) from ({step})),
+{out} as (select m, list_transform(v, lambda x: x * sign(list_first(list_reverse_sort(list_transform(v, lambda y: {{'a': abs(y), 's': y}}))).s)) as v from {out}_it where n = 3000)"""
+
+
+@query(f"""with recursive {_CENTRED}, pairs as (select a.gene_id as i, b.gene_id as j, sum(a.z * b.z) as g from z a join z b using (cell_id) group by 1, 2),
+m0 as (select list(g order by i) as m from (select i, list(g order by j) as g from pairs group by i)), {_power('m0', 'one')},
+m1 as (select list_transform(m, lambda row, i: list_transform(row, lambda x, j: x - list_dot_product(list_transform(m, lambda q: list_dot_product(q, v)), v) * v[i] * v[j])) as m from one), {_power('m1', 'two')}
+select cell_id, {r('sum(z * one.v[gene_id - 1])', 'first')}, {r('sum(z * two.v[gene_id - 1])', 'second')} from z, one, two group by cell_id""")
+def pca_directions(spark, d):
+    """The two leading components by the range finder, whose directions SQL finds by power iteration."""
+    e = kept(augment.wide(expr_a(spark, d).withColumn("k", F.lit(-1))))
+    _, mean, _, vectors, _ = red.leading(e, 2)
+    pc = red.projected(e, mean, red.signed(vectors))
+    return rounded(pc.select("cell_id", F.col("pc")[0].alias("first"), F.col("pc")[1].alias("second")), "first", "second")
+
+
 _TWO = f"{_CENTRED}, m as (select sum(a.z * a.z) as p, sum(b.z * b.z) as q, sum(a.z * b.z) as c from z a join z b using (cell_id) where a.gene_id = 2 and b.gene_id = 3), v as (select (p + q + sqrt((p - q) * (p - q) + 4 * c * c)) / 2 as hi, (p + q - sqrt((p - q) * (p - q) + 4 * c * c)) / 2 as lo from m)"
 
 

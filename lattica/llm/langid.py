@@ -89,15 +89,15 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200, ridge: float = 1e-5) -> np.ndarray:
     """Weights (DIMS + 1 by classes) of a softmax model, by accelerated gradient steps; classes count alike."""
-    share = 1 / np.maximum(np.bincount(y, minlength=classes), 1)[y] / max(1, len(np.unique(y)))
-    w = last = np.zeros((x.shape[1] + 1, classes))
-    told = np.eye(classes)[y]
+    share = (1 / np.maximum(np.bincount(y, minlength=classes), 1)[y] / max(1, len(np.unique(y)))).astype(x.dtype)
+    w = last = np.zeros((x.shape[1] + 1, classes), x.dtype)
+    told = np.eye(classes, dtype=x.dtype)[y]
     for r in range(rounds):
-        v = w + r / (r + 3) * (w - last)
+        v = w + np.float32(r / (r + 3)) * (w - last)
         z = x @ v[:-1] + v[-1]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - told) * share[:, None]
-        last, w = w, v - 2.0 * (np.vstack((x.T @ g, g.sum(axis=0))) + ridge * v)
+        last, w = w, v - np.float32(2) * (np.vstack((x.T @ g, g.sum(axis=0))) + np.float32(ridge) * v)
     return w
 
 
@@ -106,21 +106,21 @@ def svm_fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 20,
 
     The rarer side costs more, in proportion.
     """
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
     bound = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
-    norm, alpha, w = (x.astype(float) ** 2).sum(axis=1), np.zeros(len(y)), np.zeros(x.shape[1])
+    norm, alpha, w, free = 1 + np.einsum("ij,ij->i", x, x), np.zeros(len(y)), np.zeros(x.shape[1], x.dtype), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * float(x[i] @ w) - 1) / norm[i], 0.0), bound[i])
+            new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + free) - 1) / norm[i], 0.0), bound[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                free += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]) / bound[i])
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, free)
 
 
 @dataclass

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met(asked: DataFrame, points: DataFrame, answer: Callable[[pa.Table, pa.Table], pa.Table], shape: str, most: int, salt: list[str]) -> DataFrame:
+    """asked and points, leaf by leaf, through answer. A leaf that more than `most` rows ask for is dealt, by a hash of the salt
+    columns, over several tasks, each with the leaf's points; leaves of points are bounded already."""
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, also where both are of one table
+    crowded = asked.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    if crowded.isEmpty():
+        return asked.groupBy("leaf").cogroup(points.groupBy("leaf")).applyInArrow(answer, shape)
+    crowded = F.broadcast(kept(crowded))  # at most one row for each `most` rows that ask
+    part = F.pmod(F.xxhash64(*salt), F.coalesce("parts", F.lit(1))).cast("int")
+    left = asked.join(crowded, "leaf", "left").select(*asked.columns, part.alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    right = points.join(crowded, "leaf", "left").withColumn("part", every).drop("parts")
+    return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(answer, shape)
+
+
 def running(df: DataFrame, order: list[Column | str], value: Column | str, name: str = "before") -> DataFrame:
     """df with the sum of value over all rows before each in the given order, which no two rows should share.
 

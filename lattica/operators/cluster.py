@@ -9,57 +9,12 @@ from pyspark.sql import functions as F
 
 from ._scale import kept, running
 from .graph import filter_by_rank_and_threshold
+from .metric_tree import feature_knn  # noqa: F401
 
-BLOCK = 4096
 #: Up to so many edges a graph is clustered in one task; the steps, and the labels, are the same beyond.
 TASK_EDGES = 20_000_000
 
 
-def feature_knn(embedding: DataFrame, k: int = 50) -> DataFrame:
-    """(src, dst, rk, dist, w): exact k nearest in feature space, w = 1 / (1 + dist); ties to the smaller id.
-
-    Blocks of cells meet in pairs, and each pair keeps its k best of every cell, so no task holds more than two blocks.
-    """
-    e = kept(embedding.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("pc").cast("array<double>").alias("pc")))
-    blocks = max(1, -(-e.count() // BLOCK))
-    home = F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = e.select(home.alias("a"), every.alias("b"), "cell_id", "pc")
-    right = e.select(every.alias("a"), home.alias("b"), F.col("cell_id").alias("near_id"), F.col("pc").alias("near_pc"))
-
-    def near(x: pa.Table, y: pa.Table) -> pa.Table:
-        src, dst, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if x.num_rows and y.num_rows:
-            matrix = lambda t, c: np.array(t.column(c).combine_chunks().flatten(), float).reshape(t.num_rows, -1)
-            p, q, p_id, q_id = matrix(x, "pc"), matrix(y, "near_pc"), x.column("cell_id").to_numpy(), y.column("near_id").to_numpy()
-            qq = (q * q).sum(axis=1)
-            top = np.max(qq, where=np.isfinite(qq), initial=0.0)
-            for i in range(0, len(p), 512):
-                part, ids = p[i : i + 512], p_id[i : i + 512]
-                pp = (part * part).sum(axis=1)
-                d = pp[:, None] + qq - 2 * part @ q.T
-                d[ids[:, None] == q_id[None, :]] = np.inf
-                kth = np.partition(d, min(k, len(q)) - 1, axis=1)[:, min(k, len(q)) - 1]
-                # more than rounding can move a square and the k-th of them, so that no neighbour or tie is left out
-                slack = 16 * (p.shape[1] + 8) * np.finfo(float).eps * (pp + top)
-                row, col = np.nonzero((d <= np.where(np.isnan(kth), np.inf, kth + slack)[:, None]) & np.isfinite(d))
-                real = np.empty(len(row))
-                for j in range(0, len(row), 1 << 18):
-                    r, c = row[j : j + (1 << 18)], col[j : j + (1 << 18)]
-                    real[j : j + (1 << 18)] = np.sqrt(((part[r] - q[c]) ** 2).sum(axis=1))
-                order = np.lexsort((q_id[col], real, row))
-                first = np.searchsorted(row, np.arange(len(part)))
-                order = order[np.arange(len(row)) - first[row] < k]
-                src.append(ids[row[order]])
-                dst.append(q_id[col[order]])
-                dist.append(real[order])
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "dist": np.concatenate(dist)})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(near, "src long, dst long, dist double")
-    rk = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return found.withColumn("rk", rk).where(F.col("rk") <= k).select("src", "dst", "rk", "dist", (1 / (1 + F.col("dist"))).alias("w"))
-
-
 def shared_counts(edges: DataFrame) -> DataFrame:
     """(src, dst, n): for each edge, how many neighbours its ends share. Two equi-joins; a row's neighbours are few."""
     e = edges.select("src", "dst")

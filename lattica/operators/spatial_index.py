@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._scale import kept, running
+from ._scale import kept, met, running
 
 #: Cells a leaf (it may hold twice as many), and leaves at most: with more cells than that allows leaves are larger, so the tree sent to all tasks stays under 100 MB.
 LEAF, MOST_LEAVES = 2048, 1_000_000
@@ -232,14 +232,14 @@ class SpatialIndex:
 
         shape = f"sid long, src {kind}, dst {other}, rk int, dist double, dx double, dy double, open boolean, leaf long, x double, y double, r double"
         asked = q.select("sid", "cell_id", "x", "y").mapInArrow(homes, visit)
-        found = self._met(asked, first, shape)
+        found = met(asked, self.points, first, shape, QUERIES, ["src", "x", "y"])
         edges = ["sid", "src", "dst", "rk", "dist", "dx", "dy"]
         if k is None:
             rank = F.row_number().over(Window.partitionBy("sid", "src").orderBy("dist", "dst"))
             out = found.withColumn("rk", rank).select(edges)
         else:
             found = kept(found)
-            more = self._met(found.where("leaf is not null").select("leaf", "sid", "src", "x", "y", "r"), later, shape)
+            more = met(found.where("leaf is not null").select("leaf", "sid", "src", "x", "y", "r"), self.points, later, shape, QUERIES, ["src", "x", "y"])
             rank = F.row_number().over(Window.partitionBy("sid", "src").orderBy("dist", "dst"))
             again = found.where("leaf is null and open").select(edges).unionByName(more.select(edges)).withColumn("rk", rank).where(F.col("rk") <= k)
             out = found.where("leaf is null and not open").select(edges).unionByName(again)
@@ -247,18 +247,6 @@ class SpatialIndex:
             return out.drop("sid")
         return out.join(self.samples, "sid").select("sample", *edges[1:])
 
-    def _met(self, asked: DataFrame, answer, shape: str) -> DataFrame:
-        """Queries and cells, leaf by leaf. Where many queries ask for one leaf, they are dealt over several tasks."""
-        crowded = asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).where("parts > 1")
-        if crowded.isEmpty():
-            return asked.groupBy("leaf").cogroup(self.points.groupBy("leaf")).applyInArrow(answer, shape)
-        crowded = F.broadcast(kept(crowded))  # one row for each QUERIES queries at most
-        part = F.pmod(F.xxhash64("src", "x", "y"), F.coalesce("parts", F.lit(1))).cast("int")
-        left = asked.join(crowded, "leaf", "left").withColumn("part", part).drop("parts")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-        right = self.points.join(crowded, "leaf", "left").withColumn("part", every).drop("parts")
-        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(answer, shape)
-
 
 def _answered(left: pa.Table, right: pa.Table, k: int | None, same: bool, tree: Tree | None) -> pa.Table:
     """Edges of a leaf's queries; with the tree also the other leaves that each has to visit, as rows without dst."""

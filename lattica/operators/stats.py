@@ -60,17 +60,21 @@ def with_p_value(correlations: DataFrame) -> DataFrame:
     return correlations.sparkSession.createDataFrame(out, ", ".join(f"{c} {t}" for c, t in correlations.dtypes) + ", p double")
 
 
-def volcano(scores: DataFrame, score: str = "u_z") -> DataFrame:
-    """scores with `minus_log10_p`, of the two-sided normal p of each z-score; by its leading terms where p is too small for a double."""
-    spec = f"{', '.join(f'{c} {t}' for c, t in scores.dtypes)}, minus_log10_p double"
+def minus_log10_p(z: F.Column) -> F.Column:
+    """-log10 of the two-sided normal p of a z-score, also where p is too small for a double.
+
+    The complementary error function: up to |z| = 2 one minus the series of the error function, beyond it a continued fraction.
+    """
+    t = F.abs(z) / math.sqrt(2)
+    steps = F.sequence(F.lit(120), F.lit(1))
+    series = F.aggregate(steps, F.lit(1.0), lambda s, n: 1 + s * 2 * t * t / (2 * n + 1)) * t * F.exp(-t * t) * (2 / math.sqrt(math.pi))
+    fraction = F.aggregate(steps, t, lambda s, n: t + n / 2 / s)
+    return F.when(t < math.sqrt(2), -F.log10(1 - series)).otherwise((t * t + 0.5 * math.log(math.pi) + F.ln(fraction)) / math.log(10))
 
-    def run(batches):
-        for batch in batches:
-            z = [None if x is None else abs(x) for x in batch.column(score).to_pylist()]
-            p = [None if x is None else (-math.log10(math.erfc(x / math.sqrt(2))) if x < 30 else (x * x / 2 + math.log(x * math.sqrt(math.pi / 2)) - math.log1p(-1 / (x * x))) / math.log(10)) for x in z]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "minus_log10_p"])
 
-    return scores.mapInArrow(run, spec)
+def volcano(scores: DataFrame, score: str = "u_z") -> DataFrame:
+    """scores with `minus_log10_p`, of the two-sided normal p of each z-score."""
+    return scores.withColumn("minus_log10_p", minus_log10_p(F.col(score).cast("double")) + F.lit(0.0))
 
 
 def t_p_value(t: float, df: float) -> float:

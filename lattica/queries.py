@@ -291,9 +291,16 @@ def hvg_seurat(spark, d):
     return rounded(out.drop("rank"), "mean", "dispersion", "norm")
 
 
-@query()
+@query(f"""with {B}, n as (select count(*)::double as n from cells), t as (select gene_id, sum(value) / n as mean, (sum(value * value) - n * (sum(value) / n) * (sum(value) / n)) / (n - 1) as var from expr, n group by gene_id, n),
+x as (select gene_id, mean, log10(mean) as x, log10(var) as y, greatest((0.3 * count(*) over ())::double // 1, 3) as span from t),
+near as (select a.gene_id, b.x - a.x as u, b.y, abs(b.x - a.x) as dist from x a, x b qualify row_number() over (partition by a.gene_id order by abs(b.x - a.x), b.gene_id) <= a.span),
+w as (select *, pow(1 - pow(least(dist / greatest(max(dist) over (partition by gene_id), 1e-12), 1), 3), 3) + 1e-9 as w from near),
+s as (select gene_id, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * u * u * u) as s3, sum(w * u * u * u * u) as s4, sum(w * y) as t0, sum(w * u * y) as t1, sum(w * u * u * y) as t2 from w group by 1),
+f as (select gene_id, pow(10, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))) as dispersion from s),
+z as (select gene_id, mean, dispersion, (select coalesce(sum(pow(least((value - mean) / sqrt(dispersion), sqrt(n)), 2)), 0) + (n - count(*)) * mean * mean / dispersion from expr e where e.gene_id = f.gene_id) / (n - 1) as norm from f join x using (gene_id), n)
+select gene_id, {r('mean')}, {r('dispersion')}, {r('norm')}, row_number() over (order by norm desc, gene_id) <= 10 as highly_variable from z""")  # a local quadratic by Cramer's rule
 def hvg_seurat_v3(spark, d):
-    return qc.highly_variable(genes_b(spark, d), expr_b(spark, d), cells_b(spark, d).count(), 10, "seurat_v3")
+    return rounded(qc.highly_variable(genes_b(spark, d), expr_b(spark, d), cells_b(spark, d).count(), 10, "seurat_v3").drop("rank"), "mean", "dispersion", "norm")
 
 
 @query(f"with {A} select cell_id, gene_id::int as gene_id, {r('(value - avg(value) over (partition by gene_id)) / stddev_samp(value) over (partition by gene_id)', 'value')} from expr")
@@ -488,6 +495,28 @@ def match_labels(spark, d):
     return lab.matched(labels_a(spark, d), labels_a(spark, d, True))
 
 
+@query(f"with {A} select cell_id, (case when cell_id % 11 = 0 then 2 else label * 4 end)::int as label from lab")
+def match_renamed_labels(spark, d):
+    """Labels in another order and with gaps get their names back; a label too many goes into the middle of the first widest gap."""
+    one, c = labels_a(spark, d), F.col("cell_id")
+    return lab.matched(one.withColumn("label", F.col("label") * 4), one.withColumn("label", F.when(c % 11 == 0, 99).otherwise(50 - 3 * F.col("label")).cast("int")))
+
+
+@query(f"with {A} select cell_id, (label * 2)::int as label, 0 as \"table\" from lab union all select cell_id, (label * 2)::int, 1 from lab2")
+def match_series_renamed(spark, d):
+    """The first table's ids start from 0 and keep their gaps; the second one's, which run backwards, follow them."""
+    one, two = labels_a(spark, d), labels_a(spark, d, True)
+    out = lab.matched_series([one.withColumn("label", (F.col("label") * 2 + 3).cast("int")), two.withColumn("label", (40 - F.col("label")).cast("int"))])
+    return out[0].withColumn("table", F.lit(0)).unionByName(out[1].withColumn("table", F.lit(1)))
+
+
+@query(f"with {A} select cell_id, (case label % 3 when 0 then 0 when 1 then 5 else 9 end)::int as label from lab")
+def expanded_labels(spark, d):
+    """Three ids beside a table of ten are spread over 0 to 9: seven free ids, four of them in the first gap."""
+    one = labels_a(spark, d)
+    return lab.matched_series([one.withColumn("label", (F.col("label") % 3).cast("int")), one])[0]
+
+
 # --- metagenes and statistics
 
 _MARKERS = [("one", "Brand#12"), ("one", "Brand#13"), ("one", "missing"), ("two", "Brand#21"), ("two", "Brand#22"), ("two", "Brand#23")]
@@ -614,6 +643,15 @@ def variance_balanced(spark, d):
     return rounded(plans.augmented(cells_a(spark, d), expr_a(spark, d), 0.2, variance_balance=True).select("cell_id", "gene_id", "k", "value"), "value")
 
 
+@query(f"""with {weights(15)}, own as (select cell_id, gene_id, value from expr where gene_id in (2, 3)), nbr as (select src as cell_id, gene_id, sum(w * value) as value from w join own on cell_id = dst group by 1, 2),
+f as (select sqrt((1 + abs((select corr(a.value, b.value) from own a join own b using (cell_id) where a.gene_id = 2 and b.gene_id = 3))) / (1 + abs((select corr(a.value, b.value) from nbr a join nbr b using (cell_id) where a.gene_id = 2 and b.gene_id = 3)))) as f)
+select cell_id, gene_id::int as gene_id, -1 as k, {r('value')} from own union all select cell_id, gene_id::int, 0, {r('value * f', 'value')} from nbr, f""")  # of two z-scored features the first direction holds 1 + |correlation|
+def variance_balanced_by_one_direction(spark, d):
+    expr = expr_a(spark, d).where("gene_id in (2, 3)")
+    blocks = plans.variance_balanced(plans.neighbour_blocks(plans.initialize(cells_a(spark, d), 15, max_m=0), expr), cells_a(spark, d).count(), top=1)
+    return rounded(blocks[-1].withColumn("k", F.lit(-1)).unionByName(blocks[0].withColumn("k", F.lit(0))).select("cell_id", "gene_id", "k", "value"), "value")
+
+
 _LF = lambda x: f"lgamma({x} + 1)"
 
 
@@ -768,9 +806,24 @@ def dendrogram_first(spark, d):
     return rounded(stats.merges(labels_a(spark, d), expr_a(spark, d)).where("step = 0").select("a", "b", "distance"), "distance")
 
 
-@query()
+def _linkage(groups: int) -> str:
+    """Average linkage step by step: d{i} the distances and s{i} the sizes before step i, m{i} the nearest pair."""
+    out = []
+    for i in range(groups - 1):
+        out.append(f"m{i} as materialized (select a, b, dist from d{i} order by dist, a, b limit 1)")
+        out.append(f"s{i + 1} as materialized (select k, n from s{i}, m{i} where k not in (a, b) union all select {groups + i}, sum(n) from s{i}, m{i} where k in (a, b))")
+        out.append(
+            f"""d{i + 1} as materialized (select d.a, d.b, d.dist from d{i} d, m{i} m where d.a not in (m.a, m.b) and d.b not in (m.a, m.b) union all
+select case when d.a in (m.a, m.b) then d.b else d.a end, {groups + i}, sum(d.dist * s.n) / sum(s.n) from d{i} d, m{i} m, s{i} s where ((d.a in (m.a, m.b)) <> (d.b in (m.a, m.b))) and s.k = case when d.a in (m.a, m.b) then d.a else d.b end group by 1)"""
+        )
+    return ", ".join(out)
+
+
+@query(f"""with {A}, m as (select label, gene_id, avg(value) as m from expr join lab using (cell_id) group by 1, 2), p as (select dense_rank() over (order by label) - 1 as k, gene_id, m from m),
+d0 as materialized (select a.k as a, b.k as b, 1 - corr(a.m, b.m) as dist from p a join p b on a.gene_id = b.gene_id and a.k < b.k group by 1, 2), s0 as (select distinct k, 1 as n from p), {_linkage(10)}
+{' union all '.join(f"select {i} as step, a::int as a, b::int as b, {r('dist', 'distance')} from m{i}" for i in range(9))}""")
 def dendrogram(spark, d):
-    return stats.merges(labels_a(spark, d), expr_a(spark, d))
+    return rounded(stats.merges(labels_a(spark, d), expr_a(spark, d)).select("step", "a", "b", "distance"), "distance")
 
 
 # --- files: written to the shared folder and read again
@@ -780,9 +833,11 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _text(df: DataFrame, path: str) -> None:
-    """(n, line) as one text file, in order of n."""
-    df.repartition(1).sortWithinPartitions("n").select("line").write.text(path)
+def _text(df: DataFrame, path: str, head: list[str] = []) -> None:
+    """Lines of df(n, line) in order of n, in parts; lines that come before all others are a part of their own, the first."""
+    if head:
+        df.sparkSession.createDataFrame([(x,) for x in head], "line string").coalesce(1).write.text(path)
+    df.repartitionByRange("n").sortWithinPartitions("n").select("line").write.mode("append").text(path)
 
 
 @query(f"with {B}, s as (select o_custkey % 40 as k, gene_id, sum(l_quantity::double) as value from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join genes using (p_brand) group by 1, 2) select 'c' || k as cell_name, gene_name, k::double as x, -k::double as y, value from s join genes using (gene_id)")
@@ -818,8 +873,7 @@ def tissue_positions(spark, d):
 @query(f"with {B} select cell_id as \"row\", gene_id::bigint as col, value from expr")
 def matrix_market(spark, d):
     e, path = expr_b(spark, d), _folder(spark, "market")
-    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "1000000 25 0")], "n long, line string")
-    _text(head.unionByName(e.select(F.col("cell_id").alias("n"), F.concat_ws(" ", F.col("cell_id") + 1, F.col("gene_id") + 1, "value").alias("line"))), path)
+    _text(e.select(F.col("cell_id").alias("n"), F.concat_ws(" ", F.col("cell_id") + 1, F.col("gene_id") + 1, "value").alias("line")), path, ["%%MatrixMarket matrix coordinate real general", "1000000 25 0"])
     return sources.read_matrix_market(spark, path)
 
 
@@ -829,8 +883,7 @@ def read_10x(spark, d):
     cells = kept(running(e.select("cell_id").distinct(), ["cell_id"], F.lit(1), "at"))
     _text(cells.select(F.col("at").alias("n"), F.concat(F.lit("b"), F.col("cell_id").cast("string")).alias("line")), f"{folder}/barcodes.tsv")
     _text(genes_b(spark, d).select(F.col("gene_id").alias("n"), F.concat_ws("\t", "p_brand", "gene_name", F.lit("Gene Expression")).alias("line")), f"{folder}/features.tsv")
-    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "25 1000000 0")], "n long, line string")
-    _text(head.unionByName(e.join(cells, "cell_id").select(F.col("at").alias("n"), F.concat_ws(" ", F.col("gene_id") + 1, F.col("at") + 1, "value").alias("line"))), f"{folder}/matrix.mtx")
+    _text(e.join(cells, "cell_id").select(F.col("at").alias("n"), F.concat_ws(" ", F.col("gene_id") + 1, F.col("at") + 1, "value").alias("line")), f"{folder}/matrix.mtx", ["%%MatrixMarket matrix coordinate real general", "25 1000000 0"])
     cells, genes, expr = sources.read_10x(spark, folder)
     return expr.join(cells, "cell_id").join(F.broadcast(genes), "gene_id").select("barcode", "gene_name", "value")
 
@@ -881,9 +934,15 @@ def point_biserial_p(spark, d):
     return rounded(stats.with_p_value(stats.point_biserial(labels_a(spark, d), values)).select("label", "p"), "p")
 
 
-@query()
+_RANKED = f"with {A}, rk as (select cell_id, gene_id, rank() over (partition by gene_id order by value) + (count(*) over (partition by gene_id, value) - 1) / 2.0 as rk from expr), n as (select count(*)::double as n from lab), "
+_UZ = "select label, gene_id, (sum(rk) - count(*) * (n + 1) / 2) / sqrt(count(*) * (n - count(*)) * (n + 1) / 12) as u_z from rk join lab using (cell_id), n group by label, gene_id, n"
+
+
+@query(f"""{_RANKED} u as ({_UZ}), t as (select label, gene_id, u_z, i, abs(u_z) + i * 12 / 4000.0 as x from u, (select unnest(range(0, 4001)) as i)),
+p as (select label, gene_id, u_z, sum(exp(-x * x / 2) * case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * (12 / 4000.0) / 3 / sqrt(2 * pi()) as p from t group by 1, 2, 3)
+select label, gene_id::int as gene_id, {r('u_z')}, {r('-log10(2 * p)', 'minus_log10_p')} from p""")  # the tail by Simpson's rule
 def volcano(spark, d):
-    return stats.volcano(stats.wilcoxon(labels_a(spark, d), expr_a(spark, d)).select("label", "gene_id", "u_z"))
+    return rounded(stats.volcano(stats.wilcoxon(labels_a(spark, d), expr_a(spark, d)).select("label", "gene_id", "u_z")), "u_z", "minus_log10_p")
 
 
 @query(f"""with {B}, q as (select c.cell_id, coalesce(sum(value), 0)::double as t, count(*) filter (value > 0)::double as g from cells c left join expr using (cell_id) group by 1),
@@ -931,9 +990,9 @@ def pca_dims(spark, d):
 @query("with s as (select 'b' || (vec_id % 3) as decay, vec_id / 100.0 as lambda_param, (vec_id % 5)::int as num_pcs, label::int as num_labels from embeddings) select row_number() over (order by decay, lambda_param, num_pcs) as at, decay, lambda_param::double as lambda_param, (select max(num_labels) from s) as most from s")
 def sorted_results(spark, d):
     e = table(spark, d, "embeddings").select(F.concat(F.lit("b"), (F.col("vec_id") % 3).cast("string")).alias("decay"), (F.col("vec_id") / 100).alias("lambda_param"), (F.col("vec_id") % 5).cast("int").alias("num_pcs"), F.lit(0.7).alias("resolution"), F.col("label").cast("int").alias("num_labels"))
+    order = ["decay", "lambda_param", "num_pcs", "resolution"]
     rows, most = plans.sorted_results(e)
-    told = [(i + 1, x.decay, x.lambda_param, most) for i, x in enumerate(rows.collect())]  # a row a setting
-    return spark.createDataFrame(told, "at long, decay string, lambda_param double, most int")
+    return running(rows, order, F.lit(1), "at").select((F.col("at") + 1).cast("long").alias("at"), "decay", "lambda_param", F.lit(most).alias("most"))
 
 
 @query(f"""with {A}, t as (select (vec_id % 4)::varchar as sample, a.label as a, b.label as b, count(*) as n from embeddings join lab a on a.cell_id = vec_id join lab2 b on b.cell_id = vec_id group by 1, 2, 3),
@@ -946,7 +1005,12 @@ def ari_median(spark, d):
     return rounded(stats.median_ari(stats.per_sample_ari(labels_a(spark, d), labels_a(spark, d, True), samples), targets), "median_ari")
 
 
-@query()
+_AUTO = ", ".join(f"{_vote(f'r{i}', f'r{i + 1}').replace('as (', 'as materialized (')}, e{i + 1} as materialized (select avg(e) as e from (select src, -sum(n / total * ln(n / total)) as e from r{i + 1}v join (select src, total from r{i + 1}t) using (src) group by 1))" for i in range(20))
+
+
+@query(f"""with {knn(6)}, r0 as (select cell_id, label from lab), {_AUTO}, n as (select coalesce(min(i) filter (e * 100 <= 5), 20) as n from ({' union all '.join(f'select {i} as i, e from e{i}' for i in range(1, 21))})),
+every as ({' union all '.join(f'select {i} as i, cell_id, label, e from r{i}, e{i}' for i in range(1, 21))})
+select cell_id, label, {r('e', 'entropy')}, n::int as votes from every, n where i = n""")
 def refine_auto(spark, d):
     labels, entropy, votes = lab.refined(labels_a(spark, d), kept(graph.knn_graph(cells_a(spark, d), 6)), "auto")
-    return labels.withColumns({"entropy": F.lit(entropy), "votes": F.lit(votes)})
+    return rounded(labels.withColumns({"entropy": F.lit(entropy), "votes": F.lit(votes)}), "entropy")

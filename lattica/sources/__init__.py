@@ -62,28 +62,37 @@ def annotated(cells: DataFrame, annotations: DataFrame, key: str = "barcode", fi
     return cells.join(annotations, key, "left").fillna(fill, extra)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, n, value) of text files' lines; file, at (where the part read begins) and n tell their order, however files were cut and read."""
+    places = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    return spark.read.text(path).select(*places, F.monotonically_increasing_id().alias("n"), "value")
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a coordinate MatrixMarket file, counted from 0."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where("value not like '\\%%' and trim(value) <> ''")
-    size = lines.agg(F.min("n").alias("first"))
+    """(row, col, value) of a coordinate MatrixMarket file, or folder of parts of which one has the header, counted from 0; also compressed."""
+    lines = _lines(spark, path).where("trim(value) <> ''")
+    head = lines.where("value like '\\%\\%MatrixMarket%'").select("file").distinct()
+    size = lines.where("value not like '\\%%'").join(F.broadcast(head), "file", "left_semi").agg(F.min(F.struct("at", "n", "file")).alias("s")).select("s.*")  # one line
+    rows = lines.where("value not like '\\%%'").join(F.broadcast(size), ["file", "at", "n"], "left_anti")
     part = F.split(F.trim("value"), r"\s+")
-    rows = lines.join(F.broadcast(size)).where("n > first")
     value = F.when(F.size(part) > 2, F.try_element_at(part, F.lit(3)).cast("double")).otherwise(1.0)
     return rows.select((part[0].cast("long") - 1).alias("row"), (part[1].cast("long") - 1).alias("col"), value.alias("value"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(at, value) of a text file's lines, counted from 0."""
-    return running(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()), ["n"], F.lit(1), "at").select(F.col("at").cast("long").alias("at"), "value")
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value) of text files' lines in the order of files' names, counted from 0."""
+    told = running(_lines(spark, path), ["file", "at", "n"], F.lit(1), "line")
+    return told.select(F.col("line").cast("long").alias("at"), "value")
 
 
 def read_10x(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells(cell_id, barcode), genes(gene_id, gene_key, gene_name), expr) of a folder with matrix.mtx (genes by barcodes),
-    barcodes.tsv and features.tsv, what the HDF5 form of the same counts holds."""
-    cells = _lines(spark, f"{folder}/barcodes.tsv").select(F.col("at").alias("cell_id"), F.split("value", "\t")[0].alias("barcode"))
+    barcodes.tsv and features.tsv (or, in older ones, genes.tsv), each as it is or .gz: what the HDF5 form of the same counts holds."""
+    found = lambda *names: f"{folder}/{{{','.join(f'{n}{end}' for n in names for end in ('', '.gz'))}}}"
     part = F.split("value", "\t")
-    genes = _lines(spark, f"{folder}/features.tsv").select(F.col("at").cast("int").alias("gene_id"), part[0].alias("gene_key"), F.coalesce(F.try_element_at(part, F.lit(2)), part[0]).alias("gene_name"))
-    expr = read_matrix_market(spark, f"{folder}/matrix.mtx").select(F.col("col").alias("cell_id"), F.col("row").cast("int").alias("gene_id"), "value")
+    cells = _numbered_lines(spark, found("barcodes.tsv")).select(F.col("at").alias("cell_id"), part[0].alias("barcode"))
+    genes = _numbered_lines(spark, found("features.tsv", "genes.tsv")).select(F.col("at").cast("int").alias("gene_id"), part[0].alias("gene_key"), F.coalesce(F.try_element_at(part, F.lit(2)), part[0]).alias("gene_name"))
+    expr = read_matrix_market(spark, found("matrix.mtx")).select(F.col("col").alias("cell_id"), F.col("row").cast("int").alias("gene_id"), "value")
     return cells, genes, expr
 
 

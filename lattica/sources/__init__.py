@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators._scale import running
+from . import hdf5
 
 
 def read_matrix_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -35,12 +38,14 @@ def numbered(cells: DataFrame, expr: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.join(ids, "cell_name"), expr.join(ids, "cell_name").select("cell_id", "gene_id", "value")
 
 
-def load(spark: SparkSession, matrix: str | None = None, locations: str | None = None, parquet: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, genes, expr) from a folder of Parquet tables, or from a matrix and a locations CSV; raises if neither is given."""
+def load(spark: SparkSession, matrix: str | None = None, locations: str | None = None, parquet: str | None = None, h5ad: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, genes, expr) from a folder of Parquet tables, an h5ad file, or a matrix and a locations CSV; raises if none is given."""
+    if h5ad:
+        return read_h5ad(spark, h5ad)
     if parquet:
         return tuple(spark.read.parquet(f"{parquet}/{t}.parquet") for t in ("cells", "genes", "expr"))
     if not matrix or not locations:
-        raise ValueError("give a Parquet folder, or both a matrix and a locations file")
+        raise ValueError("give a Parquet folder, an h5ad file, or both a matrix and a locations file")
     genes, expr = read_matrix_csv(spark, matrix)
     cells, expr = numbered(read_locations_csv(spark, locations), expr)
     return cells, genes, expr
@@ -96,6 +101,47 @@ def read_10x(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     return cells, genes, expr
 
 
+def _h5(spark: SparkSession, schema: str, **plan: object) -> DataFrame:
+    spark.dataSource.register(hdf5.H5Source)
+    return spark.read.format("lattica_h5").schema(schema).option("plan", json.dumps(plan)).load()
+
+
+def _h5_frame(spark: SparkSession, path: str, columns: list, types: list[str]) -> DataFrame:
+    named = ", ".join(f"`{c[0]}` {t}" for c, t in zip(columns, types))
+    return _h5(spark, f"at long, {named}", path=path, kind="frame", columns=columns)
+
+
+def read_h5ad(spark: SparkSession, path: str, x: str = "xcoord", y: str = "ycoord") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells(cell_id, cell_name, ...), genes(gene_id, gene_name, ...), expr) of an h5ad file, with its annotations; where cells have the columns x and y
+    they are also there as x and y. The path is one that every executor can open (a mounted folder, or a store that pyarrow knows).
+
+    X may be sparse by cells or by genes, or dense (zeros give no row). Tasks read ranges of chunks, as many as make some four million values.
+    """
+    file = hdf5.File(path)
+    matrix = file["X"]
+    entry = "cell_id long, gene_id int, value double"
+    if "data" in matrix.children:
+        kind = str(matrix.attributes.get("encoding-type", matrix.attributes.get("h5sparse_format", "csr")))
+        expr = _h5(spark, entry, path=path, kind="sparse", at="X", by="gene" if kind.startswith("csc") else "cell")
+    else:
+        expr = _h5(spark, entry, path=path, kind="dense", at="X")
+    cells = _h5_frame(spark, path, *hdf5.plan_of_frame(file, "obs")).withColumnsRenamed({"at": "cell_id", "name": "cell_name"})
+    if {x, y} <= set(cells.columns):
+        cells = cells.withColumns({"x": F.col(x).cast("double"), "y": F.col(y).cast("double")})
+    genes = _h5_frame(spark, path, *hdf5.plan_of_frame(file, "var"))
+    return cells, genes.withColumn("at", F.col("at").cast("int")).withColumnsRenamed({"at": "gene_id", "name": "gene_name"}), expr
+
+
+def read_10x_h5(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_10x()'s tables from the HDF5 form of the same counts, with features (as today) or genes (in older files, whose group is the genome's)."""
+    root = hdf5.File(path).root.children
+    group = "matrix" if "matrix" in root else next(g for g in sorted(root) if "barcodes" in root[g].children)
+    features = [("gene_name", f"{group}/features/name"), ("gene_key", f"{group}/features/id")] if "features" in root[group].children else [("gene_name", f"{group}/gene_names"), ("gene_key", f"{group}/genes")]
+    cells = _h5_frame(spark, path, [["barcode", f"{group}/barcodes", None]], ["string"]).select(F.col("at").alias("cell_id"), "barcode")
+    genes = _h5_frame(spark, path, [[n, at, None] for n, at in features], ["string", "string"]).select(F.col("at").cast("int").alias("gene_id"), "gene_key", "gene_name")
+    return cells, genes, _h5(spark, "cell_id long, gene_id int, value double", path=path, kind="sparse", at=group, by="cell")
+
+
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     """gene_name, upper-cased, from a one-column CSV with header."""
     df = spark.read.csv(path, header=True)

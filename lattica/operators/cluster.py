@@ -280,35 +280,67 @@ def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iteratio
     return every.join(number, "c").select("cell_id", "label")
 
 
-def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
-    """(cell_id, label) of a Gaussian mixture with one shared covariance, by EM; every round adds up bounded sums.
+#: Rows that a mixture's hierarchical start is made of, at most.
+START = 600
+
+
+def determinant_merges(x: np.ndarray, groups: int) -> np.ndarray:
+    """Labels from 0 of model-based hierarchical clustering for groups of one shape (Banfield and Raftery, 1993; Fraley, 1998).
 
-    Starts from k-means++ centres drawn over a bounded sample of 10,000 cells; labels run from the heaviest component down.
+    Every row begins alone; each step merges the two groups that leave the smallest determinant of the scatter within groups W. As merging
+    adds c v v' to it, v the difference of means, that is the pair with the smallest c v' W^-1 v. W begins as the scatter of one
+    row, alike in all directions, so that the first steps follow the trace. Of equal pairs the first rows' are merged.
     """
-    e = embedding.select("cell_id", F.col("pc").cast("array<double>").alias("pc"))
-    sample = np.array([r.pc for r in e.orderBy(F.xxhash64("cell_id", F.lit(seed))).limit(10_000).collect()], float)
+    n, d = x.shape
+    mean, size, label = x.copy(), np.ones(n), np.arange(n)
+    total = float(((x - x.mean(axis=0)) ** 2).sum()) / max(n * d, 1)
+    inverse = np.eye(d) / max(total, 1e-300)
+    alive = np.arange(n)
+    while len(alive) > groups:
+        m, s = mean[alive], size[alive]
+        z = m @ inverse
+        own = np.einsum("ij,ij->i", z, m)
+        cost = np.maximum(own[:, None] + own - 2 * z @ m.T, 0) * (s[:, None] * s / (s[:, None] + s))
+        cost[np.tril_indices(len(alive))] = np.inf
+        i, j = divmod(int(cost.argmin()), len(alive))
+        a, b = alive[i], alive[j]
+        c, v = size[a] * size[b] / (size[a] + size[b]), mean[a] - mean[b]
+        turned = inverse @ v
+        inverse -= np.outer(turned, turned) * (c / (1 + c * (v @ turned)))
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        label[label == b] = a
+        alive = np.delete(alive, j)
+    return np.unique(label, return_inverse=True)[1]
+
+
+def _posterior(x: np.ndarray, weight: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """Each row's share in each component, and the rows' log-likelihood."""
+    low = np.linalg.cholesky(cov)
+    z = np.stack([((np.linalg.solve(low, (x - m).T)) ** 2).sum(axis=0) for m in mu], axis=1)
+    logp = np.log(weight) - 0.5 * z - np.log(np.diag(low)).sum() - len(cov) / 2 * np.log(2 * np.pi)
+    top = logp.max(axis=1, keepdims=True)
+    p = np.exp(logp - top)
+    total = p.sum(axis=1, keepdims=True)
+    return p / total, float((np.log(total) + top).sum())
+
+
+def fit_mixture(e: DataFrame, n_labels: int, seed: int = 1234, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]] | None:
+    """Weights, means, the shared covariance and the log-likelihood before each round, of e(cell_id, pc); None without rows.
+
+    Starts from determinant_merges() of at most START rows, those with the smallest hash; every round adds up bounded sums over all rows, and
+    never lowers the log-likelihood.
+    """
+    sample = np.array([r.pc for r in e.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(START).collect()], float)
     if not len(sample):
-        return e.select("cell_id", F.lit(0).alias("label"))
-    rng = np.random.default_rng(seed)
-    centres = [sample[rng.integers(len(sample))]]
-    for _ in range(n_labels - 1):
-        d = np.min([((sample - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() > 0 else sample[0])
-    mu, dims = np.array(centres), sample.shape[1]
-    cov = np.cov(sample.T).reshape(dims, dims) / max(n_labels, 1) + 1e-6 * np.eye(dims)
-    weight = np.full(n_labels, 1 / n_labels)
-
-    def posterior(x, weight, mu, cov):
-        low = np.linalg.cholesky(cov)
-        z = np.stack([((np.linalg.solve(low, (x - m).T)) ** 2).sum(axis=0) for m in mu], axis=1)
-        logp = np.log(weight) - 0.5 * z - np.log(np.diag(low)).sum() - dims / 2 * np.log(2 * np.pi)
-        top = logp.max(axis=1, keepdims=True)
-        p = np.exp(logp - top)
-        total = p.sum(axis=1, keepdims=True)
-        return p / total, float((np.log(total) + top).sum())
-
-    e = kept(e)
-    last = -np.inf
+        return None
+    label, dims = determinant_merges(sample, n_labels), sample.shape[1]
+    weight = np.bincount(label, minlength=n_labels) / len(sample)
+    mu = np.stack([sample[label == g].mean(axis=0) if weight[g] else sample[0] for g in range(n_labels)])
+    ridge = 1e-6 * max(float(sample.var(axis=0).mean()), 1e-300) * np.eye(dims)
+    off = sample - mu[label]
+    cov, weight = off.T @ off / len(sample) + ridge, np.maximum(weight, 1e-9)
+    trace: list[float] = []
     for _ in range(rounds):
         shared = (weight, mu, cov)
 
@@ -317,27 +349,39 @@ def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, roun
             for batch in batches:
                 if len(batch):
                     x = np.array(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                    p, ll = posterior(x, *shared)
-                    out += np.concatenate(([ll], p.sum(axis=0), (p.T @ x).ravel(), (x.T @ x).ravel()))
+                    p, ll = _posterior(x, *shared)
+                    apart = (x - shared[1][0]).T @ (x - shared[1][0])  # about a mean, not about 0, which may be far
+                    out += np.concatenate(([ll], p.sum(axis=0), (p.T @ (x - shared[1][0])).ravel(), apart.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "v"])
 
         rows = e.mapInArrow(step, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas().v.to_numpy()
-        ll, nk = rows[0], np.maximum(rows[1 : 1 + n_labels], 1e-9)
-        mu = rows[1 + n_labels : 1 + n_labels + n_labels * dims].reshape(n_labels, dims) / nk[:, None]
-        xx = rows[-dims * dims :].reshape(dims, dims)
-        cov = (xx - (mu * nk[:, None]).T @ mu) / nk.sum() + 1e-6 * np.eye(dims)
-        weight = nk / nk.sum()
-        if ll - last < tol * abs(ll):
+        nk = np.maximum(rows[1 : 1 + n_labels], 1e-9)
+        trace.append(rows[0])
+        if len(trace) > 1 and trace[-1] - trace[-2] < tol * abs(trace[-1]):
             break
-        last = ll
-    rank = np.argsort(np.argsort(-weight, kind="stable"), kind="stable")
-    final = (weight, mu, cov)
+        from_first = rows[1 + n_labels : 1 + n_labels + n_labels * dims].reshape(n_labels, dims) / nk[:, None]
+        cov = (rows[-dims * dims :].reshape(dims, dims) - (from_first * nk[:, None]).T @ from_first) / nk.sum() + ridge
+        mu, weight = mu[0] + from_first, nk / nk.sum()
+    return (*shared, trace)
+
+
+def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
+    """(cell_id, label) of a Gaussian mixture with one shared covariance, by EM from a hierarchical start (see fit_mixture()).
+
+    Labels run from the heaviest component down.
+    """
+    e = kept(embedding.select("cell_id", F.col("pc").cast("array<double>").alias("pc")))
+    fitted = fit_mixture(e, n_labels, seed, rounds, tol)
+    if fitted is None:
+        return e.select("cell_id", F.lit(0).alias("label"))
+    final = fitted[:3]
+    rank = np.argsort(np.argsort(-final[0], kind="stable"), kind="stable")
 
     def name(batches):
         for batch in batches:
             if len(batch):
                 x = np.array(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank[posterior(x, *final)[0].argmax(axis=1)].astype(np.int32))], names=["cell_id", "label"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank[_posterior(x, *final)[0].argmax(axis=1)].astype(np.int32))], names=["cell_id", "label"])
 
     return e.mapInArrow(name, f"cell_id {dict(embedding.dtypes)['cell_id']}, label int")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import plans, sources
 from .functions import gaussian_weight_1d
-from .operators import augment, cluster, graph, labels as lab, qc, reduce as red, stats
+from .operators import augment, cluster, graph, labels as lab, qc, reduce as red, spatial_genes, stats
 from .operators._scale import kept, running, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,6 +676,23 @@ def remaining_variance(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(red.remaining_variance(ratio))], "component int, left double")
 
 
+def _moments(n: int) -> str:
+    """l{i} is L applied i times to the centred genes l0."""
+    return ", ".join(f"l{i + 1} as materialized (select l.cell_id, l.gene_id, any_value(l.v) - sum(x.v / sqrt(a.n * b.n)) as v from l{i} l join e on e.a = l.cell_id join deg a on a.a = e.a join deg b on b.a = e.b join l{i} x on x.cell_id = e.b and x.gene_id = l.gene_id group by 1, 2)" for i in range(n))
+
+
+_SHARE = f"""{knn(6)}, e as (select src as a, dst as b from knn union select dst, src from knn), deg as (select a, count(*)::double as n from e group by 1),
+l0 as materialized (select cell_id, gene_id, value - avg(value) over (partition by gene_id) as v from expr), {_moments(16)},
+mu as ({' union all '.join(f'select {j} as j, a.gene_id, sum(a.v * b.v) as mu from l{j // 2} a join l{(j + 1) // 2} b using (cell_id, gene_id) group by 2' for j in range(33))}),
+share as (select gene_id, sum(pow(-4.0, j) / gamma(j + 1) * mu) / max(mu) filter (j = 0) as share, max(mu) filter (j = 0) as energy from mu group by 1)"""
+
+
+@query(f"with {_SHARE} select gene_id::int as gene_id, {r('energy')}, {r('share')}, row_number() over (order by round(share, 10) desc, gene_id)::int as rank, row_number() over (order by round(share, 10) desc, gene_id) <= 3 as spatially_variable from share")
+def spatially_variable_genes(spark, d):
+    """The smooth share of each gene, which SQL takes from the series of exp(-4 L) in powers of the Laplacian."""
+    return rounded(spatial_genes.spatially_variable(expr_a(spark, d), graph.knn_graph(cells_a(spark, d), 6), 3), "energy", "share")
+
+
 # --- reduction and clustering: iterative, checked by tests instead of SQL
 
 

@@ -253,31 +253,47 @@ def quality(src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, r
     return inside / total - resolution * float(((k / (2 * total)) ** 2).sum())
 
 
-def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iterations: int = -1, seed: int = 1234) -> DataFrame:
-    """(cell_id, label) by Leiden on undirected edges: labels from the largest community down, equals by their smallest cell.
+def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], iterations: int = -1, seed: int = 1234) -> DataFrame:
+    """(setting, cell_id, label): leiden() at each of several resolutions of one graph, by their places in the list, all at once.
 
-    Cells without edges are communities of their own. Weights count in millionths of the largest. A graph of up to TASK_EDGES edges is
-    gone over in one task, a larger one over tables; the steps are the same (see communities()), and so are the labels.
+    A graph of up to TASK_EDGES edges is gone over in one task a resolution, side by side; a larger one over tables, one resolution
+    after the other; the steps are the same (see communities()), and so are the labels.
     """
+    spark = cells.sparkSession
     g = kept(undirected(edges).where("w > 0"))
     many, top = g.agg(F.count("*"), F.max("w")).first()
     whole = g.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.greatest(F.floor(F.col("w") / F.lit(float(top or 1.0)) * 2**20 + 0.5), F.lit(1)).cast("long").alias("w"))
     ids = cells.select(F.col("cell_id").cast("long").alias("cell_id")).distinct()
+    settings = F.broadcast(spark.createDataFrame([(i, float(r)) for i, r in enumerate(resolutions)], "setting int, resolution double"))
     if many <= TASK_EDGES:
 
         def run(table: pa.Table) -> pa.Table:
             src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
+            setting, resolution = table.column("setting")[0].as_py(), table.column("resolution")[0].as_py()
             names = np.unique(np.concatenate((src, dst)))
             found = communities(LocalGraph(names, np.searchsorted(names, src), np.searchsorted(names, dst), w, resolution, seed), iterations)
-            return pa.table({"cell_id": names, "c": found})
+            return pa.table({"setting": np.full(len(names), setting, np.int32), "cell_id": names, "c": found})
 
-        found = whole.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(run, "cell_id long, c long")
+        found = whole.join(settings).groupBy("setting").applyInArrow(run, "setting int, cell_id long, c long")
     else:
-        found = communities(SpreadGraph(whole, resolution, seed), iterations).select(F.col("id").alias("cell_id"), "c")
-    every = kept(ids.join(found, "cell_id", "left").select("cell_id", F.coalesce("c", "cell_id").alias("c")))
-    sized = every.groupBy("c").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
-    number = running(sized, [F.desc("n"), "first"], F.lit(1), "label").select("c", F.col("label").cast("int").alias("label"))
-    return every.join(number, "c").select("cell_id", "label")
+        found = None
+        for i, r in enumerate(resolutions):
+            one = communities(SpreadGraph(whole, float(r), seed), iterations).select(F.lit(i).alias("setting"), F.col("id").alias("cell_id"), "c")
+            found = one if found is None else found.unionByName(one)
+    every = kept(ids.join(settings).join(found, ["setting", "cell_id"], "left").select("setting", "cell_id", F.coalesce("c", "cell_id").alias("c")))
+    sized = every.groupBy("setting", "c").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
+    number = running(sized, ["setting", F.desc("n"), "first"], F.lit(1), "at")
+    start = F.broadcast(number.groupBy("setting").agg(F.min("at").alias("start")))  # a row a setting
+    number = number.join(start, "setting").select("setting", "c", (F.col("at") - F.col("start")).cast("int").alias("label"))
+    return every.join(number, ["setting", "c"]).select("setting", "cell_id", "label")
+
+
+def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iterations: int = -1, seed: int = 1234) -> DataFrame:
+    """(cell_id, label) by Leiden on undirected edges: labels from the largest community down, equals by their smallest cell.
+
+    Cells without edges are communities of their own. Weights count in millionths of the largest.
+    """
+    return leiden_sweep(cells, edges, [resolution], iterations, seed).select("cell_id", "label")
 
 
 #: Rows that a mixture's hierarchical start is made of, at most.

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import augment, cluster, graph, labels as lab, reduce as red
@@ -87,49 +89,89 @@ class Settings:
 RESULTS = "decay string, lambda_param double, num_pcs int, resolution double, num_labels int, modularity double, ari double, refined_ari double, total_entropy_normalized double"
 
 
-def run(cells: DataFrame, expr: DataFrame, s: Settings, annotations: DataFrame | None = None) -> tuple[DataFrame, dict[tuple, DataFrame]]:
+def _finished(spark: SparkSession, folder: str | None) -> dict[tuple, tuple]:
+    """Rows of the results that an earlier run() committed in the folder, by (decay, lambda, wanted pcs, wanted resolution)."""
+    if folder is None:
+        return {}
+    try:
+        rows = spark.read.parquet(f"{folder}/results").collect()  # a row a setting
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {(r.decay, r.lambda_param, r.wanted_pcs, r.wanted): tuple(r)[:9] + (r.place,) for r in rows}
+
+
+def run(cells: DataFrame, expr: DataFrame, s: Settings, annotations: DataFrame | None = None, folder: str | None = None) -> tuple[DataFrame, dict[tuple, DataFrame]]:
     """Every combination of lambda, components and resolution: a results table and labels by (decay, lambda, pcs, resolution).
 
-    Keys are raw numbers, so close resolutions stay apart. Without resolutions each combination is searched for max_labels.
+    Keys are raw numbers, so close resolutions stay apart. Without resolutions each combination is searched for max_labels. The resolutions
+    of one graph are clustered at once. With a folder every finished setting is committed there, its labels before its row of the
+    results, and a run of the same settings that is started again takes over what it finds; a graph all of whose settings are there isn't built.
     """
     if s.resolutions is None and s.max_labels is None:
         raise ValueError("give resolutions, or max_labels to search for")
-    spark, n = cells.sparkSession, cells.count()
-    blocks = neighbour_blocks(initialize(cells, s.k, s.decay, s.max_m), expr, s.center)
-    if s.variance_balance:
-        blocks = variance_balanced(blocks, n)
-    matrices = [(s.decay, float(lam), augment.concatenated(blocks, float(lam), n)) for lam in s.lambdas]
+    spark, n, done = cells.sparkSession, cells.count(), _finished(cells.sparkSession, folder)
+    mixture, search = s.algorithm == "mixture", s.resolutions is None
+    wanted = [float("inf")] if mixture or search else [float(r) for r in s.resolutions]  # inf: found by the setting itself
+
+    @cache
+    def blocks() -> dict[int, DataFrame]:
+        made = neighbour_blocks(initialize(cells, s.k, s.decay, s.max_m), expr, s.center)
+        return variance_balanced(made, n) if s.variance_balance else made
+
+    @cache
+    def near() -> DataFrame:
+        return kept(graph.knn_graph(cells, s.refine_neighbours))
+
+    matrices = [(s.decay, float(lam), lambda lam=lam: augment.concatenated(blocks(), float(lam), n)) for lam in s.lambdas]
     if s.add_nonspatial:
-        matrices.append(("nonspatial", 0.0, nonspatial(expr, n)))
+        matrices.append(("nonspatial", 0.0, lambda: nonspatial(expr, n)))
     rows, out = [], {}
     for decay, lam, matrix in matrices:
-        features = kept(augment.wide(matrix))
+        features = None
         for pcs in s.pcs:
-            scores = kept(red.pca(features, pcs))
-            dims = len(scores.first().pc) if n else 0
-            if s.algorithm == "mixture":
-                found = [(float("nan"), cluster.gaussian_mixture(scores, s.max_labels or 8, s.seed), None)]
-            else:
-                knn = kept(cluster.feature_knn(scores, s.feature_neighbours))
-                g = kept(cluster.undirected(cluster.shared_graph(knn, True, s.shared_max_rank, s.shared_threshold)))
-                if s.resolutions is None:
-                    found = [(*cluster.find_resolution(cells, g, s.max_labels, seed=s.seed), g)]
+            left = [r for r in wanted if (decay, lam, float(pcs), r) not in done]
+            found, g, dims = {}, None, 0
+            if left:
+                features = kept(augment.wide(matrix())) if features is None else features
+                scores = kept(red.pca(features, pcs))
+                dims = len(scores.first().pc) if n else 0
+                if mixture:
+                    found[left[0]] = (float("nan"), cluster.gaussian_mixture(scores, s.max_labels or 8, s.seed))
+                else:
+                    knn = kept(cluster.feature_knn(scores, s.feature_neighbours))
+                    g = kept(cluster.undirected(cluster.shared_graph(knn, True, s.shared_max_rank, s.shared_threshold)))
+                    if search:
+                        found[left[0]] = cluster.find_resolution(cells, g, s.max_labels, seed=s.seed)
+                    else:
+                        swept = kept(cluster.leiden_sweep(cells, g, left, seed=s.seed))
+                        found = {r: (r, swept.where(F.col("setting") == i).select("cell_id", "label")) for i, r in enumerate(left)}
+            for want in wanted:
+                key = (decay, lam, float(pcs), want)
+                if key in done:
+                    *row, place = done[key]
+                    labels = spark.read.parquet(place)
                 else:
-                    found = [(r, cluster.leiden(cells, g, r, seed=s.seed), g) for r in s.resolutions]
-            for resolution, labels, g in found:
-                labels = kept(labels)
-                num = labels.select("label").distinct().count()
-                q = lab.modularity(labels, g).first()[0] if g is not None else None
-                agree = lab.ari(annotations, labels).first()[0] if annotations is not None else None
-                refined_ari = entropy = None
-                if s.refine:
-                    near = kept(graph.knn_graph(cells, s.refine_neighbours))
-                    better, e, _ = lab.refined(labels, near, s.refine)
-                    refined_ari = lab.ari(annotations, better).first()[0] if annotations is not None else -1.0
-                    entropy = e / math.log(num) if num > 1 else 0.0
-                    labels = better
-                rows.append((decay, lam, dims, float(resolution), num, q, agree, refined_ari, entropy))
-                out[(decay, lam, dims, float(resolution))] = labels
+                    resolution, labels = found[want]
+                    labels = kept(labels)
+                    num = labels.select("label").distinct().count()
+                    q = lab.modularity(labels, g).first()[0] if g is not None else None
+                    agree = lab.ari(annotations, labels).first()[0] if annotations is not None else None
+                    refined_ari = entropy = None
+                    if s.refine:
+                        better, e, _ = lab.refined(labels, near(), s.refine)
+                        refined_ari = lab.ari(annotations, better).first()[0] if annotations is not None else -1.0
+                        entropy = e / math.log(num) if num > 1 else 0.0
+                        labels = better
+                    row = [decay, lam, dims, float(resolution), num, q, agree, refined_ari, entropy]
+                    if folder is not None:
+                        place = f"{folder}/labels-{uuid.uuid4().hex}"
+                        labels.write.parquet(place)
+                        spark.createDataFrame([(*row, float(pcs), want, place)], f"{RESULTS}, wanted_pcs double, wanted double, place string").write.mode("append").parquet(f"{folder}/results")
+                        labels = spark.read.parquet(place)
+                rows.append(tuple(row))
+                out[(row[0], row[1], row[2], row[3])] = labels
     if s.match and len(out) > 1:
         out = dict(zip(out, lab.matched_series(list(out.values()))))
     return spark.createDataFrame(rows, RESULTS).orderBy("decay", "lambda_param", "num_pcs", "resolution"), out

@@ -233,57 +233,6 @@ def chosen_nodes(found: Page, content: np.ndarray) -> np.ndarray:
     return np.array([bool(c) or (within[e] and found.marks[e] == found.marks[root] and (holds[e] or top[e] not in menu)) for e, c in zip(element, content)], bool)
 
 
-def content_paths(found: Page, share: float = 0.5, reach: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Which nodes are on paths that hold content, and the score of each node's path."""
-    _, of = np.unique(np.array([x[1] for x in found.nodes]), return_inverse=True)
-    chars = np.array([len(x[3].strip()) for x in found.nodes], float)
-    punctuation = np.array([len(_PUNCT.findall(x[3])) for x in found.nodes], float)
-    weight = ELSE_WEIGHT ** np.minimum([found.marks[x[0]] for x in found.nodes], 50.0)  # the same all over a path
-    many = np.bincount(of)
-    text_ratio, mark_ratio = np.bincount(of, chars) / many, (np.bincount(of, punctuation) + 0.1) / many
-    # weighed before smoothing, so that it lends nothing to its neighbours, and after, so that it takes nothing from them
-    fused = _smoothed(text_ratio[of] * weight, reach) * _smoothed(mark_ratio[of] * weight, reach) * weight
-    score = (np.bincount(of, fused) / many)[of]
-    mean = float((score * chars * weight).sum() / (chars * weight).sum()) if (chars * weight).sum() > 0 else 0.0
-    content = score >= share * mean
-    return (content if content.any() else score == score.max()), score
-
-
-def chosen_nodes(found: Page, content: np.ndarray) -> np.ndarray:
-    """The nodes of the text: content nodes and what belongs to them in the lowest element that holds them all."""
-    parent, element = found.parent, [x[0] for x in found.nodes]
-    holds = [False] * len(parent)  # a content node
-    for e in (e for e, c in zip(element, content) if c):
-        while not holds[e]:
-            holds[e] = True
-            e = parent[e]
-    # numbers rise along the page: what holds the first and the last holds all
-    first, last = (element[k] for k in (int(np.argmax(content)), len(content) - 1 - int(np.argmax(content[::-1]))))
-    while first != last:
-        if first > last:
-            first = parent[first]
-        else:
-            last = parent[last]
-    root = first
-    while root and found.tag[root] in LEAVES:
-        root = parent[root]  # one chosen block: what stands around it in its container belongs to it
-    within = [False] * len(parent)
-    top = list(range(len(parent)))  # the outermost element around that holds no content node
-    for e in range(len(parent)):
-        within[e] = e == root or (e > 0 and within[parent[e]])
-        if e and not holds[e] and not holds[parent[e]]:
-            top[e] = top[parent[e]]
-    nodes, chars, linked = Counter(), Counter(), Counter()
-    for e, _, _, text, link in found.nodes:
-        if not holds[e]:
-            n = len(text.strip())
-            nodes[top[e]] += 1
-            chars[top[e]] += n
-            linked[top[e]] += n * link
-    menu = {e for e, n in nodes.items() if n > 1 and 2 * linked[e] > chars[e]}
-    return np.array([bool(c) or (within[e] and found.marks[e] == found.marks[root] and (holds[e] or top[e] not in menu)) for e, c in zip(element, content)], bool)
-
-
 def main_text(page: str | None, share: float = 0.5, reach: int = 2) -> str:
     """The main text of one page; share: the part of the page's mean path score that a content path reaches."""
     found = parsed(page or "")

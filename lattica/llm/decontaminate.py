@@ -12,6 +12,8 @@ memory doesn't grow with either.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -261,6 +263,7 @@ def _scan(docs: DataFrame, part: Slice, item_ids: pa.Array, min_words: int, dens
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, density: int = DENSITY) -> DataFrame:
     """docs without the documents that copy a benchmark passage. Rows without doc_id are kept if their text is clean."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    bad = contaminated(keyed.select(F.col("__row").alias("doc_id"), "text"), benchmark, min_words, density).select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").drop("__row")
+    row = next(name for name in (f"__row{i}" for i in count()) if name not in docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    bad = contaminated(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, min_words, density).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(bad, row, "left_anti").drop(row)

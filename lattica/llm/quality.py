@@ -185,9 +185,12 @@ def held_out() -> F.Column:
 
 
 def trained(x: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
-    """A forest fitted to the rows of x(doc_id, x) that are labelled and not held out, at most max_rows of them."""
+    """A forest fitted to the rows of x(doc_id, x) that are labelled and not held out, at most max_rows of them.
+
+    Of several rows of one doc_id the one with the smallest statistics counts, whatever their order.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    train = known.where(~held_out()).join(x.dropDuplicates(["doc_id"]), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "quality").toArrow()
+    train = known.where(~held_out()).join(x.groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "quality").toArrow()
     rows = np.array(train.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if train.num_rows else np.zeros((0, len(FEATURES)))
     return fit(rows, np.array(train.column("quality"), float))
 

@@ -57,3 +57,12 @@ def test_statistics_of_small_texts():
     name = {n: i for i, n in enumerate(q.FEATURES)}
     assert np.isfinite(x).all() and x.shape == (4, len(q.FEATURES)) and (x[0] == x[1]).all()
     assert x[2, name["word_mean"]] == 2.5 and x[2, name["distinct_lines"]] == 0.5 and x[2, name["upper"]] == 2 / 14 and x[3, name["wide"]] == 1
+
+
+def test_repeated_ids_in_any_order(spark):
+    """Of several texts of one id the same one is learnt from, however the rows come."""
+    rows = [(i, f"{'good prose, and more of it. ' * 3 if (i + k) % 2 else '$$ ## BUY ' * 4} {i}") for i in range(60) for k in (0, 1)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, q.scored(d, labels).collect())) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert one == two

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import decontaminate, jaccard, pieces, pii, quality
-from lattica.llm._cluster import shared_dir
+from lattica.llm._cluster import dropped, shared_dir
 from lattica.llm.queries import PIECE_MODEL, findable, table
 
 
@@ -55,11 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, written between stages to the shared folder."""
+    """All stages over the documents of sf_dir, written between stages to the shared folder; what a stage left goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{top}/{k}")
+        if k:
+            dropped(spark, f"{top}/{k - 1}")
         docs = spark.read.parquet(f"{top}/{k}")
     return docs

@@ -27,11 +27,21 @@ def kept(df: DataFrame) -> DataFrame:
 
     A checkpoint would hand on the constraints that the optimiser inferred, which multiply from round to round of an iteration.
     """
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kept-{spark.sparkContext.applicationId}"
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Deletes all tables that kept() wrote for this application; results that still read them must have been written before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def met(asked: DataFrame, points: DataFrame, answer: Callable[[pa.Table, pa.Table], pa.Table], shape: str, most: int, salt: list[str]) -> DataFrame:
     """asked and points, leaf by leaf, through answer. A leaf that more than `most` rows ask for is dealt, by a hash of the salt
     columns, over several tasks, each with the leaf's points; leaves of points are bounded already."""

@@ -43,9 +43,9 @@ def agf(edges: DataFrame, expr: DataFrame, center: bool = True) -> DataFrame:
 
 def feature_moments(expr: DataFrame, n_cells: int, by: tuple[str, ...] = ("gene_id",)) -> DataFrame:
     """Mean and population standard deviation of each feature over all n_cells cells."""
-    m = expr.groupBy(*by).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    mean = F.col("s") / float(n_cells)
-    return m.select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / float(n_cells) - mean * mean, F.lit(0.0))).alias("std"))
+    m = expr.groupBy(*by).agg(F.avg("value").alias("a"), F.var_pop("value").alias("v"), (F.count("value") / float(n_cells)).alias("p"))
+    # cells without a row are zeros: their share 1 - p lies apart from the mean of the others; no square of a mean is taken off
+    return m.select(*by, (F.col("p") * F.col("a")).alias("mean"), F.sqrt(F.greatest(F.col("p") * (F.col("v") + (1 - F.col("p")) * F.col("a") * F.col("a")), F.lit(0.0))).alias("std"))
 
 
 def zscore(expr: DataFrame, n_cells: int, by: tuple[str, ...] = ("gene_id",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica import plans, sources
 from lattica.functions import p_equiv_radius
-from lattica.operators import augment, cluster, graph, labels as lab, qc, reduce as red, spatial_index, stats
+from lattica.operators import _scale, augment, cluster, graph, labels as lab, qc, reduce as red, spatial_index, stats
 from lattica.operators._scale import running
 
 
@@ -172,6 +173,23 @@ def test_cells_without_edges_keep_apart(spark):
     assert {r.cell_id: r.label for r in cluster.leiden(cells, edges.limit(0)).collect()} == {i: i for i in range(6)}
 
 
+def test_moments_of_large_means_and_sparse_rows(spark):
+    x = np.array([0.0, 0.25, 0.5, 1.0]) + 1e9
+    expr = spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate(x)] + [(0, 1, 3.0), (1, 1, 5.0)], "cell_id long, gene_id int, value double")
+    got = {r.gene_id: r for r in augment.feature_moments(expr, 4).collect()}
+    assert got[0].std == pytest.approx(np.std([0, 0.25, 0.5, 1.0]), rel=1e-6)
+    assert (got[1].mean, got[1].std) == (pytest.approx(2.0), pytest.approx(np.std([3, 5, 0, 0])))
+
+
+def test_kept_tables_are_dropped(spark):
+    """All that was kept goes at once; what is kept afterwards is there."""
+    df = _scale.kept(spark.range(3))
+    folder = df.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert os.path.isdir(folder)
+    _scale.drop_kept(spark)
+    assert not os.path.exists(folder) and _scale.kept(spark.range(2)).count() == 2
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "a int, v int")
     got = {r.a: r.before for r in running(df.repartition(5), [F.desc("a")], "v").collect()}

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ._scale import kept, running
 from .graph import filter_by_rank_and_threshold
 from .metric_tree import feature_knn  # noqa: F401
+from .spread_graph import SpreadGraph, coin
 
 #: Up to so many edges a graph is clustered in one task; the steps, and the labels, are the same beyond.
-TASK_EDGES = 20_000_000
+TASK_EDGES = 2_000_000
 
 
 def shared_counts(edges: DataFrame) -> DataFrame:
@@ -38,30 +39,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def _mix(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64 makes of 64-bit integers, one by one, from the hash so far."""
-    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    with np.errstate(over="ignore"):
-        h = (seed + five + np.uint64(8)) ^ (turn(values * two, 31) * one)
-        h = turn(h, 27) * one + four
-        h = (h ^ (h >> np.uint64(33))) * two
-        h = (h ^ (h >> np.uint64(29))) * three
-    return h ^ (h >> np.uint64(32))
-
-
-def coin(seed: int, r: int, ids: np.ndarray) -> np.ndarray:
-    """For each id whether its turn comes in round r; _coin() is the same as a column."""
-    h = np.full(len(ids), 42, np.uint64)
-    for x in (np.full(len(ids), seed), np.full(len(ids), r), ids):
-        h = _mix(x.astype(np.int64).view(np.uint64), h)
-    return (h & np.uint64(1)) == 0
-
-
-def _coin(seed: int, r: int, column: str) -> F.Column:
-    return F.xxhash64(F.lit(seed).cast("long"), F.lit(r).cast("long"), F.col(column).cast("long")).bitwiseAND(F.lit(1)) == 0
-
-
 #: Rounds of moving and of refining at each level, at most, and passes over all levels.
 MOVES, REFINES, PASSES = 60, 20, 10
 
@@ -101,7 +78,12 @@ class LocalGraph:
         first = order[np.flatnonzero(np.concatenate(([len(v) > 0], v[order][1:] != v[order][:-1])))]
         return v[first], to[first], gain[first]
 
-    def move(self, r: int) -> int:
+    def move(self, most: int) -> None:
+        for r in range(most):
+            if not self._move(r):
+                break
+
+    def _move(self, r: int) -> int:
         v, to, gain = self._gains(self.c, np.ones(len(self.src), bool), True)
         stay = np.empty(len(self.ids))
         mine = to == self.c[v]
@@ -113,10 +95,13 @@ class LocalGraph:
         self.c[v[go]] = to[go]
         return int(want.sum())
 
-    def split(self) -> None:
+    def refine(self, most: int) -> None:
         self.f = self.ids.copy()
+        for r in range(most):
+            if not self._refine(r):
+                break
 
-    def refine(self, r: int) -> int:
+    def _refine(self, r: int) -> int:
         names, of, many = np.unique(self.f, return_inverse=True, return_counts=True)
         alone = many[of] == 1
         use = (self.c[self.src] == self.c[self.dst]) & (self.f[self.src] != self.f[self.dst]) & alone[self.src]
@@ -152,89 +137,20 @@ class LocalGraph:
         return inside, sum(int(x) ** 2 for x in np.bincount(np.unique(self.cells, return_inverse=True)[1], self.k0))
 
 
-class SpreadGraph:
-    """The same steps over tables: edges(src, dst, w) once each, whole numbers."""
-
-    def __init__(self, edges: DataFrame, resolution: float, seed: int):
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-        self.first = kept(both)
-        self.cells = kept(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")))
-        self.total, self.resolution, self.seed = float(self.cells.agg(F.sum("k")).first()[0] or 0), resolution, seed
-
-    def begin(self) -> None:
-        self.edges, self.nodes = self.first, self.cells
-        self.node = self.cells.select(F.col("id").alias("cell_id"), F.col("id").alias("node"))
-
-    def _gain(self, own: str, group: str) -> F.Column:
-        size = F.col("size") - F.when(F.col(group) == F.col(own), F.col("k")).otherwise(F.lit(0))
-        return F.col("e").cast("double") - F.lit(self.resolution) * F.col("k").cast("double") * size.cast("double") / F.lit(self.total)
-
-    def move(self, r: int) -> int:
-        of = self.nodes.select(F.col("id").alias("dst"), "c")
-        near = self.edges.join(of, "dst").select("src", "c", "w").unionByName(self.nodes.select(F.col("id").alias("src"), "c", F.lit(0).cast("long").alias("w")))
-        size = self.nodes.groupBy("c").agg(F.sum("k").alias("size"))
-        mine = self.nodes.select(F.col("id").alias("src"), "k", F.col("c").alias("own"))
-        told = near.groupBy("src", "c").agg(F.sum("w").alias("e")).join(size, "c").join(mine, "src").withColumn("gain", self._gain("own", "c"))
-        best = told.groupBy("src", "k", "own").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        want = F.col("best.gain") > F.col("stay")
-        new = kept(best.select(F.col("src").alias("id"), "k", F.when(want & _coin(self.seed, r, "src"), -F.col("best.c")).otherwise(F.col("own")).alias("c"), want.alias("want")))
-        self.nodes = new.select("id", "k", "c")
-        return new.where("want").count()
-
-    def split(self) -> None:
-        self.fine = self.nodes.withColumn("f", F.col("id"))
-
-    def refine(self, r: int) -> int:
-        many = self.fine.groupBy("f").agg(F.count("*").alias("many"), F.sum("k").alias("size"))
-        alone = self.fine.join(many.where("many = 1").select("f"), "f", "left_semi").select(F.col("id").alias("src"), "k", F.col("c").alias("own_c"), F.col("f").alias("own"))
-        to = self.fine.select(F.col("id").alias("dst"), "c", "f")
-        near = self.edges.join(alone, "src").join(to, "dst").where("c = own_c and f <> own").groupBy("src", "k", "own", "f").agg(F.sum("w").alias("e"))
-        told = near.join(many.select("f", "size"), "f").withColumn("gain", self._gain("own", "f")).where("gain > 0")
-        may = _coin(self.seed, -1 - r, "src") & ~_coin(self.seed, -1 - r, "f")
-        best = kept(told.groupBy("src").agg(F.max(F.when(may, F.struct("gain", (-F.col("f")).alias("f")))).alias("best")))
-        go = best.where("best is not null").select(F.col("src").alias("id"), (-F.col("best.f")).alias("to"))
-        self.fine = kept(self.fine.join(go, "id", "left").select("id", "k", "c", F.coalesce("to", "f").alias("f")))
-        return best.count()
-
-    def shrink(self) -> bool:
-        nodes = kept(self.fine.groupBy(F.col("f").alias("id")).agg(F.sum("k").alias("k"), F.max("c").alias("c")))
-        if nodes.count() == self.fine.count():
-            return False
-        of = self.fine.select("id", "f")
-        ends = self.edges.join(of.select(F.col("id").alias("src"), F.col("f").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("f").alias("b")), "dst")
-        self.edges = kept(ends.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        self.node = kept(self.node.join(of.withColumnRenamed("id", "node"), "node").select("cell_id", F.col("f").alias("node")))
-        self.nodes = nodes
-        return True
-
-    def end(self) -> tuple[int, int]:
-        told = self.node.join(self.nodes.select(F.col("id").alias("node"), "c"), "node").select(F.col("cell_id").alias("id"), "c")
-        self.cells = kept(self.cells.select("id", "k").join(told, "id"))
-        a, b = (self.cells.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("src", "dst"))
-        inside = self.first.join(a, "src").join(b, "dst").where("csrc = cdst").agg(F.sum("w")).first()[0] or 0
-        squares = self.cells.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
-        return int(inside), int(squares)
-
-
 def communities(g: LocalGraph | SpreadGraph, iterations: int = -1):
     """Communities of the cells (g.cells), by rounds of moving, refining and shrinking; then again from what was found, until it is no better.
 
     Maximises the sum over communities of inside / 2m - resolution * (strength / 2m)**2. In a round all nodes whose turn comes by
     their coin go to the neighbouring community of the largest gain, the smaller of equals, at once. Refining parts each
     community again: nodes that are alone join groups of their community that don't move in that round. Weights are whole
-    numbers, so neither the order of sums nor the engine that runs these steps changes a label.
+    numbers, so neither the order of sums nor the number of parts changes a label.
     """
     best, found, done = None, g.cells, 0
     while g.total > 0 and done < (iterations if iterations >= 0 else PASSES):
         g.begin()
         while True:
-            for r in range(MOVES):
-                if not g.move(r):
-                    break
-            g.split()
-            for r in range(REFINES):
-                if not g.refine(r):
-                    break
+            g.move(MOVES)
+            g.refine(REFINES)
             if not g.shrink():
                 break
         inside, squares = g.end()
@@ -253,11 +169,11 @@ def quality(src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, r
     return inside / total - resolution * float(((k / (2 * total)) ** 2).sum())
 
 
-def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], iterations: int = -1, seed: int = 1234) -> DataFrame:
+def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], iterations: int = -1, seed: int = 1234, parts: int | None = None) -> DataFrame:
     """(setting, cell_id, label): leiden() at each of several resolutions of one graph, by their places in the list, all at once.
 
-    A graph of up to TASK_EDGES edges is gone over in one task a resolution, side by side; a larger one over tables, one resolution
-    after the other; the steps are the same (see communities()), and so are the labels.
+    A graph of up to TASK_EDGES edges is gone over in one task a resolution, side by side; a larger one in parts of bounded size
+    (see SpreadGraph; `parts` asks for that, and for so many), one resolution after the other. The steps are the same, and so are the labels.
     """
     spark = cells.sparkSession
     g = kept(undirected(edges).where("w > 0"))
@@ -265,7 +181,7 @@ def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], i
     whole = g.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.greatest(F.floor(F.col("w") / F.lit(float(top or 1.0)) * 2**20 + 0.5), F.lit(1)).cast("long").alias("w"))
     ids = cells.select(F.col("cell_id").cast("long").alias("cell_id")).distinct()
     settings = F.broadcast(spark.createDataFrame([(i, float(r)) for i, r in enumerate(resolutions)], "setting int, resolution double"))
-    if many <= TASK_EDGES:
+    if many <= TASK_EDGES and parts is None:
 
         def run(table: pa.Table) -> pa.Table:
             src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
@@ -278,7 +194,7 @@ def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], i
     else:
         found = None
         for i, r in enumerate(resolutions):
-            one = communities(SpreadGraph(whole, float(r), seed), iterations).select(F.lit(i).alias("setting"), F.col("id").alias("cell_id"), "c")
+            one = communities(SpreadGraph(whole, float(r), seed, parts), iterations).select(F.lit(i).alias("setting"), F.col("id").alias("cell_id"), "c")
             found = one if found is None else found.unionByName(one)
     every = kept(ids.join(settings).join(found, ["setting", "cell_id"], "left").select("setting", "cell_id", F.coalesce("c", "cell_id").alias("c")))
     sized = every.groupBy("setting", "c").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
@@ -288,12 +204,12 @@ def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], i
     return every.join(number, ["setting", "c"]).select("setting", "cell_id", "label")
 
 
-def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iterations: int = -1, seed: int = 1234) -> DataFrame:
+def leiden(cells: DataFrame, edges: DataFrame, resolution: float = 0.7, iterations: int = -1, seed: int = 1234, parts: int | None = None) -> DataFrame:
     """(cell_id, label) by Leiden on undirected edges: labels from the largest community down, equals by their smallest cell.
 
     Cells without edges are communities of their own. Weights count in millionths of the largest.
     """
-    return leiden_sweep(cells, edges, [resolution], iterations, seed).select("cell_id", "label")
+    return leiden_sweep(cells, edges, [resolution], iterations, seed, parts).select("cell_id", "label")
 
 
 #: Rows that a mixture's hierarchical start is made of, at most.

@@ -159,13 +159,6 @@ def test_labels_are_the_same_in_one_task_and_over_tables(spark, monkeypatch):
     assert len(one) == n + 1 and len({x for _, x in one}) >= 4
 
 
-def test_coins_are_those_of_the_columns(spark):
-    ids = np.array([0, 1, -5, 2**40, 2**62, -(2**63)])
-    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
-    for r in (0, 3, -4):
-        assert [x[0] for x in df.select(cluster._coin(1234, r, "id")).collect()] == cluster.coin(1234, r, ids).tolist()
-
-
 def test_cells_without_edges_keep_apart(spark):
     cells = spark.range(6).select(F.col("id").alias("cell_id"))
     edges = spark.createDataFrame([(2, 3, 1.0), (4, 5, 1.0)], "src long, dst long, w double")

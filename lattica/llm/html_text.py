@@ -4,10 +4,12 @@ Each text node of a page has a root-to-leaf tag path. Over all nodes of a path,
 summed and divided by the number of nodes (tag-path feature fusion, Wu and others, 2013): prose sits on few paths
 with long, punctuated nodes, while menus spread short ones. Both ratios are smoothed along the page and fused by their product. What
 a page says of its own elements (navigation, footers, class names such as `comment-list`) is one more feature: it tells such paths
-from others with the same tags, and weighs them down. Paths whose score reaches a threshold, relative to the page's mean, hold content.
+from others with the same tags, and weighs them down; single blocks (paragraphs, items) by no more than much prose outweighs. Paths
+whose score reaches a threshold, relative to the page's mean, hold content.
 
 Their nodes are the text, with what belongs to them: in the lowest element that holds them all, headings, captions, short
-items and so on, unless a path was weighed down or a subtree without any content node is mostly links.
+items and so on, unless a path was weighed down and is no content, or a subtree without any content node is mostly links and
+no `article` or `main` says that it belongs.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ HEADER_WORDS = frozenset("header masthead".split())
 #: Words after those that only say where it is or how it is laid out, and before them that say it isn't there.
 PLACE_WORDS = frozenset("area bar block body bottom box button buttons center col column container content desktop global group holder inner item items layout left leaderboard links list main mobile outer panel posts primary right secondary section site slot stories thread top unit widget wrap wrapper".split())
 NOT_WORDS = frozenset("has no non not with without".split())
-#: What a path is weighed by for each of its elements that says it is something else.
-ELSE_WEIGHT = 1e-3
+#: What a path is weighed by for each of its elements that says it is something else; and for a single block that only its names call so.
+ELSE_WEIGHT, BLOCK_WEIGHT = 1e-3, 0.3
 
 
 def _is_else(attrs: str, inside: bool) -> bool:
@@ -71,16 +73,16 @@ class Page:
     tag: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
     path: list[int] = field(default_factory=lambda: [0])  # number of the element's tag path
-    marks: list[int] = field(default_factory=lambda: [0])  # elements on the way that say they are something else
+    weight: list[float] = field(default_factory=lambda: [1.0])  # product of what the elements on the way weigh
     paths: dict[tuple, int] = field(default_factory=lambda: {(): 0})
     # of each text node: its element, path, block, text, and whether it is a link
     nodes: list[tuple[int, int, int, str, bool]] = field(default_factory=list)
 
-    def open(self, name: str, parent: int, marked: bool) -> int:
+    def open(self, name: str, parent: int, weight: float) -> int:
         self.tag.append(name)
         self.parent.append(parent)
-        self.path.append(self.paths.setdefault((self.path[parent], name, marked), len(self.paths)))
-        self.marks.append(self.marks[parent] + marked)
+        self.path.append(self.paths.setdefault((self.path[parent], name, weight), len(self.paths)))
+        self.weight.append(self.weight[parent] * weight)
         return len(self.tag) - 1
 
 
@@ -98,7 +100,7 @@ def parsed(page: str) -> Page:
             return
         if not (piece := _html.unescape(piece)).isspace():
             at = stack[-1][1] if stack else 0
-            path = out.paths.setdefault((out.path[at], "a", False), len(out.paths)) if link else out.path[at]
+            path = out.paths.setdefault((out.path[at], "a", 1.0), len(out.paths)) if link else out.path[at]
             out.nodes.append((at, path, block, piece, link))
         else:
             space()
@@ -169,9 +171,13 @@ def parsed(page: str) -> Page:
             close(k)
         if name == "body" and (k := last({"head"})) is not None:
             close(k)
-        marked = name in ELSE_TAGS or (name == "header" and not inside) or (name not in ROOTS and bool(attrs) and _is_else(attrs, inside))
+        weight = 1.0
+        if name in ELSE_TAGS or (name == "header" and not inside):
+            weight = ELSE_WEIGHT
+        elif name not in ROOTS and attrs and _is_else(attrs, inside):
+            weight = BLOCK_WEIGHT if name in LEAVES else ELSE_WEIGHT
         unseen = (bool(stack) and stack[-1][2]) or name in UNSEEN or bool(attrs and _HIDDEN.search(attrs))
-        stack.append((name, out.open(name, stack[-1][1] if stack else 0, marked), unseen))
+        stack.append((name, out.open(name, stack[-1][1] if stack else 0, weight), unseen))
         opened[name] += 1
     return out
 
@@ -187,7 +193,7 @@ def content_paths(found: Page, share: float = 0.5, reach: int = 2) -> tuple[np.n
     _, of = np.unique(np.array([x[1] for x in found.nodes]), return_inverse=True)
     chars = np.array([len(x[3].strip()) for x in found.nodes], float)
     punctuation = np.array([len(_PUNCT.findall(x[3])) for x in found.nodes], float)
-    weight = ELSE_WEIGHT ** np.minimum([found.marks[x[0]] for x in found.nodes], 50.0)  # the same all over a path
+    weight = np.maximum([found.weight[x[0]] for x in found.nodes], 1e-90)  # the same all over a path
     many = np.bincount(of)
     text_ratio, mark_ratio = np.bincount(of, chars) / many, (np.bincount(of, punctuation) + 0.1) / many
     # weighed before smoothing, so that it lends nothing to its neighbours, and after, so that it takes nothing from them
@@ -229,8 +235,11 @@ def chosen_nodes(found: Page, content: np.ndarray) -> np.ndarray:
             nodes[top[e]] += 1
             chars[top[e]] += n
             linked[top[e]] += n * link
-    menu = {e for e, n in nodes.items() if n > 1 and 2 * linked[e] > chars[e]}
-    return np.array([bool(c) or (within[e] and found.marks[e] == found.marks[root] and (holds[e] or top[e] not in menu)) for e, c in zip(element, content)], bool)
+    up, article = root, False  # in an article's own element lists of links are its references
+    while up and not article:
+        article, up = found.tag[up] in ("article", "main"), parent[up]
+    menu = {e for e, n in nodes.items() if n > 1 and 2 * linked[e] > chars[e] and not article}
+    return np.array([bool(c) or (within[e] and found.weight[e] == found.weight[root] and (holds[e] or top[e] not in menu)) for e, c in zip(element, content)], bool)
 
 
 def main_text(page: str | None, share: float = 0.5, reach: int = 2) -> str:

@@ -155,3 +155,20 @@ def test_against_a_reading_by_hand():
             assert got == by_hand(text, share)
         seen.add(main_text(text, 0) != main_text(text) != main_text(text, 3))
     assert True in seen
+
+
+RIVER = "<p>The river rose again in spring, and the mill stood still. Nobody had expected that, least of all the miller; he sold it.</p>"
+
+
+def test_reference_lists_belong_to_the_article():
+    page = f"<article>{RIVER * 4}<ul><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li></ul></article><nav><a href='/'>Home</a></nav>"
+    assert main_text(page).endswith("First source\n\nSecond source")
+
+
+def test_much_prose_outweighs_a_name_but_not_a_tag():
+    long = "In that house they ate well: soup, bread, fish, and plums. " * 40
+    short = "Add to the list."
+    for name in ("menu", "share"):
+        assert long.strip() in main_text(f"<article>{RIVER * 4}<p class='{name}'>{long}</p>{RIVER * 2}</article>")
+        assert short not in main_text(f"<article>{RIVER * 4}<p class='{name}'>{short}</p>{RIVER * 2}</article>")
+    assert "soup" not in main_text(f"<article>{RIVER * 4}<aside>{long}</aside>{RIVER * 2}</article>")

@@ -13,7 +13,7 @@ from .metric_tree import feature_knn  # noqa: F401
 from .spread_graph import SpreadGraph, coin
 
 #: Up to so many edges a graph is clustered in one task; the steps, and the labels, are the same beyond.
-TASK_EDGES = 2_000_000
+TASK_EDGES = 5_000_000
 
 
 def shared_counts(edges: DataFrame) -> DataFrame:

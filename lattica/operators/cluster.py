@@ -14,6 +14,8 @@ from .spread_graph import SpreadGraph, coin
 
 #: Up to so many edges a graph is clustered in one task; the steps, and the labels, are the same beyond.
 TASK_EDGES = 5_000_000
+#: Resolutions that a search tries at once.
+SIDE = 8
 
 
 def shared_counts(edges: DataFrame) -> DataFrame:
@@ -43,12 +45,37 @@ def undirected(edges: DataFrame) -> DataFrame:
 MOVES, REFINES, PASSES = 60, 20, 10
 
 
+def _grouped(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, each with its sum of w."""
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate(([len(key) > 0], key[1:] != key[:-1])))
+    return key[start], np.add.reduceat(w[order], start).astype(float) if len(start) else np.zeros(0)
+
+
+def _best(v: np.ndarray, to: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each v the row of the largest gain, of equals the smallest to; rows are in order of v and to."""
+    if not len(v):
+        return v, to, gain
+    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    top = np.repeat(np.maximum.reduceat(gain, start), np.diff(np.append(start, len(v))))
+    at = np.flatnonzero(gain == top)
+    at = at[np.concatenate(([True], v[at][1:] != v[at][:-1]))]
+    return v[at], to[at], gain[at]
+
+
 class LocalGraph:
-    """A graph of one task. ids ascend; src, dst: each edge in both directions; c: communities; node: of each cell."""
+    """A graph of one task. ids ascend; src, dst: each edge in both directions, by src; c: communities; node: of each cell.
+
+    In a round only those nodes are judged again that may come out another way: who moved or has a neighbour that did, who wants to
+    move, and who the sizes of groups have changed enough for, at most, since it was judged. So the labels are those of judging all.
+    """
 
     def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, seed: int):
-        self.first = (ids, np.concatenate((src, dst)), np.concatenate((dst, src)), np.concatenate((w, w)).astype(np.int64))
-        self.k0 = np.bincount(self.first[1], self.first[3], minlength=len(ids))
+        src, dst = np.concatenate((src, dst)), np.concatenate((dst, src))
+        order = np.argsort(src, kind="stable")
+        self.first = (ids, src[order], dst[order], np.concatenate((w, w)).astype(np.int64)[order])
+        self.k0 = np.bincount(src[order], self.first[3], minlength=len(ids))
         self.total, self.resolution, self.seed = float(self.k0.sum()), resolution, seed
         self.cells = ids.copy()
 
@@ -56,67 +83,75 @@ class LocalGraph:
         self.ids, self.src, self.dst, self.w = self.first
         self.k, self.c, self.node = self.k0, self.cells, np.arange(len(self.ids))
 
-    def _gains(self, groups: np.ndarray, use: np.ndarray, own: bool) -> tuple:
-        """Node, group and gain of each node's neighbouring groups, over the edges in use; and, with own, its own group."""
-        names, g = np.unique(groups, return_inverse=True)
-        key = self.src[use] * len(names) + g[self.dst[use]]
-        w = self.w[use]
-        if own:
-            key, w = np.concatenate((key, np.arange(len(g)) * len(names) + g)), np.concatenate((w, np.zeros(len(g), np.int64)))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        start = np.flatnonzero(np.concatenate(([len(key) > 0], key[1:] != key[:-1])))
-        e = np.add.reduceat(w[order], start).astype(float) if len(start) else np.zeros(0)
-        v, to = key[start] // len(names), key[start] % len(names)
-        size = np.bincount(g, self.k, minlength=len(names))
-        gain = e - self.resolution * self.k[v] * (size[to] - np.where(to == g[v], self.k[v], 0)) / self.total
-        return v, names[to], gain
-
-    @staticmethod
-    def _best(v: np.ndarray, to: np.ndarray, gain: np.ndarray) -> tuple:
-        order = np.lexsort((to, -gain, v))
-        first = order[np.flatnonzero(np.concatenate(([len(v) > 0], v[order][1:] != v[order][:-1])))]
-        return v[first], to[first], gain[first]
+    def _of(self, nodes: np.ndarray) -> np.ndarray:
+        """Places of the nodes' edges."""
+        many = self.starts[nodes + 1] - self.starts[nodes]
+        return np.repeat(self.starts[nodes] - np.cumsum(many) + many, many) + np.arange(many.sum())
 
     def move(self, most: int) -> None:
+        names, g = np.unique(self.c, return_inverse=True)
+        n = len(self.ids)
+        self.starts = np.searchsorted(self.src, np.arange(n + 1))
+        size = np.bincount(g, self.k, minlength=len(names))
+        again, to, want = np.arange(n), g.copy(), np.zeros(n, bool)
+        spare, grown = np.zeros(n), 0.0  # how much sizes may have grown and shrunk in all before a node is judged again; how much they have
         for r in range(most):
-            if not self._move(r):
+            self._judge(again, g, size, to, want, spare, grown)
+            asks = np.flatnonzero(want)
+            if not len(asks):
                 break
-
-    def _move(self, r: int) -> int:
-        v, to, gain = self._gains(self.c, np.ones(len(self.src), bool), True)
-        stay = np.empty(len(self.ids))
-        mine = to == self.c[v]
-        stay[v[mine]] = gain[mine]
-        v, to, gain = self._best(v, to, gain)
-        want = gain > stay[v]
-        go = want & coin(self.seed, r, self.ids[v])
-        self.c = self.c.copy()
-        self.c[v[go]] = to[go]
-        return int(want.sum())
+            goes = asks[coin(self.seed, r, self.ids[asks])]
+            g[goes] = to[goes]
+            before, size = size, np.bincount(g, self.k, minlength=len(names))
+            grown += float(np.abs(size - before).max())
+            due = want | (spare <= grown)
+            due[goes] = True
+            due[self.dst[self._of(goes)]] = True
+            again = np.flatnonzero(due)
+        self.c = names[g]
+
+    def _judge(self, nodes: np.ndarray, g: np.ndarray, size: np.ndarray, to: np.ndarray, want: np.ndarray, spare: np.ndarray, grown: float) -> None:
+        """Sets where each of the nodes would go, whether it wants to, and up to which growth of sizes that holds if it doesn't."""
+        edges = slice(None) if len(nodes) == len(g) else self._of(nodes)
+        src, group = self.src[edges], g[self.dst[edges]]
+        own = group == g[src]
+        k, push = self.k, lambda v, others: self.resolution * self.k[v] * others / self.total
+        stay = np.bincount(src[own], self.w[edges][own], minlength=len(g))[nodes] - push(nodes, size[g[nodes]] - k[nodes])
+        key, e = _grouped((src * len(size) + group)[~own], self.w[edges][~own])
+        v, group = key // len(size), key % len(size)
+        v, group, gain = _best(v, group, e - push(v, size[group]))
+        best = np.full(len(g), -np.inf)
+        best[v], to[v] = gain, group
+        best = best[nodes]
+        want[nodes] = best > stay
+        rounding = 1e-9 * (np.abs(stay) + np.where(np.isfinite(best), np.abs(best), 0) + k[nodes])
+        pull = 2 * abs(self.resolution) * k[nodes] / self.total
+        spare[nodes] = grown + np.divide(stay - best - rounding, pull, out=np.full(len(nodes), np.inf), where=pull > 0)
 
     def refine(self, most: int) -> None:
-        self.f = self.ids.copy()
+        n = len(self.ids)
+        self.f = np.arange(n)
+        inside = self.c[self.src] == self.c[self.dst]
+        src, dst, w = self.src[inside], self.dst[inside], self.w[inside]
         for r in range(most):
-            if not self._refine(r):
+            alone = np.bincount(self.f, minlength=n) == 1
+            some = alone[src]  # who isn't alone stays so
+            src, dst, w = src[some], dst[some], w[some]
+            key, e = _grouped(src * n + self.f[dst], w)
+            v, to = key // n, key % n
+            gain = e - self.resolution * self.k[v] * np.bincount(self.f, self.k, minlength=n)[to] / self.total
+            some = gain > 0
+            v, to, gain = v[some], to[some], gain[some]
+            if not len(v):
                 break
-
-    def _refine(self, r: int) -> int:
-        names, of, many = np.unique(self.f, return_inverse=True, return_counts=True)
-        alone = many[of] == 1
-        use = (self.c[self.src] == self.c[self.dst]) & (self.f[self.src] != self.f[self.dst]) & alone[self.src]
-        v, to, gain = self._gains(self.f, use, False)
-        some = gain > 0
-        v, to, gain = v[some], to[some], gain[some]
-        want = len(np.unique(v))
-        may = coin(self.seed, -1 - r, self.ids[v]) & ~coin(self.seed, -1 - r, to)
-        v, to, _ = self._best(v[may], to[may], gain[may])
-        self.f = self.f.copy()
-        self.f[v] = to
-        return want
+            turn = coin(self.seed, -1 - r, self.ids)
+            may = turn[v] & ~turn[to]
+            v, to, _ = _best(v[may], to[may], gain[may])
+            self.f[v] = to
 
     def shrink(self) -> bool:
         names, of = np.unique(self.f, return_inverse=True)
+        names = self.ids[names]
         if len(names) == len(self.ids):
             return False
         c = np.empty(len(names), np.int64)
@@ -190,7 +225,10 @@ def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], i
             found = communities(LocalGraph(names, np.searchsorted(names, src), np.searchsorted(names, dst), w, resolution, seed), iterations)
             return pa.table({"setting": np.full(len(names), setting, np.int32), "cell_id": names, "c": found})
 
-        found = whole.join(settings).groupBy("setting").applyInArrow(run, "setting int, cell_id long, c long")
+        every = whole.join(settings)
+        # a task for each setting: by its bytes a setting is small, so that several would share one
+        every = every.repartitionByRange(4 * len(resolutions), "setting") if len(resolutions) > 1 else every
+        found = every.groupBy("setting").applyInArrow(run, "setting int, cell_id long, c long")
     else:
         found = None
         for i, r in enumerate(resolutions):
@@ -319,13 +357,21 @@ def gaussian_mixture(embedding: DataFrame, n_labels: int, seed: int = 1234, roun
 
 
 def find_resolution(cells: DataFrame, edges: DataFrame, n_labels: int, start: float = 0.6, step: float = 0.05, max_iter: int = 25, seed: int = 1234) -> tuple[float, DataFrame]:
-    """Walks the resolution by a fixed step until the number of labels matches, or max_iter tries are over; counted in whole steps."""
-    at, edges = 0, kept(undirected(edges))
-    for _ in range(max_iter):
-        resolution = start + at * step
-        labels = kept(leiden(cells, edges, resolution, seed=seed))
-        n = labels.select("label").distinct().count()
+    """Walks the resolution by a fixed step until the number of labels matches, or max_iter tries are over; counted in whole steps.
+
+    What a resolution gives doesn't change, so none is tried twice; those that lie ahead are clustered at once, SIDE of them, where a task holds the graph.
+    """
+    edges, tried, at, resolution, labels = kept(undirected(edges)), {}, 0, start, None
+    side = SIDE if edges.count() <= TASK_EDGES else 1
+    for done in range(max_iter):
+        if at not in tried:
+            ahead = [at] if not done else [a for a in (at + i * way for i in range(min(side, max_iter - done))) if a not in tried]
+            swept = kept(leiden_sweep(cells, edges, [start + a * step for a in ahead], seed=seed))
+            counts = {r.setting: r.n for r in swept.groupBy("setting").agg(F.countDistinct("label").alias("n")).collect()}  # a row a setting
+            tried |= {a: (counts.get(i, 0), swept.where(F.col("setting") == i).select("cell_id", "label")) for i, a in enumerate(ahead)}
+        resolution, (n, labels) = start + at * step, tried[at]
         if n == n_labels:
             break
-        at += 1 if n < n_labels else -1
+        way = 1 if n < n_labels else -1
+        at += way
     return resolution, labels

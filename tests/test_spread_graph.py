@@ -84,3 +84,18 @@ def test_parts_and_coins_are_those_of_the_columns(spark):
     for r in (0, 3, -4):
         column = F.xxhash64(F.lit(1234).cast("long"), F.lit(r).cast("long"), F.col("id")).bitwiseAND(F.lit(1)) == 0
         assert [x[0] for x in df.select(column).collect()] == spread_graph.coin(1234, r, ids).tolist()
+
+
+def test_rounds_judge_few_nodes_again(spark):
+    """Who keeps to a community and has no neighbour that moved isn't judged again."""
+    n, pairs, w = planted(11, 40, 25, 0.4, 0.002)
+    src, dst = np.array(pairs).T
+    judged = []
+
+    class Counted(cluster.LocalGraph):
+        def _judge(self, nodes, *rest):
+            judged.append((len(nodes), len(self.ids)))
+            super()._judge(nodes, *rest)
+
+    cluster.communities(Counted(n, src, dst, np.round(w * 1000).astype(np.int64), 1.0, 7))
+    assert sum(a for a, _ in judged) < 0.5 * sum(b for _, b in judged)

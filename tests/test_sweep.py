@@ -60,3 +60,24 @@ def test_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
     assert last.collect() == plain.collect() and len(calls) == 3
     for key, df in labels.items():
         assert sorted(df.collect()) == sorted(kept_labels[key].select("cell_id", "label").collect())
+
+
+def test_search_walks_step_by_step_and_tries_none_twice(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [(i, j, 1.0) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.6 if i // 10 == j // 10 else 0.05)]
+    cells, edges = spark.range(60).withColumnRenamed("id", "cell_id"), spark.createDataFrame(pairs, "src long, dst long, w double")
+    asked, sweep = [], cluster.leiden_sweep
+    monkeypatch.setattr(cluster, "leiden_sweep", lambda *given, **more: asked.append(list(given[2])) or sweep(*given, **more))
+    for wanted, most in ((6, 3), (1000, 3), (3, 5)):
+        asked.clear()
+        resolution, labels = cluster.find_resolution(cells, edges, wanted, start=0.3, step=0.15, max_iter=most)
+        tried = [x for many in asked for x in many]
+        assert len(tried) == len(set(tried)) and len(asked) <= 3
+        at = 0
+        for _ in range(most):  # the walk itself, one try at a time
+            plain = {r.cell_id: r.label for r in cluster.leiden(cells, edges, 0.3 + at * 0.15).collect()}
+            last, many = 0.3 + at * 0.15, len(set(plain.values()))
+            if many == wanted:
+                break
+            at += 1 if many < wanted else -1
+        assert resolution == last and {r.cell_id: r.label for r in labels.collect()} == plain

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scale import kept, running
+from .components import components
 from .graph import filter_by_rank_and_threshold
 from .metric_tree import feature_knn  # noqa: F401
 from .spread_graph import SpreadGraph, coin
@@ -204,18 +207,12 @@ def quality(src: np.ndarray, dst: np.ndarray, w: np.ndarray, comm: np.ndarray, r
     return inside / total - resolution * float(((k / (2 * total)) ** 2).sum())
 
 
-def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], iterations: int = -1, seed: int = 1234, parts: int | None = None) -> DataFrame:
-    """(setting, cell_id, label): leiden() at each of several resolutions of one graph, by their places in the list, all at once.
-
-    A graph of up to TASK_EDGES edges is gone over in one task a resolution, side by side; a larger one in parts of bounded size
-    (see SpreadGraph; `parts` asks for that, and for so many), one resolution after the other. The steps are the same, and so are the labels.
-    """
-    spark = cells.sparkSession
+def _swept(edges: DataFrame, wanted: list[tuple[int, float]], iterations: int, seed: int, parts: int | None) -> DataFrame:
+    """(setting, cell_id, c): communities of the cells with edges at each of the wanted (setting, resolution)."""
     g = kept(undirected(edges).where("w > 0"))
     many, top = g.agg(F.count("*"), F.max("w")).first()
     whole = g.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.greatest(F.floor(F.col("w") / F.lit(float(top or 1.0)) * 2**20 + 0.5), F.lit(1)).cast("long").alias("w"))
-    ids = cells.select(F.col("cell_id").cast("long").alias("cell_id")).distinct()
-    settings = F.broadcast(spark.createDataFrame([(i, float(r)) for i, r in enumerate(resolutions)], "setting int, resolution double"))
+    settings = F.broadcast(edges.sparkSession.createDataFrame(wanted, "setting int, resolution double"))
     if many <= TASK_EDGES and parts is None:
 
         def run(table: pa.Table) -> pa.Table:
@@ -227,13 +224,34 @@ def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], i
 
         every = whole.join(settings)
         # a task for each setting: by its bytes a setting is small, so that several would share one
-        every = every.repartitionByRange(4 * len(resolutions), "setting") if len(resolutions) > 1 else every
+        every = every.repartitionByRange(4 * len(wanted), "setting") if len(wanted) > 1 else every
         found = every.groupBy("setting").applyInArrow(run, "setting int, cell_id long, c long")
     else:
         found = None
-        for i, r in enumerate(resolutions):
-            one = communities(SpreadGraph(whole, float(r), seed, parts), iterations).select(F.lit(i).alias("setting"), F.col("id").alias("cell_id"), "c")
+        for i, r in wanted:
+            one = communities(SpreadGraph(whole, r, seed, parts), iterations).select(F.lit(i).alias("setting"), F.col("id").alias("cell_id"), "c")
             found = one if found is None else found.unionByName(one)
+    return found
+
+
+def leiden_sweep(cells: DataFrame, edges: DataFrame, resolutions: list[float], iterations: int = -1, seed: int = 1234, parts: int | None = None) -> DataFrame:
+    """(setting, cell_id, label): leiden() at each of several resolutions of one graph, by their places in the list, all at once.
+
+    A graph of up to TASK_EDGES edges is gone over in one task a resolution, side by side; a larger one in parts of bounded size
+    (see SpreadGraph; `parts` asks for that, and for so many), one resolution after the other. The steps are the same, and so are the labels.
+    """
+    spark = cells.sparkSession
+    ids = cells.select(F.col("cell_id").cast("long").alias("cell_id")).distinct()
+    every = [(i, float(r)) for i, r in enumerate(resolutions)]
+    settings = F.broadcast(spark.createDataFrame(every, "setting int, resolution double"))
+    flat = [(i, r) for i, r in every if r <= 0 and iterations and parts is None]
+    rest = [s for s in every if s not in flat]
+    found = []
+    if flat:  # nothing holds communities apart: the best are the connected components, for which edges need not be dealt out
+        found.append(kept(components(edges)).crossJoin(settings.where(F.col("resolution") <= 0)).select("setting", F.col("node").alias("cell_id"), F.col("component").alias("c")))
+    if rest:
+        found.append(_swept(edges, rest, iterations, seed, parts))
+    found = reduce(DataFrame.unionByName, found)
     every = kept(ids.join(settings).join(found, ["setting", "cell_id"], "left").select("setting", "cell_id", F.coalesce("c", "cell_id").alias("c")))
     sized = every.groupBy("setting", "c").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
     number = running(sized, ["setting", F.desc("n"), "first"], F.lit(1), "at")

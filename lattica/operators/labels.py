@@ -129,16 +129,6 @@ def connection_grid(labels: DataFrame, edges: DataFrame, kinds: list | None = No
     return t.withColumn("ratio", F.try_divide(F.col("n").cast("double"), own.cast("double")))
 
 
-def votes(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cell_id, label, own, n, total): how many of a cell and its neighbours have each label."""
-    own = labels.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))
-    near = edges.select("src", "dst").unionByName(own)
-    told = near.join(labels.select(F.col("cell_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("src"))
-    mine = labels.select(F.col("cell_id").alias("src"), F.col("label").alias("own"))
-    return told.withColumn("total", total).join(mine, "src").select(F.col("src").alias("cell_id"), "label", "own", "n", "total")
-
-
 def refined_once(labels: DataFrame, edges: DataFrame, percentile: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels after one synchronous vote, and one row with the mean entropy of the votes.
 
@@ -149,12 +139,23 @@ def refined_once(labels: DataFrame, edges: DataFrame, percentile: float | None =
     if percentile is not None:
         cut = edges.agg(F.percentile("dist", percentile).alias("__cut"))
         edges = edges.join(F.broadcast(cut)).where(F.col("dist") < F.col("__cut")).drop("__cut")
-    v = votes(labels, edges)
-    best = v.groupBy("cell_id", "own").agg(
-        F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.max("n").alias("n"), (F.max("total") - 1).alias("near"), F.sum(-F.col("n") / F.col("total") * F.ln(F.col("n") / F.col("total"))).alias("e")
-    )
-    new = F.when((F.col("most") != F.col("own")) & (F.col("n") >= F.floor(F.col("near") / 2) + 1), F.col("most")).otherwise(F.col("own"))
-    return best.select("cell_id", new.alias("label")), best.agg((F.sum("e") / F.count("*")).alias("entropy"))
+    best = _ballots(labels, edges)
+    return best.select("cell_id", "label"), best.agg((F.sum("e") / F.count("*")).alias("entropy"))
+
+
+def _ballots(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cell_id, label, e): of each cell the label that its vote gives it, and the vote's entropy. Votes are dealt out by the cell once they are told."""
+    ends = edges.select("src", "dst", F.lit(False).alias("self")).unionByName(labels.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(True).alias("self")))
+    told = ends.join(labels.select(F.col("cell_id").alias("dst"), "label"), "dst")
+    each = told.groupBy("src", "label").agg(F.count("*").alias("n"), F.bool_or("self").alias("own"))
+    one = each.groupBy("src").agg(F.collect_list(F.struct("label", "n", "own")).alias("v"), F.bool_or("own").alias("here"), F.sum("n").alias("total")).where("here")
+    best = F.array_max(F.transform("v", lambda x: F.struct(x.n.alias("n"), (-x.label).alias("least"))))
+    own = F.filter("v", lambda x: x.own)[0]["label"]
+    share = lambda x: x.n / F.col("total")
+    e = F.aggregate("v", F.lit(0.0), lambda s, x: s - share(x) * F.ln(share(x)))
+    won = one.select(F.col("src").alias("cell_id"), own.alias("own"), best.alias("b"), "total", e.alias("e"))
+    new = F.when((-F.col("b.least") != F.col("own")) & (F.col("b.n") >= F.floor((F.col("total") - 1) / 2) + 1), -F.col("b.least")).otherwise(F.col("own"))
+    return won.select("cell_id", new.alias("label"), "e")
 
 
 def refined(labels: DataFrame, edges: DataFrame, method: str = "once", iterations: int = 1) -> tuple[DataFrame, float, int]:
@@ -162,9 +163,8 @@ def refined(labels: DataFrame, edges: DataFrame, method: str = "once", iteration
     done, entropy = 0, math.inf
     most = {"once": 1, "num_iter": iterations, "iter_num": iterations, "auto": 20}[method]
     while done < most and (method != "auto" or entropy * 100 > 5):
-        labels, e = refined_once(labels, edges)
-        labels = kept(labels)
-        entropy, done = e.first()[0], done + 1
+        ballots = kept(_ballots(labels, edges))  # the vote is held once, for the labels and their entropy
+        labels, entropy, done = ballots.select("cell_id", "label"), ballots.agg(F.sum("e") / F.count("*")).first()[0], done + 1
     return labels, entropy, done
 
 

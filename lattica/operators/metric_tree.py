@@ -1,9 +1,10 @@
-"""Exact nearest neighbours in feature space by a metric tree: pivots with radii, kept as a table.
+"""Exact nearest neighbours in feature space by a tree of cuts: leaves with tight boxes, kept as a table.
 
-The rows are parted by their nearest pivot, and crowded parts again, until a leaf holds some LEAF rows. A row is compared with its own
-leaf first. By the triangle inequality no row of another leaf is nearer than the distance to its pivot less its radius, so of the other
-leaves only those are visited for which that is within the k-th distance found: a few near ones first, then what is left of the rest.
-Where features have clusters, the leaves that a row visits don't grow with the table; where they have no structure at all, all are visited.
+The rows are cut at quantiles of the column that spreads most, and crowded parts again, until a leaf holds some LEAF rows. A row is compared
+with its own leaf first. No row of another leaf is nearer than that leaf's box, so of the other leaves only those are visited whose
+boxes are within the k-th distance found: a few near ones first, then what is left of the rest. Within a leaf its rows are cut
+again, into blocks of BLOCK rows, and a row is compared with those blocks only whose boxes it reaches. So neither the leaves that a row visits nor
+the rows it is compared with grow much with the table, with clusters or without, while there are few columns; with many columns and no structure all are visited.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from ._scale import kept, met
 
-#: Rows of a leaf, pivots that a part is parted by at once, leaves at most (with more rows than these make, leaves are larger).
-LEAF, PIVOTS, MOST_LEAVES = 1024, 32, 200_000
-#: Rows that pivots are chosen from: for each part, and all parts of a round together. Other leaves that are visited first.
-SAMPLE, SAMPLES, NEAR = 512, 1 << 17, 3
+#: Rows of a leaf, parts that a part is cut into at once, leaves at most (with more rows than these make, leaves are larger).
+LEAF, PIVOTS, MOST_LEAVES = 4096, 32, 200_000
+#: Rows that cuts are chosen from: for each part, and all parts of a round together. Other leaves that are visited first.
+SAMPLE, SAMPLES, NEAR = 8192, 1 << 17, 3
 #: Rows that ask one leaf in one task.
-QUERIES = 8192
+QUERIES = 32_768
+#: Rows of a block within a leaf; blocks at least that a row without a reach is compared with first; rows that ask at once.
+BLOCK, FIRST, TURN = 64, 8, 4096
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -41,35 +44,58 @@ def _square(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pp[:, None] + qq - 2 * p @ q.T, 16 * (p.shape[1] + 8) * np.finfo(float).eps * (pp + qq.max(initial=0.0))
 
 
-def pivots_of(sample: np.ndarray, many: int, seed: int = 0) -> np.ndarray:
-    """Centres for a sample's rows: far apart first, then moved to the means of their rows a few times; none twice."""
-    rng = np.random.default_rng(seed)
-    centres = sample[[rng.integers(len(sample))]]
-    gap = _square(sample, centres)[0][:, 0]
-    while len(centres) < many:
-        gap = np.maximum(gap, 0)
-        if not gap.sum() > 0:
-            break
-        centres = np.concatenate((centres, sample[[rng.choice(len(sample), p=gap / gap.sum())]]))
-        gap = np.minimum(gap, _square(sample, centres[-1:])[0][:, 0])
-    for _ in range(4):
-        near = _square(sample, centres)[0].argmin(axis=1)
-        centres = np.stack([sample[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-    return np.unique(centres, axis=0)
+def _apart(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What the distance of each row of p to anything in each box is at least, whatever was rounded."""
+    out = np.zeros((len(p), len(low)))
+    for x, a, b in zip(p.T, low.T, high.T):
+        gap = np.maximum(a - x[:, None], x[:, None] - b)
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        out += gap
+    return np.sqrt(out, out=out) * (1 - 1e-9)
+
+
+#: A cut: column, value, what lies below it, what doesn't; or the number of a part.
+Cut = tuple[int, float, "Cut", "Cut"] | int
+
+
+def cuts_of(sample: np.ndarray, many: int, first: int = 0) -> tuple[Cut, int]:
+    """A tree that cuts rows like the sample's into up to `many` parts of like size, numbered from first; and the next number."""
+    spread = np.ptp(sample, axis=0) if len(sample) else np.zeros(1)
+    if many < 2 or not spread.max(initial=0) > 0:
+        return first, first + 1
+    column = int(np.where(spread > 0, sample.std(axis=0), -1).argmax())
+    x = np.sort(sample[:, column])
+    # at the quantile, or at a wide gap about it, so that clusters stay whole
+    middle = len(x) * (many // 2) // many
+    a, b = max(1, middle - len(x) // 5), min(len(x), middle + len(x) // 5 + 1)
+    gaps = np.diff(x[a - 1 : b])
+    value = x[a + gaps.argmax()] if gaps.max(initial=0) > (x[-1] - x[0]) / 32 else x[middle]
+    value = value if value > x[0] else x[np.searchsorted(x, x[0], side="right")]  # something lies below
+    below = sample[:, column] < value
+    left, first = cuts_of(sample[below], many // 2, first)
+    right, first = cuts_of(sample[~below], many - many // 2, first)
+    return (column, float(value), left, right), first
+
+
+def dealt(p: np.ndarray, cut: Cut) -> np.ndarray:
+    """The number of the part that each row lies in."""
+    if isinstance(cut, int):
+        return np.full(len(p), cut, np.int64)
+    column, value, left, right = cut
+    below = p[:, column] < value
+    out = np.empty(len(p), np.int64)
+    out[below], out[~below] = dealt(p[below], left), dealt(p[~below], right)
+    return out
 
 
 @dataclass
 class Leaves:
-    """Numbers of all leaves in ascending order, their pivots and radii (a little too large rather than too small)."""
+    """Numbers of all leaves in ascending order, and their boxes."""
 
     leaf: np.ndarray
-    pivot: np.ndarray
-    radius: np.ndarray
-
-    def least(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """What the distance of each row to any row of the leaves `at` is at least, whatever was rounded."""
-        d, slack = _square(p, self.pivot[at])
-        return np.sqrt(np.maximum(d - slack[:, None], 0)) - self.radius[at]
+    low: np.ndarray
+    high: np.ndarray
 
     def visits(self, home: int, p: np.ndarray, r: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, place of a leaf) of rows of the leaf `home` and the other leaves within their reach r.
@@ -77,16 +103,13 @@ class Leaves:
         Without seen only the NEAR nearest of these; else all but those of which the row's numbers are in seen.
         """
         at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        own = np.flatnonzero(self.leaf == home)  # none, if all that is left of a leaf are copies of rows of others
-        pivot = self.pivot[own] if len(own) else p.mean(axis=0, keepdims=True)
-        between = self.least(pivot, np.arange(len(self.leaf)))[0]
-        mine = np.sqrt(np.maximum(_square(p, pivot)[0][:, 0], 0)) * (1 + 1e-6)
         step = max(1, (1 << 22) // max(1, len(self.leaf)))
         for lo in range(0, len(p), step):
             part, reach = p[lo : lo + step], r[lo : lo + step]
-            # first by leaves: a row is no nearer to another leaf than this leaf's pivot less its own distance to that
-            some = np.flatnonzero((between <= np.max(mine[lo : lo + step] + reach, initial=0.0) * (1 + 1e-9)) & (self.leaf != home))
-            near = self.least(part, some)
+            # first by leaves: a row is no nearer to another leaf than the box of all these rows
+            gap = np.maximum(np.maximum(self.low - part.max(axis=0), part.min(axis=0) - self.high), 0)
+            some = np.flatnonzero((np.sqrt((gap * gap).sum(axis=1)) * (1 - 1e-9) <= reach.max()) & (self.leaf != home))
+            near = _apart(part, self.low[some], self.high[some])
             if seen is None:
                 order = np.argsort(near, axis=1, kind="stable")[:, :NEAR]
                 row, col = np.nonzero(np.take_along_axis(near, order, axis=1) <= reach[:, None])
@@ -100,31 +123,77 @@ class Leaves:
         return np.concatenate(at), np.concatenate(to)
 
 
+def blocks_of(q: np.ndarray) -> list[np.ndarray]:
+    """Places of q's rows in blocks of BLOCK at most, halved along the column that spreads most."""
+    out, left = [], [np.arange(len(q))]
+    while left:
+        at = left.pop()
+        if len(at) <= BLOCK:
+            out.append(at)
+        else:
+            x, half = q[at], len(at) // 2
+            order = np.argpartition(x[:, np.ptp(x, axis=0).argmax()], half)
+            left += [at[order[:half]], at[order[half:]]]
+    return out
+
+
 def _near(p: np.ndarray, p_id: np.ndarray, r: np.ndarray, q: np.ndarray, q_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of p, row of q, distance): of each row of p the k nearest others of q that are no further than r; equals by smaller id."""
     at, to, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i in range(0, len(p) if len(q) else 0, 512):
-        part, ids = p[i : i + 512], p_id[i : i + 512]
-        d, slack = _square(part, q)
-        d[ids[:, None] == q_id[None, :]] = np.inf
-        top = np.minimum(np.partition(d, min(k, len(q)) - 1, axis=1)[:, min(k, len(q)) - 1], r[i : i + 512] ** 2)
-        # more than rounding can move a square and the k-th of them, so that no neighbour or tie is left out
-        row, col = np.nonzero((d <= (top + 2 * slack)[:, None]) & np.isfinite(d))
+    blocks = blocks_of(q) if len(q) else []
+    low, high = (np.array([f(q[b], axis=0) for b in blocks]).reshape(len(blocks), -1) for f in (np.min, np.max))
+    for i in range(0, len(p) if blocks else 0, TURN):
+        part, ids, reach = p[i : i + TURN], p_id[i : i + TURN], r[i : i + TURN].copy()
+        least = _apart(part, low, high)
+        wide = np.flatnonzero(np.isinf(reach))
+        if len(wide):
+            reach[wide] = _reach(part[wide], ids[wide], least[wide], q, q_id, blocks, k)
+        row, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b, some in zip(blocks, (least <= reach[:, None]).T):
+            rows = np.flatnonzero(some)
+            if len(rows):
+                d, slack = _square(part[rows], q[b])
+                # more than rounding can move a square and the k-th of them, so that no neighbour or tie is left out
+                x, y = np.nonzero(d <= (reach[rows] ** 2 + 2 * slack)[:, None])
+                row.append(rows[x])
+                col.append(b[y])
+        row, col = np.concatenate(row), np.concatenate(col)
+        other = ids[row] != q_id[col]
+        row, col = row[other], col[other]
         real = np.empty(len(row))
         for j in range(0, len(row), 1 << 18):
             real[j : j + (1 << 18)] = np.sqrt(((part[row[j : j + (1 << 18)]] - q[col[j : j + (1 << 18)]]) ** 2).sum(axis=1))
-        some = real <= r[i : i + 512][row]
+        some = real <= reach[row]
         row, col, real = row[some], col[some], real[some]
         order = np.lexsort((q_id[col], real, row))
-        order = order[np.arange(len(row)) - np.searchsorted(row, row)[order] < k]
-        at.append(row[order] + i)
-        to.append(col[order])
-        far.append(real[order])
+        row, col, real = row[order], col[order], real[order]
+        some = np.arange(len(row)) - np.searchsorted(row, row) < k
+        at.append(row[some] + i)
+        to.append(col[some])
+        far.append(real[some])
     return np.concatenate(at), np.concatenate(to), np.concatenate(far)
 
 
+def _reach(p: np.ndarray, p_id: np.ndarray, least: np.ndarray, q: np.ndarray, q_id: np.ndarray, blocks: list[np.ndarray], k: int) -> np.ndarray:
+    """No less than each row's k-th distance to others of q: that in its nearest blocks; infinite where these hold fewer."""
+    many = min(len(blocks), max(FIRST, -(-4 * k // BLOCK)))
+    if many * BLOCK < k:
+        return np.full(len(p), np.inf)
+    first = np.argpartition(least, many - 1, axis=1)[:, :many]
+    d = np.full((len(p), many, BLOCK), np.inf)
+    for n, b in enumerate(blocks):
+        rows, place = np.nonzero(first == n)
+        if len(rows):
+            square, slack = _square(p[rows], q[b])
+            square += slack[:, None]
+            square[p_id[rows, None] == q_id[b]] = np.inf
+            d[rows, place, : len(b)] = square
+    top = np.partition(d.reshape(len(p), -1), k - 1, axis=1)[:, k - 1]
+    return np.sqrt(np.maximum(top, 0)) * (1 + 1e-9)
+
+
 def parted(rows: DataFrame, n: int) -> DataFrame:
-    """rows(cell_id, pc, shown) with the leaf of each: the numbers of the pivots that it is nearest to, one a round."""
+    """rows(cell_id, pc, shown) with the leaf of each: the number of the part that it lies in, after the round that made it."""
     size = max(LEAF, -(-n // MOST_LEAVES))
     rows = rows.withColumn("leaf", F.lit(0).cast("long"))
     tried, first = set(), 1
@@ -138,40 +207,35 @@ def parted(rows: DataFrame, n: int) -> DataFrame:
         some = rows.where("shown").join(chance, "leaf").where(F.xxhash64("cell_id") / 2.0**64 + 0.5 < F.col("chance"))
         some = some.withColumn("__n", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("cell_id"), "cell_id"))).where(F.col("__n") <= each).select("leaf", "pc").toArrow()
         leaf, sample = some.column("leaf").to_numpy(), _matrix(some.column("pc"), some.num_rows)
-        centres: dict[int, tuple[int, np.ndarray]] = {}
+        cuts: dict[int, Cut] = {}
         for one in sorted(large):
             tried.add(one)
-            mine = sample[leaf == one]
-            found = pivots_of(mine, min(PIVOTS, 2 * large[one] // size), one) if len(mine) else mine
-            if len(found) > 1:
-                centres[one] = (first, found)
-                first += len(found)
-        if not centres:
+            cut, after = cuts_of(sample[leaf == one], min(PIVOTS, -(-large[one] // size)), first)
+            if after > first + 1:
+                cuts[one], first = cut, after
+        if not cuts:
             return rows
-        shared = rows.sparkSession.sparkContext.broadcast(centres)
+        shared = rows.sparkSession.sparkContext.broadcast(cuts)
 
         def deal(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                of, pc = b.column(3).to_numpy().copy(), _matrix(b.column(1), b.num_rows)
-                for one in np.unique(of):
+                old, pc = b.column(3).to_numpy(), _matrix(b.column(1), b.num_rows)
+                of = old.copy()
+                for one in np.unique(old):
                     if one in shared.value:
-                        rows_in = np.flatnonzero(b.column(3).to_numpy() == one)
-                        number, found = shared.value[one]
-                        of[rows_in] = number + _square(pc[rows_in], found)[0].argmin(axis=1)
+                        rows_in = np.flatnonzero(old == one)
+                        of[rows_in] = dealt(pc[rows_in], shared.value[one])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(of)], names=["cell_id", "pc", "shown", "leaf"])
 
         rows = kept(rows.select("cell_id", "pc", "shown", "leaf").mapInArrow(deal, "cell_id long, pc array<double>, shown boolean, leaf long"))
 
 
 def leaves_of(rows: DataFrame) -> Leaves:
-    """Every leaf's mean as its pivot, and the radius about it."""
+    """Every leaf's box."""
     dims = rows.select(F.size("pc").alias("d")).first()
-    means = rows.where("shown").groupBy("leaf").agg(F.array(*[F.avg(F.col("pc")[i]) for i in range(dims.d if dims else 0)]).alias("pivot"))
-    means = kept(means)
-    gap = F.aggregate(F.zip_with("pc", "pivot", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    told = rows.where("shown").join(F.broadcast(means), "leaf").groupBy("leaf").agg(F.sqrt(F.max(gap)).alias("radius"))  # MOST_LEAVES at most
-    got = told.join(means, "leaf").orderBy("leaf").toArrow()
-    return Leaves(got.column("leaf").to_numpy(), _matrix(got.column("pivot"), got.num_rows), got.column("radius").to_numpy() * (1 + 1e-9))
+    ends = [F.array(*[f(F.col("pc")[i]) for i in range(dims.d if dims else 0)]).cast("array<double>").alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    got = rows.where("shown").groupBy("leaf").agg(*ends).orderBy("leaf").toArrow()  # MOST_LEAVES at most
+    return Leaves(got.column("leaf").to_numpy(), _matrix(got.column("low"), got.num_rows), _matrix(got.column("high"), got.num_rows))
 
 
 def feature_knn(embedding: DataFrame, k: int = 50) -> DataFrame:

@@ -76,3 +76,43 @@ def test_work_on_planted_clusters_grows_with_the_rows(spark, monkeypatch):
             total += len(p) ** 2 + sum(size[leaves.leaf[x]] for x in node)
         work.append(total)
     assert np.log(work[1] / work[0]) / np.log(4) < 1.2
+
+
+def test_few_leaves_and_blocks_are_visited_without_structure(spark, monkeypatch):
+    """Rows of eight columns without clusters visit a small part of the leaves; by pivots with radii it was half of them."""
+    monkeypatch.setattr(mt, "LEAF", 32)
+    n, rng = 8_000, np.random.default_rng(5)
+    x = rng.normal(size=(n, 8))
+    rows = mt.parted(frame(spark, x).selectExpr("cell_id", "pc", "true as shown"), n)
+    leaves = mt.leaves_of(rows)
+    told = rows.select("cell_id", "leaf").toPandas()
+    of = np.zeros(n, np.int64)
+    of[told.cell_id] = told.leaf
+    asks = rng.choice(n, 200, replace=False)
+    reach = np.sort(np.sqrt(((x[asks, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 10]
+    visits = sum(len(leaves.visits(int(of[a]), x[[a]], reach[[i]], np.full((1, 1), -1))[0]) for i, a in enumerate(asks))
+    assert visits / 200 < len(leaves.leaf) / 3
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_blocks_leave_out_no_neighbour(far):
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=(700, 5)), rng.integers(0, 3, (300, 5)))).astype(float) + far
+    number, k = rng.permutation(1000), 9
+    at, to, dist = mt._near(x, number, np.full(1000, np.inf), x, number, k)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    full = d.copy()
+    np.fill_diagonal(full, np.inf)
+    want = [np.lexsort((number, full[i]))[:k] for i in range(1000)]
+    assert np.array_equal(to.reshape(1000, k), want) and np.array_equal(dist, d[at, to])
+    reach = full[np.arange(1000), [w[4] for w in want]]
+    at, to, _ = mt._near(x, number, reach, x, number, k)
+    assert all(np.array_equal(to[at == i], [j for j in w if full[i, j] <= reach[i]]) for i, w in enumerate(want))
+
+
+def test_cuts_are_whole():
+    x = np.concatenate((np.zeros((50, 3)), np.random.default_rng(7).normal(size=(400, 3))))
+    cut, after = mt.cuts_of(x, 7, 3)
+    of = mt.dealt(x, cut)
+    assert sorted(set(of)) == list(range(3, after)) and after == 10
+    assert mt.cuts_of(np.ones((9, 2)), 4, 5) == (5, 6) and mt.cuts_of(np.zeros((0, 2)), 4, 5) == (5, 6)

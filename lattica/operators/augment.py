@@ -10,6 +10,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scale import kept
+
 
 def dense(cells: DataFrame, genes: DataFrame, expr: DataFrame) -> DataFrame:
     """expr with all its zeros. Fails on NaN and infinity."""
@@ -19,10 +21,17 @@ def dense(cells: DataFrame, genes: DataFrame, expr: DataFrame) -> DataFrame:
     return grid.join(expr, ["cell_id", "gene_id"], "left").select("cell_id", "gene_id", value.alias("value")).where(sound.isNull())
 
 
+def _told(edges: DataFrame, expr: DataFrame) -> DataFrame:
+    """Edges with the values of dst, a row a value, dealt by src. A cell's values go round in one row, so that an edge is one row until it is there."""
+    packed = expr.groupBy(F.col("cell_id").alias("dst")).agg(F.collect_list(F.struct("gene_id", "value")).alias("__x"))
+    told = edges.join(packed, "dst").drop("dst").repartition("src").withColumn("__x", F.explode("__x"))
+    return told.select("*", "__x.gene_id", "__x.value").drop("__x")
+
+
 def neighbour_mean(edges: DataFrame, expr: DataFrame) -> DataFrame:
-    """The weighted sum of the neighbours' values: W X, one join and a partially combined sum."""
-    right = expr.select(F.col("cell_id").alias("dst"), "gene_id", "value")
-    return edges.select("src", "dst", "w").join(right, "dst").groupBy(F.col("src").alias("cell_id"), "gene_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    """The weighted sum of the neighbours' values: W X, summed where a cell's edges are."""
+    told = _told(edges.select("src", "dst", "w"), expr)
+    return told.groupBy("src", "gene_id").agg(F.sum(F.col("w") * F.col("value")).alias("value")).withColumnRenamed("src", "cell_id")
 
 
 def agf(edges: DataFrame, expr: DataFrame, center: bool = True) -> DataFrame:
@@ -30,8 +39,7 @@ def agf(edges: DataFrame, expr: DataFrame, center: bool = True) -> DataFrame:
 
     Centring is one pass: sum_j w (x - mean) = sum_j w x - mean sum_j w, with the mean over all neighbours, rows or not.
     """
-    right = expr.select(F.col("cell_id").alias("dst"), "gene_id", "value")
-    sums = edges.select("src", "dst", "w_re", "w_im").join(right, "dst").groupBy("src", "gene_id").agg(
+    sums = _told(edges.select("src", "dst", "w_re", "w_im"), expr).groupBy("src", "gene_id").agg(
         F.sum(F.col("w_re") * F.col("value")).alias("re"), F.sum(F.col("w_im") * F.col("value")).alias("im"), F.sum("value").alias("total")
     )
     if center:
@@ -50,7 +58,7 @@ def feature_moments(expr: DataFrame, n_cells: int, by: tuple[str, ...] = ("gene_
 
 def zscore(expr: DataFrame, n_cells: int, by: tuple[str, ...] = ("gene_id",)) -> DataFrame:
     """Population z-scores of a dense expr; a feature without variance is 0. Features are few, so moments go by broadcast."""
-    m = feature_moments(expr, n_cells, by)
+    m = kept(feature_moments(expr, n_cells, by))  # worked out once, for their number and their use
     m = F.broadcast(m) if m.limit(100_001).count() <= 100_000 else m
     z = F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.when(F.col("std") > 1e-12, F.col("std"))), F.lit(0.0))
     return expr.join(m, list(by)).withColumn("value", z).drop("mean", "std")

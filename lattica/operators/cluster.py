@@ -22,21 +22,24 @@ SIDE = 8
 
 
 def shared_counts(edges: DataFrame) -> DataFrame:
-    """(src, dst, n): for each edge, how many neighbours its ends share. Two equi-joins; a row's neighbours are few."""
-    e = edges.select("src", "dst")
-    via = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("__c")), "dst")
-    both = via.join(e.select("src", F.col("dst").alias("__c")), ["src", "__c"], "left_semi")
-    n = both.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return e.join(n, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
+    """(src, dst, n): for each edge, how many neighbours its ends share. A row's neighbours are few."""
+    return _with_shared(edges.select("src", "dst"))
+
+
+def _with_shared(edges: DataFrame) -> DataFrame:
+    """edges with n, how many neighbours their ends share. Lists of neighbours are told to each edge, a row each, and compared there."""
+    own = edges.groupBy("src").agg(F.collect_list("dst").alias("__own"))
+    told = edges.join(own.select(F.col("src").alias("dst"), F.col("__own").alias("__its")), "dst", "left").join(own, "src")
+    n = F.coalesce(F.array_size(F.array_intersect("__own", "__its")), F.lit(0)).cast("long")
+    return told.select(*edges.columns, n.alias("n"))
 
 
 def shared_graph(edges: DataFrame, filtered: bool = True, max_rank: int = 3, threshold: int = 5, weighted: bool = True) -> DataFrame:
     """(src, dst, w) of edges with shared neighbours: w is the edge's own weight, or 1."""
-    n = shared_counts(edges).where("n > 0")
+    weight = F.col("w") if weighted else F.lit(1.0)
+    n = _with_shared(edges.select("src", "dst", weight.alias("w"))).where("n > 0")
     n = filter_by_rank_and_threshold(n, max_rank, threshold, "n") if filtered else n
-    if not weighted:
-        return n.select("src", "dst", F.lit(1.0).alias("w"))
-    return n.join(edges.select("src", "dst", "w"), ["src", "dst"]).select("src", "dst", "w")
+    return n.select("src", "dst", "w")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ from ..operators.spatial_index import SpatialIndex
 
 @dataclass(frozen=True)
 class Spatial:
-    """Neighbour weights of orders 0..max_m for one decay; lazy tables."""
+    """Neighbour weights of orders 0..max_m for one decay, lazy tables; and the edges of the largest order, kept."""
 
     decay: str
     weights: dict[int, DataFrame]
+    edges: DataFrame
 
 
 def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", max_m: int = 1, index: SpatialIndex | None = None) -> Spatial:
@@ -33,14 +34,14 @@ def initialize(cells: DataFrame, k: int = 15, decay: str = "scaled_gaussian", ma
         edges = widest.where(F.col("rk") <= k * (m + 1))
         w = graph.row_normalized(graph.with_decay(edges, decay, k * (m + 1)))
         out[m] = graph.modulated(w, m) if m else w
-    return Spatial(decay, out)
+    return Spatial(decay, out, widest)
 
 
 def neighbour_blocks(spatial: Spatial, expr: DataFrame, center: bool = False) -> dict[int, DataFrame]:
-    """The cell's own values (-1), neighbour means (0) and gradients (1 and on) of a dense expr."""
+    """The cell's own values (-1), neighbour means (0) and gradients (1 and on) of a dense expr; kept, as moments are taken before they are scaled."""
     out = {-1: expr}
     for m, edges in spatial.weights.items():
-        out[m] = augment.neighbour_mean(edges, expr) if m == 0 else augment.agf(edges, expr, center)
+        out[m] = kept(augment.neighbour_mean(edges, expr) if m == 0 else augment.agf(edges, expr, center))
     return out
 
 
@@ -115,13 +116,19 @@ def run(cells: DataFrame, expr: DataFrame, s: Settings, annotations: DataFrame |
     mixture, search = s.algorithm == "mixture", s.resolutions is None
     wanted = [float("inf")] if mixture or search else [float(r) for r in s.resolutions]  # inf: found by the setting itself
 
+    @cache
+    def spatial() -> Spatial:
+        return initialize(cells, s.k, s.decay, s.max_m)
+
     @cache
     def blocks() -> dict[int, DataFrame]:
-        made = neighbour_blocks(initialize(cells, s.k, s.decay, s.max_m), expr, s.center)
+        made = neighbour_blocks(spatial(), expr, s.center)
         return variance_balanced(made, n) if s.variance_balance else made
 
     @cache
     def near() -> DataFrame:
+        if s.refine_neighbours <= s.k * (s.max_m + 1):  # the search for the weights found them
+            return spatial().edges.where(F.col("rk") <= s.refine_neighbours)
         return kept(graph.knn_graph(cells, s.refine_neighbours))
 
     matrices = [(s.decay, float(lam), lambda lam=lam: augment.concatenated(blocks(), float(lam), n)) for lam in s.lambdas]

@@ -211,6 +211,20 @@ def test_shared_neighbours_against_matrix(spark):
     assert all(r.n == s[r.src, r.dst] for r in cluster.shared_counts(e).collect())
 
 
+def test_an_edge_stays_one_row_until_it_is_told(spark):
+    """Neither shared neighbours nor neighbours' means move a row for each pair of an edge and a neighbour, or a value."""
+    edges = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.25), (1, 0, 1.0), (1, 2, 1.0), (2, 9, 1.0)], "src long, dst long, w double")
+    expr = spark.createDataFrame([(i, g, float(10 * i + g)) for i in range(3) for g in range(4) if (i, g) != (2, 3)], "cell_id long, gene_id int, value double")
+    shared, mean = cluster.shared_graph(edges, False), augment.neighbour_mean(edges, expr)
+    assert {(r.src, r.dst): r.n for r in cluster.shared_counts(edges).collect()} == {(0, 1): 1, (0, 2): 0, (1, 0): 1, (1, 2): 0, (2, 9): 0}
+    assert {tuple(r) for r in shared.collect()} == {(0, 1, 0.5), (1, 0, 1.0)}
+    got = {(r.cell_id, r.gene_id): r.value for r in mean.collect()}
+    assert got == {**{(0, g): 0.5 * (10 + g) + (0.25 * (20 + g) if g < 3 else 0.0) for g in range(4)}, **{(1, g): g + (20.0 + g if g < 3 else 0.0) for g in range(4)}}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(shared).count("Join") == 2 and "LeftSemi" not in plan(shared)
+    assert "RepartitionByExpression [src" in plan(mean)
+
+
 def test_components_and_mixture(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) + 7

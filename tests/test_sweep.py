@@ -81,3 +81,20 @@ def test_search_walks_step_by_step_and_tries_none_twice(spark, monkeypatch):
                 break
             at += 1 if many < wanted else -1
         assert resolution == last and {r.cell_id: r.label for r in labels.collect()} == plain
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch):
+    """The search for the weights finds the neighbours of refinement too; further ones are searched for."""
+    cells, expr, truth = planted(spark)
+    searched, real = [], plans.graph.knn_graph
+    monkeypatch.setattr(plans.graph, "knn_graph", lambda c, k, **more: searched.append(k) or real(c, k, **more))
+    s = plans.Settings(lambdas=(0.2,), pcs=(3,), resolutions=(0.5,), feature_neighbours=8, k=5, max_m=0, add_nonspatial=False, refine="once", refine_neighbours=4)
+    (row,) = plans.run(cells, expr, s, truth)[0].collect()
+    assert searched == [5]
+    near = real(cells, 4)
+    plain = plans.run(cells, expr, plans.Settings(**{**vars(s), "refine": None}), truth)[1]
+    better, _, _ = plans.lab.refined(next(iter(plain.values())), near, "once")
+    assert row.refined_ari == pytest.approx(plans.lab.ari(truth, better).first()[0])
+    searched.clear()
+    plans.run(cells, expr, plans.Settings(**{**vars(s), "refine_neighbours": 6}), truth)
+    assert searched == [5, 6]

@@ -205,3 +205,30 @@ def test_counts_come_back_as_they_went(kind):
         got = counted([plain(x) for x in some], kind)
         assert got.dtype == np.dtype(kind)
         assert got.tolist() == [v for x in some for v in x.tolist()]
+
+
+def test_exponentials_of_two_levels_only(monkeypatch):
+    """Each id costs exponentials over the groups and over one group's classes, in training and in scoring, not over all classes."""
+    w, skip, rng = random_net(6)
+    bounds, ranks, target = np.array([0, 6400]), rng.integers(0, net.RANKS, 6400), rng.integers(0, net.CLASSES, 6400)
+    at, _ = net.windows(bounds)
+    starts, exp, made = np.arange(net.CLASSES) < net.CLASSES // 2, np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, **kw: made.append(np.size(x)) or exp(x, **kw))
+    tables = net.levels(skip)
+    made.clear()
+    net.gradients(w, skip, ranks, at, target, tables)
+    assert sum(made) <= 6400 * (net.GROUPS + net.SIZE)
+    made.clear()
+    net.scores(w, skip, ranks, bounds, target, starts)
+    assert sum(made) <= 6400 * (net.GROUPS + net.SIZE) + skip.size
+
+
+def test_a_group_begins_words_or_does_not(ranks):
+    begins, rng = lm.Subwords(ranks).begins, np.random.default_rng(5)
+    for counts in (np.zeros(net.END + 1), rng.zipf(1.3, net.END + 1).clip(0, 10**6) * begins, rng.zipf(1.3, net.END + 1).clip(0, 10**6) * ~begins, rng.integers(0, 99, net.END + 1)):
+        v = net.Vocabulary.of(counts.astype(float), begins, rng.poisson(1.0, (net.END + 1, net.SINGLES)).astype(float))
+        assert v.group.min() >= 0 and v.group.max() < net.CLASSES and np.isfinite(v.share).all()
+        assert len(set(v.group[net.by_frequency(counts)[: net.OWN]])) == net.OWN
+        assert np.array_equal(v.starts[v.group], begins)
+        sides = v.starts.reshape(net.GROUPS, net.SIZE)
+        assert np.array_equal(sides.all(axis=1), sides.any(axis=1))

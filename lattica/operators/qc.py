@@ -63,10 +63,22 @@ def category_filter(cells: DataFrame, column: str, drop: str = "other") -> DataF
 
 
 def normalize_total(expr: DataFrame, target: float | None = None) -> DataFrame:
-    """Scales each cell to the target total: the median of the totals over 0 by default."""
-    totals = expr.groupBy("cell_id").agg(F.sum("value").alias("__t"))
-    goal = totals.where("__t > 0").agg(F.median("__t").alias("__g")) if target is None else expr.sparkSession.range(1).select(F.lit(float(target)).alias("__g"))
-    scaled = expr.join(totals, "cell_id").join(F.broadcast(goal))  # one row
+    """Scales each cell to the target total: the median of the totals over 0 by default.
+
+    Values go round once, by cell, and are read again for the median. A total of rows without a cell counts for the median, but they aren't returned.
+    """
+    values, by = expr.select("cell_id", "gene_id", "value"), Window.partitionBy("cell_id")
+    if target is None:
+        # one row a cell, chosen by gene: so both sides read the same columns of one shuffle, sorted once
+        sorted_by = by.orderBy("gene_id")
+        whole = sorted_by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        totals = values.withColumns({"__t": F.sum("value").over(whole), "__i": F.row_number().over(sorted_by)})
+        goal = totals.where("__i = 1 and __t > 0").agg(F.median("__t").alias("__g"))
+    else:
+        goal = expr.sparkSession.range(1).select(F.lit(float(target)).alias("__g"))
+    # cells are counted after the shuffle: a filter on cell_id would be pushed below it and make it another one than the median's
+    told = values.withColumns({"__t": F.sum("value").over(by), "__n": F.count("cell_id").over(by)}).where("__n > 0")
+    scaled = told.join(F.broadcast(goal))  # one row
     return scaled.select("cell_id", "gene_id", F.coalesce(F.try_divide(F.col("value") * F.col("__g"), F.col("__t")), F.lit(0.0)).alias("value"))
 
 
